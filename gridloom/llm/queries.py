@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, sharding
+from gridloom.llm import decontamination, mixing, pii, quality_rules, sharding
 from gridloom.llm.tables import read
 
 
@@ -18,13 +18,39 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(F.col("id").alias("doc_id"), *names)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base, every = [[d.kind for d in pii.DETECTORS if d.base or x] for x in (False, True)]
+    return found.select(
+        F.col("id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(pii.listed(*base), 256).alias("base_sha256"), pii.listed(*every).alias("spans"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_quality_rules": op4_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op10_pii": op10_pii,
 }
 
 OP2_SQL = r"""
