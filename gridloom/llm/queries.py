@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, mixing, near_dedup, pii, quality_rules, sharding
+from gridloom.llm import decontamination, mixing, near_dedup, pii, quality_rules, sharding, token_counts
 from gridloom.llm.tables import read
 
 
@@ -45,6 +45,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumnRenamed("id", "doc_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op10_pii": op10_pii,
