@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, mixing, near_dedup, pii, quality_rules, sharding, token_counts
+from gridloom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, sharding, token_counts
 from gridloom.llm.tables import read
 
 
+def fold(id_col: str, folds: int) -> Column:
+    """The CRC-32 of the id as text, modulo the number of folds."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(fold("doc_id", 5) != 0))
+    found = language_id.identify(docs, model, spans=False)
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read(spark, sf_dir, "documents"))
     return plan.select(
@@ -57,6 +69,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
