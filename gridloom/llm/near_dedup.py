@@ -14,8 +14,10 @@ copies are never expanded into pairs.  Per class:
    ``SIGMAS`` standard errors below the threshold.
 4. What is left is verified on the full shingle sets, and the verified links
    give components.
-5. Groups of three and more that are then not in one component are finished
-   exactly: their classes are joined on rare-first prefixes of the full sets
+5. In groups of three and more that are then not in one component, every class
+   is also paired with the smallest of a few random parts of its group, where
+   that one is in another component.  What is still open is finished exactly:
+   the classes are joined on rare-first prefixes of the full sets
    with length and position bounds, which can miss no link, and only pairs
    from different components are verified.
 
@@ -53,6 +55,8 @@ THRESHOLD = 80
 REGISTERS, INDEX_BITS, MANTISSA_BITS = 128, 7, 10
 BAND = 4
 SIGMAS = 5.0
+#: Random divisions of an open group, and parts of each.
+SEEDS, PARTS = 4, 8
 _VALUE_BITS = 64 - INDEX_BITS
 _FILL = np.random.default_rng(20240601).integers(0, REGISTERS, size=(64, REGISTERS))
 
@@ -179,6 +183,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _part_pairs(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Each class with the smallest of its part of the group, for a few random divisions into parts."""
+    seeded = left.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(SEEDS))))
+    seeded = seeded.withColumn("part", F.pmod(F.xxhash64("seed", "band", "node"), F.lit(PARTS)))
+    leads = seeded.groupBy("band", "seed", "part").agg(F.min("node").alias("lead"))
+    leads = leads.join(left.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")).distinct(), "lead")
+    pairs = seeded.join(leads, ["band", "seed", "part"]).filter("label <> lead_label")
+    return pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _rest_pairs(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    labels = left.select("node", "label").distinct()
+    return _prefix_pairs(sets.join(labels.select("node"), "node"), labels, threshold)
+
+
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components that may be similar, by rare-first prefixes: it misses none.
 
@@ -242,14 +261,16 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     )
     edges = materialise(_verified(near, sets, threshold), "near-links")
     labels = components(edges)
-    parts = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_bands = parts.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    left = materialise(parts.join(open_bands, "band").select("node").distinct(), "open-classes")
-    if not left.isEmpty():
-        more = _verified(materialise(_prefix_pairs(sets.join(left, "node"), labels, threshold), "prefix-pairs"), sets, threshold)
-        more = materialise(more, "more-links")
+    for further in (_part_pairs, _rest_pairs):
+        parts = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_bands = parts.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+        left = materialise(parts.join(open_bands, "band").select("band", "node", "label"), "open-groups")
+        if left.isEmpty():
+            break
+        more = materialise(_verified(materialise(further(left, sets, threshold), "more-pairs"), sets, threshold), "more-links")
         if not more.isEmpty():
-            labels = components(edges.union(more))
+            edges = materialise(edges.union(more), "near-links")
+            labels = components(edges)
     named = labels.join(classes.select("node", "first_id"), "node")
     roots = named.groupBy("label").agg(F.min("first_id").alias("root"))
     rooted = named.join(roots, "label").select("node", "root")
