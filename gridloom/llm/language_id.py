@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.tables import ship
+
 BUCKETS = 1 << 16
 #: Cost in nats of a change of language between two words.
 PENALTY = 6.0
@@ -157,6 +159,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang") -> Model:
     """Counts over all rows with a label and a text; one vector a label comes to the driver."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     counted = rows.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
@@ -243,6 +246,7 @@ def _labelled(model, with_spans: bool):
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """One row a document: id, lang_pred, score, n_spans and, if asked for, spans of (lang, start, end) in lower-cased code points."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double, n_spans bigint" + ", spans array<struct<lang:string,start:bigint,end:bigint>>" * spans

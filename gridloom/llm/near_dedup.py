@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.tables import materialise
+from gridloom.llm.tables import materialise, ship
 from gridloom.llm.wordhash import SPACED, chunks, hash_words, mix64, windows
 
 SHINGLE = 5
@@ -229,6 +229,7 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFra
 
 def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept."""
+    ship(docs.sparkSession)
     ids = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = ids.simpleString()

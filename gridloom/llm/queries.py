@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, sharding, token_counts
+from gridloom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, sharding, token_counts, toxicity
 from gridloom.llm.tables import read
 
 
@@ -48,6 +48,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    known = read(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    found = toxicity.score(docs, toxicity.train(docs, known))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents"))
     base, every = [[d.kind for d in pii.DETECTORS if d.base or x] for x in (False, True)]
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 

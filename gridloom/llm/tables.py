@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -63,3 +66,18 @@ def free_name(df: DataFrame, want: str) -> str:
         n += 1
         name = f"{want}_{n}"
     return name
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package along with the tasks, once a session: executors need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="gridloom-")) / "gridloom.zip"
+    with zipfile.ZipFile(to, "w") as packed:
+        for part in (package, package / "llm"):
+            for file in sorted(part.glob("*.py")):
+                packed.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(to))
+    _shipped.add(context.applicationId)

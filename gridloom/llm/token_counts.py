@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.tables import ship
+
 SPACE = "▁"
 CHUNK = 1 << 16
 #: Kept unit counts and states, each; beyond this they are compiled anew.
@@ -237,6 +239,7 @@ _compiled: dict[str, Transducer] = {}
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row a document: id, n_bytes, n_tokens, over_limit.  The driver reads the model; its pieces go along with the tasks."""
+    ship(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

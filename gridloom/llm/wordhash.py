@@ -56,10 +56,13 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, index of each document's first word, with the total at the end)."""
+def hash_words(raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray], stem: int = 0) -> tuple[np.ndarray, ...]:
+    """(hashes of all words, index of each document's first word, with the total at the end).
+
+    With ``stem``, also the hashes of the words' first so many bytes.
+    """
     member, value = table
-    found, counts = [], np.zeros(len(offsets), dtype=np.int64)
+    found, stems, counts = [], [], np.zeros(len(offsets), dtype=np.int64)
     begin, edges = 0, offsets[1:-1]
     while begin < len(raw):
         end = min(begin + CHUNK, len(raw))
@@ -86,10 +89,13 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np
             terms = value[part] * powers[place]
             terms[~inside] = 0
             found.append(mix64(np.add.reduceat(terms, first)))
+            if stem:
+                stems.append(mix64(np.add.reduceat(np.where(place < stem, terms, np.uint64(0)), first)))
             docs = np.searchsorted(offsets, first + begin, "right") - 1
             counts[1:] += np.bincount(docs, minlength=len(offsets) - 1)
         begin = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.cumsum(counts)
+    joined = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (found, stems)]
+    return (joined[0], np.cumsum(counts), joined[1]) if stem else (joined[0], np.cumsum(counts))
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
