@@ -213,6 +213,22 @@ def label_words(model: Model, w: Words) -> np.ndarray:
     return path
 
 
+def _kept(model, text_at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for batch in batches:
+            for row, texts in _text_chunks(batch.column(text_at)):
+                w = words_of(texts)
+                path = label_words(m, w)
+                share = np.zeros((len(texts), max(len(m.languages), 1)))
+                if m.languages:
+                    np.add.at(share, (w.doc, path), w.letters)
+                total = share.sum(1)
+                yield batch.slice(row, len(texts)).filter(pa.array((total > 0) & (share.max(1) >= least * total)))
+
+    return run
+
+
 def _labelled(model, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -252,3 +268,10 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     schema = f"id {kind}, lang_pred string, score double, n_spans bigint" + ", spans array<struct<lang:string,start:bigint,end:bigint>>" * spans
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_labelled(shared, spans), schema)
+
+
+def select(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents of which at least that share of the letters is in one language; all columns as they were."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_kept(shared, docs.columns.index(text_col), least), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, sharding, token_counts, toxicity
+from gridloom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from gridloom.llm.tables import read
 
 
@@ -64,6 +64,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    known = read(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    found = quality_classifier.score(docs, quality_classifier.train(docs, known))
+    return found.select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
