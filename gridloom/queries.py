@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.operators import asof, retrieval
+from gridloom.operators import asof, metrics, retrieval, voxel, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -217,3 +217,241 @@ def greedy_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ema_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.ema(S.series(spark, sf_dir), ["user_id"], ts="ts", order="event_id", value="value", tau=86_400.0)
+
+
+# Point clouds: integer coordinates, so that voxel edges are exact.
+
+CLOUD = """c AS (SELECT round(l_quantity * 1000)::BIGINT AS x, round(l_extendedprice)::BIGINT AS y, round(l_discount * 100000)::BIGINT AS z, l_tax AS conf, l_linestatus AS side FROM lineitem),
+k AS (SELECT *, (x // 5000)::BIGINT AS vx, (y // 5000)::BIGINT AS vy, (z // 5000)::BIGINT AS vz FROM c),
+n AS (SELECT vx, vy, vz, count(*) AS n FROM k GROUP BY ALL),
+o AS (SELECT a AS dx, b AS dy, c AS dz FROM range(-1, 2) t(a), range(-1, 2) u(b), range(-1, 2) v(c)),
+u AS (SELECT n.vx, n.vy, n.vz, n.n, count(m.n) AS support FROM n, o LEFT JOIN n m ON m.vx = n.vx + dx AND m.vy = n.vy + dy AND m.vz = n.vz + dz GROUP BY ALL)"""
+
+
+@query(f"WITH {CLOUD} SELECT * FROM n")
+def voxel_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.count(S.cloud(spark, sf_dir), 5000)
+
+
+@query(f"WITH {CLOUD} SELECT vx, vy, vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM k GROUP BY vx, vy, vz")
+def voxel_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.centroid(S.cloud(spark, sf_dir), 5000).withColumns({c: F.round(c, 6) for c in voxel.AXES})
+
+
+@query(f"WITH {CLOUD} SELECT vx, vy, vz, x, y, z, conf FROM k WHERE conf >= 0.02 QUALIFY row_number() OVER (PARTITION BY vx, vy, vz ORDER BY conf DESC, x, y, z) = 1")
+def voxel_argmax_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.most_confident(S.cloud(spark, sf_dir), 5000, least=0.02)
+
+
+@query(f"WITH {CLOUD} SELECT * FROM u")
+def voxel_neighbour_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.support(S.cloud(spark, sf_dir), 5000)
+
+
+@query(f"WITH {CLOUD} SELECT k.x, k.y, k.z, k.conf, k.side FROM k JOIN u USING (vx, vy, vz) WHERE u.support >= 12 AND u.n >= 2")
+def voxel_support_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxel.clean(S.cloud(spark, sf_dir), 5000, least_support=12, least_points=2)
+
+
+# Error statistics over the events' values.
+
+STATS = ["mean", "median", "std", "p90", "p95", "p99", "max", "rmse"]
+
+
+@query(
+    """
+SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std,
+       round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
+       round(max(value), 6) AS max, round(sqrt(avg(value * value)), 6) AS rmse
+FROM events GROUP BY event_type
+"""
+)
+def error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.error_stats(S.series(spark, sf_dir), ["event_type"], "value").withColumns({c: F.round(c, 6) for c in STATS})
+
+
+@query(
+    """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.8) AS cut FROM events GROUP BY event_type)
+SELECT event_type, round(sqrt(avg(value * value)), 6) AS trimmed_rmse, count(*) AS n_kept FROM events JOIN q USING (event_type) WHERE value <= cut GROUP BY event_type
+"""
+)
+def trimmed_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.trimmed_rmse(S.series(spark, sf_dir), ["event_type"], "value", 0.8).withColumn("trimmed_rmse", F.round("trimmed_rmse", 6))
+
+
+@query(
+    """
+WITH t AS (SELECT unnest([10.0, 50.0, 100.0])::DOUBLE AS threshold),
+r AS (SELECT threshold, avg((value < threshold)::INT) FILTER (WHERE event_type = 'view') AS precision, avg((value < threshold)::INT) FILTER (WHERE event_type = 'click') AS recall FROM events, t GROUP BY threshold)
+SELECT threshold, round(precision, 9) AS precision, round(recall, 9) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS fscore FROM r
+"""
+)
+def prf_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.prf(S.series(spark, sf_dir), [10.0, 50.0, 100.0], side="event_type", value="value", found="view", truth="click")
+    return got.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "fscore")})
+
+
+@query(
+    """
+WITH b AS (SELECT event_type, k, count(*) FILTER (WHERE value >= 0 AND (value < k + 1 OR (k = 29 AND value <= 30))) / count(*) AS share FROM events, range(30) t(k) GROUP BY ALL)
+SELECT event_type, round(avg(share), 9) AS auc, (SELECT count(*) FROM events e WHERE e.event_type = b.event_type) AS n FROM b GROUP BY event_type
+"""
+)
+def auc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.error_auc(S.series(spark, sf_dir), ["event_type"], "value", 30).withColumn("auc", F.round("auc", 9))
+
+
+@query(
+    """
+WITH e AS (SELECT event_type, value, event_id, 1 + event_id % 3 AS weight FROM events),
+s AS (SELECT event_type, value, sum(weight) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen, sum(weight) OVER (PARTITION BY event_type) AS total FROM e)
+SELECT event_type, min(value) AS quantile FROM s WHERE seen >= 0.25 * total GROUP BY event_type
+"""
+)
+def weighted_quantile_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.series(spark, sf_dir).withColumn("weight", 1 + F.col("event_id") % 3)
+    return metrics.weighted_quantile(rows, ["event_type"], "value", "weight", 0.25, ["event_id"])
+
+
+@query(
+    """
+SELECT event_id, CASE WHEN abs(value - 50) <= 20 THEN 1.0::DOUBLE ELSE round(20.0 / abs(value - 50), 9) END AS weight,
+       round(CASE WHEN abs(value - 50) <= 20 THEN (value - 50) * (value - 50) / 2 ELSE 20.0 * (abs(value - 50) - 10.0) END, 6) AS loss FROM events
+"""
+)
+def huber_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight, loss = metrics.huber(F.col("value") - 50, 20.0)
+    return S.series(spark, sf_dir).select("event_id", F.round(weight, 9).alias("weight"), F.round(loss, 6).alias("loss"))
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity * l_discount) / greatest(sum(l_discount * l_discount), 1e-12), 6) AS scale FROM lineitem GROUP BY l_returnflag")
+def least_squares_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.least_squares_scale(S.read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount").withColumn("scale", F.round("scale", 6))
+
+
+@query(
+    """
+WITH r AS (SELECT c_nationkey, c_custkey, (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w + 1e-8) AS a,
+                  (length(c_mktsegment) - min(length(c_mktsegment)) OVER w) / (max(length(c_mktsegment)) OVER w - min(length(c_mktsegment)) OVER w + 1e-8) AS b
+           FROM customer WINDOW w AS (PARTITION BY c_nationkey)),
+s AS (SELECT c_nationkey, c_custkey, round(abs(a - 0.5) + abs(b - 0.5), 9) AS score FROM r)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY score, c_custkey) = 1
+"""
+)
+def min_max_view_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "customer").withColumn("width", F.length("c_mktsegment"))
+    return metrics.min_max_choice(rows, ["c_nationkey"], "c_custkey", ["c_acctbal", "width"])
+
+
+@query(
+    """
+WITH e AS (SELECT *, event_id // 4 AS grp, event_id // 64 AS block FROM events),
+c AS (SELECT *, abs(value - median(value) OVER (PARTITION BY block, grp)) AS distance FROM e),
+w AS (SELECT block, median(worst) > 120 AS block_rejected FROM (SELECT block, grp, max(distance) AS worst FROM c GROUP BY ALL) GROUP BY block)
+SELECT event_id, round(distance, 6) AS distance, distance > 120 AS rejected, block_rejected FROM c JOIN w USING (block)
+"""
+)
+def group_median_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.series(spark, sf_dir).withColumns({"grp": F.expr("event_id div 4"), "block": F.expr("event_id div 64")})
+    got = metrics.median_reject(rows, ["grp"], ["block"], "value", 120.0)
+    return got.select("event_id", F.round("distance", 6).alias("distance"), "rejected", "block_rejected")
+
+
+@query(
+    """
+SELECT o_orderkey, o_totalprice < 200000 AND o_orderstatus <> 'F' AND o_orderpriority LIKE '1%' AS accepted,
+       concat_ws(';', CASE WHEN NOT o_totalprice < 200000 THEN 'price' END, CASE WHEN o_orderstatus = 'F' THEN 'status' END, CASE WHEN o_orderpriority NOT LIKE '1%' THEN 'priority' END) AS reasons
+FROM orders
+"""
+)
+def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, reasons = metrics.gate({"price": F.col("o_totalprice") < 200_000, "status": F.col("o_orderstatus") != "F", "priority": F.col("o_orderpriority").startswith("1")})
+    return S.read(spark, sf_dir, "orders").select("o_orderkey", accepted.alias("accepted"), reasons.alias("reasons"))
+
+
+@query(
+    """
+WITH m AS (SELECT event_type AS scene, avg(value) AS mean, max(value) AS max, min(value) AS min FROM events GROUP BY event_type)
+SELECT scene, round(mean, 6) AS mean, round(max, 6) AS max, round(min, 6) AS min FROM m
+UNION ALL SELECT 'mean', round(avg(mean), 6), round(avg(max), 6), round(avg(min), 6) FROM m
+"""
+)
+def metrics_mean_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.series(spark, sf_dir).groupBy(F.col("event_type").alias("scene")).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"))
+    names = ["mean", "max", "min"]
+    return metrics.with_mean_row(rows, "scene", names).withColumns({c: F.round(c, 6) for c in names})
+
+
+@query("PIVOT (SELECT event_type, strftime(ts, '%w') AS day, value FROM events) ON event_type IN ('click', 'view', 'purchase') USING count(value) AS n, round(avg(value), 6) AS mean GROUP BY day")
+def metrics_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = (F.dayofweek(F.timestamp_micros("ts")) - 1).cast("string").alias("day")
+    rows = S.series(spark, sf_dir).select("event_type", day, "value")
+    return rows.groupBy("day").pivot("event_type", ["click", "view", "purchase"]).agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean")).fillna(0, [f"{t}_n" for t in ("click", "view", "purchase")])
+
+
+# Chunks of frames: windows of 120 with an overlap of 60.
+
+FRAMES = "f AS (SELECT o_orderkey AS frame FROM orders), t AS (SELECT count(*) AS n FROM f), w AS (SELECT chunk, chunk * 60 AS start, least(chunk * 60 + 120, n) AS \"end\" FROM t, range(CASE WHEN n <= 120 THEN 1 ELSE ceil((n - 60) / 60)::BIGINT END) r(chunk))"
+
+
+def _n_frames(spark: SparkSession, sf_dir: str) -> int:
+    return S.frames(spark, sf_dir).count()
+
+
+@query(f'WITH {FRAMES} SELECT chunk, start, "end" FROM w')
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.chunk_windows(spark, _n_frames(spark, sf_dir), 120, 60)
+
+
+@query(f'WITH {FRAMES} SELECT frame, chunk FROM f JOIN w ON frame >= start AND frame < "end"')
+def chunk_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.members(S.frames(spark, sf_dir).select("frame"), "frame", _n_frames(spark, sf_dir), 120, 60)
+
+
+@query(f"WITH {FRAMES}, m AS (SELECT max(chunk) AS last FROM w) SELECT frame, greatest(0, least((frame - 30) // 60, last))::BIGINT AS chunk FROM f, m")
+def overlap_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.frames(spark, sf_dir).select("frame", windows.owner(F.col("frame"), _n_frames(spark, sf_dir), 120, 60).alias("chunk"))
+
+
+@query(
+    """
+WITH i AS (SELECT p_partkey * 50 AS start, p_partkey * 50 + p_size AS "end", p_partkey FROM part),
+l AS (SELECT o_orderkey AS frame, max(start) AS start FROM orders JOIN i ON start <= o_orderkey GROUP BY o_orderkey)
+SELECT o.o_orderkey AS frame, CASE WHEN i."end" >= o.o_orderkey THEN i.start END AS start, CASE WHEN i."end" >= o.o_orderkey THEN i."end" END AS "end",
+       CASE WHEN i."end" >= o.o_orderkey THEN i.p_partkey END AS p_partkey
+FROM orders o LEFT JOIN l ON l.frame = o.o_orderkey LEFT JOIN i ON i.start = l.start
+"""
+)
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = S.read(spark, sf_dir, "part").select((F.col("p_partkey") * 50).alias("start"), (F.col("p_partkey") * 50 + F.col("p_size")).alias("end"), "p_partkey")
+    return windows.latest_interval(S.frames(spark, sf_dir).select("frame"), chunks, at="frame", start="start", end="end", carry=["p_partkey"])
+
+
+@query("SELECT DISTINCT greatest(l_partkey, l_suppkey) AS a, least(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
+def pair_normalise_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return windows.ordered_pairs(rows, "a", "b")
+
+
+@query("SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderkey", "o_totalprice")
+    return windows.latest_per_group(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations WHERE turn < 3 GROUP BY conv_id HAVING list_sort(list(turn)) = [0, 1, 2]")
+def eligibility_exact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.exact_members(S.read(spark, sf_dir, "conversations").filter("turn < 3"), ["conv_id"], "turn", [0, 1, 2])
+
+
+@query(
+    """
+WITH r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM
+           (SELECT user_id, event_id, event_type, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS new FROM events))
+SELECT user_id, run::BIGINT AS run, event_type, min(event_id) AS first, count(*) AS length FROM r GROUP BY user_id, run, event_type
+"""
+)
+def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.runs(S.series(spark, sf_dir).select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
