@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.operators import asof, metrics, retrieval, voxel, windows
+from gridloom.functions import boxes, names, pose
+from gridloom.operators import asof, metrics, nearest, provenance, retrieval, sampling, suppress, voxel, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -455,3 +456,239 @@ SELECT user_id, run::BIGINT AS run, event_type, min(event_id) AS first, count(*)
 )
 def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.runs(S.series(spark, sf_dir).select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
+
+
+# Neighbours of suppliers among customers, in the plane of (balance, nation * 100).
+
+PLANE = """l AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 100.0 AS y FROM supplier), r AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey * 100.0 AS y FROM customer),
+p AS (SELECT l.id AS a, r.id AS b, round(sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)), 6) AS d FROM l, r),
+n AS (SELECT a AS id, b AS target, d AS distance FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1),
+m AS (SELECT b AS id, a AS target, d AS distance FROM p QUALIFY row_number() OVER (PARTITION BY b ORDER BY d, a) = 1)"""
+
+
+def _plane(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    point = lambda t, s, k: S.read(spark, sf_dir, t).select(F.col(f"{s}_{k}").alias("id"), F.col(f"{s}_acctbal").alias("x"), (F.col(f"{s}_nationkey") * 100.0).alias("y"))
+    return point("supplier", "s", "suppkey"), point("customer", "c", "custkey")
+
+
+@query(f"WITH {PLANE} SELECT * FROM n")
+def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(*_plane(spark, sf_dir), ["x", "y"], cell=100.0)
+
+
+@query(f"WITH {PLANE} SELECT n.* FROM n JOIN m ON m.id = n.target AND m.target = n.id")
+def mutual_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.mutual(*_plane(spark, sf_dir), ["x", "y"], cell=100.0)
+
+
+@query(f"WITH {PLANE} SELECT a AS id, b AS target, d AS distance FROM p WHERE d <= 150")
+def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.within(*_plane(spark, sf_dir), ["x", "y"], 150.0)
+
+
+@query(
+    f"""
+WITH {PLANE},
+a AS (SELECT avg(distance) AS accuracy, avg((distance < 100)::INT) AS precision, max(distance) AS far FROM n),
+c AS (SELECT avg(distance) AS completeness, avg((distance < 100)::INT) AS recall, max(distance) AS far FROM m)
+SELECT round(accuracy, 6) AS accuracy, round(completeness, 6) AS completeness, greatest(a.far, c.far) AS hausdorff, round(precision, 9) AS precision, round(recall, 9) AS recall,
+       round((accuracy + completeness) / 2, 6) AS chamfer, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS fscore FROM a, c
+"""
+)
+def chamfer_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = nearest.cloud_metrics(*_plane(spark, sf_dir), ["x", "y"], cell=100.0, threshold=100.0)
+    return got.withColumns({c: F.round(c, 6) for c in ("accuracy", "completeness", "chamfer")} | {c: F.round(c, 9) for c in ("precision", "recall", "fscore")})
+
+
+# Provenance.
+
+
+@query(
+    """
+WITH f AS (SELECT source, octet_length(encode(text)) AS size, sha256(concat_ws('|', doc_id::VARCHAR, octet_length(encode(text))::VARCHAR, sha256(text))) AS one FROM documents),
+s AS (SELECT source, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, sum(('0x' || one[1:15])::BIGINT) AS s0, sum(('0x' || one[16:30])::BIGINT) AS s1, sum(('0x' || one[31:45])::BIGINT) AS s2, sum(('0x' || one[46:60])::BIGINT) AS s3 FROM f GROUP BY source)
+SELECT source, n_files, n_bytes, sha256(concat_ws('|', n_files::VARCHAR, n_bytes::VARCHAR, s0::VARCHAR, s1::VARCHAR, s2::VARCHAR, s3::VARCHAR)) AS signature FROM s
+"""
+)
+def content_tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = S.read(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    return provenance.tree_signature(files, ["source"], "doc_id", "size", "digest")
+
+
+@query(
+    """
+SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS
+  (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linestatus = o.o_orderstatus AND l.l_quantity > 25)
+"""
+)
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = S.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    done = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("o_orderstatus"))
+    return provenance.remaining(expected, done, ["o_orderkey"], ["o_orderstatus"])
+
+
+@query(
+    """
+WITH c AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations)
+SELECT conv_id, turn, role AS asked, before AS output FROM c WHERE prior = turn - 1 AND before IS DISTINCT FROM role
+"""
+)
+def digest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = S.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("request"), F.col("role").alias("output"))
+    return provenance.broken_links(stages, ["conv_id"], "turn", "request", "output")
+
+
+@query(
+    """
+SELECT coalesce(o.k, l.k) AS k, CASE WHEN o.k IS NULL THEN 'missing_left' ELSE 'missing_right' END AS status
+FROM (SELECT DISTINCT o_custkey AS k FROM orders) o FULL JOIN (SELECT DISTINCT l_suppkey AS k FROM lineitem) l ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL
+"""
+)
+def key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.parity(S.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), S.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")), ["k"])
+
+
+@query("SELECT o_orderkey, o_totalprice > 200000 OR o_orderstatus = 'F' AS mask FROM orders")
+def mask_parity_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = S.read(spark, sf_dir, "orders")
+    a = orders.select("o_orderkey", (F.col("o_totalprice") > 200_000).alias("mask"))
+    b = orders.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("mask"))
+    return provenance.strict_merge(a, b, ["o_orderkey"], {"mask": F.col("l_mask") | F.col("r_mask")})
+
+
+# Scalar functions.
+
+QUATERNION = "q AS (SELECT vec_id, [e[1] / n, e[2] / n, e[3] / n, e[4] / n] AS q FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2 + embedding[3]::DOUBLE ** 2 + embedding[4]::DOUBLE ** 2) AS n FROM embeddings)), c AS (SELECT vec_id, q[1] AS w, q[2] AS x, q[3] AS y, q[4] AS z FROM q)"
+
+
+def _quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4)
+    return S.read(spark, sf_dir, "embeddings").select("vec_id", first.alias("v")).select("vec_id", pose.normalise(F.col("v"), 4).alias("q"))
+
+
+@query(
+    f"""
+WITH {QUATERNION}
+SELECT vec_id, round(1 - 2 * (y * y + z * z), 6) + 0.0 AS m0, round(2 * (x * y - w * z), 6) + 0.0 AS m1, round(2 * (x * z + w * y), 6) + 0.0 AS m2, round(2 * (x * y + w * z), 6) + 0.0 AS m3,
+       round(1 - 2 * (x * x + z * z), 6) + 0.0 AS m4, round(2 * (y * z - w * x), 6) + 0.0 AS m5, round(2 * (x * z - w * y), 6) + 0.0 AS m6, round(2 * (y * z + w * x), 6) + 0.0 AS m7,
+       round(1 - 2 * (x * x + y * y), 6) + 0.0 AS m8, round(degrees(acos(greatest(-1, least(1, (3 - 4 * (x * x + y * y + z * z) - 1) / 2)))), 4) AS angle FROM c
+"""
+)
+def quat_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _quaternions(spark, sf_dir).withColumn("m", pose.quaternion_to_matrix(F.col("q")))
+    return m.select("vec_id", *((F.round(F.col("m")[k], 6) + 0.0).alias(f"m{k}") for k in range(9)), F.round(pose.rotation_angle(F.col("m")), 4).alias("angle"))
+
+
+@query(
+    f"""
+WITH {QUATERNION}
+SELECT vec_id, round(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), 6) AS roll, round(asin(greatest(-1, least(1, 2 * (w * y - z * x)))), 6) AS pitch, round(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)), 6) AS yaw FROM c
+"""
+)
+def quat_to_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _quaternions(spark, sf_dir).select("vec_id", pose.quaternion_to_euler(F.col("q")).alias("e"))
+    return e.select("vec_id", *(F.round(F.col("e")[k], 6).alias(n) for k, n in enumerate(("roll", "pitch", "yaw"))))
+
+
+@query(
+    f"""
+WITH {QUATERNION}, e AS (SELECT vec_id, w, x, y, z, embedding[5]::DOUBLE AS a, embedding[6]::DOUBLE AS b, embedding[7]::DOUBLE AS c FROM c JOIN embeddings USING (vec_id))
+SELECT vec_id, round(2 * ((1 - 2 * (y * y + z * z)) * a + 2 * (x * y - w * z) * b + 2 * (x * z + w * y) * c) + 1, 6) AS x,
+       round(2 * (2 * (x * y + w * z) * a + (1 - 2 * (x * x + z * z)) * b + 2 * (y * z - w * x) * c) + 2, 6) AS y,
+       round(2 * (2 * (x * z - w * y) * a + 2 * (y * z + w * x) * b + (1 - 2 * (x * x + y * y)) * c) + 3, 6) AS z, true AS round_trip FROM e
+"""
+)
+def sim3_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quaternions(spark, sf_dir).join(S.read(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 5, 3).alias("p")), "vec_id")
+    rows = rows.withColumn("m", pose.sim3(F.lit(2.0), pose.quaternion_to_matrix(F.col("q")), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))
+    rows = rows.withColumn("moved", pose.apply(F.col("m"), F.col("p")))
+    rows = rows.withColumn("back", pose.apply(pose.inverse(F.col("m")), F.col("moved")))
+    same = F.forall(F.zip_with("back", "p", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return rows.select("vec_id", *(F.round(F.col("moved")[k], 6).alias(c) for k, c in enumerate("xyz")), same.alias("round_trip"))
+
+
+@query(
+    """
+WITH b AS (SELECT vec_id AS id, embedding[1]::DOUBLE - 0.1 AS x0, embedding[2]::DOUBLE - 0.15 AS y0, embedding[1]::DOUBLE + 0.1 AS x1, embedding[2]::DOUBLE + 0.15 AS y1 FROM embeddings),
+p AS (SELECT a.id, b.id AS other, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0.0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0.0) AS i,
+             (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s, (greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)) AS hull
+      FROM b a JOIN b ON b.id = a.id + 1)
+SELECT id, other, round(i / (s - i), 6) AS iou, round(i / (s - i) - (hull - (s - i)) / hull, 6) AS giou FROM p
+"""
+)
+def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.col("embedding")[k].cast("double")
+    rows = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), boxes.from_centre(at(0), at(1), F.lit(0.2), F.lit(0.3)).alias("box"))
+    nexts = rows.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("box").alias("next"))
+    pair = F.col("box"), F.col("next")
+    return rows.join(nexts, "id").select("id", "other", F.round(boxes.iou(*pair), 6).alias("iou"), F.round(boxes.giou(*pair), 6).alias("giou"))
+
+
+@query(
+    """
+SELECT p_partkey, printf('%05d_v%02d_frame_%05d_%d_yaw%03d.jpg', p_partkey, p_size % 4, p_partkey, 1700000000000000000 + p_partkey * 1000000000, (p_size % 4) * 90) AS name,
+       p_partkey AS frame, (p_size % 4)::INTEGER AS view, ((p_size % 4) * 90)::INTEGER AS yaw, (p_size % 4)::INTEGER AS yaw_view, round((1700000000000000000 + p_partkey * 1000000000) * 1e-9, 3) AS stamp,
+       printf('frame_%05d_%d', p_partkey, 1700000000000000000 + p_partkey * 1000000000) AS capture FROM part
+"""
+)
+def regex_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view, stamp = F.col("p_size") % 4, F.lit(1_700_000_000_000_000_000) + F.col("p_partkey") * 1_000_000_000
+    rows = S.read(spark, sf_dir, "part").select("p_partkey", names.frame_name(F.col("p_partkey"), view, stamp, view * 90).alias("name"))
+    n = F.col("name")
+    return rows.select(
+        "p_partkey", "name", names.frame_index(n).alias("frame"), names.view_index(n).alias("view"), names.yaw(n).alias("yaw"), names.view_of_yaw(names.yaw(n), 4).alias("yaw_view"),
+        F.round(names.stamp_seconds(n), 3).alias("stamp"), names.capture_key(n).alias("capture"),
+    )
+
+
+@query(
+    """
+SELECT s_suppkey, concat('floor_', s_nationkey % 3, '/2025-05-', lpad((1 + s_suppkey % 28)::VARCHAR, 2, '0'), '/run_', s_suppkey) AS path, concat('', s_nationkey % 3) AS floor, s_suppkey::INTEGER AS run FROM supplier
+"""
+)
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.format_string("floor_%d_2025-05-%02d_run_%d", F.col("s_nationkey") % 3, 1 + F.col("s_suppkey") % 28, "s_suppkey")
+    rows = S.read(spark, sf_dir, "supplier").select("s_suppkey", names.run_name(name).alias("r"))
+    return rows.select("s_suppkey", names.run_path(F.col("r")).alias("path"), F.col("r.floor").alias("floor"), F.col("r.run").alias("run"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, sha256(concat('{\"event_type\":\"', event_type, '\",\"k\":', (props::JSON ->> 'k')::BIGINT, '}')) AS digest FROM events")
+def json_props_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.from_json("props", "k long")["k"]
+    return S.read(spark, sf_dir, "events").select("event_id", k.alias("k"), names.canonical_json_digest(F.struct("event_type", k.alias("k"))).alias("digest"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 8 = 3 AND o_orderkey // 8 % 3 = 0")
+def stride_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return sampling.stride(sampling.modulo_shard(rows, "o_orderkey", 8, 3), F.expr("o_orderkey div 8"), 3)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5(concat('7|', o_orderkey)), o_orderkey LIMIT 500")
+def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.exact(S.read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 500, seed=7)
+
+
+@query("SELECT o_orderkey FROM orders, (SELECT count(*) AS n FROM orders) WHERE o_orderkey IN (SELECT (k * (SELECT count(*) FROM orders)) // 100 FROM range(100) t(k))")
+def evenly_spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "orders").select("o_orderkey")
+    return sampling.evenly_spaced(rows, "o_orderkey", rows.count(), 100)
+
+
+@query()
+def capture_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cyclic_retrieval(spark, sf_dir).withColumn("run", F.lit(0))
+    return suppress.pair_nms(pairs, ["run"], "a", "b", "mean", 3)
+
+
+@query()
+def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.col("embedding")[k].cast("double")
+    rows = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", at(2).alias("score"), boxes.from_centre(at(0), at(1), F.lit(0.2), F.lit(0.3)).alias("box"))
+    return suppress.box_nms(rows.select("id", "label", "score", "box.*"), ["label"], "score", 0.3)
+
+
+@query()
+def radius_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = _plane(spark, sf_dir)[1].join(S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), "id")
+    return suppress.thin(point, ["c_mktsegment"], ["x", "y"], 200.0)
