@@ -118,4 +118,46 @@ m AS (SELECT d.doc_id, d.size, p.source_size, p.target, floor(p.rate)::BIGINT +
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM m
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL}
+SPACED = r"[^\x20\x09-\x0D]+"
+_KEEP = " AND ".join(
+    f"({f'n_words < {r.min_words} OR ' if r.min_words else ''}("
+    + " AND ".join(x for x in (f"{r.measure} >= {float(r.low)}::DOUBLE * {r.over}" if r.low is not None else "", f"{r.measure} <= {float(r.high)}::DOUBLE * {r.over}" if r.high is not None else "") if x)
+    + "))"
+    for r in quality_rules.RULES
+)
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+l AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{SPACED}') GROUP BY row),
+g AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+h AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+r AS (SELECT row, count(DISTINCT p) AS n_repeat_words FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM h) GROUP BY row),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+             len(list_filter(w, lambda x: lower(x) IN ({', '.join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS n_stop,
+             length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) AS n_upper
+      FROM d LEFT JOIN l USING (row) LEFT JOIN r USING (row)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_KEEP} AS kept FROM b
+"""
+
+LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = f"translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}')"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{LETTERED}') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{LETTERED}') AS w FROM benchmark) WHERE len(w) > 0),
+b AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+s AS (SELECT DISTINCT n FROM b),
+g AS (SELECT row, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s)),
+h AS (SELECT DISTINCT row, n, k, item FROM g JOIN b USING (n, g)),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM h) GROUP BY row),
+t AS (SELECT row, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
+}

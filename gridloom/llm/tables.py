@@ -68,8 +68,18 @@ def free_name(df: DataFrame, want: str) -> str:
     return name
 
 
+#: Bounds of a batch sent to Python, set where the session leaves Spark's defaults: texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8388608")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package along with the tasks, once a session: executors need not have it installed."""
+    """Send this package along with the tasks, once a session: executors need not have it installed.
+
+    Also bounds the batches of rows that go to Python.
+    """
+    for key, (usual, bound) in BATCHES.items():
+        if usual is None or spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, bound)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
