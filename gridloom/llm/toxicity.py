@@ -25,6 +25,9 @@ repeated rows are fine; extra columns are left alone.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,7 +114,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pair_counts(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_known = known.value
+        is_known = np.unpackbits(known.value)[:TOKENS].astype(bool)
         counts, keys = np.zeros((PARTS, PAIRS), np.int64), np.full(PAIRS, np.iinfo(np.int64).max)
         for batch in batches:
             for words, stems, doc, parts, first in _part_of_words(batch):
@@ -144,6 +147,35 @@ class Model:
     calibration: np.ndarray
 
 
+def pack(model: Model) -> bytes:
+    """The model for broadcasting: only what is in use, compressed to a few MB."""
+    tokens, pairs = np.flatnonzero(model.known), np.flatnonzero(model.pairs.any(0))
+    parts = [tokens.astype(np.int32), *(a[..., tokens] for a in (model.words, model.pooled, model.totals, model.types)), pairs.astype(np.int32), model.pairs[:, pairs], model.calibration]
+    return zlib.compress(pickle.dumps(parts), 1)
+
+
+def unpack(packed: bytes) -> Model:
+    """The last model unpacked stays with the worker for its next tasks."""
+    key = hashlib.blake2b(packed, digest_size=16).digest()
+    if key not in _unpacked:
+        tokens, words, pooled, totals, types, pairs, counts, calibration = pickle.loads(zlib.decompress(packed))
+        spread = lambda a: _spread(a, tokens, TOKENS)
+        known = np.zeros(TOKENS, bool)
+        known[tokens] = True
+        _unpacked.clear()
+        _unpacked[key] = Model(known, spread(words), spread(pooled), _spread(counts, pairs, PAIRS), spread(totals), spread(types), calibration)
+    return _unpacked[key]
+
+
+def _spread(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((*values.shape[:-1], size), values.dtype)
+    out[..., at] = values
+    return out
+
+
+_unpacked: dict[bytes, Model] = {}
+
+
 def _fit(known: np.ndarray, stem_of: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray, keys: np.ndarray, calibration: np.ndarray) -> Model:
     """Kneser-Ney models of the two classes from their counts (2 x buckets)."""
     seen = np.flatnonzero(pair_counts.any(0))
@@ -219,7 +251,7 @@ def _features(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        m = unpack(model.value)
         for batch in batches:
             for row, raw, offsets in chunks(batch.column(1)):
                 words, first, stems = hash_words(raw, offsets, LETTERS, STEM)
@@ -251,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     word_counts, stem_of = _dense(found, TOKENS), np.full(TOKENS, TOKENS - 1)
     stem_of[found.column("bucket").to_numpy()] = found.column("stem").to_numpy()
     known = word_counts.sum(0) >= MIN_COUNT
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(np.packbits(known))
     found = rows.select("part", "text").mapInArrow(_pair_counts(shared), f"bucket int, key bigint, {columns}").groupBy("bucket").agg(F.min("key").alias("key"), *sums).toArrow()
     pair_counts, keys = _dense(found, PAIRS), np.zeros(PAIRS, np.int64)
     keys[found.column("bucket").to_numpy()] = found.column("key").to_numpy()
@@ -262,8 +294,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     share = min(1.0, CALIBRATION / max(n / 2, 1))
     if share < 1:
         sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    model = spark.sparkContext.broadcast(halves)
+    shared.destroy()
+    model = spark.sparkContext.broadcast(pack(halves))
     got = sample.select(F.col("part").alias("id"), "text").mapInArrow(_scores(model), "id int, score double, ratio double, stretch_ratio double, top_ratio double").select("id", *FEATURES).toArrow()
+    model.destroy()
     toxic = got.column("id").to_numpy() == 3
     if 0 < toxic.sum() < len(toxic):
         x = np.column_stack([got.column(c).to_numpy() for c in FEATURES])
@@ -278,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, score, ratio, stretch_ratio, top_ratio, predicted."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(pack(model))
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = base.mapInArrow(_scores(shared), f"id {kind}, score double, ratio double, stretch_ratio double, top_ratio double")
