@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.labels import labelled, logistic
-from gridloom.llm.tables import ship
+from gridloom.llm.tables import materialise, ship
 from gridloom.llm.wordhash import LETTERS, chunks, hash_words, mix64
 
 WORD_BITS, STEM_BITS, PAIR_BITS = 20, 18, 21
@@ -47,7 +47,7 @@ TOKENS = WORDS + (1 << STEM_BITS)
 TOKEN_BITS = TOKENS.bit_length()
 STEM = 5
 MIN_COUNT = 10
-DISCOUNT = 2.0
+DISCOUNT = 3.0
 #: Least probability of a token, and most that one token counts for.
 FLOOR, MOST = 1e-12, 12.0
 #: Pseudo-count by which a context's bigrams lean on the shared ones.
@@ -176,12 +176,10 @@ def _spread(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 _unpacked: dict[bytes, Model] = {}
 
 
-def _fit(known: np.ndarray, stem_of: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray, keys: np.ndarray, calibration: np.ndarray) -> Model:
-    """Kneser-Ney models of the two classes from their counts (2 x buckets)."""
-    seen = np.flatnonzero(pair_counts.any(0))
-    ahead, behind = keys[seen] >> TOKEN_BITS, keys[seen] & ((1 << TOKEN_BITS) - 1)
-    continuation = np.bincount(behind, minlength=TOKENS) + 0.5  # shared: contexts of a token in either class
-    words, totals, types = (np.zeros((2, TOKENS), np.float32) for _ in range(3))
+def _fit(known: np.ndarray, stem_of: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray, totals: np.ndarray, types: np.ndarray, contexts: np.ndarray, calibration: np.ndarray) -> Model:
+    """Kneser-Ney models of the two classes from their counts (2 x buckets each, but for the shared numbers of contexts)."""
+    continuation = contexts + 0.5  # shared: contexts of a token in either class
+    words = np.zeros((2, TOKENS), np.float32)
     pooled = np.zeros(TOKENS)
     for level in (slice(WORDS, TOKENS), slice(0, WORDS)):  # stems, and words, which back off to their stems
         use = known[level]
@@ -203,11 +201,7 @@ def _fit(known: np.ndarray, stem_of: np.ndarray, word_counts: np.ndarray, pair_c
             words[c][level] = np.log(np.maximum(p, FLOOR))
             pooled[level] += p * total
         pooled[level] /= max(pooled[level].sum(), 1e-9)
-    for c in range(2):
-        b = pair_counts[c][seen]
-        totals[c] = np.bincount(ahead, weights=b, minlength=TOKENS)
-        types[c] = np.bincount(ahead, weights=np.minimum(b, DISCOUNT), minlength=TOKENS)
-    return Model(known, words, np.maximum(pooled, FLOOR).astype(np.float32), pair_counts.astype(np.float32), totals, types, calibration)
+    return Model(known, words, np.maximum(pooled, FLOOR).astype(np.float32), pair_counts.astype(np.float32), totals.astype(np.float32), types.astype(np.float32), calibration)
 
 
 def _features(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -263,10 +257,11 @@ def _scores(model):
     return run
 
 
-def _dense(found: pa.Table, size: int) -> np.ndarray:
-    out = np.zeros((PARTS, size), np.int64)
-    for k in range(PARTS):
-        out[k, found.column("bucket").to_numpy()] = found.column(f"n{k}").to_numpy()
+def _dense(found: pa.Table, size: int, at: str = "bucket", columns: tuple[str, ...] = tuple(f"n{k}" for k in range(PARTS))) -> np.ndarray:
+    out = np.zeros((len(columns), size), np.int64)
+    where = found.column(at).to_numpy()
+    for k, c in enumerate(columns):
+        out[k, where] = found.column(c).to_numpy()
     return out
 
 
@@ -274,27 +269,38 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Two passes over all labelled rows; bucket counts (a bounded number) come to the driver."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    rows, n = labelled(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col)
+    rows, n_labels = labelled(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col)
     half = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(2)).cast("int")
     rows = rows.select("id", (half * 2 + (F.col("label") > 0).cast("int")).alias("part"), "text")
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(PARTS)]
     columns = ", ".join(f"n{k} bigint" for k in range(PARTS))
-    found = rows.select("part", "text").mapInArrow(_word_counts, f"bucket int, stem int, {columns}").groupBy("bucket").agg(F.min("stem").alias("stem"), *sums).toArrow()
+    found = rows.select("part", "text").mapInArrow(_word_counts, f"bucket int, stem int, {columns}").groupBy("bucket")
+    found = found.agg(F.min("stem").alias("stem"), *sums).filter(f"n0 + n1 + n2 + n3 >= {MIN_COUNT}").toArrow()
     word_counts, stem_of = _dense(found, TOKENS), np.full(TOKENS, TOKENS - 1)
     stem_of[found.column("bucket").to_numpy()] = found.column("stem").to_numpy()
     known = word_counts.sum(0) >= MIN_COUNT
+    toxic_share = (word_counts[1] + word_counts[3]).sum() / max(word_counts.sum(), 1)
     shared = spark.sparkContext.broadcast(np.packbits(known))
-    found = rows.select("part", "text").mapInArrow(_pair_counts(shared), f"bucket int, key bigint, {columns}").groupBy("bucket").agg(F.min("key").alias("key"), *sums).toArrow()
-    pair_counts, keys = _dense(found, PAIRS), np.zeros(PAIRS, np.int64)
-    keys[found.column("bucket").to_numpy()] = found.column("key").to_numpy()
-    del found
+    n = [F.col(f"n{k}") for k in range(PARTS)]
+    pairs = rows.select("part", "text").mapInArrow(_pair_counts(shared), f"bucket int, key bigint, {columns}")
+    pairs = materialise(pairs.groupBy("bucket").agg(F.min("key").alias("key"), *sums), "pair-counts")
+    # what the discount takes from a context's pairs: for the first half, then for both
+    taken = [F.sum(F.least(c, F.lit(int(DISCOUNT)))).alias(f"d{k}") for k, c in enumerate((n[0], n[1], n[0] + n[2], n[1] + n[3]))]
+    ahead = pairs.groupBy(F.shiftright("key", TOKEN_BITS).cast("int").alias("token")).agg(*(F.sum(c).alias(f"n{k}") for k, c in enumerate(n)), *taken).toArrow()
+    totals, types = _dense(ahead, TOKENS, "token"), _dense(ahead, TOKENS, "token", ("d0", "d1", "d2", "d3"))
+    behind = pairs.groupBy(F.col("key").bitwiseAND((1 << TOKEN_BITS) - 1).cast("int").alias("token")).agg(F.count("*").alias("contexts")).toArrow()
+    contexts = _dense(behind, TOKENS, "token", ("contexts",))[0]
+    # a pair that the discount takes whole counts by its context alone
+    often = pairs.filter(n[0] + n[1] + n[2] + n[3] > DISCOUNT).select("bucket", *n).toArrow()
+    pair_counts = _dense(often, PAIRS)
+    del ahead, behind, often
+    shared.destroy()
     # calibrate on the second half under a model of the first
-    halves = _fit(known, stem_of, word_counts[:2], pair_counts[:2], keys, np.zeros(4))
+    halves = _fit(known, stem_of, word_counts[:2], pair_counts[:2], totals[:2], types[:2], contexts, np.zeros(4))
     sample = rows.filter("part >= 2")
-    share = min(1.0, CALIBRATION / max(n / 2, 1))
+    share = min(1.0, CALIBRATION / max(n_labels / 2, 1))
     if share < 1:
         sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    shared.destroy()
     model = spark.sparkContext.broadcast(pack(halves))
     got = sample.select(F.col("part").alias("id"), "text").mapInArrow(_scores(model), "id int, score double, ratio double, stretch_ratio double, top_ratio double").select("id", *FEATURES).toArrow()
     model.destroy()
@@ -303,10 +309,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         x = np.column_stack([got.column(c).to_numpy() for c in FEATURES])
         calibration = logistic(x, toxic)
     else:
-        share = (word_counts[1] + word_counts[3]).sum() / max(word_counts.sum(), 1)
-        calibration = np.array([0.0, 0.0, 0.0, np.log((share + 1e-9) / (1 - share + 1e-9))])
+        calibration = np.array([0.0, 0.0, 0.0, np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))])
     both = lambda c: c[:2] + c[2:]
-    return _fit(known, stem_of, both(word_counts), both(pair_counts), keys, calibration)
+    return _fit(known, stem_of, both(word_counts), both(pair_counts), both(totals), types[2:], contexts, calibration)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
