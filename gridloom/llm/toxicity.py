@@ -258,7 +258,7 @@ def _scores(model):
 
 
 def _dense(found: pa.Table, size: int, at: str = "bucket", columns: tuple[str, ...] = tuple(f"n{k}" for k in range(PARTS))) -> np.ndarray:
-    out = np.zeros((len(columns), size), np.int64)
+    out = np.zeros((len(columns), size), np.float32)
     where = found.column(at).to_numpy()
     for k, c in enumerate(columns):
         out[k, where] = found.column(c).to_numpy()
@@ -274,8 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = rows.select("id", (half * 2 + (F.col("label") > 0).cast("int")).alias("part"), "text")
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(PARTS)]
     columns = ", ".join(f"n{k} bigint" for k in range(PARTS))
+    light = [F.col(f"n{k}").cast("float").alias(f"n{k}") for k in range(PARTS)]  # as they come to the driver
     found = rows.select("part", "text").mapInArrow(_word_counts, f"bucket int, stem int, {columns}").groupBy("bucket")
-    found = found.agg(F.min("stem").alias("stem"), *sums).filter(f"n0 + n1 + n2 + n3 >= {MIN_COUNT}").toArrow()
+    found = found.agg(F.min("stem").alias("stem"), *sums).filter(f"n0 + n1 + n2 + n3 >= {MIN_COUNT}")
+    found = found.select("bucket", "stem", *light).toArrow()
     word_counts, stem_of = _dense(found, TOKENS), np.full(TOKENS, TOKENS - 1)
     stem_of[found.column("bucket").to_numpy()] = found.column("stem").to_numpy()
     known = word_counts.sum(0) >= MIN_COUNT
@@ -285,13 +287,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     pairs = rows.select("part", "text").mapInArrow(_pair_counts(shared), f"bucket int, key bigint, {columns}")
     pairs = materialise(pairs.groupBy("bucket").agg(F.min("key").alias("key"), *sums), "pair-counts")
     # what the discount takes from a context's pairs: for the first half, then for both
-    taken = [F.sum(F.least(c, F.lit(int(DISCOUNT)))).alias(f"d{k}") for k, c in enumerate((n[0], n[1], n[0] + n[2], n[1] + n[3]))]
-    ahead = pairs.groupBy(F.shiftright("key", TOKEN_BITS).cast("int").alias("token")).agg(*(F.sum(c).alias(f"n{k}") for k, c in enumerate(n)), *taken).toArrow()
+    taken = [F.sum(F.least(c, F.lit(int(DISCOUNT)))).cast("float").alias(f"d{k}") for k, c in enumerate((n[0], n[1], n[0] + n[2], n[1] + n[3]))]
+    ahead = pairs.groupBy(F.shiftright("key", TOKEN_BITS).cast("int").alias("token")).agg(*(F.sum(c).cast("float").alias(f"n{k}") for k, c in enumerate(n)), *taken).toArrow()
+    del found
     totals, types = _dense(ahead, TOKENS, "token"), _dense(ahead, TOKENS, "token", ("d0", "d1", "d2", "d3"))
     behind = pairs.groupBy(F.col("key").bitwiseAND((1 << TOKEN_BITS) - 1).cast("int").alias("token")).agg(F.count("*").alias("contexts")).toArrow()
     contexts = _dense(behind, TOKENS, "token", ("contexts",))[0]
     # a pair that the discount takes whole counts by its context alone
-    often = pairs.filter(n[0] + n[1] + n[2] + n[3] > DISCOUNT).select("bucket", *n).toArrow()
+    often = pairs.filter(n[0] + n[1] + n[2] + n[3] > DISCOUNT).select("bucket", *light).toArrow()
     pair_counts = _dense(often, PAIRS)
     del ahead, behind, often
     shared.destroy()
@@ -302,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if share < 1:
         sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
     model = spark.sparkContext.broadcast(pack(halves))
+    del halves
     got = sample.select(F.col("part").alias("id"), "text").mapInArrow(_scores(model), "id int, score double, ratio double, stretch_ratio double, top_ratio double").select("id", *FEATURES).toArrow()
     model.destroy()
     toxic = got.column("id").to_numpy() == 3
