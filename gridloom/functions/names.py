@@ -60,7 +60,7 @@ def is_safe_label(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated parts, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def canonical_json_digest(row: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
 from gridloom.functions import boxes, names, pose
-from gridloom.operators import asof, metrics, nearest, provenance, retrieval, sampling, suppress, voxel, windows
+from gridloom.operators import asof, masks, metrics, nearest, provenance, retrieval, sampling, suppress, voxel, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -692,3 +692,98 @@ def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = _plane(spark, sf_dir)[1].join(S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), "id")
     return suppress.thin(point, ["c_mktsegment"], ["x", "y"], 200.0)
+
+
+# Masks: line items as pixels of 64 x 64 images, one a supplier, an instance a line number.
+
+PIXELS = "px AS (SELECT l_suppkey AS image, l_linenumber AS instance, (l_partkey % 64)::BIGINT AS x, (l_orderkey % 64)::BIGINT AS y FROM lineitem), dx AS (SELECT DISTINCT * FROM px)"
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_linenumber").alias("instance"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_orderkey") % 64).alias("y"))
+
+
+@query(
+    f"""
+WITH {PIXELS}, u AS (SELECT image, x, y, count(DISTINCT instance) AS k FROM px GROUP BY ALL)
+SELECT image, count(*) AS n_pixels, count(*) FILTER (WHERE k > 1) AS n_overlaps, (SELECT count(DISTINCT instance) FROM px WHERE px.image = u.image) AS n_instances FROM u GROUP BY image
+"""
+)
+def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.union(_pixels(spark, sf_dir), "image")
+
+
+@query(f"WITH {PIXELS} SELECT image, instance, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(DISTINCT (x, y)) AS area FROM px GROUP BY image, instance")
+def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.boxes(_pixels(spark, sf_dir), ["image", "instance"])
+
+
+@query(
+    f"""
+WITH {PIXELS}, n AS (SELECT image, instance, count(*) AS n FROM dx GROUP BY ALL),
+s AS (SELECT a.image, a.instance AS a, b.instance AS b, count(*) AS shared FROM dx a JOIN dx b ON a.image = b.image AND a.x = b.x AND a.y = b.y AND a.instance < 4 AND b.instance >= 4 GROUP BY ALL)
+SELECT s.*, round(shared / (na.n + nb.n - shared), 9) AS iou FROM s JOIN n na ON na.image = s.image AND na.instance = a JOIN n nb ON nb.image = s.image AND nb.instance = b
+"""
+)
+def mask_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pixels(spark, sf_dir)
+    return masks.overlaps(p.filter("instance < 4"), p.filter("instance >= 4"), "image").withColumn("iou", F.round("iou", 9))
+
+
+@query(f"WITH {PIXELS} SELECT image, x, y, min(instance) AS instance FROM px GROUP BY image, x, y")
+def mask_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.combine(_pixels(spark, sf_dir), "image")
+
+
+@query(
+    f"""
+WITH {PIXELS}, a AS (SELECT DISTINCT image, instance, x * 64 + y AS p FROM px),
+r AS (SELECT image, instance, min(p) AS start, count(*) AS length FROM (SELECT *, p - row_number() OVER (PARTITION BY image, instance ORDER BY p) AS run FROM a) GROUP BY image, instance, run)
+SELECT image, instance, string_agg(concat(start, '+', length), ',' ORDER BY start) AS runs FROM r GROUP BY image, instance
+"""
+)
+def mask_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = masks.rle(_pixels(spark, sf_dir), ["image", "instance"], 64)
+    return got.select("image", "instance", F.array_join(F.zip_with("starts", "lengths", lambda a, b: F.concat_ws("+", a.cast("string"), b.cast("string"))), ",").alias("runs"))
+
+
+@query("SELECT event_type, round(count(*) FILTER (WHERE value > 60) / nullif(count(*) FILTER (WHERE value > 40), 0), 9) AS stability FROM events GROUP BY event_type")
+def stability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.stability(S.series(spark, sf_dir), ["event_type"], "value", 50.0, 10.0).withColumn("stability", F.round("stability", 9))
+
+
+@query(
+    """
+WITH f AS (SELECT l_returnflag, l_suppkey, avg((NOT (l_tax > 0.01 AND l_discount > 0.01 AND l_quantity < 45))::INT) AS share FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, count(*) AS n_frames, round(avg(share), 9) AS fraction FROM f GROUP BY l_returnflag
+"""
+)
+def frame_invalid_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = ~((F.col("l_tax") > 0.01) & (F.col("l_discount") > 0.01) & (F.col("l_quantity") < 45))
+    return masks.invalid_fraction(S.read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_suppkey", bad).withColumn("fraction", F.round("fraction", 9))
+
+
+@query("SELECT l_partkey, count(*) AS n_views, round(avg(l_extendedprice), 6) AS l_extendedprice FROM lineitem WHERE l_quantity < 30 GROUP BY l_partkey HAVING count(*) >= 3")
+def view_consistency_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = masks.consistent(S.read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_quantity", 30.0, 3, "l_extendedprice")
+    return got.withColumn("l_extendedprice", F.round("l_extendedprice", 6))
+
+
+@query("SELECT round(greatest(quantile_cont(value, 0.1), least(quantile_cont(value, 0.9), 5.0)), 9) AS threshold FROM events")
+def confidence_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.clamped_threshold(S.series(spark, sf_dir), "value", 5.0).withColumn("threshold", F.round("threshold", 9))
+
+
+@query(
+    """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM events GROUP BY event_type)
+SELECT e.event_type, user_id, epoch_us(ts) AS ts, event_id, value FROM events e JOIN q USING (event_type) WHERE value BETWEEN lo AND hi
+"""
+)
+def trimmed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.inner_quantiles(S.series(spark, sf_dir), ["event_type"], "value", 0.005, 0.995)
+
+
+@query("SELECT event_type AS topic_id, count(*) AS n FROM events GROUP BY event_type")
+def topic_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.series(spark, sf_dir).groupBy(F.col("event_type").alias("topic_id")).agg(F.count("*").alias("n"))
