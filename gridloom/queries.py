@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
 from gridloom.functions import boxes, names, pose
-from gridloom.operators import asof, masks, metrics, nearest, provenance, retrieval, sampling, suppress, voxel, windows
+from gridloom.operators import asof, masks, metrics, nearest, pooling, provenance, retrieval, sampling, suppress, voxel, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -787,3 +787,58 @@ def trimmed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS topic_id, count(*) AS n FROM events GROUP BY event_type")
 def topic_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.series(spark, sf_dir).groupBy(F.col("event_type").alias("topic_id")).agg(F.count("*").alias("n"))
+
+
+# Pooling and scales.
+
+
+@query(
+    """
+WITH e AS (SELECT label, i - 1 AS dim, power(avg(power(greatest(embedding[i]::DOUBLE, 1e-6), 3)), 1 / 3.0::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i)
+SELECT label, dim::INTEGER AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM e
+"""
+)
+def gem_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pooling.gem(S.read(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumn("value", F.round("value", 6))
+
+
+@query(
+    """
+SELECT l_linestatus AS side, round(sqrt(power(quantile_cont(l_quantity, 0.95) - quantile_cont(l_quantity, 0.05), 2) + power(quantile_cont(l_discount, 0.95) - quantile_cont(l_discount, 0.05), 2)), 6) AS scale
+FROM lineitem GROUP BY l_linestatus
+"""
+)
+def scene_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "lineitem").withColumnRenamed("l_linestatus", "side")
+    return pooling.scene_scale(rows, ["side"], ["l_quantity", "l_discount"]).withColumn("scale", F.round("scale", 6))
+
+
+@query(
+    """
+WITH g AS (SELECT user_id, abs(value - lag(value, 3) OVER w) AS s, abs(event_id - lag(event_id, 3) OVER w)::DOUBLE AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, round(median(t / s), 6) AS scale, count(*) AS n_pairs FROM g WHERE s > 1e-6 AND t > 1e-6 GROUP BY user_id
+"""
+)
+def median_ratio_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.series(spark, sf_dir).withColumn("at", F.col("event_id").cast("double"))
+    return pooling.median_ratio_scale(rows, ["user_id"], "event_id", ["value"], ["at"], step=3).withColumn("scale", F.round("scale", 6))
+
+
+@query(
+    """
+SELECT user_id, event_id, round((coalesce(lag(value) OVER w, 0) * e1 + value + coalesce(lead(value) OVER w, 0) * e1) / (1 + e1 * (lag(event_id) OVER w IS NOT NULL)::INT + e1 * (lead(event_id) OVER w IS NOT NULL)::INT), 6) AS value
+FROM events, (SELECT exp(-0.5::DOUBLE) AS e1) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+"""
+)
+def gaussian_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pooling.smooth_positions(S.series(spark, sf_dir), ["user_id"], "event_id", ["value"], sigma=1.0, reach=1).withColumn("value", F.round("value", 6))
+
+
+@query(
+    """
+SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS sx, round(sum(l_discount), 6) AS sy, round(sum(l_quantity * l_discount), 4) AS sxy, round(sum(l_quantity * l_quantity), 2) AS sxx FROM lineitem GROUP BY l_returnflag
+"""
+)
+def alignment_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_quantity"), F.col("l_discount")
+    return S.read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(x), 4).alias("sx"), F.round(F.sum(y), 6).alias("sy"), F.round(F.sum(x * y), 4).alias("sxy"), F.round(F.sum(x * x), 2).alias("sxx"))
