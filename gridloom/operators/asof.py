@@ -45,17 +45,20 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], *, ts: str = "ts",
     return seen.select(*left.columns, F.col(f"near.{ts}").alias(f"r_{ts}"), F.col(f"near.{order}").alias(f"r_{order}"), *(F.col(f"near.{c}").alias(f"r_{c}") for c in carry))
 
 
-def interpolate(left: DataFrame, right: DataFrame, by: list[str], *, ts: str = "ts", order: str, value: str, max_gap: int) -> DataFrame:
+def interpolate(left: DataFrame, right: DataFrame, by: list[str], *, ts: str = "ts", order: str, value: str, max_gap: int, clamp: bool = False) -> DataFrame:
     """Every left row with ``value`` of the right interpolated between its neighbours.
 
     An exact stamp gives its own value; else both neighbours must exist and be
-    at most ``max_gap`` apart, or the result is null.
+    at most ``max_gap`` apart, or the result is null.  With ``clamp``, rows
+    before the first or after the last stamp take that one's value.
     """
     seen = _around(left, right, by, ts, order, [value])
     span = F.col(f"later.{ts}") - F.col(f"prior.{ts}")
     part = (F.col(ts) - F.col(f"prior.{ts}")) / F.when(span > 0, span)
     a, b = F.col(f"prior.{value}"), F.col(f"later.{value}")
     got = F.when(F.col(f"prior.{ts}") == F.col(ts), a).when(span <= max_gap, a + part * (b - a))
+    if clamp:
+        got = got.when(F.col("later").isNull(), a).when(F.col("prior").isNull(), b)
     return seen.select(*left.columns, got.alias("interpolated"))
 
 
@@ -112,6 +115,31 @@ def greedy_sync(rows: DataFrame, by: list[str], *, ts: str, order: str, topic: s
     return rows.groupBy(*by).applyInPandas(walk, f"{keys}, a {kinds[order]}, b {kinds[order]}, gap long")
 
 
+def slot_sync(rows: DataFrame, by: list[str], *, ts: str, order: str, topic: str, first: str, second: str, tolerance: int) -> DataFrame:
+    """One slot a topic: a newer message replaces an unpaired one, and both slots empty on a match.
+
+    It can pair otherwise than ``greedy_sync``, which drops the earlier cursor.
+    """
+    kinds = dict(rows.dtypes)
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        slots: dict[str, tuple] = {}
+        out = []
+        for t, k, name in pdf.sort_values([ts, order])[[ts, order, topic]].itertuples(index=False):
+            if name in (first, second):
+                slots[name] = (t, k)
+                if len(slots) == 2 and abs(slots[first][0] - slots[second][0]) <= tolerance:
+                    out.append((slots[first][1], slots[second][1], int(slots[first][0] - slots[second][0])))
+                    slots.clear()
+        got = pd.DataFrame(out, columns=["a", "b", "gap"])
+        for k, c in enumerate(by):
+            got.insert(k, c, pdf[c].iloc[0])
+        return got
+
+    return rows.groupBy(*by).applyInPandas(walk, f"{keys}, a {kinds[order]}, b {kinds[order]}, gap long")
+
+
 def ema(rows: DataFrame, by: list[str], *, ts: str, order: str, value: str, tau: float, unit: float = 1e6) -> DataFrame:
     """Causal low-pass with a variable step: alpha = 1 - exp(-dt / tau), dt in seconds and at least 1e-6.
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.functions import boxes, names, pose
-from gridloom.operators import asof, masks, metrics, nearest, pooling, provenance, retrieval, sampling, suppress, voxel, windows
+from gridloom.functions import boxes, camera, names, pose
+from gridloom.operators import align, asof, masks, metrics, nearest, pooling, provenance, retrieval, sampling, suppress, voxel, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -842,3 +842,105 @@ SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS sx, round(sum(l
 def alignment_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_quantity"), F.col("l_discount")
     return S.read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(x), 4).alias("sx"), F.round(F.sum(y), 6).alias("sy"), F.round(F.sum(x * y), 4).alias("sxy"), F.round(F.sum(x * x), 2).alias("sxx"))
+
+
+# Cameras and alignment.
+
+
+@query(
+    """
+WITH g AS (SELECT k % 64 AS u, k // 64 AS v FROM range(2048) t(k)),
+a AS (SELECT u, v, ((u + 0.5::DOUBLE) / 64 - 0.5) * 2 * pi() AS lon, (0.5 - (v + 0.5::DOUBLE) / 32) * pi() AS lat FROM g)
+SELECT u::INTEGER AS u, v::INTEGER AS v, round(cos(lat) * sin(lon), 6) AS x, round(-sin(lat), 6) AS y, round(cos(lat) * cos(lon), 6) AS z, u::DOUBLE AS back_u, v::DOUBLE AS back_v FROM a
+"""
+)
+def equirect_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = camera.pixel_grid(spark, 64, 32).withColumn("ray", camera.equirect_ray(F.col("u"), F.col("v"), 64, 32))
+    grid = grid.withColumn("back", camera.equirect_pixel(F.col("ray"), 64, 32))
+    back = lambda c: (F.round(F.col(f"back.{c}"), 6) + 0.0).alias(f"back_{c}")
+    return grid.select("u", "v", *((F.round(F.col(f"ray.{c}"), 6) + 0.0).alias(c) for c in "xyz"), back("u"), back("v"))
+
+
+@query(
+    """
+SELECT p_partkey, round(degrees(2 * atan(640 / (2 * (300.0::DOUBLE + p_size)))), 6) AS fov, round(p_retailprice * (300.0::DOUBLE + p_size) / 300, 6) AS depth,
+       round((p_partkey % 640 - 320.0::DOUBLE) / (300 + p_size) * p_retailprice * 2 + 1, 6) AS x, round((p_partkey % 480 - 240.0::DOUBLE) / (300 + p_size) * p_retailprice * 2 + 2, 6) AS y, round(p_retailprice * 2 + 3, 6) AS z
+FROM part
+"""
+)
+def back_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    focal = F.col("p_size") + 300.0
+    k = F.struct(focal.alias("fx"), focal.alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"))
+    still = F.array(*(F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)))
+    c2w = pose.sim3(F.lit(2.0), still, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    point = pose.back_project(F.col("p_partkey") % 640, F.col("p_partkey") % 480, F.col("p_retailprice"), k, c2w)
+    rows = S.read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", focal.alias("f"), point.alias("p"))
+    return rows.select(
+        "p_partkey", F.round(camera.field_of_view(F.lit(640), F.col("f")), 6).alias("fov"), F.round(camera.metric_depth(F.col("p_retailprice"), F.col("f")), 6).alias("depth"),
+        *(F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate("xyz")),
+    )
+
+
+def _moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the descriptors' first three numbers and where (x, y, z) -> 1.4 (-y, x, z) + (2, -3, 0.7) takes them."""
+    at = [F.col("embedding")[k].cast("double") for k in range(3)]
+    target = (-1.4 * at[1] + 2.0, 1.4 * at[0] - 3.0, 1.4 * at[2] + 0.7)
+    return S.read(spark, sf_dir, "embeddings").select("vec_id", *(c.alias(n) for c, n in zip((*at, *target), align.SOURCE + align.TARGET, strict=True)))
+
+
+def _transform_row(spark: SparkSession, m, digits: int) -> DataFrame:
+    s, r, t = m
+    names = ["s", *(f"r{k}" for k in range(9)), *(f"t{k}" for k in range(3))]
+    return spark.createDataFrame([tuple(round(float(x), digits) + 0.0 for x in (s, *r.ravel(), *t))], ", ".join(f"{n} double" for n in names))
+
+
+KNOWN = "SELECT 1.4::DOUBLE AS s, 0.0::DOUBLE AS r0, -1.0::DOUBLE AS r1, 0.0::DOUBLE AS r2, 1.0::DOUBLE AS r3, 0.0::DOUBLE AS r4, 0.0::DOUBLE AS r5, 0.0::DOUBLE AS r6, 0.0::DOUBLE AS r7, 1.0::DOUBLE AS r8, 2.0::DOUBLE AS t0, -3.0::DOUBLE AS t1, 0.7::DOUBLE AS t2"
+
+
+@query(KNOWN)
+def sim3_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transform_row(spark, align.fit(_moved_pairs(spark, sf_dir)), 6)
+
+
+@query(KNOWN)
+def ransac_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _moved_pairs(spark, sf_dir).withColumn("tx", F.when(F.col("vec_id") % 4 == 0, F.col("tx") + 10).otherwise(F.col("tx")))
+    return _transform_row(spark, align.ransac(pairs, trials=16, size=4, inlier=0.01)[0], 6)
+
+
+@query()
+def irls_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _moved_pairs(spark, sf_dir).withColumn("tx", F.when(F.col("vec_id") % 10 == 0, F.col("tx") + 5).otherwise(F.col("tx")))
+    return _transform_row(spark, align.irls(pairs, delta=0.01, rounds=30)[0], 3)
+
+
+@query(
+    """
+WITH c AS (SELECT vec_id // 4 AS capture FROM embeddings GROUP BY 1 HAVING count(*) = 4)
+SELECT capture, true AS accepted, CASE WHEN capture % 5 = 0 THEN '0,1,2' ELSE '0,1,2,3' END AS inliers FROM c
+"""
+)
+def rig_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yaw = F.col("view") * 90.0
+    far = F.when((F.col("capture") % 5 == 0) & (F.col("view") == 3), 9.0).otherwise(0.0)
+    rows = S.views(spark, sf_dir).select("capture", "view", yaw.alias("yaw"), F.array(far, F.lit(0.0), F.col("capture").cast("double")).alias("centre"), pose.rotation_about_y(F.radians(yaw)).alias("rotation"))
+    got = align.rig_consensus(rows, ["capture"], centre_limit=0.1, angle_limit=1.0)
+    return got.select("capture", "accepted", F.array_join(F.transform("inliers", lambda x: x.cast("string")), ",").alias("inliers"))
+
+
+@query()
+def slot_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.slot_sync(S.series(spark, sf_dir), ["user_id"], ts="ts", order="event_id", topic="event_type", first="view", second="click", tolerance=6 * 3_600_000_000)
+
+
+@query(
+    f"""
+WITH {AROUND}
+SELECT user_id, ts, event_id, value, round(CASE WHEN p_ts = ts THEN p_value WHEN p_ts IS NULL THEN l_value WHEN l_ts IS NULL THEN p_value
+       ELSE p_value + (ts - p_ts) / nullif(l_ts - p_ts, 0) * (l_value - p_value) END, 6) AS interpolated FROM n
+"""
+)
+def asof_interp_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, views = _clicks_and_views(spark, sf_dir)
+    got = asof.interpolate(clicks, views, ["user_id"], order="event_id", value="value", max_gap=1 << 60, clamp=True)
+    return got.withColumn("interpolated", F.round("interpolated", 6))
