@@ -1,4 +1,4 @@
-"""Directory scans through Spark's own listing: names, sizes and times, without reading contents."""
+"""Directory scans through Spark's own listing: names, sizes and times, without reading contents; empty files are not listed."""
 
 from __future__ import annotations
 

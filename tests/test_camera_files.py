@@ -25,15 +25,15 @@ def test_listing_and_kinds(spark, tmp_path):
 
 def test_numbered_chunks_and_runs(spark, tmp_path):
     for k in (0, 1, 2):
-        (tmp_path / f"chunk_{k}.npy").write_bytes(b"")
+        (tmp_path / f"chunk_{k}.npy").write_bytes(b"x")
     assert files.numbered(files.listing(spark, str(tmp_path)), r"chunk_(\d+)\.npy").count() == 3
-    (tmp_path / "chunk_4.npy").write_bytes(b"")
+    (tmp_path / "chunk_4.npy").write_bytes(b"x")
     with pytest.raises(ValueError):
         files.numbered(files.listing(spark, str(tmp_path)), r"chunk_(\d+)\.npy")
     for run in ("floor_2/2025-05-06/run_1", "floor_1/2025-05-05/run_1"):
         at = tmp_path / "root" / run / "reconstruction"
         at.mkdir(parents=True)
-        (at / "poses.txt").write_text("")
+        (at / "poses.txt").write_text("x")
     got = [r["run"] for r in files.runs(spark, str(tmp_path / "root"), "poses.txt").collect()]
     assert got == ["floor_1/2025-05-05/run_1", "floor_2/2025-05-06/run_1"]
 
