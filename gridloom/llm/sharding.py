@@ -7,9 +7,11 @@ the same means before anything needs a range in one task.  Exact sums per
 range then place every record on one line of bytes, which is cut into shards
 of near equal size.
 
-Equal texts are neighbours on that line.  A cut that falls inside a group of
-equal texts moves to the group's nearer edge when this costs at most
-``SNAP`` of a shard; else the group is subdivided there by id.
+Equal texts stay together.  Those that take more than ``LARGE`` of a shard
+(a bounded number of groups) are placed first, greatest first, where there is
+most room, and only what fits in no shard whole is subdivided by id.  The line
+of all the rest is then cut where each shard is full, at the nearer edge of a
+group of equal texts.
 
 Defined cases: null text has size 0 plus 1; records of equal id and text are
 told apart by a tie-break and each gets a slot; with fewer records than shards
@@ -34,8 +36,8 @@ RANGES_PER_SHARD = 16
 SAMPLES_PER_RANGE = 40
 #: A range above this multiple of its due size is subdivided.
 OVERFULL = 2.0
-#: Share of a shard's due size by which a cut may move to keep equal texts together.
-SNAP = 0.01
+#: Share of a shard above which a group of equal texts is placed on its own, and by which a shard may then be overfull.
+LARGE, SNAP = 0.01, 0.01
 KEY = ["key_hash", "key_id", "key_tie"]
 
 
@@ -117,8 +119,50 @@ def shard(
         "shard-keys",
     )
     slim = keyed.select("size", *KEY)
-    total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    placed, sums = _ranged(slim, total, shards)
+    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = slim.groupBy("key_hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    large = groups.filter((F.col("bytes") > LARGE * total / shards) & (F.col("n") > 1)).collect()  # shards / LARGE at most
+    pieces, load = _place(sorted((-r["bytes"], r["key_hash"]) for r in large), total / shards, shards)
+    of_large = F.col("key_hash").isin([r["key_hash"] for r in large])
+    line = _line(slim.filter(~of_large) if large else slim, shards, "shard-line")
+    cuts = _cuts(line, load, total, shards)
+    shard_of, first_row = F.lit(0), F.lit(0).cast("long")
+    for k, cut in enumerate(cuts, 1):  # shards - 1 of them
+        shard_of = F.when(F.col("row") >= cut, F.lit(k)).otherwise(shard_of)
+        first_row = F.when(F.col("row") >= cut, F.lit(cut).cast("long")).otherwise(first_row)
+    placed_line = line.select("key_tie", shard_of.cast("int").alias("shard"), (F.col("row") - first_row).alias("slot"))
+    if large:
+        rows = line.count()
+        begins = [0, *cuts, rows]
+        taken = {k: max(begins[k + 1] - begins[k], 0) for k in range(shards)}
+        placed_line = placed_line.union(_pieces(_line(slim.filter(of_large), shards, "shard-groups"), pieces, taken))
+    return keyed.join(placed_line, "key_tie").select(
+        "id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *(["doc"] if keep else [])
+    )
+
+
+def _place(groups: list[tuple[int, int]], due: float, shards: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """((key, from, to, shard) pieces of the large groups, bytes by shard).
+
+    Greatest first, each to the shard with the most room; only what does not
+    fit there whole is subdivided.
+    """
+    load, pieces = [0] * shards, []
+    for size, key in ((-minus, key) for minus, key in groups):
+        at = 0
+        while at < size:
+            s = min(range(shards), key=lambda k: (load[k], k))
+            room = int(due - load[s])
+            take = size - at if size - at <= room * (1 + SNAP) or room < 1 else room
+            pieces.append((key, at, at + take, s))
+            load[s] += take
+            at += take
+    return pieces, load
+
+
+def _line(keyed: DataFrame, shards: int, name: str) -> DataFrame:
+    """(key_tie, key_hash, size, row, start): every record's place in key order, by rows and by bytes."""
+    placed, sums = _ranged(keyed, keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], shards)
     rows_before, bytes_before, at, b = {}, {}, 0, 0
     for r in sums:
         rows_before[r["range"]], bytes_before[r["range"]] = at, b
@@ -129,32 +173,43 @@ def shard(
         """Per-range offsets (a bounded list) as a map literal."""
         return F.create_map(*(F.lit(x) for pair in (table or {0: 0}).items() for x in pair))[F.col("range")]
 
-    line = materialise(
-        placed.withColumns(
-            {
-                "row": F.row_number().over(w) - 1 + offset(rows_before),
-                "start": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + offset(bytes_before),
-            }
-        ).select("key_tie", "key_hash", "size", F.col("row").cast("long"), F.col("start").cast("long")),
-        "shard-line",
-    )
-    cuts = _cuts(line, total, rows, shards)
-    shard_of = F.lit(0)
-    first_row = F.lit(0).cast("long")
-    for k, cut in enumerate(cuts, 1):  # shards - 1 of them
-        shard_of = F.when(F.col("row") >= cut, F.lit(k)).otherwise(shard_of)
-        first_row = F.when(F.col("row") >= cut, F.lit(cut).cast("long")).otherwise(first_row)
-    placed_line = line.select("key_tie", shard_of.cast("int").alias("shard"), (F.col("row") - first_row).alias("slot"))
-    return keyed.join(placed_line, "key_tie").select(
-        "id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *(["doc"] if keep else [])
-    )
-
-
-def _cuts(line: DataFrame, total: int, rows: int, shards: int) -> list[int]:
-    """The first row of shards 1, 2, ...: near k * total / shards bytes, at a group's edge if that is near enough."""
-    if not rows:
-        return [0] * (shards - 1)
-    goals = [k * total // shards for k in range(1, shards)]
+    row = F.row_number().over(w) - 1 + offset(rows_before)
+    start = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + offset(bytes_before)
+    return materialise(placed.withColumns({"row": row, "start": start}).select("key_tie", "key_hash", "size", F.col("row").cast("long"), F.col("start").cast("long")), name)
+
+
+def _pieces(line: DataFrame, pieces: list[tuple[int, int, int, int]], taken: dict[int, int]) -> DataFrame:
+    """(key_tie, shard, slot) of the large groups' records; their slots follow the ``taken`` ones of each shard.
+
+    The pieces are as many as large groups and shards together at most, so they are broadcast.
+    """
+    spark = line.sparkSession
+    low = {r["key_hash"]: r["low"] for r in line.groupBy("key_hash").agg(F.min("start").alias("low")).collect()}
+    table = [(n, key, low[key] + a, low[key] + b, s) for n, (key, a, b, s) in enumerate(pieces)]
+    cut = F.broadcast(spark.createDataFrame(table, "piece int, of_key long, a long, b long, shard int"))
+    held = line.join(cut, (F.col("key_hash") == F.col("of_key")) & (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")))
+    stats = {r["piece"]: (r["first"], r["n"]) for r in held.groupBy("piece").agg(F.min("row").alias("first"), F.count("*").alias("n")).collect()}
+    base, moves = dict(taken), []
+    for n, (_, _, _, s) in enumerate(pieces):
+        if n in stats:
+            moves.append((n, base[s] - stats[n][0]))
+            base[s] += stats[n][1]
+    shift = F.broadcast(spark.createDataFrame(moves, "piece int, shift long"))
+    return held.join(shift, "piece").select("key_tie", "shard", (F.col("row") + F.col("shift")).alias("slot"))
+
+
+def _cuts(line: DataFrame, load: list[int], total: int, shards: int) -> list[int]:
+    """The first row of shards 1, 2, ... on the line of what is in no large group.
+
+    Each shard gets the bytes that the large groups leave it; a cut inside a
+    group of equal texts moves to the nearer edge of the group.
+    """
+    rest, rows = line.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    room = [max(total / shards - x, 0.0) for x in load]
+    goals, seen = [], 0.0
+    for k in range(shards - 1):
+        seen += room[k]
+        goals.append(int(rest * seen / max(sum(room), 1e-9)))
     holds = F.lit(False)
     for g in goals:
         holds |= (F.col("start") <= g) & (F.col("start") + F.col("size") > g)
@@ -168,11 +223,11 @@ def _cuts(line: DataFrame, total: int, rows: int, shards: int) -> list[int]:
     }
     out = []
     for g in goals:
-        r = next(r for r in hit if r["start"] <= g < r["start"] + r["size"])
-        group = groups[r["key_hash"]]
-        edges = [(abs(group["lo"] - g), group["first"]), (abs(group["hi"] - g), group["last"] + 1)]
-        gap, row = min(edges)
-        if gap > SNAP * total / shards:
-            row = r["row"] + (g - r["start"] > r["start"] + r["size"] - g)
+        r = next((r for r in hit if r["start"] <= g < r["start"] + r["size"]), None)
+        if r is None:
+            row = rows if g > 0 else 0
+        else:
+            group = groups[r["key_hash"]]
+            row = min((abs(group["lo"] - g), group["first"]), (abs(group["hi"] - g), group["last"] + 1))[1]
         out.append(max(row, out[-1] if out else 0))
     return out
