@@ -15,9 +15,9 @@ from gridloom.llm.tables import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the (a, b) edges; the label is the smallest node of its component."""
     both = materialise(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links"
+        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links", small=True
     )
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels", small=True)
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         least = both.join(seen, "b").groupBy("a").agg(F.min("near").alias("near")).withColumnRenamed("a", "node")
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         # jump: take the label of the label
         root = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = pulled.join(root, "label", "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old")
-        step = materialise(jumped, "labels")
+        step = materialise(jumped, "labels", small=True)
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
             return labels

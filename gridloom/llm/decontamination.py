@@ -70,7 +70,7 @@ def benchmark_windows(bench: DataFrame, n: int, item_col: str, text_col: str) ->
 
 def hits(docs: DataFrame, bench: DataFrame, *, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """(id, key, at, len, item): verified occurrences of windows; ``key`` is a hash of the text, ``at`` the first word."""
-    known = materialise(benchmark_windows(bench, n, item_col, bench_text_col), "bench-windows")
+    known = materialise(benchmark_windows(bench, n, item_col, bench_text_col), "bench-windows", small=True)
     lengths = sorted(r["len"] for r in known.select("len").distinct().collect())  # n of them at most
     hashes = known.select("hash").distinct()
     if hashes.count() <= BROADCAST_WINDOWS:
@@ -83,7 +83,7 @@ def hits(docs: DataFrame, bench: DataFrame, *, n: int = N, id_col: str = "doc_id
     seen = scanned.select("id", "key", F.col("x.len").alias("len"), F.posexplode("x.h").alias("at", "hash"))
     found = seen.join(hashes, "hash").select("id", "key", "len", "at").distinct()
     found = materialise(
-        found.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "len"))).alias("places")), "bench-found"
+        found.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "len"))).alias("places")), "bench-found", small=True
     )
     texts = base.join(found.select(F.col("id").alias("i"), F.col("key").alias("k"), "places"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
     cut = let(_exact(F.col("text")), lambda w: F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["len"].alias("len"), F.array_join(F.slice(w, p["at"] + 1, p["len"]), " ").alias("window"))))
@@ -138,7 +138,7 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def remove_documents(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the contaminated ones, all columns as they were."""
     bad = scan(docs, bench, id_col=id_col, text_col=text_col, **options).filter("contaminated")
-    bad = materialise(bad.select(F.col("id").alias("__bad_id"), F.col("key").alias("__bad_key")).distinct(), "bench-bad")
+    bad = materialise(bad.select(F.col("id").alias("__bad_id"), F.col("key").alias("__bad_key")).distinct(), "bench-bad", small=True)
     on = F.col(f"`{id_col}`").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("__bad_key"))
     return docs.join(bad, on, "left_anti")
 

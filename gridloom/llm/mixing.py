@@ -57,7 +57,7 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repea
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranged = materialise(
         per.repartitionByRange(RANK_PARTITIONS, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()),
-        "mix-sources",
+        "mix-sources", small=True
     )
     counts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
     at, offsets = 0, []
@@ -71,7 +71,7 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repea
     cycle = F.array(*(F.lit(w).cast("long") for w in weights))
     place = begins[F.col("part")] + within - 1
     per = materialise(
-        ranged.withColumn("weight", F.get(cycle, (place % len(weights)).cast("int"))).drop("part"), "mix-ranked"
+        ranged.withColumn("weight", F.get(cycle, (place % len(weights)).cast("int"))).drop("part"), "mix-ranked", small=True
     )
     total, all_weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
     capped_size, capped_weight = 0, 0

@@ -31,8 +31,9 @@ for classes that have candidates.
 Defined cases: null, empty and blank texts have no shingles, link with nothing
 and stand for themselves; a text of fewer words than a shingle is one shingle;
 repeated rows with one id share its fate; rows with a null id belong to their
-class's component but never lend it their id; an empty table gives an empty
-result; extra columns are left alone.
+class's component but never lend it their id, and a class of null ids alone is
+compared with no other; an empty table gives an empty result; extra columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     classes = materialise(
         seen.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
         .withColumn("node", F.monotonically_increasing_id()),
-        "classes",
+        "classes"
     )
     bands = classes.select("node", "regs").mapInArrow(_bands, "band bigint, node bigint")
     groups = materialise(
@@ -258,17 +259,17 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     texts = base.join(wanted.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi").select("text")
     sets = materialise(
         texts.mapInArrow(_sets(shingle), "cls binary, set array<bigint>").join(wanted.select("cls", "node"), "cls").select("node", "set").dropDuplicates(["node"]),
-        "shingle-sets",
+        "shingle-sets"
     )
     edges = materialise(_verified(near, sets, threshold), "near-links")
     labels = components(edges)
     for further in (_part_pairs, _rest_pairs):
         parts = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_bands = parts.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-        left = materialise(parts.join(open_bands, "band").select("band", "node", "label"), "open-groups")
+        left = materialise(parts.join(open_bands, "band").select("band", "node", "label"), "open-groups", small=True)
         if left.isEmpty():
             break
-        more = materialise(_verified(materialise(further(left, sets, threshold), "more-pairs"), sets, threshold), "more-links")
+        more = materialise(_verified(materialise(further(left, sets, threshold), "more-pairs", small=True), sets, threshold), "more-links")
         if not more.isEmpty():
             edges = materialise(edges.union(more), "near-links")
             labels = components(edges)
@@ -283,4 +284,4 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The kept documents, all columns as they were."""
     dropped = group(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("id").alias("__dropped_id")).distinct()
-    return docs.join(materialise(dropped, "dropped"), F.col(f"`{id_col}`") == F.col("__dropped_id"), "left_anti")
+    return docs.join(materialise(dropped, "dropped", small=True), F.col(f"`{id_col}`") == F.col("__dropped_id"), "left_anti")

@@ -32,14 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage on storage that every executor sees, so a lost executor
     costs a re-read and not a recomputation.  The files go when the
-    interpreter ends.
+    interpreter ends.  ``small``: a table much smaller than what it was made
+    from is written by an eighth of the shuffle partitions (8 at least), as
+    files cost more than rows there.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/gridloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:

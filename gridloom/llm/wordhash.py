@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
