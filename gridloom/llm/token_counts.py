@@ -38,7 +38,9 @@ from gridloom.llm.tables import ship
 SPACE = "▁"
 CHUNK = 1 << 16
 #: Kept unit counts and states, each; beyond this they are compiled anew.
-KEPT = 400_000
+KEPT = 800_000
+#: Characters of a unit that are read at once where they were read before.
+HEAD = 7
 LIMIT = 4096
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -61,82 +63,120 @@ def read_model(path: str) -> dict[str, float]:
     return pieces
 
 
+_NEVER = float("-inf")
+
+
 class Transducer:
     """Compiled on demand from the pieces of a model."""
 
     def __init__(self, pieces: dict[str, float]) -> None:
         self.pieces = pieces
         self.paths = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
-        self.fits: dict[tuple[str | None, str], bool] = {}
+        self.histories: dict[str, tuple] = {}
+        self.shapes: dict[str, tuple] = {}
         self.units = _Units(self, SPACE)
         self.bare = _Units(self, "")
         self._clear()
 
     def _clear(self) -> None:
-        # a state: (suffix, for each position in it and at its end: (last token, tokens since then, negated))
-        self.states: dict[tuple, int] = {}
-        self.known: list[tuple] = []
-        self.next: list[dict[str, tuple[int, int]]] = []
-        self._state(("", ((None, 0),)))
-
-    def _state(self, state: tuple) -> int:
-        if (at := self.states.get(state)) is None:
-            at = self.states[state] = len(self.known)
-            self.known.append(state)
-            self.next.append({})
-        return at
-
-    def _encode(self, text: str) -> list[str]:
-        """Plain BPE: merge the adjacent pair of the best score, the leftmost of equals, until none is a piece."""
-        parts = list(text)
-        while True:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                score = self.pieces.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, where = score, k
-            if where < 0:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        # a state: (suffix, for each position in it where a piece may begin and at its end: (last token, tokens since then, negated))
+        # its arcs: by character the next state's arcs and the change in the number of tokens; under None the state itself
+        self.states: dict[tuple, dict] = {}
+        self.heads: dict[str, tuple[dict, int]] = {}
+        self.start = self._state(("", ((None, 0),)))
+
+    def _state(self, state: tuple) -> dict:
+        if (arcs := self.states.get(state)) is None:
+            arcs = self.states[state] = {None: state}
+        return arcs
+
+    def _history(self, token: str) -> tuple[bool, list[tuple[float, str, str]]]:
+        """(whether plain BPE makes one token of it, the merges on the way: score, first and last part after it).
+
+        A merge joins the adjacent pair of the best score, the leftmost of equals, until none is a piece.
+        """
+        if (got := self.histories.get(token)) is None:
+            parts, merges = list(token), []
+            while True:
+                best, where = None, -1
+                for k in range(len(parts) - 1):
+                    score = self.pieces.get(parts[k] + parts[k + 1])
+                    if score is not None and (best is None or score > best):
+                        best, where = score, k
+                if where < 0:
+                    break
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+                merges.append((best, parts[0], parts[-1]))
+            got = self.histories[token] = (len(parts) == 1, merges)
+        return got
 
     def _follows(self, before: str | None, token: str) -> bool:
-        """Whether ``token`` can stand right after ``before`` (None: after a reset)."""
-        key = (before, token)
-        if (ok := self.fits.get(key)) is None:
-            if len(self.fits) > KEPT:
-                self.fits.clear()
-            ok = self.fits[key] = self._encode((before or "") + token) == ([before, token] if before is not None else [token])
-        return ok
-
-    def step(self, state: int, char: str) -> tuple[int, int]:
-        """Compile a transition: (next state, change in the number of tokens)."""
-        suffix, last = self.known[state]
+        """Whether ``token`` can stand right after ``before`` (None: after a reset).
+
+        Both are made by their own merges, in turn by score, unless a merge
+        across the boundary comes first.
+        """
+        whole, right = self._history(token)
+        if before is None or not whole:
+            return whole
+        left = self._history(before)[1]
+        a, b, i, j = before[-1], token[0], 0, 0
+        while True:
+            across = self.pieces.get(a + b)
+            next_left = left[i][0] if i < len(left) else _NEVER
+            next_right = right[j][0] if j < len(right) else _NEVER
+            if across is not None and across > next_left and across >= next_right:
+                return False
+            if i < len(left) and next_left >= next_right:
+                a = left[i][2]
+                i += 1
+            elif j < len(right):
+                b = right[j][1]
+                j += 1
+            else:
+                return True
+
+    def step(self, arcs: dict, char: str) -> tuple[dict, int]:
+        """Compile a transition: (the next state's arcs, change in the number of tokens)."""
+        suffix, last = arcs[None]
         if char not in self.pieces:  # byte fallback: a token a byte, and nothing merges across it
-            return self._state(("", ((None, 0),))), len(char.encode("utf-8", "surrogatepass"))
+            arcs[char] = arc = (self._state(("", ((None, 0),))), len(char.encode("utf-8", "surrogatepass")))
+            return arc
         grown = suffix + char
-        for start in range(len(grown)):
-            token = grown[start:]
-            if token in self.pieces and self._follows(last[start][0], token):
-                emitted = last[start][1] + 1
+        if (shape := self.shapes.get(grown)) is None:
+            size = len(grown)
+            cut = next((k for k in range(size) if grown[k:] in self.paths), size)
+            ends = [(k, grown[k:]) for k in range(size) if grown[k:] in self.pieces]
+            shape = self.shapes[grown] = (ends, grown[cut:], [k if grown[k:] in self.paths else -1 for k in range(cut, size)])
+        ends, rest, places = shape
+        for start, token in ends:
+            before = last[start]
+            if self._follows(before[0], token):
+                emitted = before[1] + 1
                 break
         else:
             raise AssertionError(f"no token ends {grown!r}")
-        cut = next((k for k in range(len(grown)) if grown[k:] in self.paths), len(grown))
-        kept = tuple((t, n - emitted) for t, n in last[cut : len(grown)]) + ((token, 0),)
-        return self._state((grown[cut:], kept)), emitted
+        # only where a piece may still begin does it matter what stood before
+        kept = (*[(last[k][0], last[k][1] - emitted) if k >= 0 else None for k in places], (token, 0))
+        arcs[char] = arc = (self._state((rest, kept)), emitted)
+        return arc
+
+    def _read(self, arcs: dict, tokens: int, text: str) -> tuple[dict, int]:
+        for char in text:
+            arc = arcs.get(char) or self.step(arcs, char)
+            arcs = arc[0]
+            tokens += arc[1]
+        return arcs, tokens
 
     def count_unit(self, unit: str) -> int:
-        """Tokens of a unit, read from the start state."""
-        if len(self.known) > KEPT:
-            self._clear()
-        state, tokens, table = 0, 0, self.next
-        for char in unit:
-            arc = table[state].get(char)
-            if arc is None:
-                arc = table[state][char] = self.step(state, char)
-            state = arc[0]
-            tokens += arc[1]
-        return tokens
+        """Tokens of a unit, read from the start state; where its first characters lead is kept."""
+        head = unit[:HEAD]
+        got = self.heads.get(head)
+        if got is None:
+            if len(self.states) > KEPT or len(self.heads) > KEPT:
+                self._clear()
+            got = self.heads[head] = self._read(self.start, 0, head)
+        return self._read(*got, unit[HEAD:])[1]
 
     def count_between(self, text: str, first: bool) -> int:
         """Tokens of whole units; ``first``: the text's begin, which the model puts a space before."""
