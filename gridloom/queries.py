@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
 from gridloom.functions import boxes, camera, names, pose
-from gridloom.operators import align, asof, masks, metrics, nearest, pooling, provenance, retrieval, sampling, suppress, voxel, windows
+from gridloom.operators import align, asof, filters, masks, metrics, nearest, pooling, provenance, reports, retrieval, sampling, suppress, voxel, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -944,3 +944,80 @@ def asof_interp_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks, views = _clicks_and_views(spark, sf_dir)
     got = asof.interpolate(clicks, views, ["user_id"], order="event_id", value="value", max_gap=1 << 60, clamp=True)
     return got.withColumn("interpolated", F.round("interpolated", 6))
+
+
+# Reports and filters.
+
+
+@query(
+    """
+WITH c AS (SELECT event_id // 4 AS capture, count(*) AS n_views, median(value) AS c_value, coalesce(max(CASE WHEN event_id % 4 = 2 THEN event_id % 4 END), min(event_id % 4)) AS oriented_by FROM events GROUP BY 1)
+SELECT capture, n_views, round(c_value, 6) AS c_value, oriented_by, (SELECT round(max(abs(value - c_value)), 6) FROM events WHERE event_id // 4 = capture) AS spread FROM c
+"""
+)
+def capture_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.series(spark, sf_dir).select(F.expr("event_id div 4").alias("capture"), (F.col("event_id") % 4).alias("view"), "value")
+    got = reports.capture_centres(rows, ["capture"], ["value"], view="view", primary=2)
+    return got.withColumns({"c_value": F.round("c_value", 6), "spread": F.round("spread", 6)})
+
+
+@query(
+    """
+WITH m AS (SELECT user_id, max(CASE WHEN event_type = 'view' THEN value END) AS a, max(CASE WHEN event_type = 'click' THEN value END) AS b FROM events GROUP BY user_id)
+SELECT count(*) AS n, round(avg(a), 6) AS mean_first, round(avg(b), 6) AS mean_second, count(*) FILTER (WHERE a < b) AS wins, count(*) FILTER (WHERE a = b) AS ties, count(*) FILTER (WHERE a > b) AS losses
+FROM m WHERE a IS NOT NULL AND b IS NOT NULL
+"""
+)
+def paired_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = reports.paired(S.series(spark, sf_dir), "user_id", "event_type", "value", "view", "click")
+    return got.withColumns({c: F.round(c, 6) for c in ("mean_first", "mean_second")})
+
+
+@query("SELECT o_custkey, NOT bool_or(o_orderstatus = 'O') AS all_rejected FROM orders GROUP BY o_custkey")
+def all_rows_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.read(spark, sf_dir, "orders").withColumn("accepted", F.col("o_orderstatus") == "O")
+    return reports.all_rejected(rows, ["o_custkey"], "accepted")
+
+
+@query("SELECT a.conv_id, a.turn AS i, b.turn AS j FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn - a.turn BETWEEN 1 AND 3")
+def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.neighbour_pairs(S.read(spark, sf_dir, "conversations"), ["conv_id"], "turn", 3)
+
+
+@query("SELECT user_id, event_id, CASE WHEN count(*) OVER (PARTITION BY user_id) > 1 THEN round((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / (count(*) OVER (PARTITION BY user_id) - 1), 9) ELSE 0.0 END AS fraction FROM events")
+def progress_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = reports.progress(S.series(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+    return got.select("user_id", "event_id", F.round("fraction", 9).alias("fraction"))
+
+
+@query(
+    """
+SELECT user_id, event_id, last_value(CASE WHEN event_id % 3 <> 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events
+"""
+)
+def hold_last_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.series(spark, sf_dir).select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return reports.hold_last(rows, ["user_id"], ["event_id"], "value")
+
+
+@query(
+    f"""
+WITH {CLOUD}, b AS (SELECT min(x) - 100 AS x0, max(x) + 100 AS x1, min(y) - 100 AS y0, max(y) + 100 AS y1 FROM c WHERE side = 'F' AND conf > 0.06)
+SELECT x, y, z, conf, side FROM c, b WHERE side = 'O' AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND 2.0 * x - y + 0.5 * z - 1000 > 0
+"""
+)
+def box_and_half_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = S.cloud(spark, sf_dir)
+    boxed = filters.inside_box_of(points.filter("side = 'O'"), points.filter("side = 'F' and conf > 0.06"), ["x", "y"], 100)
+    return filters.half_space(boxed, (2.0, -1.0, 0.5, -1000.0))
+
+
+@query(
+    """
+WITH m AS (SELECT l_returnflag, quantile_cont(l_tax, 0.5) AS mid FROM lineitem GROUP BY l_returnflag)
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN m USING (l_returnflag) WHERE l_tax >= mid AND l_discount < 0.3 AND l_quantity > 0.001 AND l_extendedprice > 0.001
+"""
+)
+def alignment_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = filters.alignment_mask(S.read(spark, sf_dir, "lineitem"), ["l_returnflag"], conf="l_tax", sky="l_discount", depth="l_quantity", metric="l_extendedprice")
+    return got.select("l_orderkey", "l_linenumber", "l_partkey")
