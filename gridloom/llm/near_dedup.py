@@ -217,15 +217,20 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFra
     posted = materialise(posted.withColumn("label", F.coalesce("label", "node")), "prefixes")
     mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     posted = posted.join(mixed, "token")
-    x, y = posted.alias("x"), posted.alias("y")
+    # what the bounds need of a class is its component, size and place: the many of one component are few of these
+    kinds = posted.select("token", "label", "n", "at").distinct()
+    x, y = kinds.alias("x"), kinds.alias("y")
     on = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
+        & (F.col("x.n") <= F.col("y.n"))
         & (100 * F.col("x.n") >= t * F.col("y.n"))
         & ((100 + t) * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= t * (F.col("x.n") + F.col("y.n")))
     )
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    fit = x.join(y, on).select(F.col("x.token").alias("token"), *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("label", "n", "at")))
+    of = lambda s: posted.select("token", F.col("node").alias(f"node_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "at")))
+    pairs = fit.join(of("x"), ["token", "label_x", "n_x", "at_x"]).join(of("y"), ["token", "label_y", "n_y", "at_y"])
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
