@@ -4,9 +4,9 @@ For every word and word pair, the toxic and the ordinary training texts that
 hold it are counted, over all of them.  Each class's bigrams are discounted and back off to its discounted
 words, which back off to continuation counts that both classes share, so a
 rare expression leans to neither class.  A text's log-likelihood ratio is
-normalised by length: over the whole text, over its most toxic stretch of
-``STRETCH`` words, and over its ``TOP`` most toxic ones; a logistic calibration
-of these three numbers gives the score.
+normalised by length: over the whole text, over its most toxic stretch of any
+``STRETCH`` neighbouring words, and over its ``TOP`` most toxic ones without
+overlap; a logistic calibration of these three numbers gives the score.
 
 Words and word pairs are hashed to ``WORDS`` and ``PAIRS`` buckets, which
 bounds the model (about 40 MB) whatever the corpus; words in fewer than
@@ -231,15 +231,37 @@ def _features(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     size = np.diff(first)
     some = size > 0
     out[some, 0] = np.add.reduceat(ratio, first[:-1][some]) / size[some]
-    # stretches: words 0-2, 3-5, ... of each text, the last one may be shorter
-    place = np.arange(len(ids)) - np.repeat(first[:-1], size)
-    begin = np.flatnonzero(place % STRETCH == 0)
-    stretch = np.add.reduceat(ratio, begin) / STRETCH
-    edges = np.searchsorted(begin, first)
-    out[some, 1] = np.maximum.reduceat(stretch, edges[:-1][some])
-    for d in np.flatnonzero(some):
-        part = stretch[edges[d] : edges[d + 1]]
-        out[d, 2] = (np.partition(part, len(part) - TOP)[-TOP:] if len(part) > TOP else part).sum() / TOP
+    out[:, 1:] = _stretches(ratio, first)
+    return out
+
+
+def _stretches(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(ratio of the most toxic stretch, mean ratio of the TOP most toxic ones that share no word) of each text.
+
+    Every ``STRETCH`` neighbouring words are a stretch; a shorter text is one.
+    """
+    out = np.zeros((len(first) - 1, 2))
+    some = np.flatnonzero(np.diff(first) > 0)
+    if not len(some):
+        return out
+    begin, size = first[:-1][some], np.diff(first)[some]
+    owner = np.repeat(np.arange(len(some)), size)
+    left = np.repeat(begin + size, size) - np.arange(len(ratio))  # words from here to the text's end
+    stretch = ratio.astype(np.float64)
+    for k in range(1, STRETCH):
+        stretch[:-k] += np.where(left[:-k] > k, ratio[k:], 0.0)
+    stretch[(left < STRETCH) & (np.arange(len(ratio)) > begin[owner])] = -np.inf
+    for k in range(TOP):
+        best = np.maximum.reduceat(stretch, begin)
+        found = np.isfinite(best)
+        if k == 0:
+            out[some, 0] = best / STRETCH
+        out[some, 1] += np.where(found, best, 0.0) / (STRETCH * TOP)
+        at = np.flatnonzero((stretch == best[owner]) & found[owner])
+        text, where = np.unique(owner[at], return_index=True)
+        for move in range(1 - STRETCH, STRETCH):
+            taken = at[where] + move
+            stretch[taken[(taken >= begin[text]) & (taken < begin[text] + size[text])]] = -np.inf
     return out
 
 

@@ -308,6 +308,23 @@ def test_toxicity_held_out(spark):
     assert np.mean([p for p, t in held if t]) > 0.9
 
 
+def test_toxic_stretches_are_found_at_any_word():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 9, 30):
+        ratio = rng.normal(size=n)
+        want, free = [], np.ones(n, bool)
+        sums = [ratio[k : k + 3].sum() for k in range(max(n - 2, 1))]
+        for k in np.argsort(sums)[::-1]:
+            if free[k : k + 3].all() and len(want) < toxicity.TOP:
+                want.append(sums[k] / 3)
+                free[k : k + 3] = False
+        got = toxicity._stretches(np.r_[np.full(5, 9.0), ratio, np.full(4, 9.0)], np.array([0, 5, 5, 5 + n, 9 + n]))
+        assert np.allclose(got[2], [max(want), sum(want) / toxicity.TOP]) and (got[1] == 0).all()
+    foul = np.array([0, 0, 5, 5, 0, 0, 0.0])
+    for ahead in range(3):  # neutral words in front change nothing
+        assert toxicity._stretches(np.r_[np.zeros(ahead), foul], np.array([0, 7 + ahead]))[0].tolist() == [10 / 3, 10 / 9]
+
+
 def test_toxicity_odd(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (9, 0), (9, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
