@@ -1,25 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For every word and word pair, the toxic and the ordinary training texts that
-hold it are counted, over all of them.  Each class's bigrams are discounted and back off to its discounted
-words, which back off to continuation counts that both classes share, so a
-rare expression leans to neither class.  A text's log-likelihood ratio is
-normalised by length: over the whole text, over its most toxic stretch of any
-``STRETCH`` neighbouring words, and over its ``TOP`` most toxic ones without
-overlap; a logistic calibration of these three numbers gives the score.
-
-Words and word pairs are hashed to ``WORDS`` and ``PAIRS`` buckets, which
-bounds the model (about 40 MB) whatever the corpus; words in fewer than
-``MIN_COUNT`` texts are one unknown word with a ratio of 1.  Counts are summed
-per partition before the shuffle, so hot sources and copies need no care.
+For every word, word stem and word pair, the toxic and the ordinary training
+texts that hold it are counted, over all of them.  Each class's bigrams are
+discounted and back off to its discounted words, these to its stems, and these
+to continuation counts that both classes share, so a rare expression leans to
+neither class.  A text's log-likelihood ratio is normalised by length: over the
+whole text, over its most toxic stretch of any ``STRETCH`` neighbouring words,
+and over its ``TOP`` most toxic ones without overlap; a logistic calibration of
+these three numbers gives the score.
+
+Words, stems and pairs are told apart by 64-bit hashes, and their counts stay
+in tables that grow with the corpus.  A model of at most ``BROADCAST`` entries
+(36 bytes each) is broadcast; beyond that, texts are dealt into blocks of about
+``BLOCK`` bytes, each block asks for the entries of its own words and pairs,
+and the model answers in slices of about ``SLICE`` entries.  Both ways give
+the same scores.  Counts are summed per partition before the shuffle, so hot
+sources and copies need no care.
 
 The calibration is fitted on at most ``CALIBRATION`` labelled texts of one
 half of the training rows, under a model of the other half; the final model
 counts both.  Everything else covers all rows.
 
-Defined cases: null and empty texts score as a text with a ratio of 1; without
-labels of both classes every score is the toxic share (0 if there are none);
-an id labelled twice takes its higher label; ids are only passed on, so
+Defined cases: null and empty texts score as a text with a ratio of 1; words
+that no training text holds count by their stems, else with a ratio of 1;
+without labels of both classes every score is the toxic share (0 if there are
+none); an id labelled twice takes its higher label; ids are only passed on, so
 repeated rows are fine; extra columns are left alone.
 """
 
@@ -29,30 +34,25 @@ import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.labels import labelled, logistic
 from gridloom.llm.tables import materialise, ship
 from gridloom.llm.wordhash import LETTERS, chunks, hash_words, mix64
 
-WORD_BITS, STEM_BITS, PAIR_BITS = 20, 18, 21
-WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-#: Words and, after them, stems.
-TOKENS = WORDS + (1 << STEM_BITS)
-TOKEN_BITS = TOKENS.bit_length()
 STEM = 5
-MIN_COUNT = 10
 DISCOUNT = 3.0
 #: Least probability of a token, and most that one token counts for.
 FLOOR, MOST = 1e-12, 12.0
 #: Pseudo-count by which a context's bigrams lean on the shared ones.
 LEAN = 100.0
-#: Words of a stretch, and how many stretches speak for a text beside the first.
+#: Words of a stretch, and how many stretches speak for a text.
 STRETCH = 3
 TOP = 3
 CALIBRATION = 20_000
@@ -60,175 +60,143 @@ THRESHOLD = 0.7
 #: A text's half (0 or 1) and class (0 or 1) as one index.
 PARTS = 4
 FEATURES = ("ratio", "stretch_ratio", "top_ratio")
+WORD_KIND, STEM_KIND, PAIR_KIND = 0, 1, 2
+#: Counted rows that a task holds before it hands them on.
+HELD = 1_500_000
+#: Entries of a model that is broadcast, bytes of text in a block, entries of a slice.
+BROADCAST, BLOCK, SLICE = 1_000_000, 8 << 20, 500_000
+#: Of words and stems: log-probabilities by class, pooled probability, and as contexts totals and discounts by class.  Of pairs: discounted counts by class.
+VALUES = ("v0", "v1", "v2", "v3", "v4", "v5", "v6")
+_SCORED = "score double, ratio double, stretch_ratio double, top_ratio double"
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _read(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words, stems, first word of each text) of runs of texts; the last bit tells words from stems."""
+    for row, raw, offsets in chunks(column):
+        words, first, stems = hash_words(raw, offsets, LETTERS, STEM)
+        yield row, words | np.uint64(1), stems & ~np.uint64(1), first
 
 
-def _ids(words: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of words and of their stems."""
-    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), WORDS + (stems >> np.uint64(64 - STEM_BITS)).astype(np.int64)
-
-
-def _tokens(known: np.ndarray, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
-    """Each word, or its stem if it is rare."""
-    return np.where(known[words], words, stems)
-
-
-def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, key) of each two neighbouring words."""
-    key = (ids[:-1] << TOKEN_BITS) | ids[1:]
-    return (mix64(key.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64), key
+def _pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before) * _GOLD + words)
 
 
-def _part_of_words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(word ids, stem ids, text of each word, part of each text, first word of each text)."""
-    parts = batch.column(0).to_numpy()
-    for row, raw, offsets in chunks(batch.column(1)):
-        words, first, stems = hash_words(raw, offsets, LETTERS, STEM)
-        docs = len(first) - 1
-        yield *_ids(words, stems), np.repeat(np.arange(docs), np.diff(first)), parts[row : row + docs], first
+def _texts(first: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def _per_text(items: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(item, text) without repetitions."""
-    both = np.unique((doc << bits) | items)
-    return both & ((1 << bits) - 1), both >> bits
+def _per_part(items: np.ndarray, size: int, doc: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """How many texts of each part hold each item."""
+    doc, items = np.divmod(np.unique(doc * size + items), size)
+    return np.bincount(items * PARTS + parts[doc], minlength=size * PARTS).reshape(size, PARTS).astype(np.int32)
 
 
-def _sparse(counts: np.ndarray, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    used = np.flatnonzero(counts.any(0))
-    for at in range(0, len(used), 1 << 16):
-        u = used[at : at + (1 << 16)]
-        columns = {"bucket": u.astype(np.int32)} | {k: v[u] for k, v in more.items()} | {f"n{k}": counts[k][u] for k in range(PARTS)}
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+def _tally(words: np.ndarray, stems: np.ndarray, first: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, key, second key, counts): words with their stems, stems, pairs of words."""
+    doc = _texts(first)
+    known, at, word = np.unique(words, return_index=True, return_inverse=True)
+    roots, root = np.unique(stems[at], return_inverse=True)
+    yield np.full(len(known), WORD_KIND, np.int8), known, roots[root], _per_part(word, len(known), doc, parts)
+    yield np.full(len(roots), STEM_KIND, np.int8), roots, np.zeros(len(roots), np.uint64), _per_part(root[word], len(roots), doc, parts)
+    inside = doc[1:] == doc[:-1]
+    if inside.any():
+        both, pair = np.unique((word[:-1] * len(known) + word[1:])[inside], return_inverse=True)
+        counts = _per_part(pair, len(both), doc[1:][inside], parts)
+        yield np.full(len(both), PAIR_KIND, np.int8), known[both // len(known)], known[both % len(known)], counts
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, stem_of = np.zeros((PARTS, TOKENS), np.int64), np.full(TOKENS, TOKENS, np.int32)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for words, stems, doc, parts, _ in _part_of_words(batch):
-            np.minimum.at(stem_of, words, stems.astype(np.int32))
-            ids, doc = _per_text(np.r_[words, stems], np.r_[doc, doc], TOKEN_BITS)
-            for p in range(PARTS):
-                counts[p] += np.bincount(ids[parts[doc] == p], minlength=TOKENS)
-    yield from _sparse(counts, stem=stem_of)
-
-
-def _pair_counts(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_known = np.unpackbits(known.value)[:TOKENS].astype(bool)
-        counts, keys = np.zeros((PARTS, PAIRS), np.int64), np.full(PAIRS, np.iinfo(np.int64).max)
-        for batch in batches:
-            for words, stems, doc, parts, first in _part_of_words(batch):
-                ids = _tokens(is_known, words, stems)
-                if len(ids) < 2:
-                    continue
-                bucket, key = _pairs(ids)
-                use = is_known[ids[:-1]] & is_known[ids[1:]]
-                edge = first[1:-1]
-                use[edge[(edge > 0) & (edge < len(ids))] - 1] = False
-                bucket, key, doc = bucket[use], key[use], doc[1:][use]
-                np.minimum.at(keys, bucket, key)
-                bucket, doc = _per_text(bucket, doc, PAIR_BITS)
-                for p in range(PARTS):
-                    counts[p] += np.bincount(bucket[parts[doc] == p], minlength=PAIRS)
-        yield from _sparse(counts, key=keys)
-
-    return run
+        parts = batch.column(0).to_numpy()
+        for row, words, stems, first in _read(batch.column(1)):
+            if len(words):
+                held += _tally(words, stems, first, parts[row:])
+            if sum(len(h[0]) for h in held) > HELD:
+                yield from _merged(held)
+                held = []
+    if held:
+        yield from _merged(held)
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    kind, a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(_pair_keys(a, b + kind.astype(np.uint64)))
+    kind, a, b, n = kind[order], a[order], b[order], n[order]
+    start = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    n = np.add.reduceat(n, start, axis=0, dtype=np.int32)
+    for at in range(0, len(start), 1 << 16):
+        u = start[at : at + (1 << 16)]
+        columns = {"kind": kind[u], "a": a[u].view(np.int64), "b": b[u].view(np.int64)} | {f"n{k}": np.ascontiguousarray(n[at : at + (1 << 16), k]) for k in range(PARTS)}
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
 @dataclass
 class Model:
-    known: np.ndarray
-    #: by class: log-probabilities of tokens; bigram counts; totals and discounts by context
-    words: np.ndarray
-    pooled: np.ndarray
-    pairs: np.ndarray
-    totals: np.ndarray
-    types: np.ndarray
+    """Sorted keys and their ``VALUES`` if it is small, else ``None`` and a table of (a, b, VALUES)."""
+
+    known: np.ndarray | None
+    pairs: np.ndarray | None
     calibration: np.ndarray
+    entries: int
+    table: DataFrame | None = None
 
 
 def pack(model: Model) -> bytes:
-    """The model for broadcasting: only what is in use, compressed to a few MB."""
-    tokens, pairs = np.flatnonzero(model.known), np.flatnonzero(model.pairs.any(0))
-    parts = [tokens.astype(np.int32), *(a[..., tokens] for a in (model.words, model.pooled, model.totals, model.types)), pairs.astype(np.int32), model.pairs[:, pairs], model.calibration]
-    return zlib.compress(pickle.dumps(parts), 1)
+    """A small model for broadcasting."""
+    return zlib.compress(pickle.dumps((model.known, model.pairs, model.calibration)), 1)
 
 
 def unpack(packed: bytes) -> Model:
     """The last model unpacked stays with the worker for its next tasks."""
     key = hashlib.blake2b(packed, digest_size=16).digest()
     if key not in _unpacked:
-        tokens, words, pooled, totals, types, pairs, counts, calibration = pickle.loads(zlib.decompress(packed))
-        spread = lambda a: _spread(a, tokens, TOKENS)
-        known = np.zeros(TOKENS, bool)
-        known[tokens] = True
+        known, values, calibration = pickle.loads(zlib.decompress(packed))
         _unpacked.clear()
-        _unpacked[key] = Model(known, spread(words), spread(pooled), _spread(counts, pairs, PAIRS), spread(totals), spread(types), calibration)
+        _unpacked[key] = Model(known, values, calibration, len(known))
     return _unpacked[key]
 
 
-def _spread(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((*values.shape[:-1], size), values.dtype)
-    out[..., at] = values
-    return out
-
-
 _unpacked: dict[bytes, Model] = {}
 
 
-def _fit(known: np.ndarray, stem_of: np.ndarray, word_counts: np.ndarray, pair_counts: np.ndarray, totals: np.ndarray, types: np.ndarray, contexts: np.ndarray, calibration: np.ndarray) -> Model:
-    """Kneser-Ney models of the two classes from their counts (2 x buckets each, but for the shared numbers of contexts)."""
-    continuation = contexts + 0.5  # shared: contexts of a token in either class
-    words = np.zeros((2, TOKENS), np.float32)
-    pooled = np.zeros(TOKENS)
-    for level in (slice(WORDS, TOKENS), slice(0, WORDS)):  # stems, and words, which back off to their stems
-        use = known[level]
-        shared = np.where(use, continuation[level], 0)
-        shared /= max(shared.sum(), 1e-9)
-        if level.start == 0:
-            at = np.minimum(stem_of[level], TOKENS - 1)
-            within = np.bincount(at, weights=shared, minlength=TOKENS)[at]
-        for c in range(2):
-            if level.start == 0:
-                back = np.exp(words[c][at].astype(np.float64)) * shared / np.maximum(within, 1e-12)
-                back /= max(back.sum(), 1e-9)
-            else:
-                back = shared
-            n = np.where(use, word_counts[c][level], 0).astype(np.float64)
-            kept, total = np.maximum(n - DISCOUNT, 0), max(n.sum(), 1.0)
-            mass = max(total - kept.sum(), 1.0) / total  # what the discounts free for the shared counts
-            p = kept / total + mass * back
-            words[c][level] = np.log(np.maximum(p, FLOOR))
-            pooled[level] += p * total
-        pooled[level] /= max(pooled[level].sum(), 1e-9)
-    return Model(known, words, np.maximum(pooled, FLOOR).astype(np.float32), pair_counts.astype(np.float32), totals.astype(np.float32), types.astype(np.float32), calibration)
-
-
-def _features(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether known, where) of each key."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    wanted, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return (known[at] == wanted)[back], at[back]
+
+
+def _ratios(m: Model, words: np.ndarray, stems: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each word after the one before it."""
+    found, at = _find(m.known, words)
+    lost = np.flatnonzero(~found)
+    found[lost], at[lost] = _find(m.known, stems[lost])
+    if not found.any():
+        return np.zeros(len(words))
+    ratio = np.where(found, m.pairs[at, 1] - m.pairs[at, 0], 0.0).astype(np.float64)
+    doc = _texts(first)
+    use = np.flatnonzero(found[1:] & found[:-1] & (doc[1:] == doc[:-1])) + 1
+    if len(use):
+        seen, pair = _find(m.known, _pair_keys(words[use - 1], words[use]))
+        kept = np.where(seen[:, None], m.pairs[pair, :2], 0.0)
+        own, context = m.pairs[at[use]].astype(np.float64), m.pairs[at[use - 1]].astype(np.float64)
+        total, taken, word = context[:, 3:5], context[:, 5:7], own[:, 2]
+        shared = (kept.sum(1) + (taken.sum(1) + LEAN) * word) / (total.sum(1) + LEAN)
+        logs = [np.log((kept[:, c] + (taken[:, c] + LEAN) * shared * np.exp(own[:, c]) / word) / (total[:, c] + LEAN)) for c in range(2)]
+        ratio[use] = logs[1] - logs[0]
+    return np.clip(ratio, -MOST, MOST)
+
+
+def _features(m: Model, words: np.ndarray, stems: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(log-likelihood ratio a word, that of the most toxic stretch, that of the TOP most toxic ones) of each text."""
-    docs = len(first) - 1
-    out = np.zeros((docs, 3))
-    if not len(ids):
+    out = np.zeros((len(first) - 1, 3))
+    if not len(words):
         return out
-    known = m.known[ids]
-    ratio = np.where(known, m.words[1][ids] - m.words[0][ids], 0.0)
-    if len(ids) > 1:
-        use = known[1:] & known[:-1]
-        edge = first[1:-1]
-        use[edge[(edge > 0) & (edge < len(ids))] - 1] = False
-        at = np.flatnonzero(use) + 1
-        bucket, _ = _pairs(ids)
-        bucket, before = bucket[at - 1], ids[at - 1]
-        word = m.pooled[ids[at]]
-        pair, total, types = m.pairs[:, bucket], m.totals[:, before], m.types[:, before]
-        shared = (np.maximum(pair.sum(0) - DISCOUNT, 0) + (types.sum(0) + LEAN) * word) / (total.sum(0) + LEAN)
-        logs = []
-        for c in range(2):
-            back = shared * np.exp(m.words[c][ids[at]]) / word
-            logs.append(np.log((np.maximum(pair[c] - DISCOUNT, 0) + (types[c] + LEAN) * back) / (total[c] + LEAN)))
-        ratio[at] = logs[1] - logs[0]
-    np.clip(ratio, -MOST, MOST, out=ratio)
-    size = np.diff(first)
+    ratio, size = _ratios(m, words, stems, first), np.diff(first)
     some = size > 0
     out[some, 0] = np.add.reduceat(ratio, first[:-1][some]) / size[some]
     out[:, 1:] = _stretches(ratio, first)
@@ -265,86 +233,228 @@ def _stretches(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rated(m: Model, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    for row, words, stems, first in _read(texts):
+        f = _features(m, words, stems, first)
+        z = f @ m.calibration[:3] + m.calibration[3]
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        yield pa.RecordBatch.from_arrays([ids.slice(row, len(f)), pa.array(score), *(pa.array(f[:, k]) for k in range(3))], names=["id", "score", *FEATURES])
+
+
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = unpack(model.value)
         for batch in batches:
-            for row, raw, offsets in chunks(batch.column(1)):
-                words, first, stems = hash_words(raw, offsets, LETTERS, STEM)
-                f = _features(m, _tokens(m.known, *_ids(words, stems)), first)
-                z = f @ m.calibration[:3] + m.calibration[3]
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(f)), pa.array(score), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2])], names=["id", "score", "ratio", "stretch_ratio", "top_ratio"])
+            yield from _rated(m, batch.column(0), batch.column(1))
 
     return run
 
 
-def _dense(found: pa.Table, size: int, at: str = "bucket", columns: tuple[str, ...] = tuple(f"n{k}" for k in range(PARTS))) -> np.ndarray:
-    out = np.zeros((len(columns), size), np.float32)
-    where = found.column(at).to_numpy()
-    for k, c in enumerate(columns):
-        out[k, where] = found.column(c).to_numpy()
-    return out
+def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """Ascending with the keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int32)
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Compressed byte by byte of equal rank: (rows, numbers) or (rows,)."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(packed: bytes, rows: int, dtype: type, columns: int = 1) -> np.ndarray:
+    width = np.dtype(dtype).itemsize * columns
+    raw = np.frombuffer(pa.decompress(packed, rows * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, rows).T).view(dtype).reshape((rows, columns) if columns > 1 else rows)
+
+
+def _wanted(texts: pa.Array) -> np.ndarray:
+    """All keys of the words, stems and pairs of a block, in order."""
+    keys = []
+    for _, words, stems, first in _read(texts):
+        doc = _texts(first)
+        pairs = _pair_keys(words[:-1], words[1:])[doc[1:] == doc[:-1]] if len(words) > 1 else words[:0]
+        keys.append(np.unique(np.concatenate([words, stems, pairs])))
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
+def _table(columns: dict) -> pa.Table:
+    return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
+
+
+def _asks(slices: int):
+    def run(key, block):
+        keys = _wanted(block.column("text"))
+        of = _slice_of(keys, slices)
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        parts = [keys[a:b] for a, b in zip(start, np.r_[start[1:], len(keys)], strict=True)] if len(of) else []
+        steps = [_squeeze(np.diff(p, prepend=np.uint64(0))) for p in parts]
+        return _table({"slice": (of[start], pa.int32()), "block": ([key[0].as_py()] * len(parts), pa.int32()), "size": ([len(p) for p in parts], pa.int32()), "keys": (steps, pa.binary())})
+
+    return run
+
+
+def _answers(key, asked, entries):
+    """For each block that asks: which of its keys are known, and their values."""
+    known = entries.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known = known[order]
+    values = np.column_stack([entries.column(v).to_numpy() for v in VALUES])[order] if len(known) else np.zeros((0, len(VALUES)), np.float32)
+    found, numbers, sizes = [], [], []
+    for size, steps in zip(asked.column("size").to_pylist(), asked.column("keys"), strict=True):
+        keys = np.cumsum(_unsqueeze(steps.as_buffer(), size, np.uint64), dtype=np.uint64)
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        is_known = known[at] == keys if len(known) else np.zeros(size, bool)
+        found.append(np.packbits(is_known).tobytes())
+        numbers.append(_squeeze(values[at[is_known]]) if is_known.any() else b"")
+        sizes.append(size)
+    return _table({"slice": ([key[0].as_py()] * len(sizes), pa.int32()), "block": (asked.column("block").to_pylist(), pa.int32()), "size": (sizes, pa.int32()), "found": (found, pa.binary()), "numbers": (numbers, pa.binary())})
+
+
+def _block_scores(calibration: np.ndarray):
+    def run(block, answers):
+        keys = _wanted(block.column("text"))
+        found, values = [], []
+        for row in sorted(answers.to_pylist(), key=lambda r: r["slice"]):
+            found.append(np.unpackbits(np.frombuffer(row["found"], np.uint8))[: row["size"]].astype(bool))
+            if found[-1].any():
+                values.append(_unsqueeze(row["numbers"], int(found[-1].sum()), np.float32, len(VALUES)))
+        known = keys[np.concatenate(found)] if found else keys[:0]
+        m = Model(known, np.concatenate(values) if values else np.zeros((0, len(VALUES)), np.float32), calibration, len(known))
+        return pa.Table.from_batches(list(_rated(m, block.column("id").combine_chunks(), block.column("text"))))
+
+    return run
+
+
+def _keyed(slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            keys = np.where(b == 0, a, _pair_keys(a, b))  # the second word of a pair is odd
+            yield pa.RecordBatch.from_arrays([pa.array(_slice_of(keys, slices)), pa.array(keys.view(np.int64)), *batch.columns[2:]], names=["slice", "key", *VALUES])
+
+    return run
+
+
+_ENTRIES = "slice int, key bigint, " + ", ".join(f"{v} float" for v in VALUES)
+
+
+def _small(model: Model) -> Model:
+    """With its entries at the driver if they are few."""
+    if model.known is not None or model.entries > BROADCAST:
+        return model
+    got = model.table.mapInArrow(_keyed(1), _ENTRIES).toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Model(keys[order], np.column_stack([got.column(v).to_numpy() for v in VALUES])[order], model.calibration, model.entries)
+
+
+def _apply(base: DataFrame, model: Model) -> DataFrame:
+    """(id, score, FEATURES) of rows (id, text)."""
+    schema = f"id {base.schema['id'].dataType.simpleString()}, {_SCORED}"
+    if model.known is not None:
+        return base.mapInArrow(_scores(base.sparkSession.sparkContext.broadcast(pack(model))), schema)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # at most two keys a word and its stem's; a word has some six bytes
+    slices = (model.entries + size // 3) // SLICE + 1
+    dealt = base.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(size // BLOCK + 1)).cast("int"))
+    asked = dealt.groupBy("block").applyInArrow(_asks(slices), "slice int, block int, size int, keys binary")
+    entries = model.table.mapInArrow(_keyed(slices), _ENTRIES)
+    answers = asked.groupBy("slice").cogroup(entries.groupBy("slice")).applyInArrow(_answers, "slice int, block int, size int, found binary, numbers binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scores(model.calibration), schema)
+
+
+def _discounts(once: int, twice: int, thrice: int, four: int) -> tuple[float, float, float]:
+    """What a count of one, two, and three or more gives up."""
+    return 1.0, 2.0, DISCOUNT
+
+
+def _kept(n: Column, discounts: tuple[float, float, float]) -> Column:
+    return F.when(n >= 3, n - discounts[2]).when(n == 2, 2 - discounts[1]).when(n == 1, 1 - discounts[0]).otherwise(0.0)
+
+
+def _fit(counts: DataFrame, columns: tuple[Column, Column], calibration: np.ndarray) -> tuple[Model, list[float]]:
+    """Kneser-Ney models of the two classes by their columns of counts; also the classes' sums of words."""
+    rows = counts.select("kind", "a", "b", *(c.alias(f"c{k}") for k, c in enumerate(columns))).filter("c0 + c1 > 0")
+    c = [F.col("c0"), F.col("c1")]
+    told = [f(x).alias(f"{name}{k}") for k, x in enumerate(c) for name, f in [("sum", F.sum), *((f"is{n}_", lambda x, n=n: F.count_if(x == n)) for n in (1, 2, 3, 4)), ("more", lambda x: F.count_if(x >= 3))]]
+    stats = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count("*").alias("rows"), *told).collect()}
+    if WORD_KIND not in stats:
+        return Model(np.zeros(0, np.uint64), np.zeros((0, len(VALUES)), np.float32), calibration, 0), [0.0, 0.0]
+    off, total, mass = {}, {}, {}
+    for kind, r in stats.items():
+        for k in range(2):
+            d = off[kind, k] = _discounts(*(r[f"is{n}_{k}"] for n in (1, 2, 3, 4)))
+            total[kind, k] = max(r[f"sum{k}"], 1)
+            taken = d[0] * r[f"is1_{k}"] + d[1] * r[f"is2_{k}"] + d[2] * r[f"more{k}"]
+            mass[kind, k] = max(taken, 1.0) / total[kind, k]  # what the discounts free for the shared counts
+    n_pairs = stats[PAIR_KIND]["rows"] if PAIR_KIND in stats else 0
+    kept = lambda kind: [_kept(c[k], off[kind, k]) if kind in stats else F.lit(0.0) for k in range(2)]
+    pairs = rows.filter(F.col("kind") == PAIR_KIND).select("a", "b", "c0", "c1", *(x.alias(f"k{k}") for k, x in enumerate(kept(PAIR_KIND))))
+    ahead = pairs.groupBy(F.col("a").alias("key")).agg(*(F.sum(f"c{k}").alias(f"t{k}") for k in range(2)), *(F.sum(c[k] - F.col(f"k{k}")).alias(f"d{k}") for k in range(2)))
+    behind = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("contexts"))
+    words = rows.filter(F.col("kind") == WORD_KIND).select(F.col("a").alias("key"), F.col("b").alias("stem"), *(x.alias(f"k{k}") for k, x in enumerate(kept(WORD_KIND))))
+    words = words.join(ahead, "key", "left").join(behind, "key", "left").withColumn("shared", F.coalesce("contexts", F.lit(0)) + 0.5)
+    every = n_pairs + 0.5 * stats[WORD_KIND]["rows"]
+    p = lambda kind, k, back: F.greatest(F.col(f"k{k}") / total[kind, k] + mass[kind, k] * back, F.lit(FLOOR))
+    pooled = lambda kind, x: (x[0] * total[kind, 0] + x[1] * total[kind, 1]) / (total[kind, 0] + total[kind, 1])
+    stems = rows.filter(F.col("kind") == STEM_KIND).select(F.col("a").alias("stem"), *(x.alias(f"k{k}") for k, x in enumerate(kept(STEM_KIND))))
+    stems = stems.join(words.groupBy("stem").agg(F.sum("shared").alias("within")), "stem")
+    stems = stems.select("stem", "within", *(p(STEM_KIND, k, F.col("within") / every).alias(f"s{k}") for k in range(2)))
+    words = words.join(stems, "stem")
+    values = lambda *v: [x.cast("float").alias(n) for n, x in zip(VALUES, [*v, *[F.lit(0.0)] * (len(VALUES) - len(v))], strict=True)]
+    own = [p(WORD_KIND, k, F.col(f"s{k}") * F.col("shared") / F.col("within")) for k in range(2)]
+    contexts = [F.coalesce(n, F.lit(0)) for n in ("t0", "t1", "d0", "d1")]
+    none, s = F.lit(0).cast("bigint").alias("b"), [F.col("s0"), F.col("s1")]
+    table = words.select(F.col("key").alias("a"), none, *values(*(F.log(x) for x in own), pooled(WORD_KIND, own), *contexts))
+    table = table.unionAll(stems.select(F.col("stem").alias("a"), none, *values(*(F.log(x) for x in s), pooled(STEM_KIND, s))))
+    table = table.unionAll(pairs.select("a", "b", *values(F.col("k0"), F.col("k1"))))
+    model = Model(None, None, calibration, sum(r["rows"] for r in stats.values()), table)
+    return _small(model), [float(stats[WORD_KIND][f"sum{k}"]) for k in range(2)]
+
+
+@contextmanager
+def _no_leftovers(spark: SparkSession) -> Iterator[None]:
+    """What is run inside gives its shuffle files back when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Two passes over all labelled rows; bucket counts (a bounded number) come to the driver."""
+    """One pass over all labelled rows; the counts stay in a table unless the model is small."""
     ship(docs.sparkSession)
-    spark = docs.sparkSession
     rows, n_labels = labelled(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col)
     half = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(2)).cast("int")
     rows = rows.select("id", (half * 2 + (F.col("label") > 0).cast("int")).alias("part"), "text")
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(PARTS)]
-    columns = ", ".join(f"n{k} bigint" for k in range(PARTS))
-    light = [F.col(f"n{k}").cast("float").alias(f"n{k}") for k in range(PARTS)]  # as they come to the driver
-    found = rows.select("part", "text").mapInArrow(_word_counts, f"bucket int, stem int, {columns}").groupBy("bucket")
-    found = found.agg(F.min("stem").alias("stem"), *sums).filter(f"n0 + n1 + n2 + n3 >= {MIN_COUNT}")
-    found = found.select("bucket", "stem", *light).toArrow()
-    word_counts, stem_of = _dense(found, TOKENS), np.full(TOKENS, TOKENS - 1)
-    stem_of[found.column("bucket").to_numpy()] = found.column("stem").to_numpy()
-    known = word_counts.sum(0) >= MIN_COUNT
-    toxic_share = (word_counts[1] + word_counts[3]).sum() / max(word_counts.sum(), 1)
-    shared = spark.sparkContext.broadcast(np.packbits(known))
     n = [F.col(f"n{k}") for k in range(PARTS)]
-    pairs = rows.select("part", "text").mapInArrow(_pair_counts(shared), f"bucket int, key bigint, {columns}")
-    pairs = materialise(pairs.groupBy("bucket").agg(F.min("key").alias("key"), *sums), "pair-counts")
-    # what the discount takes from a context's pairs: for the first half, then for both
-    taken = [F.sum(F.least(c, F.lit(int(DISCOUNT)))).cast("float").alias(f"d{k}") for k, c in enumerate((n[0], n[1], n[0] + n[2], n[1] + n[3]))]
-    ahead = pairs.groupBy(F.shiftright("key", TOKEN_BITS).cast("int").alias("token")).agg(*(F.sum(c).cast("float").alias(f"n{k}") for k, c in enumerate(n)), *taken).toArrow()
-    del found
-    totals, types = _dense(ahead, TOKENS, "token"), _dense(ahead, TOKENS, "token", ("d0", "d1", "d2", "d3"))
-    behind = pairs.groupBy(F.col("key").bitwiseAND((1 << TOKEN_BITS) - 1).cast("int").alias("token")).agg(F.count("*").alias("contexts")).toArrow()
-    contexts = _dense(behind, TOKENS, "token", ("contexts",))[0]
-    # a pair that the discount takes whole counts by its context alone
-    often = pairs.filter(n[0] + n[1] + n[2] + n[3] > DISCOUNT).select("bucket", *light).toArrow()
-    pair_counts = _dense(often, PAIRS)
-    del ahead, behind, often
-    shared.destroy()
+    counts = rows.select("part", "text").mapInArrow(_counts, "kind tinyint, a bigint, b bigint, " + ", ".join(f"n{k} int" for k in range(PARTS)))
+    with _no_leftovers(docs.sparkSession):
+        counts = materialise(counts.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(f"n{k}") for k, c in enumerate(n))), "toxic-counts")
     # calibrate on the second half under a model of the first
-    halves = _fit(known, stem_of, word_counts[:2], pair_counts[:2], totals[:2], types[:2], contexts, np.zeros(4))
+    halves, _ = _fit(counts, (n[0], n[1]), np.zeros(4))
     sample = rows.filter("part >= 2")
     share = min(1.0, CALIBRATION / max(n_labels / 2, 1))
     if share < 1:
         sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    model = spark.sparkContext.broadcast(pack(halves))
-    del halves
-    got = sample.select(F.col("part").alias("id"), "text").mapInArrow(_scores(model), "id int, score double, ratio double, stretch_ratio double, top_ratio double").select("id", *FEATURES).toArrow()
-    model.destroy()
+    with _no_leftovers(docs.sparkSession):
+        got = _apply(sample.select(F.col("part").alias("id"), "text"), halves).select("id", *FEATURES).toArrow()
     toxic = got.column("id").to_numpy() == 3
+    model, sums = _fit(counts, (n[0] + n[2], n[1] + n[3]), np.zeros(4))
     if 0 < toxic.sum() < len(toxic):
         x = np.column_stack([got.column(c).to_numpy() for c in FEATURES])
-        calibration = logistic(x, toxic)
+        model.calibration = logistic(x, toxic)
     else:
-        calibration = np.array([0.0, 0.0, 0.0, np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))])
-    both = lambda c: c[:2] + c[2:]
-    return _fit(known, stem_of, both(word_counts), both(pair_counts), both(totals), types[2:], contexts, calibration)
+        toxic_share = sums[1] / max(sum(sums), 1)
+        model.calibration = np.array([0.0, 0.0, 0.0, np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))])
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, score, ratio, stretch_ratio, top_ratio, predicted."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pack(model))
-    kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = base.mapInArrow(_scores(shared), f"id {kind}, score double, ratio double, stretch_ratio double, top_ratio double")
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return _apply(base, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -325,6 +325,34 @@ def test_toxic_stretches_are_found_at_any_word():
         assert toxicity._stretches(np.r_[np.zeros(ahead), foul], np.array([0, 7 + ahead]))[0].tolist() == [10 / 3, 10 / 9]
 
 
+def test_toxicity_tells_all_words_and_pairs_apart(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = sorted({"".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(8000)})
+    raw = " ".join(vocabulary).encode()
+    hashes = hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED)[0]
+    by = defaultdict(list)
+    for w, h in zip(vocabulary, hashes.tolist(), strict=True):
+        by[h >> 44].append(w)
+    foul, plain = next(v for v in by.values() if len(v) > 1)[:2]  # equal in the first 20 bits of their hashes
+    rows = [(k, " ".join(rng.sample(vocabulary, 12) + [foul if k % 5 == 0 else plain]), int(k % 5 == 0)) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs)
+    split = [t.split(" ") for _, t, _ in rows]
+    want = {w for t in split for w in t} | {("stem", w[:5]) for t in split for w in t} | {p for t in split for p in zip(t, t[1:])}
+    assert len(model.known) == len(want)
+    asked = spark.createDataFrame([(1, foul), (2, plain), (3, None), (3, ""), (None, f"{foul} {plain} unseen"), *((10 + k, t) for k, t, _ in rows)], "doc_id long, text string")
+    few = sorted((tuple(r) for r in toxicity.score(asked, model).collect()), key=str)
+    ratio = {r[0]: r[2] for r in few}
+    assert ratio[1] > 1 and ratio[2] < -1
+    for name, value in (("BROADCAST", 0), ("BLOCK", 3000), ("SLICE", 1000), ("HELD", 2000)):
+        monkeypatch.setattr(toxicity, name, value)
+    many = toxicity.train(docs, docs)
+    assert many.known is None and many.entries == len(want)
+    got = sorted((tuple(r) for r in toxicity.score(asked, many).collect()), key=str)
+    assert [r[0] for r in got] == [r[0] for r in few]
+    assert np.allclose([r[1:] for r in got], [r[1:] for r in few], atol=1e-6)
+
+
 def test_toxicity_odd(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (9, 0), (9, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
