@@ -2,7 +2,7 @@
 
 For every word, word stem and word pair, the toxic and the ordinary training
 texts that hold it are counted, over all of them.  Each class's bigrams are
-discounted and back off to its discounted words, these to its stems, and these
+discounted, by counts of counts, and back off to its discounted words, these to its stems, and these
 to continuation counts that both classes share, so a rare expression leans to
 neither class.  A text's log-likelihood ratio is normalised by length: over the
 whole text, over its most toxic stretch of any ``STRETCH`` neighbouring words,
@@ -47,7 +47,8 @@ from gridloom.llm.tables import materialise, ship
 from gridloom.llm.wordhash import LETTERS, chunks, hash_words, mix64
 
 STEM = 5
-DISCOUNT = 3.0
+#: Discount where it cannot be estimated.
+DISCOUNT = 0.75
 #: Least probability of a token, and most that one token counts for.
 FLOOR, MOST = 1e-12, 12.0
 #: Pseudo-count by which a context's bigrams lean on the shared ones.
@@ -364,8 +365,17 @@ def _apply(base: DataFrame, model: Model) -> DataFrame:
 
 
 def _discounts(once: int, twice: int, thrice: int, four: int) -> tuple[float, float, float]:
-    """What a count of one, two, and three or more gives up."""
-    return 1.0, 2.0, DISCOUNT
+    """What a count of one, two, and three or more gives up, by how many items have counts of one to four.
+
+    Chen and Goodman's estimates; where such counts are missing, ``DISCOUNT``.
+    A count always keeps something.
+    """
+    if not (once and twice):
+        return DISCOUNT, DISCOUNT, DISCOUNT
+    d = once / (once + 2 * twice)
+    two = 2 - 3 * d * thrice / twice if thrice else d
+    three = 3 - 4 * d * four / thrice if thrice and four else two
+    return min(d, 0.95), min(max(two, 0.05), 1.95), min(max(three, 0.05), 2.95)
 
 
 def _kept(n: Column, discounts: tuple[float, float, float]) -> Column:

@@ -353,6 +353,28 @@ def test_toxicity_tells_all_words_and_pairs_apart(spark, monkeypatch):
     assert np.allclose([r[1:] for r in got], [r[1:] for r in few], atol=1e-6)
 
 
+def test_toxicity_keeps_rare_words_and_pairs(spark):
+    assert toxicity._discounts(600, 200, 100, 60) == pytest.approx((0.6, 1.1, 1.56))
+    for few in ((0, 0, 0, 0), (5, 0, 0, 0), (5, 1, 0, 0), (1, 9, 99, 999), (9, 9, 0, 9)):
+        d = toxicity._discounts(*few)
+        assert 0 < d[0] < 1 and 0 < d[1] < 2 and 0 < d[2] < 3
+    rng = random.Random(6)
+    rows = []
+    for k in range(600):
+        text = words(rng, 25, "abcdefghijkl").split(" ") + ["left", words(rng, 1), "right"]
+        if k % 3 == 0:
+            text += ["left", "right"] if k < 9 else ["qqfoul"] if k < 15 else []  # three and two texts
+        rows.append((k, " ".join(text), int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs)
+    pairs = model.pairs[model.pairs[:, 2] == 0]
+    assert len(pairs) == len({p for _, t, _ in rows for p in zip(t.split(" "), t.split(" ")[1:])})
+    assert (pairs[:, :2].sum(1) > 0).all()  # each of them keeps a part of its count
+    asked = spark.createDataFrame([(1, "qqfoul"), (2, "neverseen")], "doc_id long, text string")
+    ratio = {r["id"]: r["ratio"] for r in toxicity.score(asked, model).collect()}
+    assert ratio[1] > 0.5 and ratio[2] == 0
+
+
 def test_toxicity_odd(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (9, 0), (9, None), (None, 1), (2, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
