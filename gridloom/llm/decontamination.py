@@ -41,11 +41,6 @@ def _exact(text: Column) -> Column:
     return _words(F.translate(text, UPPER, LOWER))
 
 
-def _folded(text: Column) -> Column:
-    """As ``_exact``, but folding all letters: cheaper, and equal wherever ``_exact`` is."""
-    return _words(F.lower(text))
-
-
 def _window_hashes(w: Column, n: int) -> Column:
     """The hashes of all windows of n words, in order."""
 
@@ -61,10 +56,10 @@ def benchmark_windows(bench: DataFrame, n: int, item_col: str, text_col: str) ->
     sized = items.withColumn("len", F.least(F.lit(n), F.size("w")))
     places = sized.select("item", "len", "w", F.explode(upto(F.size("w") - F.col("len") + 1)).alias("at"))
     cut = places.select("item", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("window"))
-    folded = F.split(F.lower("window"), " ", -1)
+    split = F.split("window", " ", -1)
     by_len = F.lit(None).cast("long")
     for k in range(1, n + 1):
-        by_len = F.when(F.col("len") == k, F.get(_window_hashes(folded, k), F.lit(0))).otherwise(by_len)
+        by_len = F.when(F.col("len") == k, F.get(_window_hashes(split, k), F.lit(0))).otherwise(by_len)
     return cut.select("item", "len", "window", by_len.alias("hash")).distinct()
 
 
@@ -79,7 +74,7 @@ def hits(docs: DataFrame, bench: DataFrame, *, n: int = N, id_col: str = "doc_id
     by_len = lambda w: F.array(*(F.struct(F.lit(k).alias("len"), _window_hashes(w, k).alias("h")) for k in lengths))
     if not lengths:
         by_len = lambda w: F.expr("array()").cast("array<struct<len:int,h:array<bigint>>>")
-    scanned = base.select("id", "key", F.explode(let(_folded(F.col("text")), by_len)).alias("x"))
+    scanned = base.select("id", "key", F.explode(let(_exact(F.col("text")), by_len)).alias("x"))
     seen = scanned.select("id", "key", F.col("x.len").alias("len"), F.posexplode("x.h").alias("at", "hash"))
     found = seen.join(hashes, "hash").select("id", "key", "len", "at").distinct()
     found = materialise(
@@ -119,7 +114,7 @@ def scan(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col:
     own = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.col(text_col)).alias("key"),
-        F.size(_folded(F.col(text_col))).cast("long").alias("n_words"),
+        F.size(_exact(F.col(text_col))).cast("long").alias("n_words"),
     )
     joined = own.join(hit, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

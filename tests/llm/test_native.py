@@ -126,6 +126,16 @@ def test_decontamination_against_brute_force(spark, bench_case, monkeypatch, lim
     assert got == want
 
 
+def test_decontamination_of_capital_sigmas(spark):
+    text = "ΟΔΟΣ'A ΦΩΣ:B ΝΟΜΟΣ.C " + " ".join(f"w{k}" for k in range(10))
+    docs = spark.createDataFrame([(1, text), (2, text.lower())], "doc_id long, text string")
+    found = decontamination.scan(docs, spark.createDataFrame([(5, text)], "item_id long, text string")).collect()
+    got = {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in found}
+    for i, t in ((1, text), (2, text.lower())):
+        assert got[i] == brute_hits(t, [(5, text)])[:3]
+    assert got[1] == (16, 16, ["5"])
+
+
 def test_decontamination_removal(spark, bench_case, odd, empty):
     docs, items = bench_case
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
