@@ -6,9 +6,9 @@ and other bytes, repetition, hashed byte pairs), a small layer turns this into
 a representation, gated attention weighs the passages, and the weighted sum is
 scored.  All weights are learned together from the documents' labels.
 
-The fit runs on the driver on about ``SAMPLE`` labelled documents, drawn by a
-hash of the id, with at most ``FIT_PASSAGES`` evenly spaced passages each: a
-bounded sample whatever the corpus.  Scoring encodes every passage of every
+The fit runs on the driver on all passages of about ``SAMPLE`` labelled
+documents, drawn by a hash of the id; fewer documents if they have more than
+``FIT_BYTES`` of text: a bounded sample whatever the corpus.  Scoring encodes every passage of every
 document, in chunks of bounded size, row by row: no shuffle, no key.
 
 Defined cases: null, empty and blank texts are one empty passage and get the
@@ -33,7 +33,7 @@ from gridloom.llm.tables import ship
 from gridloom.llm.wordhash import SPACED, chunks, hash_words
 
 PASSAGE = 64
-SAMPLE, FIT_PASSAGES = 6_000, 16
+SAMPLE, FIT_BYTES = 6_000, 48 << 20
 THRESHOLD = 0.7
 HIDDEN, GATE = 16, 8
 ROUNDS, RATE, DECAY = 200, 0.03, 1e-4
@@ -153,11 +153,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, raw, offsets in chunks(batch.column(1)):
             x, begin = encode(raw, offsets)
-            bags = []
-            for d in range(len(begin) - 1):
-                n = begin[d + 1] - begin[d]
-                take = np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).astype(np.int64))
-                bags.append(x[begin[d] + take].tobytes())
+            bags = [x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(bags)), pa.array(bags, pa.binary())], names=["label", "bag"])
 
 
@@ -167,6 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if n > SAMPLE:
         labels = labels.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col).cast("string")), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
     rows, _ = labelled(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > FIT_BYTES:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("bytes"), F.col("id").cast("string")), F.lit(1 << 30)) < int(FIT_BYTES / size * (1 << 30)))
     got = rows.select("label", "text").mapInArrow(_bags, "label int, bag binary").toArrow()
     bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, WIDTH) for b in got.column("bag")]
     order = sorted(range(len(bags)), key=lambda k: bags[k].tobytes())  # as rows come in any order

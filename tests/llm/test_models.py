@@ -289,6 +289,13 @@ def test_attention_gradient():
         w[k][at] += 1e-6
 
 
+def test_quality_is_fitted_on_all_passages():
+    texts = [words(random.Random(8), n) for n in (1, 64, 65, 40 * 64)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0, 1, 0, 1], pa.int32()), pa.array(texts)], names=["label", "text"])
+    bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, quality_classifier.WIDTH) for got in quality_classifier._bags([batch]) for b in got.column("bag")]
+    assert [len(b) for b in bags] == [1, 1, 2, 40, 1]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(7)
     rows = []
