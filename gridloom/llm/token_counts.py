@@ -4,14 +4,21 @@ A byte-pair encoding is a deterministic transducer over characters: what
 follows depends only on the longest suffix that can still become part of a
 piece and, for each position inside it, on the last token before it.  A
 transition emits the change in the number of tokens.  States and transitions
-are compiled on demand and kept, as are the counts of whole units (a run of
-spaces with the word after it), which the transducer reads from its start
-state.
-
-Long texts are cut into chunks of ``CHUNK`` characters.  Each chunk is a state
-map (what it does to any incoming state): the part before its first reset, the
-tokens between its first and last resets, and the part after the last one.
-State maps are associative and are composed by a parallel prefix scan.
+are compiled on demand and kept.
+
+Where a space follows something else, and at a line's end, the transducer is
+back in its start state.  So a unit (a run of spaces with the word after it, or
+a line's end) maps every state that can come before it to the same number of
+tokens.  The units of a batch are cut out of Arrow's UTF-8 buffer, told apart
+by Arrow's dictionary encoding, and each distinct one is read by the transducer
+once; the state maps of all units then compose by a prefix scan, which for
+constant maps is a running sum.
+
+A unit of more than ``CHUNK`` characters (text without spaces) is cut into
+chunks.  A chunk's state map reads on from any incoming state until that run
+meets the run from the start state, usually after a few characters; from there
+on the two are one.  State maps are associative and compose in a logarithmic
+number of rounds, so time and memory grow with the text and no faster.
 
 Counts are exact for models whose pieces hold no space after another
 character, with no normalisation and byte fallback; other models are refused.
@@ -23,8 +30,7 @@ ids are fine; extra columns are left alone.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -36,13 +42,15 @@ from pyspark.sql import functions as F
 from gridloom.llm.tables import ship
 
 SPACE = "▁"
-CHUNK = 1 << 16
-#: Kept unit counts and states, each; beyond this they are compiled anew.
-KEPT = 800_000
-#: Characters of a unit that are read at once where they were read before.
-HEAD = 7
+#: Characters of a long unit's chunk, and how many of its first states a state map keeps.
+CHUNK, MEET = 1 << 12, 64
+#: Kept states, and kept characters of units and heads of units; beyond these they are compiled anew.
+STATES, KEPT = 400_000, 8_000_000
+#: Characters of a unit that are read at once where they were read before; longer units than ``SHORT`` bytes are not kept.
+HEAD, SHORT = 7, 64
+#: Bytes in which units are cut out.
+BLOCK = 1 << 22
 LIMIT = 4096
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
 def read_model(path: str) -> dict[str, float]:
@@ -74,8 +82,10 @@ class Transducer:
         self.paths = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.histories: dict[str, tuple] = {}
         self.shapes: dict[str, tuple] = {}
-        self.units = _Units(self, SPACE)
-        self.bare = _Units(self, "")
+        self.units: dict[bytes, int] = {}
+        self.held = self.pairs = 0
+        #: by token: by the token before it whether the two can stand side by side
+        self.allowed: dict[str, dict] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -84,6 +94,10 @@ class Transducer:
         self.states: dict[tuple, dict] = {}
         self.heads: dict[str, tuple[dict, int]] = {}
         self.start = self._state(("", ((None, 0),)))
+        if self.pairs > 2 * STATES:
+            self.allowed.clear()
+            self.shapes.clear()
+            self.pairs = 0
 
     def _state(self, state: tuple) -> dict:
         if (arcs := self.states.get(state)) is None:
@@ -110,16 +124,13 @@ class Transducer:
             got = self.histories[token] = (len(parts) == 1, merges)
         return got
 
-    def _follows(self, before: str | None, token: str) -> bool:
-        """Whether ``token`` can stand right after ``before`` (None: after a reset).
+    def _follows(self, before: str, token: str) -> bool:
+        """Whether ``token``, which plain BPE makes, can stand right after ``before``.
 
         Both are made by their own merges, in turn by score, unless a merge
         across the boundary comes first.
         """
-        whole, right = self._history(token)
-        if before is None or not whole:
-            return whole
-        left = self._history(before)[1]
+        right, left = self._history(token)[1], self._history(before)[1]
         a, b, i, j = before[-1], token[0], 0, 0
         while True:
             across = self.pieces.get(a + b)
@@ -136,6 +147,16 @@ class Transducer:
             else:
                 return True
 
+    def _shape(self, grown: str) -> tuple:
+        """(where tokens end that end here, longest first, with what may stand before them; the suffix that goes on; its places that go on)."""
+        size = len(grown)
+        cut = next((k for k in range(size) if grown[k:] in self.paths), size)
+        ends = [(k, token, self.allowed.setdefault(token, {None: True})) for k in range(size) if (token := grown[k:]) in self.pieces and self._history(token)[0]]
+        if len(self.shapes) > STATES:
+            self.shapes.clear()
+        got = self.shapes[grown] = (ends, grown[cut:], [k if grown[k:] in self.paths else -1 for k in range(cut, size)])
+        return got
+
     def step(self, arcs: dict, char: str) -> tuple[dict, int]:
         """Compile a transition: (the next state's arcs, change in the number of tokens)."""
         suffix, last = arcs[None]
@@ -143,25 +164,25 @@ class Transducer:
             arcs[char] = arc = (self._state(("", ((None, 0),))), len(char.encode("utf-8", "surrogatepass")))
             return arc
         grown = suffix + char
-        if (shape := self.shapes.get(grown)) is None:
-            size = len(grown)
-            cut = next((k for k in range(size) if grown[k:] in self.paths), size)
-            ends = [(k, grown[k:]) for k in range(size) if grown[k:] in self.pieces]
-            shape = self.shapes[grown] = (ends, grown[cut:], [k if grown[k:] in self.paths else -1 for k in range(cut, size)])
-        ends, rest, places = shape
-        for start, token in ends:
-            before = last[start]
-            if self._follows(before[0], token):
-                emitted = before[1] + 1
+        ends, rest, places = self.shapes.get(grown) or self._shape(grown)
+        for start, token, allowed in ends:
+            before, since = last[start]
+            follows = allowed.get(before)
+            if follows is None:
+                follows = allowed[before] = self._follows(before, token)
+                self.pairs += 1
+            if follows:
                 break
         else:
             raise AssertionError(f"no token ends {grown!r}")
+        emitted = since + 1
         # only where a piece may still begin does it matter what stood before
-        kept = (*[(last[k][0], last[k][1] - emitted) if k >= 0 else None for k in places], (token, 0))
-        arcs[char] = arc = (self._state((rest, kept)), emitted)
+        kept = [(last[k][0], last[k][1] - emitted) if k >= 0 else None for k in places]
+        kept.append((token, 0))
+        arcs[char] = arc = (self._state((rest, tuple(kept))), emitted)
         return arc
 
-    def _read(self, arcs: dict, tokens: int, text: str) -> tuple[dict, int]:
+    def read(self, arcs: dict, tokens: int, text: str) -> tuple[dict, int]:
         for char in text:
             arc = arcs.get(char) or self.step(arcs, char)
             arcs = arc[0]
@@ -170,110 +191,149 @@ class Transducer:
 
     def count_unit(self, unit: str) -> int:
         """Tokens of a unit, read from the start state; where its first characters lead is kept."""
+        if len(self.states) > STATES:
+            self._clear()
+        if len(unit) > CHUNK:
+            return self._count_long(unit)
         head = unit[:HEAD]
         got = self.heads.get(head)
         if got is None:
-            if len(self.states) > KEPT or len(self.heads) > KEPT:
+            got = self.heads[head] = self.read(self.start, 0, head)
+        return self.read(*got, unit[HEAD:])[1]
+
+    def _count_long(self, unit: str) -> int:
+        """By the state maps of chunks, composed two by two in rounds (a carry of maps of 1, 2, 4, ... chunks)."""
+        carry: list[StateMap | None] = []
+        for at in range(0, len(unit), CHUNK):
+            if len(self.states) > STATES:
                 self._clear()
-            got = self.heads[head] = self._read(self.start, 0, head)
-        return self._read(*got, unit[HEAD:])[1]
-
-    def count_between(self, text: str, first: bool) -> int:
-        """Tokens of whole units; ``first``: the text's begin, which the model puts a space before."""
-        if "  " in text or SPACE in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
-            bare = self.bare
-            return sum(map(bare.__getitem__, _UNITS.findall((SPACE if first else "") + text.replace(" ", SPACE))))
-        lines = text.split("\n")
-        total = len(lines) - 1
-        units = self.units.__getitem__
-        for k, line in enumerate(lines):
-            words = line.split(" ")
-            if k or not first:
-                total += self.bare[words[0]] if words[0] else 0
-                del words[0]
-            total += sum(map(units, words))
-        return total
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if len(text) <= CHUNK:
-            return self.count_between(text, True)
-        return scan([self.state_map(text[k : k + CHUNK], not k) for k in range(0, len(text), CHUNK)], self.compose)[-1].tokens(self)
-
-    def state_map(self, chunk: str, first: bool) -> StateMap:
-        chunk = (SPACE if first else "") + chunk.replace(" ", SPACE)
-        cuts = [m.start() for m in _CUT.finditer(chunk)]
-        if not cuts:
-            return StateMap(chunk, None, "")
-        return StateMap(chunk[: cuts[0]], self.count_between(chunk[cuts[0] : cuts[-1]], False), chunk[cuts[-1] :])
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """First a, then b."""
-        if a.inner is None:
-            joined = StateMap(a.head + b.head, b.inner, b.tail)
-            return joined if b.inner is not None else self.state_map_of(joined.head)
-        if b.inner is None:
-            return self._regrown(a, a.tail + b.head)
-        return StateMap(a.head, a.inner + self.count_between(a.tail + b.head, False) + b.inner, b.tail)
-
-    def _regrown(self, a: StateMap, tail: str) -> StateMap:
-        cuts = [m.start() for m in _CUT.finditer(tail)]
-        if not cuts:
-            return StateMap(a.head, a.inner, tail)
-        return StateMap(a.head, a.inner + self.count_between(tail[: cuts[-1]], False), tail[cuts[-1] :])
-
-    def state_map_of(self, text: str) -> StateMap:
-        return self.state_map(text, False)
-
-
-#: A reset: where a space follows something else, and at and after a line's end.
-_CUT = re.compile(f"(?<=[^{SPACE}\n]){SPACE}|(?<=\n)|\n")
+            made, level = StateMap.of(self, unit, at, min(at + CHUNK, len(unit))), 0
+            while level < len(carry) and carry[level] is not None:
+                made, carry[level], level = carry[level].then(self, made), None, level + 1
+            carry[level : level + 1] = [made]
+        whole = None
+        for made in carry:
+            if made is not None:
+                whole = made if whole is None else made.then(self, whole)
+        return whole.tokens
+
+    def count(self, unit: bytes) -> int:
+        """Tokens of a unit with plain spaces."""
+        got = self.units.get(unit)
+        if got is None:
+            got = self.count_unit(unit.decode().replace(" ", SPACE))
+            if len(unit) <= SHORT:
+                self.held += len(unit) + 20
+                if self.held > KEPT:
+                    self.units.clear()
+                    self.held = 0
+                self.units[unit] = got
+        return got
 
 
 class StateMap:
-    """What a chunk does to an incoming state: read ``head`` on from it, add ``inner``, then stand after ``tail``.
+    """What the part of a text from ``lo`` to ``hi`` does to an incoming state.
 
-    ``inner`` is None where the chunk has no reset; ``head`` is then all of it.
+    ``seen``: the states and tokens of the run from the start state at its first
+    places; ``out`` and ``tokens``: where that run ends.  ``parts`` are the two
+    maps that this one is composed of, if it is.
     """
 
-    __slots__ = ("head", "inner", "tail")
-
-    def __init__(self, head: str, inner: int | None, tail: str) -> None:
-        self.head, self.inner, self.tail = head, inner, tail
-
-    def tokens(self, t: Transducer) -> int:
-        if self.inner is None:
-            return t.count_between(self.head, False)
-        return t.count_between(self.head, False) + self.inner + t.count_between(self.tail, False)
+    __slots__ = ("hi", "lo", "out", "parts", "seen", "text", "tokens")
+
+    @classmethod
+    def of(cls, t: Transducer, text: str, lo: int, hi: int) -> StateMap:
+        self = cls()
+        self.text, self.lo, self.hi, self.parts, self.seen = text, lo, hi, None, []
+        arcs, tokens = t.start, 0
+        for char in text[lo : min(lo + MEET, hi)]:
+            arcs, tokens = t.read(arcs, tokens, char)
+            self.seen.append((arcs, tokens))
+        self.out, self.tokens = t.read(arcs, tokens, text[min(lo + MEET, hi) : hi])
+        return self
+
+    def then(self, t: Transducer, after: StateMap) -> StateMap:
+        """First this map, then that one."""
+        both = StateMap()
+        both.text, both.lo, both.hi, both.seen, both.parts = self.text, self.lo, after.hi, self.seen, (self, after)
+        both.out, more = after.apply(t, self.out)
+        both.tokens = self.tokens + more
+        return both
+
+    def apply(self, t: Transducer, arcs: dict) -> tuple[dict, int]:
+        """(state at the end, tokens) for an incoming state."""
+        tokens = 0
+        for char, (own, at) in zip(self.text[self.lo : self.hi], self.seen):
+            arcs, tokens = t.read(arcs, tokens, char)
+            if arcs is own or arcs[None] == own[None]:
+                return self.out, tokens + self.tokens - at
+        if self.parts:  # the runs have not met yet
+            first = self.parts[0]
+            while first.parts:
+                first = first.parts[0]
+            arcs, more = t.read(arcs, 0, self.text[first.lo + len(first.seen) : first.hi])
+            return self._rest(t, first.hi, arcs, tokens + more)
+        return t.read(arcs, tokens, self.text[self.lo + len(self.seen) : self.hi])
+
+    def _rest(self, t: Transducer, at: int, arcs: dict, tokens: int) -> tuple[dict, int]:
+        """Go on from the place ``at``, where a part of this map begins, part by part."""
+        stack = [self]
+        while stack:
+            part = stack.pop()
+            if part.hi <= at:
+                continue
+            if part.lo < at:
+                stack += part.parts[::-1]
+                continue
+            arcs, more = part.apply(t, arcs)
+            tokens += more
+        return arcs, tokens
 
 
-def scan(items: list, combine: Callable) -> list:
-    """Inclusive prefix scan in a logarithmic number of rounds; ``combine`` is associative."""
-    if len(items) < 2:
-        return items
-    pairs = [combine(items[k], items[k + 1]) for k in range(0, len(items) - 1, 2)]
-    done = scan(pairs, combine)
-    out = [items[0]]
-    for k in range(1, len(items)):
-        out.append(done[k // 2] if k % 2 else combine(done[k // 2 - 1], items[k]))
+def unit_edges(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units begin in the bytes of some texts, and the end of the last one."""
+    found, begins = [], offsets[:-1][np.diff(offsets) > 0]
+    lo, end = int(offsets[0]), int(offsets[-1])
+    for at in range(lo, end, BLOCK):
+        part = raw[max(at - 1, lo) : min(at + BLOCK, end)]
+        space, line = part == 32, part == 10
+        edge = line.copy()
+        edge[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        edge[0] |= space[0]
+        edge = edge[1:] if at > lo else edge
+        own = begins[np.searchsorted(begins, at) : np.searchsorted(begins, at + BLOCK)]
+        edge[own - at] = True
+        found.append(np.flatnonzero(edge) + at)
+    return np.concatenate([*found, [end]]).astype(np.int64)
+
+
+def count_texts(t: Transducer, texts: pa.Array) -> np.ndarray:
+    """The number of tokens of each text."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+    out = np.zeros(len(texts), np.int64)
+    _, offs, data = texts.buffers()
+    if not len(texts) or data is None:
+        return out
+    offsets = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)
+    marks = np.flatnonzero(raw[offsets[0] : offsets[-1]] == 0xE2)
+    if len(marks) and SPACE.encode() in raw[offsets[0] : offsets[-1]].tobytes():  # the model takes it for a space
+        return count_texts(t, pc.replace_substring(texts, SPACE, " "))
+    if offsets[-1] == offsets[0]:
+        return out
+    edges = unit_edges(raw, offsets)
+    of_unit = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), data]).dictionary_encode()
+    known = np.fromiter(map(t.count, of_unit.dictionary.to_pylist()), np.int64, len(of_unit.dictionary))
+    tokens = known[of_unit.indices.to_numpy()]
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    first = np.searchsorted(edges, offsets[some])  # the model puts a space before a text
+    tokens[first] = [t.count(b" " + raw[edges[k] : edges[k + 1]].tobytes()) for k in first]
+    before = np.concatenate([[0], np.cumsum(tokens)])
+    out[some] = before[np.r_[first[1:], len(tokens)]] - before[first]
     return out
 
 
-class _Units(dict):
-    """Counts of units by the words in them, filled by the transducer."""
-
-    def __init__(self, of: Transducer, before: str) -> None:
-        super().__init__()
-        self.of, self.before = of, before
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > KEPT:
-            self.clear()
-        n = self[word] = self.of.count_unit(self.before + word)
-        return n
-
-
 _compiled: dict[str, Transducer] = {}
 
 
@@ -288,7 +348,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         t = _compiled[model_path]
         for batch in batches:
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            tokens = np.fromiter((t.count(x.as_py() or "") for x in batch.column(1)), np.int64, batch.num_rows)
+            tokens = count_texts(t, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -234,17 +234,43 @@ def test_token_counts_against_the_library(spark, pieces, monkeypatch):
     letters = list("aaabbcdeeethionsrABC  \n\n\t.,123é€Ω漢▁▁<s>\x00İß😀　\xa0-_=(){};'\"")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(1500)]
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()] + ["", " ", "\n", "▁", "a" * 3000, "<s></s>"]
+    solid = "abcdehtions漢字かなé=+/0123"
+    texts += ["".join(rng.choice(solid) for _ in range(rng.randint(50, 900))) for _ in range(60)] + [None]
+    want = [len(x) for x in library.encode([x or "" for x in texts])]
+    for chunk, meet, block, states in ((1 << 12, 64, 1 << 22, 400_000), (16, 4, 64, 400_000), (7, 3, 1000, 500), (3, 1, 7, 50)):
+        for name, value in (("CHUNK", chunk), ("MEET", meet), ("BLOCK", block), ("STATES", states)):
+            monkeypatch.setattr(token_counts, name, value)
+        t = token_counts.Transducer(token_counts.read_model(pieces))
+        assert token_counts.count_texts(t, pa.array(texts)).tolist() == want
+        assert token_counts.count_texts(t, pa.array(texts).slice(7, 40)).tolist() == want[7:47]
+
+
+def test_state_maps_are_associative(pieces):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdehtions漢é=+/01") for _ in range(900))
     t = token_counts.Transducer(token_counts.read_model(pieces))
-    for chunk in (1 << 16, 1, 3, 50):
-        monkeypatch.setattr(token_counts, "CHUNK", chunk)
-        some = texts if chunk > 50 else texts[:400]
-        assert [t.count(x) for x in some] == [len(x) for x in library.encode(some)]
-
-
-def test_scan_is_a_prefix_scan():
-    for n in range(9):
-        got = token_counts.scan([chr(97 + k) for k in range(n)], lambda a, b: a + b)
-        assert got == ["abcdefghi"[: k + 1] for k in range(n)]
+    whole = t.read(t.start, 0, text)
+    for _ in range(20):
+        i, j = sorted(rng.sample(range(1, 900), 2))
+        a, b, c = (token_counts.StateMap.of(t, text, lo, hi) for lo, hi in ((0, i), (i, j), (j, 900)))
+        for made in (a.then(t, b).then(t, c), a.then(t, b.then(t, c))):
+            assert (made.tokens, made.out[None]) == (whole[1], whole[0][None])
+
+
+def test_token_counts_of_a_long_text_without_spaces(pieces):
+    """Memory grows with the text and no faster."""
+    import tracemalloc
+
+    rng = random.Random(10)
+    peaks = []
+    for size in (1 << 18, 1 << 20):
+        text = "".join(rng.choices("的一是不了在人有我他这中大来上", k=size))
+        t = token_counts.Transducer(token_counts.read_model(pieces))
+        tracemalloc.start()
+        token_counts.count_texts(t, pa.array([text]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 4.5 * peaks[0] and peaks[1] < 120e6
 
 
 def test_token_counts_odd(odd, odd_rows, empty, pieces):
