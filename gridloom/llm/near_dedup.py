@@ -16,13 +16,16 @@ copies are never expanded into pairs.  Per class:
    give components.
 5. In groups of three and more that are then not in one component, every class
    is also paired with the smallest of a few random parts of its group, where
-   that one is in another component.  What is still open is finished exactly:
-   the classes are joined on rare-first prefixes of the full sets
-   with length and position bounds, which can miss no link, and only pairs
-   from different components are verified.
+   that one is in another component.  What is still open is finished exactly on
+   the full sets, by rare-first prefixes with length and position bounds, which
+   can miss no link: classes that meet at a shingle of at most ``LIGHT``
+   prefixes are paired and verified; the others (families of sets that are
+   alike throughout) are dealt into cells of bounded size, and each pair of
+   cells is compared by matrix products that hand on a spanning forest of its
+   links and no pairs.
 
-So no group is expanded into all its pairs, no candidate list is capped, and
-a link that is not checked joins what is connected already.
+So no group is expanded into its pairs, no candidate list is capped, and a link
+that is not checked joins what is connected already.
 
 Hot groups: classes come from map-side aggregation; joins are on class or
 shingle keys and left to AQE's skew splitting; texts and sets are moved only
@@ -30,10 +33,12 @@ for classes that have candidates.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing
 and stand for themselves; a text of fewer words than a shingle is one shingle;
-repeated rows with one id share its fate; rows with a null id belong to their
-class's component but never lend it their id, and a class of null ids alone is
-compared with no other; an empty table gives an empty result; extra columns
-are left alone.
+rows with a null id link like any other but never lend their component an id:
+one of null ids alone has a null ``component_id`` and all its rows are
+``kept``.  ``deduplicate`` keeps one row of each component, whatever its id;
+rows without shingles all stay.  An id that occurs with several texts is judged
+text by text.  An empty table gives an empty result; extra columns are left
+alone.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.tables import materialise, ship
+from gridloom.llm.tables import free_name, materialise, ship
 from gridloom.llm.wordhash import SPACED, chunks, hash_words, mix64, windows
 
 SHINGLE = 5
@@ -56,6 +61,10 @@ THRESHOLD = 80
 REGISTERS, INDEX_BITS, MANTISSA_BITS = 128, 7, 10
 BAND = 4
 SIGMAS = 5.0
+#: A shingle of more prefixes than this is compared in cells of about so many shingles (a set counts for ``LEAST`` at least).
+LIGHT, CELL, LEAST = 64, 1 << 20, 512
+#: Sets and shingles of one matrix product.
+SIDE, WIDE = 256, 8192
 #: Random divisions of an open group, and parts of each.
 SEEDS, PARTS = 4, 8
 _VALUE_BITS = 64 - INDEX_BITS
@@ -126,8 +135,8 @@ def _sketches(size: int):
                         smallest[k, bucket[at]] = (s[at] & np.uint64((1 << _VALUE_BITS) - 1)) + np.uint64(1)
                 regs = registers(smallest)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, docs), pa.array(n), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["id", "n", "cls", "regs"],
+                    [batch.column(0).slice(row, docs), batch.column(2).slice(row, docs), pa.array(n), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    names=["id", "key", "n", "cls", "regs"],
                 )
 
     return run
@@ -184,7 +193,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _part_pairs(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _part_pairs(left: DataFrame) -> DataFrame:
     """Each class with the smallest of its part of the group, for a few random divisions into parts."""
     seeded = left.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(SEEDS))))
     seeded = seeded.withColumn("part", F.pmod(F.xxhash64("seed", "band", "node"), F.lit(PARTS)))
@@ -194,52 +203,149 @@ def _part_pairs(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _rest_pairs(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _rest_links(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between different components that join what can be joined; it misses no such link."""
     labels = left.select("node", "label").distinct()
-    return _prefix_pairs(sets.join(labels.select("node"), "node"), labels, threshold)
+    sets = sets.join(labels.select("node"), "node")
+    posted = materialise(_prefixes(sets, labels, threshold), "prefixes")
+    met = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead"), F.count("*").alias("held")).filter("lo <> hi")
+    met = materialise(met.select("token", "lead", "held"), "prefix-tokens", small=True)
+    light = _verified(materialise(_light_pairs(posted.join(met.filter(F.col("held") <= LIGHT).select("token"), "token"), threshold), "light-pairs", small=True), sets, threshold)
+    hot = met.filter(F.col("held") > LIGHT).select("token", "lead")
+    if hot.isEmpty():
+        return light
+    families = components(posted.join(hot, "token").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    return light.union(_family_links(families.select("node", F.col("label").alias("family")), labels, sets, threshold))
 
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components that may be similar, by rare-first prefixes: it misses none.
+def _prefixes(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """(node, n, at, token, label): the rarest shingles of every set, so many that two sets which link have one in common.
 
     With t = threshold / 100 a pair needs an overlap of t / (1 + t) * (n1 + n2).
     Shingles are ordered by how many of the sets hold them, rare ones first;
-    n - overlap + 1 of them hold a common one.  A common shingle at places p1
-    and p2 which is the first common one leaves at most min(n1 - p1, n2 - p2).
+    n - overlap + 1 of them hold a common one.
     """
-    t = threshold
     tokens = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
-    length = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100).cast("int") + 1
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100).cast("int") + 1
     prefix = ranked.select("node", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "x"))
-    posted = prefix.select("node", "n", "at", F.col("x.token").alias("token")).join(labels, "node", "left")
-    posted = materialise(posted.withColumn("label", F.coalesce("label", "node")), "prefixes")
-    mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    posted = posted.join(mixed, "token")
-    # what the bounds need of a class is its component, size and place: the many of one component are few of these
-    kinds = posted.select("token", "label", "n", "at").distinct()
-    x, y = kinds.alias("x"), kinds.alias("y")
+    return prefix.select("node", "n", "at", F.col("x.token").alias("token")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _light_pairs(posted: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components that meet at a token and may be similar; a token gives each of its sets ``LIGHT`` partners at most.
+
+    A common shingle at places p1 and p2 which is the first common one leaves at most min(n1 - p1, n2 - p2).
+    """
+    t, x, y = threshold, posted.alias("x"), posted.alias("y")
     on = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.label") != F.col("y.label"))
-        & (F.col("x.n") <= F.col("y.n"))
+        & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node"))
         & (100 * F.col("x.n") >= t * F.col("y.n"))
         & ((100 + t) * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= t * (F.col("x.n") + F.col("y.n")))
     )
-    fit = x.join(y, on).select(F.col("x.token").alias("token"), *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("label", "n", "at")))
-    of = lambda s: posted.select("token", F.col("node").alias(f"node_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "at")))
-    pairs = fit.join(of("x"), ["token", "label_x", "n_x", "at_x"]).join(of("y"), ["token", "label_y", "n_y", "at_y"])
-    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _family_links(families: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between different components inside families, a spanning forest of each pair of cells."""
+    step = float(np.log(100 / threshold) * 1.01)  # sets that link are in one or in neighbouring classes of length
+    placed = families.join(labels, "node").join(sets, "node").withColumn("n", F.size("set"))
+    placed = placed.withColumn("len", F.floor(F.log("n") / step).cast("int"))
+    parts = placed.groupBy("family", "len").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / CELL).cast("int").alias("parts"))
+    parts = materialise(parts, "family-cells", small=True)
+    beside = lambda k: parts.select("family", (F.col("len") - k).alias("len"), F.col("parts").alias(f"parts{k + 1}"))
+    for k in (-1, 0, 1):
+        placed = placed.join(beside(k), ["family", "len"], "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts1")).cast("int"))
+    at, part = F.col("len"), F.col("part")
+    cell = lambda low, p, high, q, side: F.struct(low.alias("low"), p.alias("p"), high.alias("high"), q.alias("q"), side.alias("side"))
+    over = lambda n, f: F.when(F.col(n).isNull(), F.array()).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), f))
+    cells = F.concat(
+        over("parts1", lambda q: cell(at, F.least(part, q), at, F.greatest(part, q), (part > q).cast("int"))),
+        over("parts2", lambda q: cell(at, part, at + 1, q, F.lit(0))),
+        over("parts0", lambda q: cell(at - 1, q, at, part, F.lit(1))),
+    )
+    dealt = placed.select("family", "node", "label", "set", F.explode(cells).alias("c")).select("family", "node", "label", "set", "c.*")
+    return dealt.groupBy("family", "low", "p", "high", "q").applyInArrow(_cell_links(threshold), "a bigint, b bigint")
+
+
+def _cell_links(threshold: int):
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        _, low, p, high, q = (k.as_py() for k in key)
+        side = cell.column("side").to_numpy()
+        sets = cell.column("set").combine_chunks()
+        offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if (low, p) == (high, q):
+            other = own
+        a, b = spanning_links(offsets, values, own, other, cell.column("label").to_numpy(), threshold)
+        nodes = cell.column("node").to_numpy()
+        return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
+    return run
 
-def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One row a document: id, n_shingles, component_id, kept."""
+
+def spanning_links(offsets: np.ndarray, values: np.ndarray, own: np.ndarray, other: np.ndarray, labels: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of the two sides that join different labels, without those that join what earlier ones do.
+
+    Set k holds ``values[offsets[k] : offsets[k + 1]]``; overlaps are counted
+    by products of 0/1 matrices of ``SIDE`` sets and ``WIDE`` shingles.
+    """
+    size = np.diff(offsets)
+    _, token, held = np.unique(values[offsets[0] : offsets[-1]], return_inverse=True, return_counts=True)
+    number = np.where(held > 1, np.cumsum(held > 1) - 1, -1)  # a shingle of one set is in no overlap
+    token, owner = number[token], np.repeat(np.arange(len(size)), size)
+    owner, token = owner[token >= 0], token[token >= 0]
+    begin = np.searchsorted(owner, np.arange(len(size) + 1))
+    root = {int(x): int(x) for x in np.unique(labels)}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    for i in range(0, len(own), SIDE):
+        left = own[i : i + SIDE]
+        for j in range(i if other is own else 0, len(other), SIDE):
+            right = other[j : j + SIDE]
+            both = np.zeros((len(left), len(right)), np.float32)
+            sides = []
+            for rows in (left, right):
+                entries = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in rows]) if len(rows) else np.zeros(0, np.int64)
+                row, col = np.repeat(np.arange(len(rows)), begin[rows + 1] - begin[rows]), token[entries]
+                order = np.argsort(col, kind="stable")
+                sides.append((row[order], col[order]))
+            for at in range(0, int((held > 1).sum()), WIDE):
+                dense = []
+                for rows, (row, col) in zip((left, right), sides, strict=True):
+                    lo, hi = np.searchsorted(col, [at, at + WIDE])
+                    m = np.zeros((len(rows), WIDE), np.float32)
+                    m[row[lo:hi], col[lo:hi] - at] = 1
+                    dense.append(m)
+                both += dense[0] @ dense[1].T
+            union = size[left][:, None] + size[right][None, :] - both
+            linked = (100 * both >= threshold * union) & (labels[left][:, None] != labels[right][None, :])
+            for x, y in np.argwhere(linked):
+                u, v = find(int(labels[left[x]])), find(int(labels[right[y]]))
+                if u != v:
+                    root[u] = v
+                    found.append((int(left[x]), int(right[y])))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int) -> DataFrame:
+    """One row a document: id, key (a hash of the text), n_shingles, component_id, label (of the component; null without shingles)."""
     ship(docs.sparkSession)
     ids = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     kind = ids.simpleString()
-    seen = materialise(base.mapInArrow(_sketches(shingle), f"id {kind}, n bigint, cls binary, regs binary"), "sketches")
+    seen = materialise(base.mapInArrow(_sketches(shingle), f"id {kind}, key bigint, n bigint, cls binary, regs binary"), "sketches")
     classes = materialise(
         seen.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
         .withColumn("node", F.monotonically_increasing_id()),
@@ -261,32 +367,50 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     near = materialise(sized.select("a", "b", "ra", "rb").mapInArrow(_near(threshold), "a bigint, b bigint"), "near-pairs")
     wanted = near.select(F.col("a").alias("node")).union(near.select("b")).union(members.select("node")).distinct()
     wanted = wanted.join(classes.select("node", "cls", "first_id"), "node")
-    texts = base.join(wanted.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi").select("text")
+    first = wanted.select("first_id").distinct()
+    texts = base.join(first, F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
     sets = materialise(
         texts.mapInArrow(_sets(shingle), "cls binary, set array<bigint>").join(wanted.select("cls", "node"), "cls").select("node", "set").dropDuplicates(["node"]),
         "shingle-sets"
     )
     edges = materialise(_verified(near, sets, threshold), "near-links")
     labels = components(edges)
-    for further in (_part_pairs, _rest_pairs):
+    for further in (lambda left: _verified(materialise(_part_pairs(left), "more-pairs", small=True), sets, threshold), lambda left: _rest_links(left, sets, threshold)):
         parts = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_bands = parts.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
         left = materialise(parts.join(open_bands, "band").select("band", "node", "label"), "open-groups", small=True)
         if left.isEmpty():
             break
-        more = materialise(_verified(materialise(further(left, sets, threshold), "more-pairs", small=True), sets, threshold), "more-links")
+        more = materialise(further(left), "more-links", small=True)
         if not more.isEmpty():
             edges = materialise(edges.union(more), "near-links")
             labels = components(edges)
     named = labels.join(classes.select("node", "first_id"), "node")
     roots = named.groupBy("label").agg(F.min("first_id").alias("root"))
-    rooted = named.join(roots, "label").select("node", "root")
-    of_class = classes.select("cls", "node", "first_id").join(rooted, "node", "left").select("cls", F.coalesce("root", "first_id").alias("root"))
-    out = seen.select("id", "n", "cls").join(of_class, "cls", "left").withColumn("component_id", F.coalesce("root", "id"))
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rooted = named.join(roots, "label").select("node", "label", "root")
+    of_class = classes.select("cls", "node", "first_id").join(rooted, "node", "left")
+    of_class = of_class.select("cls", F.coalesce("root", "first_id").alias("root"), F.coalesce("label", "node").alias("label"))
+    out = seen.select("id", "key", "n", "cls").join(of_class, "cls", "left")
+    return out.select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), "label")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The kept documents, all columns as they were."""
-    dropped = group(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("id").alias("__dropped_id")).distinct()
-    return docs.join(materialise(dropped, "dropped", small=True), F.col(f"`{id_col}`") == F.col("__dropped_id"), "left_anti")
+def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One row a document: id, n_shingles, component_id, kept."""
+    out = _grouped(docs, id_col, text_col, shingle, threshold)
+    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each component (the smallest id, null last; then by text) and all without shingles; columns as they were."""
+    found = _grouped(docs, id_col, text_col, shingle, threshold).filter("label is not null")
+    rows = materialise(found.groupBy("label", "id", "key").agg(F.count("*").alias("n")), "dedup-rows")
+    keep = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("keep"))
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("key") == F.col("keep.key"))
+    names = free_name(docs, "its_id"), free_name(docs, "its_key")
+    judged = rows.join(keep, "label").select(F.col("id").alias(names[0]), F.col("key").alias(names[1]), stays.alias("stays"), "n")
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(names[1]))
+    out = docs.join(materialise(judged.filter("not stays").select(*names), "dropped", small=True), on, "left_anti")
+    repeated = materialise(judged.filter("stays and n > 1").select(*names), "repeated", small=True)
+    if repeated.isEmpty():
+        return out
+    return out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col]))

@@ -104,23 +104,58 @@ def test_near_duplicates_against_brute_force(spark, near_case):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in zip(ids, roots, strict=True) if i == r)
 
 
-def test_prefix_pairs_miss_none(spark):
+def joins_what_links(sets, labels, links, threshold=80):
+    """Whether the links are links, and join all labels that any link joins."""
+    def classes(pairs):
+        parent = {x: x for x in labels.values()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(labels[a])] = find(labels[b])
+        return {x: find(x) for x in parent}
+
+    jaccard = lambda a, b: 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])
+    every = [(a, b) for b in sets for a in sets if a < b and jaccard(a, b)]
+    one, two = classes(every), classes(links)
+    same = lambda c: sorted(sorted(x for x in c if c[x] == r) for r in set(c.values()))
+    return all(jaccard(a, b) for a, b in links) and same(one) == same(two), len(every)
+
+
+@pytest.mark.parametrize("light", [64, 3, 0])
+def test_the_exact_rest_misses_no_link(spark, monkeypatch, light):
     rng = random.Random(8)
-    base = rng.sample(range(1000), 40)
-    sets = []
-    for k in range(50):
+    sets = {}
+    for k in range(90):
+        base = random.Random(k // 45).sample(range(1000 * (k // 45), 1000 * (k // 45) + 500), 40 + 10 * (k // 45))
         s = set(base)
         for _ in range(rng.randint(0, 6)):
             s.discard(rng.choice(base))
-            s.add(rng.randint(2000, 2040))
-        sets.append((k, sorted(s)))
-    table = spark.createDataFrame(sets, "node long, set array<long>")
-    labels = spark.createDataFrame([(k, k) for k in range(50)], "node long, label long")
-    pairs = near_dedup._prefix_pairs(table, labels, 80)
-    got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup._verified(pairs, table, 80).collect()}
-    jaccard = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
-    want = {(a, b) for b in range(50) for a in range(b) if jaccard(set(sets[a][1]), set(sets[b][1]))}
-    assert got == want and want
+            s.add(rng.randint(5000, 5040))
+        sets[k] = s
+    for name, value in (("LIGHT", light), ("CELL", 2000), ("LEAST", 10), ("SIDE", 7), ("WIDE", 11)):
+        monkeypatch.setattr(near_dedup, name, value)
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, set array<long>").repartition(3)
+    labels = {k: k - k % 2 for k in sets}
+    left = spark.createDataFrame([(0, k, v) for k, v in labels.items()], "band long, node long, label long")
+    links = [(r["a"], r["b"]) for r in near_dedup._rest_links(left, table, 80).collect()]
+    good, every = joins_what_links(sets, labels, links)
+    assert good and every > 50
+
+
+def test_subsets_of_a_template_make_no_pairs(spark):
+    """400 sets that are all at a similarity of about 0.75: none link, and no pairs are handed on."""
+    rng = random.Random(12)
+    sets = {k: set(rng.sample(range(1000), 860)) for k in range(400)}
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, set array<long>").repartition(3)
+    left = spark.createDataFrame([(0, k, k) for k in sets], "band long, node long, label long")
+    assert near_dedup._rest_links(left, table, 80).count() == 0
+    met = near_dedup._prefixes(table, left.select("node", "label"), 80)
+    rare = met.groupBy("token").count().filter(f"count <= {near_dedup.LIGHT}").select("token")
+    assert near_dedup._light_pairs(met.join(rare, "token"), 80).count() < 400 * 399 / 2 / 20
 
 
 def test_estimates_are_near_the_truth():
@@ -149,10 +184,27 @@ def test_near_duplicates_odd(odd, odd_rows, empty):
     assert by[2]["component_id"] == 1 and not by[2]["kept"] and by[1]["kept"]
     assert all(by[i]["kept"] and by[i]["n_shingles"] == 0 for i in (4, 5, 6))
     assert {r["component_id"] for r in got if r["id"] is None} == {1, None}
+    kept = [r["text"] for r in near_dedup.deduplicate(odd).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, {r[1] for r in odd_rows} - {odd_rows[2][1]}))
     assert near_dedup.group(empty).collect() == []
     assert near_dedup.deduplicate(odd).columns == odd.columns
 
 
+def test_near_duplicates_with_null_and_clashing_ids(spark):
+    rng = random.Random(13)
+    base = words(rng, 200).split(" ")
+    edit = lambda *at: " ".join("zz" if k in at else w for k, w in enumerate(base))
+    chain = [edit(), edit(50, 51, 52), edit(50, 51, 52, 100, 101, 102, 103, 104, 105, 106, 107, 108)]
+    other, alone = words(rng, 50), words(rng, 60)
+    rows = [("1", chain[0]), (None, chain[1]), ("3", chain[2]), ("5", chain[0]), ("5", other), (None, alone), (None, alone), ("7", "few"), ("7", "few")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id string, text string, its_id int, key int, label int")
+    got = sorted((str(r["id"]), r["n_shingles"], str(r["component_id"])) for r in near_dedup.group(docs).collect())
+    assert sorted((i, c) for i, _, c in got) == sorted([("1", "1"), ("None", "1"), ("3", "1"), ("5", "1"), ("5", "5"), ("None", "None"), ("None", "None"), ("7", "7"), ("7", "7")])
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", chain[0]), ("5", other), ("None", alone), ("7", "few")])
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 5), (7, 9), (9, 8)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
