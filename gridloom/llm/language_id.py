@@ -10,11 +10,13 @@ its score their share.
 
 The model is BUCKETS x labels numbers (64k x 4 bytes a label) whatever the
 corpus; counts are summed a partition at a time before the shuffle, so hot
-sources need no care.  Texts are labelled one by one, whole, in chunks of
-bounded size.
+sources need no care.  Texts are labelled one by one, whole.  A long text is
+read in pieces cut between words and scored in blocks of words, so what it
+takes grows with its words (some 30 bytes each and 2 bytes a letter).
 
-Defined cases: texts that are null, empty or without a letter get ``und`` and
-score 0; words without letters are part of no span; with no training rows
+Defined cases: texts that are null, empty or without a letter (general
+category L; combining marks belong to the word of the letter before them but
+are none) get ``und`` and score 0; words without letters are part of no span; with no training rows
 every text with letters is ``und`` too; ties go to the first language by name;
 ids are only passed on; extra columns are left alone.
 """
@@ -41,7 +43,8 @@ SMOOTH = 0.05
 #: A label is a candidate for a script if this share of its letters is in it.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-CHUNK = 1_000_000
+#: Characters that are cut into words at once, and words that are scored at once.
+CHUNK, BLOCK = 1_000_000, 1 << 16
 #: First and last code points of scripts, in one place.
 SCRIPTS = {
     "Latin": [(0x0041, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -77,9 +80,22 @@ def _letters() -> np.ndarray:
     return table
 
 
+@cache
+def _marks() -> np.ndarray:
+    """By code point: whether it is a combining mark."""
+    table = np.zeros(0x110000, dtype=bool)
+    for point in range(0x110000):
+        table[point] = unicodedata.category(chr(point))[0] == "M"
+    return table
+
+
 @dataclass
 class Words:
-    """The words (runs of letters) of some texts, in order."""
+    """The words (runs of letters and marks with a letter at least) of some texts, in order.
+
+    ``sizes`` counts the letters and marks of a word, ``letters`` the letters,
+    ``first`` is the place of its first trigram.
+    """
 
     doc: np.ndarray
     start: np.ndarray
@@ -87,31 +103,83 @@ class Words:
     script: np.ndarray
     trigram: np.ndarray
     first: np.ndarray
+    sizes: np.ndarray
     letters: np.ndarray
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """(parts, the text of each, where it begins there) of about CHUNK characters, cut between words."""
+    table = _letters()
+    parts: list[str] = []
+    of: list[int] = []
+    at: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        begin = 0
+        while True:
+            end = min(begin + CHUNK, len(text))
+            if end < len(text):  # back to the end of a word, or on if one word fills the piece
+                cut = end
+                while cut > begin and table[ord(text[cut])] >= 0:
+                    cut -= 1
+                if cut == begin:
+                    cut = end
+                    while cut < len(text) and table[ord(text[cut])] >= 0:
+                        cut += 1
+                end = cut
+            parts.append(text[begin:end])
+            of.append(k)
+            at.append(begin)
+            size += end - begin
+            if size >= CHUNK:
+                yield parts, of, at
+                parts, of, at, size = [], [], [], 0
+            begin = end
+            if begin >= len(text):
+                break
+    if parts:
+        yield parts, of, at
+
+
 def words_of(texts: list[str]) -> Words:
-    low = [t.lower() for t in texts]
-    lengths = np.array([len(t) for t in low], dtype=np.int64)
-    points = np.frombuffer("\n".join(low).encode("utf-32-le", "replace"), dtype=np.uint32)
+    found = [_words_of(*p) for p in _pieces([t.lower() for t in texts])]
+    if len(found) == 1:
+        return found[0]
+    if not found:
+        return _words_of([""], [0], [0])
+    column = lambda name: np.concatenate([getattr(w, name) for w in found])
+    sizes = column("sizes")
+    return Words(column("doc"), column("start"), column("end"), column("script"), column("trigram"), np.cumsum(sizes) - sizes, sizes, column("letters"))
+
+
+def _words_of(parts: list[str], of: list[int], at: list[int]) -> Words:
+    lengths = np.array([len(t) for t in parts], dtype=np.int64)
+    points = np.frombuffer("\n".join(parts).encode("utf-32-le", "replace"), dtype=np.uint32)
     script = _letters()[points]
     inside = script >= 0
     before = np.r_[False, inside[:-1]]
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(~inside & before)
     if len(end) < len(start):
         end = np.r_[end, len(points)]
+    marks = np.r_[0, np.cumsum(_marks()[points])]
+    letters = end - start - (marks[end] - marks[start])
+    real = letters > 0
+    if not real.all():
+        for a, b in zip(start[~real], end[~real], strict=True):
+            inside[a:b] = False
+        start, end, letters = start[real], end[real], letters[real]
     begins = np.cumsum(lengths + 1) - (lengths + 1)
-    at = np.flatnonzero(inside)
+    where = np.flatnonzero(inside)
     here = np.where(inside, points, 0).astype(np.uint32)
     prior, after = np.r_[np.uint32(0), here[:-1]], np.r_[here[1:], np.uint32(0)]
-    h = (prior[at] * np.uint32(0x9E3779B1)) ^ (here[at] * np.uint32(0x85EBCA77)) ^ (after[at] * np.uint32(0xC2B2AE3D))
+    h = (prior[where] * np.uint32(0x9E3779B1)) ^ (here[where] * np.uint32(0x85EBCA77)) ^ (after[where] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(16)
-    doc = np.searchsorted(begins, start, "right") - 1
-    letters = end - start
-    first = np.cumsum(letters) - letters
-    return Words(doc, start - begins[doc], end - begins[doc], script[start], (h % BUCKETS).astype(np.int64), first, letters)
+    part = np.searchsorted(begins, start, "right") - 1
+    sizes = end - start
+    move = (np.array(at, dtype=np.int64) - begins)[part]
+    return Words(np.array(of, dtype=np.int64)[part], start + move, end + move, script[start], (h % BUCKETS).astype(np.uint16), np.cumsum(sizes) - sizes, sizes, letters)
 
 
 @dataclass
@@ -147,7 +215,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = labels[row : row + len(texts)]
             for language in set(of):
                 mine = (of == language)[w.doc]
-                got = np.bincount(w.trigram[np.repeat(mine, w.letters)], minlength=BUCKETS)
+                got = np.bincount(w.trigram[np.repeat(mine, w.sizes)], minlength=BUCKETS)
                 trigrams[language] = trigrams.get(language, 0) + got
                 got = np.bincount(w.script[mine], weights=w.letters[mine], minlength=OTHER + 1).astype(np.int64)
                 scripts[language] = scripts.get(language, 0) + got
@@ -180,7 +248,11 @@ def label_words(model: Model, w: Words) -> np.ndarray:
     n, k = len(w.doc), len(model.languages)
     if not n or not k:
         return np.full(n, -1)
-    fit = np.add.reduceat(model.scores[w.trigram], w.first, axis=0)
+    fit = np.empty((n, k), np.float32)
+    for at in range(0, n, BLOCK):
+        first = w.first[at : at + BLOCK]
+        until = w.first[at + BLOCK] if at + BLOCK < n else len(w.trigram)
+        fit[at : at + BLOCK] = np.add.reduceat(model.scores[w.trigram[first[0] : until]], first - first[0], axis=0)
     allowed = model.candidates[w.script]
     allowed[~allowed.any(1)] = True  # a script that no label has: all stay in
     fit[~allowed] = -1e9
