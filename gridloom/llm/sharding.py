@@ -13,7 +13,8 @@ most room, and only what fits in no shard whole is subdivided by id.  The line
 of all the rest is then cut where each shard is full, at the nearer edge of a
 group of equal texts.
 
-Defined cases: null text has size 0 plus 1; records of equal id and text are
+Defined cases: null text has size 0 plus 1; ids of any type order records of
+one text (by number where they are numbers, else by a hash); records of equal id and text are
 told apart by a tie-break and each gets a slot; with fewer records than shards
 some shards stay empty; an empty table gives an empty result; extra columns
 ride along untouched.
@@ -112,7 +113,7 @@ def shard(
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.crc32(text.cast("binary"))).alias("key_hash"),
-            F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(id_col).cast("string"))).alias("key_id"),
+            F.coalesce(F.col(id_col).cast("string").try_cast("long"), F.xxhash64(F.col(id_col).cast("string"))).alias("key_id"),
             F.monotonically_increasing_id().alias("key_tie"),
             *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if keep else []),
         ),
