@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.expressions import let, upto
-from gridloom.llm.tables import materialise
+from gridloom.llm.tables import free_name, materialise
 
 N = 13
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,23 +88,15 @@ def hits(docs: DataFrame, bench: DataFrame, *, n: int = N, id_col: str = "doc_id
 
 def hit_documents(found: DataFrame) -> DataFrame:
     """(id, key, spans, n_hit, items): merged word spans [from, to) of each document that is hit."""
-    merged = F.aggregate(
-        F.sort_array("places"),
-        F.expr("struct(cast(array() as array<struct<from:int,to:int>>) as done, -1 as a, -1 as b)"),
-        lambda s, p: F.when(p["at"] <= s["b"], F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], p["at"] + p["len"]).alias("b")))
-        .otherwise(
-            F.struct(
-                F.when(s["a"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("from"), s["b"].alias("to"))))).alias("done"),
-                p["at"].alias("a"),
-                (p["at"] + p["len"]).alias("b"),
-            )
-        ),
-        lambda s: F.concat(s["done"], F.array(F.struct(s["a"].alias("from"), s["b"].alias("to")))),
-    )
     grouped = found.groupBy("id", "key").agg(F.collect_set(F.struct("at", "len")).alias("places"), F.sort_array(F.collect_set("item")).alias("items"))
-    return grouped.select("id", "key", merged.alias("spans"), "items").withColumn(
-        "n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
-    )
+    covered = F.sort_array(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["len"] - 1)))))
+
+    def edges(c: Column) -> Column:
+        begins = F.filter(c, lambda x, i: (i == 0) | (F.get(c, i - 1) != x - 1))
+        ends = F.filter(c, lambda x, i: (i == F.size(c) - 1) | (F.get(c, i + 1) != x + 1))
+        return F.struct(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("from"), (b + 1).alias("to"))).alias("spans"), F.size(c).cast("long").alias("n_hit"))
+
+    return grouped.select("id", "key", let(covered, edges).alias("merged"), "items").select("id", "key", "merged.spans", "items", "merged.n_hit")
 
 
 def scan(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -130,37 +122,41 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def _of_row(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> Column:
+    """Whether a row of ``docs`` has the id and text that the columns ``names`` tell."""
+    return F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(names[1]))
+
+
 def remove_documents(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the contaminated ones, all columns as they were."""
     bad = scan(docs, bench, id_col=id_col, text_col=text_col, **options).filter("contaminated")
-    bad = materialise(bad.select(F.col("id").alias("__bad_id"), F.col("key").alias("__bad_key")).distinct(), "bench-bad", small=True)
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("__bad_key"))
-    return docs.join(bad, on, "left_anti")
+    names = free_name(docs, "bad_id"), free_name(docs, "bad_key")
+    bad = materialise(bad.select(F.col("id").alias(names[0]), F.col("key").alias(names[1])).distinct(), "bench-bad", small=True)
+    return docs.join(bad, _of_row(docs, id_col, text_col, names), "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with the hit words taken out of ``text_col``; what separates the words stays."""
     hit = hit_documents(hits(docs, bench, id_col=id_col, text_col=text_col, **options))
-    hit = hit.select(F.col("id").alias("__hit_id"), F.col("key").alias("__hit_key"), F.col("spans").alias("__spans"))
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(F.col(text_col)) == F.col("__hit_key"))
-    joined = docs.join(hit, on, "left")
-    text = F.col(f"`{text_col}`")
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-    def masked(parts: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
-        return let(
-            found,
-            lambda w: F.array_join(
-                F.transform(
-                    parts,
-                    lambda gap, i: F.concat(
-                        gap, F.when(F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])), F.lit("")).otherwise(F.coalesce(F.get(w, i), F.lit("")))
-                    ),
-                ),
-                "",
-            ),
-        )
-
-    cleaned = F.when(F.col("__spans").isNull(), text).otherwise(let(F.split(text, word, -1), masked))
+    names = free_name(docs, "hit_id"), free_name(docs, "hit_key")
+    spans = free_name(docs, "hit_spans")
+    joined = docs.join(hit.select(F.col("id").alias(names[0]), F.col("key").alias(names[1]), F.col("spans").alias(spans)), _of_row(docs, id_col, text_col, names), "left")
+    text, s = F.col(f"`{text_col}`"), F.col(spans)
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are folded
+    parts = F.struct(F.split(text, word, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"))
+
+    def joined_up(p: Column) -> Column:
+        """Stretch by stretch: what lies before a span as it was, of the span what separates its words."""
+        gaps, w = p["gaps"], p["words"]
+        both = F.zip_with(gaps, w, lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
+
+        def stretch(b: Column, i: Column) -> Column:
+            begin = F.when(i > 0, F.get(s, i - 1)["to"]).otherwise(0)
+            end = F.coalesce(F.get(s, i)["from"], F.size(gaps))
+            until = F.coalesce(F.get(s, i)["to"], F.size(gaps))
+            return F.concat(F.array_join(F.slice(b, begin + 1, end - begin), ""), F.array_join(F.slice(gaps, end + 1, until - end), ""))
+
+        return let(both, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: stretch(b, i)), ""))
+
+    cleaned = F.when(s.isNull(), text).otherwise(let(parts, joined_up))
     return joined.select(*(cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -49,7 +49,7 @@ RULES = (
     Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", high=0.3, min_words=20),
     Rule("stop_word_ratio", "n_stop", "n_words", low=0.02, min_words=40),
     Rule("upper_case_ratio", "n_upper", "word_chars", high=0.5, min_words=20),
-    Rule("longest_line", "n_words", "n_lines", high=5000.0),
+    Rule("mean_line_length", "n_words", "n_lines", high=5000.0),
 )
 
 

@@ -222,7 +222,7 @@ def test_language_held_out(spark):
 
 def brute_path(model, w):
     """Plain Viterbi for the words of one text."""
-    fit = [sum(model.scores[t] for t in w.trigram[f : f + n]) for f, n in zip(w.first, w.letters, strict=True)]
+    fit = [sum(model.scores[t] for t in w.trigram[f : f + n]) for f, n in zip(w.first, w.sizes, strict=True)]
     for k, s in enumerate(w.script):
         allowed = model.candidates[s] if model.candidates[s].any() else np.ones(len(model.languages), bool)
         fit[k] = np.where(allowed, fit[k], -1e9).astype(float)
@@ -255,11 +255,29 @@ def test_language_spans_and_path(spark):
         value = 0.0
         for k, lang in enumerate(own):
             allowed = model.candidates[fit.script[k]]
-            value += float(sum(model.scores[x][lang] for x in fit.trigram[fit.first[k] : fit.first[k] + fit.letters[k]])) if allowed[lang] or not allowed.any() else -1e9
+            value += float(sum(model.scores[x][lang] for x in fit.trigram[fit.first[k] : fit.first[k] + fit.sizes[k]])) if allowed[lang] or not allowed.any() else -1e9
             value -= language_id.PENALTY if k and own[k - 1] != lang else 0
         assert own == want or value == pytest.approx(total, abs=1e-3)
 
 
+def test_language_of_marks_and_long_texts(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(words(rng, 80, "aeiou"), "v"), (words(rng, 80, "bcdfg"), "c")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["\u0301\u0302 \u0301", "a\u0301 \u0302", "x" * 90 + " " + words(rng, 60, "aeiou") + " " + words(rng, 50, "bcdfgé"), "", words(rng, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: [tuple(r) for r in language_id.identify(docs, model).sort("id").collect()]
+    whole = found()
+    assert whole[0][1:3] == ("und", 0.0) and whole[1][1] in "vc" and whole[1][2] == 1.0
+    one = language_id.words_of(texts)
+    for size in (7, 40):
+        monkeypatch.setattr(language_id, "CHUNK", size)
+        monkeypatch.setattr(language_id, "BLOCK", 5)
+        cut = language_id.words_of(texts)
+        assert all(np.array_equal(getattr(one, c), getattr(cut, c)) for c in one.__dataclass_fields__)
+        assert np.array_equal(language_id.label_words(model, one), language_id.label_words(model, cut))
+
+
 def test_language_odd(odd, odd_rows, empty):
     model = language_id.train(odd)
     got = language_id.identify(odd, model).collect()
@@ -515,5 +533,7 @@ def test_sharding_odd(odd, odd_rows, empty):
     check_shards(got, sum(len((r[1] or "").encode()) + 1 for r in odd_rows))
     assert {r["size"] for r in got if r["id"] in (4, 5)} == {1}
     assert sharding.shard(empty).collect() == []
+    named = odd.selectExpr("concat('doc-', doc_id) as doc_id", "text")
+    check_shards(sharding.shard(named).collect(), sum(len((r[1] or "").encode()) + 1 for r in odd_rows))
 
 

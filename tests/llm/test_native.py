@@ -141,9 +141,23 @@ def test_decontamination_removal(spark, bench_case, odd, empty):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     kept = decontamination.remove_documents(d, b).collect()
     assert Counter(map(tuple, kept)) == Counter((i, t) for i, t in docs if not brute_hits(t, items)[3])
-    for i, t in decontamination.remove_spans(d, b).collect():
-        before = [x for j, x in docs if j == i]
-        assert t in before or not any(brute_hits(t, [x])[1] == len(WORD.findall(t)) > 0 for x in items)
+    def unhit(text):
+        """The words of a text outside all hits, folded."""
+        w, hit = WORD.findall((text or "").translate(LOWER)), set()
+        for _, body in items:
+            g = WORD.findall((body or "").translate(LOWER))
+            n = min(13, len(g))
+            grams = {tuple(g[k : k + n]) for k in range(len(g) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1 if n else 0):
+                if tuple(w[k : k + n]) in grams:
+                    hit.update(range(k, k + n))
+        return tuple(x for k, x in enumerate(w) if k not in hit)
+
+    cleaned = Counter((i, tuple(WORD.findall((t or "").translate(LOWER)))) for i, t in decontamination.remove_spans(d, b).collect())
+    assert cleaned == Counter((i, unhit(t)) for i, t in docs)
+    clash = d.selectExpr("doc_id", "text", "1 as bad_id", "2 as bad_key", "3 as hit_id", "4 as hit_key", "5 as hit_spans", "6 as __bad_id", "7 as __spans")
+    assert decontamination.remove_documents(clash, b).count() == len(kept)
+    assert decontamination.remove_spans(clash, b).columns == clash.columns and decontamination.remove_spans(clash, b).count() == len(docs)
     assert decontamination.remove_documents(odd, b).columns == odd.columns
     assert decontamination.scan(empty, b).collect() == []
     nothing = spark.createDataFrame([], "item_id long, text string")
