@@ -1,31 +1,38 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For every word, word stem and word pair, the toxic and the ordinary training
-texts that hold it are counted, over all of them.  Each class's bigrams are
-discounted, by counts of counts, and back off to its discounted words, these to its stems, and these
-to continuation counts that both classes share, so a rare expression leans to
-neither class.  A text's log-likelihood ratio is normalised by length: over the
-whole text, over its most toxic stretch of any ``STRETCH`` neighbouring words,
-and over its ``TOP`` most toxic ones without overlap; a logistic calibration of
-these three numbers gives the score.
-
-Words, stems and pairs are told apart by 64-bit hashes, and their counts stay
-in tables that grow with the corpus.  A model of at most ``BROADCAST`` entries
-(36 bytes each) is broadcast; beyond that, texts are dealt into blocks of about
-``BLOCK`` bytes, each block asks for the entries of its own words and pairs,
-and the model answers in slices of about ``SLICE`` entries.  Both ways give
-the same scores.  Counts are summed per partition before the shuffle, so hot
-sources and copies need no care.
+A text is its words, a word its bytes with a begin and an end.  For every run
+of ``ORDER`` bytes within words, the toxic and the ordinary training texts'
+different words that hold it are counted, over all texts.  Each class predicts
+a byte from the ones before it by its own counts, discounted by counts of
+counts, and backs off to counts that both classes share: Kneser-Ney
+continuation counts of shorter runs (in how many different bytes' company they
+were seen; runs at a word's begin keep their counts).  So a rare expression is
+worth what its bytes' company in the two classes is worth, and what neither
+class knows leans to neither.  Runs are exact (packed into integers, not
+hashed), none is dropped, and their number grows with the corpus.
+
+A text's score compares log-likelihoods normalised by length (in words): over
+the whole text, over its most toxic stretch of any ``STRETCH`` neighbouring
+words and over its ``TOP`` most toxic stretches that share no word; a logistic
+calibration weighs the three.
+
+Where a run is unknown to both classes, the shared probability cancels out, so
+a model is one number for each known run and each known context.  Up to
+``BROADCAST`` of them (12 bytes each) are broadcast; beyond that, texts are
+dealt into blocks of about ``BLOCK`` bytes, each block asks for the entries of
+its own runs, and the model answers in slices of about ``SLICE`` entries.  Both
+ways give the same scores.  Counts are summed per task before the shuffle, so
+hot sources and copies need no care.
 
 The calibration is fitted on at most ``CALIBRATION`` labelled texts of one
 half of the training rows, under a model of the other half; the final model
 counts both.  Everything else covers all rows.
 
-Defined cases: null and empty texts score as a text with a ratio of 1; words
-that no training text holds count by their stems, else with a ratio of 1;
-without labels of both classes every score is the toxic share (0 if there are
-none); an id labelled twice takes its higher label; ids are only passed on, so
-repeated rows are fine; extra columns are left alone.
+Defined cases: null and empty texts score as a text with a ratio of 1; without
+labels of both classes every score is the toxic share (0 if there are none); an
+id labelled twice takes its higher label; a word of more than ``CHUNK`` bytes
+is read as several, and longer texts in pieces cut between words; ids are only
+passed on, so repeated rows are fine; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -39,20 +46,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.labels import labelled, logistic
 from gridloom.llm.tables import materialise, ship
-from gridloom.llm.wordhash import LETTERS, chunks, hash_words, mix64
+from gridloom.llm.wordhash import LETTERS, chunks, mix64
 
-STEM = 5
+#: Bytes of a run, the last of which is predicted from the others; what stands for a word's begin and end.
+ORDER, BEGIN, END = 5, 1, 2
 #: Discount where it cannot be estimated.
 DISCOUNT = 0.75
-#: Least probability of a token, and most that one token counts for.
-FLOOR, MOST = 1e-12, 12.0
-#: Pseudo-count by which a context's bigrams lean on the shared ones.
-LEAN = 100.0
+#: Most that one word counts for.
+MOST = 12.0
 #: Words of a stretch, and how many stretches speak for a text.
 STRETCH = 3
 TOP = 3
@@ -61,84 +67,120 @@ THRESHOLD = 0.7
 #: A text's half (0 or 1) and class (0 or 1) as one index.
 PARTS = 4
 FEATURES = ("ratio", "stretch_ratio", "top_ratio")
-WORD_KIND, STEM_KIND, PAIR_KIND = 0, 1, 2
-#: Counted rows that a task holds before it hands them on.
-HELD = 1_500_000
+#: Bytes of text that are read at once, and counted rows that a task holds before it hands them on.
+CHUNK, HELD = 1_000_000, 1_500_000
 #: Entries of a model that is broadcast, bytes of text in a block, entries of a slice.
-BROADCAST, BLOCK, SLICE = 1_000_000, 8 << 20, 500_000
-#: Of words and stems: log-probabilities by class, pooled probability, and as contexts totals and discounts by class.  Of pairs: discounted counts by class.
-VALUES = ("v0", "v1", "v2", "v3", "v4", "v5", "v6")
+BROADCAST, BLOCK, SLICE = 4_000_000, 8 << 20, 2_000_000
+#: Tells the keys of runs from those of contexts.
+RUN = 1 << (8 * ORDER)
 _SCORED = "score double, ratio double, stretch_ratio double, top_ratio double"
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_FOLDED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
-def _read(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, words, stems, first word of each text) of runs of texts; the last bit tells words from stems."""
-    for row, raw, offsets in chunks(column):
-        words, first, stems = hash_words(raw, offsets, LETTERS, STEM)
-        yield row, words | np.uint64(1), stems & ~np.uint64(1), first
-
-
-def _pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before) * _GOLD + words)
-
-
-def _texts(first: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))
-
-
-def _per_part(items: np.ndarray, size: int, doc: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """How many texts of each part hold each item."""
-    doc, items = np.divmod(np.unique(doc * size + items), size)
-    return np.bincount(items * PARTS + parts[doc], minlength=size * PARTS).reshape(size, PARTS).astype(np.int32)
-
-
-def _tally(words: np.ndarray, stems: np.ndarray, first: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(kind, key, second key, counts): words with their stems, stems, pairs of words."""
-    doc = _texts(first)
-    known, at, word = np.unique(words, return_index=True, return_inverse=True)
-    roots, root = np.unique(stems[at], return_inverse=True)
-    yield np.full(len(known), WORD_KIND, np.int8), known, roots[root], _per_part(word, len(known), doc, parts)
-    yield np.full(len(roots), STEM_KIND, np.int8), roots, np.zeros(len(roots), np.uint64), _per_part(root[word], len(roots), doc, parts)
-    inside = doc[1:] == doc[:-1]
-    if inside.any():
-        both, pair = np.unique((word[:-1] * len(known) + word[1:])[inside], return_inverse=True)
-        counts = _per_part(pair, len(both), doc[1:][inside], parts)
-        yield np.full(len(both), PAIR_KIND, np.int8), known[both // len(known)], known[both % len(known)], counts
+@dataclass
+class Words:
+    """Words of some texts: the text of each, where its runs begin (with the total at the end), and all runs."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    runs: np.ndarray
+
+
+def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
+    """The runs of every word: one for each byte and one for the end."""
+    inside = LETTERS[0][raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
+    size = end - begin + 1
+    first = np.r_[0, np.cumsum(size)]
+    symbols = np.full(int(first[-1]), END, np.int64)
+    is_end = np.zeros(len(symbols), bool)
+    is_end[first[1:] - 1] = True
+    symbols[~is_end] = _FOLDED[raw[inside]]
+    place = np.arange(len(symbols)) - np.repeat(first[:-1], size)
+    runs = symbols.copy()
+    for k in range(1, ORDER):
+        before = np.full(len(symbols), BEGIN, np.int64)
+        before[k:] = np.where(place[k:] >= k, symbols[:-k], BEGIN)
+        runs |= before << (8 * k)
+    return Words(np.searchsorted(offsets, begin, "right") - 1, first, runs)
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, bool, Words]]:
+    """(first row, rows, whether the last row goes on, words) of runs of texts; a long text comes in several pieces."""
+    for row, raw, offsets in chunks(texts):
+        if len(raw) <= 2 * CHUNK:
+            yield row, len(offsets) - 1, False, read_words(raw, offsets)
+            continue
+        at = 0
+        while at < len(raw):
+            end = min(at + CHUNK, len(raw))
+            if end < len(raw):
+                gaps = np.flatnonzero(~LETTERS[0][raw[at:end]])
+                end = at + int(gaps[-1]) + 1 if len(gaps) else end
+            yield row, 1, end < len(raw), read_words(raw[at:end], np.array([0, end - at]))
+            at = end
+
+
+def _tally(w: Words, parts: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs, counts by part, hashes of the words): each text's different words count once; ``seen`` are the last text's from pieces before."""
+    if not len(w.doc):
+        return np.zeros(0, np.int64), np.zeros((0, PARTS), np.int32), seen
+    size = np.diff(w.first)
+    place = (np.arange(len(w.runs)) - np.repeat(w.first[:-1], size)).astype(np.uint64)
+    words = mix64(np.add.reduceat(mix64(w.runs.astype(np.uint64) ^ (place << np.uint64(48))), w.first[:-1]))
+    own, at = np.unique(mix64(words + w.doc.astype(np.uint64)), return_index=True)
+    if len(seen):
+        fresh = ~np.isin(own, seen)
+        own, at = own[fresh], at[fresh]
+    chosen = np.zeros(len(w.doc), bool)
+    chosen[at] = True
+    key = w.runs[np.repeat(chosen, size)] * PARTS + np.repeat(parts[w.doc[chosen]], size[chosen])
+    key, n = np.unique(key, return_counts=True)
+    runs, of = np.unique(key // PARTS, return_inverse=True)
+    counts = np.zeros((len(runs), PARTS), np.int32)
+    counts[of, key % PARTS] = n
+    return runs, counts, own
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        parts = batch.column(0).to_numpy()
-        for row, words, stems, first in _read(batch.column(1)):
-            if len(words):
-                held += _tally(words, stems, first, parts[row:])
+        parts, seen = batch.column(0).to_numpy(), np.zeros(0, np.uint64)
+        for row, _, more, w in _pieces(batch.column(1)):
+            runs, counts, own = _tally(w, parts[row:].astype(np.int64), seen)
+            seen = np.union1d(seen, own) if more else np.zeros(0, np.uint64)
+            held.append((runs, counts))
             if sum(len(h[0]) for h in held) > HELD:
-                yield from _merged(held)
-                held = []
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield from _rows(*held.pop())
     if held:
-        yield from _merged(held)
+        yield from _rows(*_merged(held))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    runs, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(runs, kind="stable")
+    runs, n = runs[order], n[order]
+    start = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]]) if len(runs) else np.zeros(0, np.int64)
+    return runs[start], (np.add.reduceat(n, start, axis=0, dtype=np.int32) if len(start) else n)
 
 
-def _merged(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    kind, a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(_pair_keys(a, b + kind.astype(np.uint64)))
-    kind, a, b, n = kind[order], a[order], b[order], n[order]
-    start = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    n = np.add.reduceat(n, start, axis=0, dtype=np.int32)
-    for at in range(0, len(start), 1 << 16):
-        u = start[at : at + (1 << 16)]
-        columns = {"kind": kind[u], "a": a[u].view(np.int64), "b": b[u].view(np.int64)} | {f"n{k}": np.ascontiguousarray(n[at : at + (1 << 16), k]) for k in range(PARTS)}
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+def _rows(runs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(runs), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(runs[part]), *(pa.array(np.ascontiguousarray(n[part, k])) for k in range(PARTS))], names=["run", *(f"n{k}" for k in range(PARTS))])
 
 
 @dataclass
 class Model:
-    """Sorted keys and their ``VALUES`` if it is small, else ``None`` and a table of (a, b, VALUES)."""
+    """Sorted keys and their log-likelihood ratios if it is small, else ``None`` and a table of (key, value)."""
 
     known: np.ndarray | None
-    pairs: np.ndarray | None
+    values: np.ndarray | None
     calibration: np.ndarray
     entries: int
     table: DataFrame | None = None
@@ -146,7 +188,7 @@ class Model:
 
 def pack(model: Model) -> bytes:
     """A small model for broadcasting."""
-    return zlib.compress(pickle.dumps((model.known, model.pairs, model.calibration)), 1)
+    return zlib.compress(pickle.dumps((model.known, model.values, model.calibration)), 1)
 
 
 def unpack(packed: bytes) -> Model:
@@ -162,45 +204,38 @@ def unpack(packed: bytes) -> Model:
 _unpacked: dict[bytes, Model] = {}
 
 
-def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether known, where) of each key."""
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    wanted, back = np.unique(keys, return_inverse=True)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return (known[at] == wanted)[back], at[back]
-
-
-def _ratios(m: Model, words: np.ndarray, stems: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each word after the one before it."""
-    found, at = _find(m.known, words)
-    lost = np.flatnonzero(~found)
-    found[lost], at[lost] = _find(m.known, stems[lost])
-    if not found.any():
-        return np.zeros(len(words))
-    ratio = np.where(found, m.pairs[at, 1] - m.pairs[at, 0], 0.0).astype(np.float64)
-    doc = _texts(first)
-    use = np.flatnonzero(found[1:] & found[:-1] & (doc[1:] == doc[:-1])) + 1
-    if len(use):
-        seen, pair = _find(m.known, _pair_keys(words[use - 1], words[use]))
-        kept = np.where(seen[:, None], m.pairs[pair, :2], 0.0)
-        own, context = m.pairs[at[use]].astype(np.float64), m.pairs[at[use - 1]].astype(np.float64)
-        total, taken, word = context[:, 3:5], context[:, 5:7], own[:, 2]
-        shared = (kept.sum(1) + (taken.sum(1) + LEAN) * word) / (total.sum(1) + LEAN)
-        logs = [np.log((kept[:, c] + (taken[:, c] + LEAN) * shared * np.exp(own[:, c]) / word) / (total[:, c] + LEAN)) for c in range(2)]
-        ratio[use] = logs[1] - logs[0]
-    return np.clip(ratio, -MOST, MOST)
-
-
-def _features(m: Model, words: np.ndarray, stems: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _keys(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's keys of runs and of their contexts."""
+    return mix64((runs | RUN).astype(np.uint64)), mix64((runs >> 8).astype(np.uint64))
+
+
+def _find(m: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether known, its value) of each key."""
+    if not len(m.known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(m.known, keys), len(m.known) - 1)
+    found = m.known[at] == keys
+    return found, np.where(found, m.values[at], 0.0)
+
+
+def _ratios(m: Model, w: Words) -> np.ndarray:
+    """Log-likelihood ratio of each word."""
+    if not len(w.doc):
+        return np.zeros(0)
+    runs, of = np.unique(w.runs, return_inverse=True)
+    own, context = _keys(runs)
+    found, value = _find(m, own)
+    value[~found] = _find(m, context[~found])[1]
+    return np.clip(np.add.reduceat(value[of], w.first[:-1]), -MOST, MOST)
+
+
+def _features(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(log-likelihood ratio a word, that of the most toxic stretch, that of the TOP most toxic ones) of each text."""
-    out = np.zeros((len(first) - 1, 3))
-    if not len(words):
-        return out
-    ratio, size = _ratios(m, words, stems, first), np.diff(first)
+    out, size = np.zeros((len(first) - 1, 3)), np.diff(first)
     some = size > 0
-    out[some, 0] = np.add.reduceat(ratio, first[:-1][some]) / size[some]
-    out[:, 1:] = _stretches(ratio, first)
+    if some.any():
+        out[some, 0] = np.add.reduceat(ratio, first[:-1][some]) / size[some]
+        out[:, 1:] = _stretches(ratio, first)
     return out
 
 
@@ -235,11 +270,21 @@ def _stretches(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _rated(m: Model, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-    for row, words, stems, first in _read(texts):
-        f = _features(m, words, stems, first)
+    held: list[np.ndarray] = []
+    for row, rows, more, w in _pieces(texts):
+        ratio = _ratios(m, w)
+        if more or held:  # a long text
+            held.append(ratio)
+            if more:
+                continue
+            ratio, held = np.concatenate(held), []
+            first = np.array([0, len(ratio)])
+        else:
+            first = np.searchsorted(w.doc, np.arange(rows + 1))
+        f = _features(ratio, first)
         z = f @ m.calibration[:3] + m.calibration[3]
         score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        yield pa.RecordBatch.from_arrays([ids.slice(row, len(f)), pa.array(score), *(pa.array(f[:, k]) for k in range(3))], names=["id", "score", *FEATURES])
+        yield pa.RecordBatch.from_arrays([ids.slice(row, rows), pa.array(score), *(pa.array(f[:, k]) for k in range(3))], names=["id", "score", *FEATURES])
 
 
 def _scores(model):
@@ -269,13 +314,9 @@ def _unsqueeze(packed: bytes, rows: int, dtype: type, columns: int = 1) -> np.nd
 
 
 def _wanted(texts: pa.Array) -> np.ndarray:
-    """All keys of the words, stems and pairs of a block, in order."""
-    keys = []
-    for _, words, stems, first in _read(texts):
-        doc = _texts(first)
-        pairs = _pair_keys(words[:-1], words[1:])[doc[1:] == doc[:-1]] if len(words) > 1 else words[:0]
-        keys.append(np.unique(np.concatenate([words, stems, pairs])))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    """All keys of the runs and contexts of a block, in order."""
+    runs = [np.unique(w.runs) for _, _, _, w in _pieces(texts)]
+    return np.unique(np.concatenate(_keys(np.unique(np.concatenate(runs))))) if runs else np.zeros(0, np.uint64)
 
 
 def _table(columns: dict) -> pa.Table:
@@ -298,15 +339,13 @@ def _answers(key, asked, entries):
     """For each block that asks: which of its keys are known, and their values."""
     known = entries.column("key").to_numpy().view(np.uint64)
     order = np.argsort(known)
-    known = known[order]
-    values = np.column_stack([entries.column(v).to_numpy() for v in VALUES])[order] if len(known) else np.zeros((0, len(VALUES)), np.float32)
+    m = Model(known[order], entries.column("value").to_numpy()[order], np.zeros(0), len(known))
     found, numbers, sizes = [], [], []
     for size, steps in zip(asked.column("size").to_pylist(), asked.column("keys"), strict=True):
         keys = np.cumsum(_unsqueeze(steps.as_buffer(), size, np.uint64), dtype=np.uint64)
-        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        is_known = known[at] == keys if len(known) else np.zeros(size, bool)
+        is_known, values = _find(m, keys)
         found.append(np.packbits(is_known).tobytes())
-        numbers.append(_squeeze(values[at[is_known]]) if is_known.any() else b"")
+        numbers.append(_squeeze(values[is_known].astype(np.float32)) if is_known.any() else b"")
         sizes.append(size)
     return _table({"slice": ([key[0].as_py()] * len(sizes), pa.int32()), "block": (asked.column("block").to_pylist(), pa.int32()), "size": (sizes, pa.int32()), "found": (found, pa.binary()), "numbers": (numbers, pa.binary())})
 
@@ -318,9 +357,9 @@ def _block_scores(calibration: np.ndarray):
         for row in sorted(answers.to_pylist(), key=lambda r: r["slice"]):
             found.append(np.unpackbits(np.frombuffer(row["found"], np.uint8))[: row["size"]].astype(bool))
             if found[-1].any():
-                values.append(_unsqueeze(row["numbers"], int(found[-1].sum()), np.float32, len(VALUES)))
+                values.append(_unsqueeze(row["numbers"], int(found[-1].sum()), np.float32))
         known = keys[np.concatenate(found)] if found else keys[:0]
-        m = Model(known, np.concatenate(values) if values else np.zeros((0, len(VALUES)), np.float32), calibration, len(known))
+        m = Model(known, np.concatenate(values) if values else np.zeros(0, np.float32), calibration, len(known))
         return pa.Table.from_batches(list(_rated(m, block.column("id").combine_chunks(), block.column("text"))))
 
     return run
@@ -329,24 +368,23 @@ def _block_scores(calibration: np.ndarray):
 def _keyed(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            keys = np.where(b == 0, a, _pair_keys(a, b))  # the second word of a pair is odd
-            yield pa.RecordBatch.from_arrays([pa.array(_slice_of(keys, slices)), pa.array(keys.view(np.int64)), *batch.columns[2:]], names=["slice", "key", *VALUES])
+            keys = mix64(batch.column(0).to_numpy().astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_slice_of(keys, slices)), pa.array(keys.view(np.int64)), batch.column(1)], names=["slice", "key", "value"])
 
     return run
 
 
-_ENTRIES = "slice int, key bigint, " + ", ".join(f"{v} float" for v in VALUES)
+_ENTRIES = "slice int, key bigint, value float"
 
 
 def _small(model: Model) -> Model:
     """With its entries at the driver if they are few."""
     if model.known is not None or model.entries > BROADCAST:
         return model
-    got = model.table.mapInArrow(_keyed(1), _ENTRIES).toArrow()
+    got = model.table.mapInArrow(_keyed(1), _ENTRIES).select("key", "value").toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return Model(keys[order], np.column_stack([got.column(v).to_numpy() for v in VALUES])[order], model.calibration, model.entries)
+    return Model(keys[order], got.column("value").to_numpy()[order], model.calibration, model.entries)
 
 
 def _apply(base: DataFrame, model: Model) -> DataFrame:
@@ -355,8 +393,7 @@ def _apply(base: DataFrame, model: Model) -> DataFrame:
     if model.known is not None:
         return base.mapInArrow(_scores(base.sparkSession.sparkContext.broadcast(pack(model))), schema)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # at most two keys a word and its stem's; a word has some six bytes
-    slices = (model.entries + size // 3) // SLICE + 1
+    slices = model.entries // SLICE + 1
     dealt = base.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(size // BLOCK + 1)).cast("int"))
     asked = dealt.groupBy("block").applyInArrow(_asks(slices), "slice int, block int, size int, keys binary")
     entries = model.table.mapInArrow(_keyed(slices), _ENTRIES)
@@ -382,44 +419,63 @@ def _kept(n: Column, discounts: tuple[float, float, float]) -> Column:
     return F.when(n >= 3, n - discounts[2]).when(n == 2, 2 - discounts[1]).when(n == 1, 1 - discounts[0]).otherwise(0.0)
 
 
-def _fit(counts: DataFrame, columns: tuple[Column, Column], calibration: np.ndarray) -> tuple[Model, list[float]]:
-    """Kneser-Ney models of the two classes by their columns of counts; also the classes' sums of words."""
-    rows = counts.select("kind", "a", "b", *(c.alias(f"c{k}") for k, c in enumerate(columns))).filter("c0 + c1 > 0")
-    c = [F.col("c0"), F.col("c1")]
-    told = [f(x).alias(f"{name}{k}") for k, x in enumerate(c) for name, f in [("sum", F.sum), *((f"is{n}_", lambda x, n=n: F.count_if(x == n)) for n in (1, 2, 3, 4)), ("more", lambda x: F.count_if(x >= 3))]]
-    stats = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count("*").alias("rows"), *told).collect()}
-    if WORD_KIND not in stats:
-        return Model(np.zeros(0, np.uint64), np.zeros((0, len(VALUES)), np.float32), calibration, 0), [0.0, 0.0]
-    off, total, mass = {}, {}, {}
-    for kind, r in stats.items():
-        for k in range(2):
-            d = off[kind, k] = _discounts(*(r[f"is{n}_{k}"] for n in (1, 2, 3, 4)))
-            total[kind, k] = max(r[f"sum{k}"], 1)
-            taken = d[0] * r[f"is1_{k}"] + d[1] * r[f"is2_{k}"] + d[2] * r[f"more{k}"]
-            mass[kind, k] = max(taken, 1.0) / total[kind, k]  # what the discounts free for the shared counts
-    n_pairs = stats[PAIR_KIND]["rows"] if PAIR_KIND in stats else 0
-    kept = lambda kind: [_kept(c[k], off[kind, k]) if kind in stats else F.lit(0.0) for k in range(2)]
-    pairs = rows.filter(F.col("kind") == PAIR_KIND).select("a", "b", "c0", "c1", *(x.alias(f"k{k}") for k, x in enumerate(kept(PAIR_KIND))))
-    ahead = pairs.groupBy(F.col("a").alias("key")).agg(*(F.sum(f"c{k}").alias(f"t{k}") for k in range(2)), *(F.sum(c[k] - F.col(f"k{k}")).alias(f"d{k}") for k in range(2)))
-    behind = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("contexts"))
-    words = rows.filter(F.col("kind") == WORD_KIND).select(F.col("a").alias("key"), F.col("b").alias("stem"), *(x.alias(f"k{k}") for k, x in enumerate(kept(WORD_KIND))))
-    words = words.join(ahead, "key", "left").join(behind, "key", "left").withColumn("shared", F.coalesce("contexts", F.lit(0)) + 0.5)
-    every = n_pairs + 0.5 * stats[WORD_KIND]["rows"]
-    p = lambda kind, k, back: F.greatest(F.col(f"k{k}") / total[kind, k] + mass[kind, k] * back, F.lit(FLOOR))
-    pooled = lambda kind, x: (x[0] * total[kind, 0] + x[1] * total[kind, 1]) / (total[kind, 0] + total[kind, 1])
-    stems = rows.filter(F.col("kind") == STEM_KIND).select(F.col("a").alias("stem"), *(x.alias(f"k{k}") for k, x in enumerate(kept(STEM_KIND))))
-    stems = stems.join(words.groupBy("stem").agg(F.sum("shared").alias("within")), "stem")
-    stems = stems.select("stem", "within", *(p(STEM_KIND, k, F.col("within") / every).alias(f"s{k}") for k in range(2)))
-    words = words.join(stems, "stem")
-    values = lambda *v: [x.cast("float").alias(n) for n, x in zip(VALUES, [*v, *[F.lit(0.0)] * (len(VALUES) - len(v))], strict=True)]
-    own = [p(WORD_KIND, k, F.col(f"s{k}") * F.col("shared") / F.col("within")) for k in range(2)]
-    contexts = [F.coalesce(n, F.lit(0)) for n in ("t0", "t1", "d0", "d1")]
-    none, s = F.lit(0).cast("bigint").alias("b"), [F.col("s0"), F.col("s1")]
-    table = words.select(F.col("key").alias("a"), none, *values(*(F.log(x) for x in own), pooled(WORD_KIND, own), *contexts))
-    table = table.unionAll(stems.select(F.col("stem").alias("a"), none, *values(*(F.log(x) for x in s), pooled(STEM_KIND, s))))
-    table = table.unionAll(pairs.select("a", "b", *values(F.col("k0"), F.col("k1"))))
-    model = Model(None, None, calibration, sum(r["rows"] for r in stats.values()), table)
-    return _small(model), [float(stats[WORD_KIND][f"sum{k}"]) for k in range(2)]
+def _tails(rows: DataFrame, size: int, n: Column) -> DataFrame:
+    """(run, n): the shared counts of the last ``size`` bytes of runs of one more.
+
+    How many different bytes stand before them; at a word's begin, where only the begin can, their own count.
+    """
+    second = F.shiftright("run", 8 * (size - 1)).bitwiseAND(F.lit(255))
+    tail = F.col("run").bitwiseAND(F.lit((1 << 8 * size) - 1))
+    return rows.groupBy(tail.alias("run")).agg(F.sum(F.when(second == BEGIN, n).otherwise(1)).cast("long").alias("n"))
+
+
+def _told(n: Column, name: str) -> list[Column]:
+    """How many counts of one, two, three and four there are."""
+    return [F.count_if(n == k).alias(f"{name}{k}") for k in (1, 2, 3, 4)]
+
+
+def _fit(counts: DataFrame, columns: tuple[Column, Column], calibration: np.ndarray) -> Model:
+    """Kneser-Ney models of the two classes by their columns of counts."""
+    rows = counts.select("run", *(c.alias(f"c{k}") for k, c in enumerate(columns))).filter("c0 + c1 > 0")
+    levels, n = {}, F.col("c0") + F.col("c1")
+    tails = rows
+    for size in range(ORDER - 1, 0, -1):
+        tails = _tails(tails, size, n)
+        levels[size], n = tails, F.col("n")
+    shared = None
+    for size, level in levels.items():
+        part = level.withColumn("size", F.lit(size))
+        shared = part if shared is None else shared.unionByName(part)
+    shared = materialise(shared, "toxic-shared", small=True)
+    off = {r["size"]: _discounts(*(r[f"n{k}"] for k in (1, 2, 3, 4))) for r in shared.groupBy("size").agg(*_told(F.col("n"), "n")).collect()}
+    told = rows.agg(*_told(F.col("c0"), "a"), *_told(F.col("c1"), "b")).first()
+    if not off:
+        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), calibration, 0)
+    own = [_discounts(*(told[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "ab"]
+    after = Window.partitionBy(F.shiftright("run", 8))  # the runs of one context, 256 of them at most
+    tail = lambda size: F.col("run").bitwiseAND(F.lit((1 << 8 * size) - 1))
+    lower = None
+    for size in range(1, ORDER):
+        kept, n = _kept(F.col("n"), off[size]), F.col("n")
+        level = shared.filter(F.col("size") == size).select("run", kept.alias("kept"), F.sum(n).over(after).alias("total"), F.sum(n - kept).over(after).alias("freed"))
+        if lower is None:
+            level = level.withColumn("q", F.lit(1 / 256))
+        else:
+            level = level.withColumn("tail", tail(size - 1)).join(lower, "tail")
+        lower = level.select(F.col("run").alias("tail"), ((F.col("kept") + F.col("freed") * F.col("q")) / F.col("total")).alias("q"))
+    top, share = rows, []
+    for k in range(2):
+        kept, n = _kept(F.col(f"c{k}"), own[k]), F.col(f"c{k}")
+        top = top.withColumns({f"k{k}": kept, f"t{k}": F.sum(n).over(after), f"f{k}": F.sum(n - kept).over(after)})
+        total = F.col(f"t{k}")
+        # a class that does not know the context takes the shared probability as it is
+        top = top.withColumns({f"g{k}": F.when(total > 0, F.col(f"f{k}") / total).otherwise(1.0), f"x{k}": F.when(total > 0, F.col(f"k{k}") / total).otherwise(0.0)})
+        share.append(F.col(f"x{k}") + F.col(f"g{k}") * F.col("q"))
+    top = top.withColumn("tail", tail(ORDER - 1)).join(lower, "tail")
+    context = top.groupBy(F.shiftright("run", 8).alias("key")).agg(F.first(F.log(F.col("g1") / F.col("g0"))).cast("float").alias("value"))
+    table = top.select((F.col("run") + RUN).alias("key"), F.log(share[1] / share[0]).cast("float").alias("value")).unionByName(context)
+    table = materialise(table, "toxic-model", small=True)
+    return _small(Model(None, None, calibration, table.count(), table))
 
 
 @contextmanager
@@ -441,24 +497,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     half = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(2)).cast("int")
     rows = rows.select("id", (half * 2 + (F.col("label") > 0).cast("int")).alias("part"), "text")
     n = [F.col(f"n{k}") for k in range(PARTS)]
-    counts = rows.select("part", "text").mapInArrow(_counts, "kind tinyint, a bigint, b bigint, " + ", ".join(f"n{k} int" for k in range(PARTS)))
-    with _no_leftovers(docs.sparkSession):
-        counts = materialise(counts.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(f"n{k}") for k, c in enumerate(n))), "toxic-counts")
-    # calibrate on the second half under a model of the first
-    halves, _ = _fit(counts, (n[0], n[1]), np.zeros(4))
-    sample = rows.filter("part >= 2")
-    share = min(1.0, CALIBRATION / max(n_labels / 2, 1))
-    if share < 1:
-        sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = rows.select("part", "text").mapInArrow(_counts, "run bigint, " + ", ".join(f"n{k} int" for k in range(PARTS)))
     with _no_leftovers(docs.sparkSession):
+        counts = materialise(counts.groupBy("run").agg(*(F.sum(c).alias(f"n{k}") for k, c in enumerate(n))), "toxic-counts", small=True)
+        # calibrate on the second half under a model of the first
+        halves = _fit(counts, (n[0], n[1]), np.zeros(4))
+        sample = rows.filter("part >= 2")
+        share = min(1.0, CALIBRATION / max(n_labels / 2, 1))
+        if share < 1:
+            sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
         got = _apply(sample.select(F.col("part").alias("id"), "text"), halves).select("id", *FEATURES).toArrow()
+        model = _fit(counts, (n[0] + n[2], n[1] + n[3]), np.zeros(4))
     toxic = got.column("id").to_numpy() == 3
-    model, sums = _fit(counts, (n[0] + n[2], n[1] + n[3]), np.zeros(4))
     if 0 < toxic.sum() < len(toxic):
         x = np.column_stack([got.column(c).to_numpy() for c in FEATURES])
         model.calibration = logistic(x, toxic)
     else:
-        toxic_share = sums[1] / max(sum(sums), 1)
+        toxic_share = rows.agg(F.avg((F.col("part") % 2).cast("double"))).first()[0] or 0.0
         model.calibration = np.array([0.0, 0.0, 0.0, np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))])
     return model
 
@@ -466,5 +521,5 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, score, ratio, stretch_ratio, top_ratio, predicted."""
     ship(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return _apply(base, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -404,7 +404,7 @@ def test_toxicity_held_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(docs, docs.filter("doc_id % 4 <> 1").select("doc_id", "toxic"))
     again = toxicity.unpack(toxicity.pack(model))
-    assert (again.known == model.known).all() and (again.pairs == model.pairs).all()
+    assert (again.known == model.known).all() and (again.values == model.values).all()
     got = {r["id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
     held = [(got[k], t) for k, _, t in rows if k % 4 == 1]
     assert np.mean([p for p, t in held if not t]) < 0.01
@@ -428,54 +428,103 @@ def test_toxic_stretches_are_found_at_any_word():
         assert toxicity._stretches(np.r_[np.zeros(ahead), foul], np.array([0, 7 + ahead]))[0].tolist() == [10 / 3, 10 / 9]
 
 
-def test_toxicity_tells_all_words_and_pairs_apart(spark, monkeypatch):
+def brute_kneser_ney(texts):
+    """Log-likelihood ratio of a word under plain Kneser-Ney models of [(words, class)]."""
+    order, begin, end = toxicity.ORDER, b"\x01", b"\x02"
+    runs_of = lambda w: [(begin * (order - 1) + w + end)[k : k + order] for k in range(len(w) + 1)]
+    top = [defaultdict(int), defaultdict(int)]
+    for ws, c in texts:
+        for w in set(ws):
+            for g in runs_of(w):
+                top[c][g] += 1
+    levels, above = {}, {g: top[0].get(g, 0) + top[1].get(g, 0) for g in set(top[0]) | set(top[1])}
+    for size in range(order - 1, 0, -1):
+        tails = defaultdict(int)
+        for g, n in above.items():
+            tails[g[1:]] += n if g[1:2] == begin else 1
+        levels[size] = above = dict(tails)
+
+    def model(table):
+        d = toxicity._discounts(*(sum(n == k for n in table.values()) for k in (1, 2, 3, 4)))
+        totals = defaultdict(lambda: [0, 0.0])
+        for g, n in table.items():
+            totals[g[:-1]][0] += n
+            totals[g[:-1]][1] += d[min(n, 3) - 1]
+        return table, d, dict(totals)
+
+    def p(m, g, lower):
+        table, d, totals = m
+        if g[:-1] not in totals:
+            return lower
+        total, freed = totals[g[:-1]]
+        n = table.get(g, 0)
+        return ((n - d[min(n, 3) - 1] if n else 0.0) + freed * lower) / total
+
+    shared, own = {k: model(v) for k, v in levels.items()}, [model(dict(t)) for t in top]
+
+    def ratio(w):
+        out = 0.0
+        for g in runs_of(w):
+            q = 1 / 256
+            for size in range(1, order):
+                q = p(shared[size], g[-size:], q)
+            out += np.log(p(own[1], g, q) / p(own[0], g, q))
+        return max(-toxicity.MOST, min(toxicity.MOST, out))
+
+    return ratio
+
+
+def test_toxicity_against_plain_kneser_ney(spark, monkeypatch):
     rng = random.Random(5)
-    vocabulary = sorted({"".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(8000)})
-    raw = " ".join(vocabulary).encode()
-    hashes = hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED)[0]
-    by = defaultdict(list)
-    for w, h in zip(vocabulary, hashes.tolist(), strict=True):
-        by[h >> 44].append(w)
-    foul, plain = next(v for v in by.values() if len(v) > 1)[:2]  # equal in the first 20 bits of their hashes
-    rows = [(k, " ".join(rng.sample(vocabulary, 12) + [foul if k % 5 == 0 else plain]), int(k % 5 == 0)) for k in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(docs, docs)
-    split = [t.split(" ") for _, t, _ in rows]
-    want = {w for t in split for w in t} | {("stem", w[:5]) for t in split for w in t} | {p for t in split for p in zip(t, t[1:])}
-    assert len(model.known) == len(want)
-    asked = spark.createDataFrame([(1, foul), (2, plain), (3, None), (3, ""), (None, f"{foul} {plain} unseen"), *((10 + k, t) for k, t, _ in rows)], "doc_id long, text string")
-    few = sorted((tuple(r) for r in toxicity.score(asked, model).collect()), key=str)
-    ratio = {r[0]: r[2] for r in few}
-    assert ratio[1] > 1 and ratio[2] < -1
-    for name, value in (("BROADCAST", 0), ("BLOCK", 3000), ("SLICE", 1000), ("HELD", 2000)):
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["漢字", "zz" * 30]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=12) + ["qqfoul"] * (k % 5 == 0) + ["QQ-fine!"] * (k % 7 == 0)), int(k % 5 == 0)) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    cut = lambda t: [w.encode() for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())]
+    ratio = brute_kneser_ney([(cut(t), c) for _, t, c in rows])
+    asked = [(1, "qqfoul"), (2, "fine"), (3, None), (3, ""), (None, "qqfoul abc unseen"), (4, "x" * 300), *((10 + k, t) for k, t, _ in rows)]
+    table = spark.createDataFrame(asked, "doc_id long, text string")
+    got = sorted((tuple(r) for r in toxicity.score(table, model).collect()), key=str)
+    for r in got:
+        text = dict(asked)[r[0]] or ""
+        want = [ratio(w) for w in cut(text)]
+        assert r[2] == pytest.approx(np.mean(want) if want else 0, abs=1e-4)
+    by = {r[0]: r[2] for r in got}
+    assert by[1] > 1 and by[2] < by[1] and by[4] == pytest.approx(ratio(b"x" * 300), abs=1e-4)
+    for name, value in (("BROADCAST", 0), ("BLOCK", 3000), ("SLICE", 300), ("HELD", 2000)):
         monkeypatch.setattr(toxicity, name, value)
-    many = toxicity.train(docs, docs)
-    assert many.known is None and many.entries == len(want)
-    got = sorted((tuple(r) for r in toxicity.score(asked, many).collect()), key=str)
-    assert [r[0] for r in got] == [r[0] for r in few]
-    assert np.allclose([r[1:] for r in got], [r[1:] for r in few], atol=1e-6)
+    many = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert many.known is None and many.entries == len(model.known)
+    again = sorted((tuple(r) for r in toxicity.score(table, many).collect()), key=str)
+    assert [r[0] for r in again] == [r[0] for r in got]
+    assert np.allclose([r[1:] for r in again], [r[1:] for r in got], atol=1e-6)
+
+
+def test_toxicity_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(16)
+    texts = [words(rng, 400), "", "z" * 900, words(rng, 30), words(rng, 300, "aé漢")]
+    parts = np.array([0, 1, 2, 3, 1])
+    runs, counts, _ = toxicity._tally(next(iter(toxicity._pieces(pa.array(texts))))[3], parts, np.zeros(0, np.uint64))
+    m = toxicity.Model(*(lambda k: (np.sort(k), np.linspace(-2, 2, len(k)).astype(np.float32)))(toxicity._keys(runs)[0][::2]), np.array([1, 0.5, 0.2, 0.1]), 0)
+    whole = pa.Table.from_batches(toxicity._rated(m, pa.array(range(5)), pa.array(texts)))
+    from gridloom.llm import wordhash
 
+    monkeypatch.setattr(wordhash, "CHUNK", 300)
+    monkeypatch.setattr(toxicity, "CHUNK", 950)
+    assert len(list(toxicity._pieces(pa.array(texts)))) > 5
+    cut = pa.Table.from_batches(toxicity._rated(m, pa.array(range(5)), pa.array(texts)))
+    assert cut.column("id").to_pylist() == list(range(5))
+    assert np.allclose(np.array(cut.drop("id").to_pandas()), np.array(whole.drop("id").to_pandas()))
+    batch = pa.RecordBatch.from_arrays([pa.array(parts), pa.array(texts)], names=["part", "text"])
+    got = pa.Table.from_batches(toxicity._counts([batch])).to_pydict()
+    assert got["run"] == runs.tolist() and np.array_equal(np.column_stack([got[f"n{k}"] for k in range(4)]), counts)
 
-def test_toxicity_keeps_rare_words_and_pairs(spark):
+
+def test_discounts_stay_in_their_bounds():
     assert toxicity._discounts(600, 200, 100, 60) == pytest.approx((0.6, 1.1, 1.56))
     for few in ((0, 0, 0, 0), (5, 0, 0, 0), (5, 1, 0, 0), (1, 9, 99, 999), (9, 9, 0, 9)):
         d = toxicity._discounts(*few)
         assert 0 < d[0] < 1 and 0 < d[1] < 2 and 0 < d[2] < 3
-    rng = random.Random(6)
-    rows = []
-    for k in range(600):
-        text = words(rng, 25, "abcdefghijkl").split(" ") + ["left", words(rng, 1), "right"]
-        if k % 3 == 0:
-            text += ["left", "right"] if k < 9 else ["qqfoul"] if k < 15 else []  # three and two texts
-        rows.append((k, " ".join(text), int(k % 3 == 0)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(docs, docs)
-    pairs = model.pairs[model.pairs[:, 2] == 0]
-    assert len(pairs) == len({p for _, t, _ in rows for p in zip(t.split(" "), t.split(" ")[1:])})
-    assert (pairs[:, :2].sum(1) > 0).all()  # each of them keeps a part of its count
-    asked = spark.createDataFrame([(1, "qqfoul"), (2, "neverseen")], "doc_id long, text string")
-    ratio = {r["id"]: r["ratio"] for r in toxicity.score(asked, model).collect()}
-    assert ratio[1] > 0.5 and ratio[2] == 0
 
 
 def test_toxicity_odd(spark, odd, odd_rows, empty):
