@@ -1,7 +1,9 @@
 """Alignment of point sets: fits from distributed sums, robust reweighting, closest-point iteration, rig consensus.
 
-Whatever the number of points, a fit is one aggregation of seventeen sums and
-a 3 x 3 decomposition on the driver; iterations repeat that.
+Whatever the number of points, a fit is two aggregations (means, then centred
+moments) and a 3 x 3 decomposition on the driver; iterations repeat that.
+Without pairs a fit is the identity.  Ties are settled by the order that each
+function states; rows with a null coordinate take no part.
 """
 
 from __future__ import annotations
@@ -13,19 +15,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.cluster import ship
 from gridloom.functions import linalg
 from gridloom.operators import nearest
 
 SOURCE, TARGET = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
 
+def _mean(w: Column, x: Column) -> Column:
+    return F.sum(w * x) / F.sum(w)
+
+
+def moments_by(pairs: DataFrame, by: list[str], source: list[str], target: list[str], weight: Column | None = None) -> DataFrame:
+    """(by..., n, m_<c>, v_source, v_target, x_<target>_<source>): means first, then means of centred products.
+
+    Two aggregations, so that points far from the origin lose nothing.
+    Rows with a null weight or coordinate are left out of the moments.
+    """
+    there = F.lit(True)
+    for c in (*source, *target):
+        there &= F.col(c).isNotNull()
+    w = F.when(there, F.lit(1.0) if weight is None else weight)
+    rows = pairs.withColumn("__w", w).filter("__w > 0")
+    w = F.col("__w")
+    means = rows.groupBy(*by).agg(F.sum(w).alias("n"), *(_mean(w, F.col(c)).alias(f"m_{c}") for c in (*source, *target)))
+    off = lambda c: F.col(c) - F.col(f"m_{c}")
+    square = lambda cols: sum((off(c) * off(c) for c in cols[1:]), off(cols[0]) * off(cols[0]))
+    centred = rows.join(means, by) if by else rows.crossJoin(F.broadcast(means))  # one row
+    second = centred.groupBy(*by).agg(
+        _mean(w, square(source)).alias("v_source"), _mean(w, square(target)).alias("v_target"),
+        *(_mean(w, off(t) * off(s)).alias(f"x_{t}_{s}") for t in target for s in source),
+    )
+    return means.join(second, by) if by else means.crossJoin(F.broadcast(second))
+
+
 def moments(pairs: DataFrame, weight: Column | None = None):
-    """The weighted sums of (sx, sy, sz) against (tx, ty, tz) that a fit needs."""
-    w = F.lit(1.0) if weight is None else weight
-    sums = [F.sum(w), *(F.sum(w * F.col(c)) for c in SOURCE + TARGET), *(F.sum(w * F.col(t) * F.col(s)) for t in TARGET for s in SOURCE)]
-    square = lambda cols: F.sum(w * sum((F.col(c) * F.col(c) for c in cols[1:]), F.col(cols[0]) * F.col(cols[0])))
-    row = [float(v or 0) for v in pairs.agg(*sums, square(SOURCE), square(TARGET)).first()]
-    return row[0], np.array(row[1:4]), np.array(row[4:7]), row[16], row[17], np.array(row[7:16]).reshape(3, 3)
+    """(n, mean source, mean target, variances, cross) of (sx, sy, sz) against (tx, ty, tz); all 0 without pairs."""
+    r = moments_by(pairs, [], list(SOURCE), list(TARGET), weight).first()
+    value = lambda c: float((r[c] if r is not None else 0) or 0)
+    cross = np.array([[value(f"x_{t}_{s}") for s in SOURCE] for t in TARGET])
+    return value("n"), np.array([value(f"m_{c}") for c in SOURCE]), np.array([value(f"m_{c}") for c in TARGET]), value("v_source"), value("v_target"), cross
 
 
 def fit(pairs: DataFrame, *, weight: Column | None = None, with_scale: bool = True, ratio_scale: bool = False):
@@ -91,12 +120,20 @@ def icp(source: DataFrame, target: DataFrame, *, radii: tuple[float, ...], round
     return total, rms, n
 
 
-def ransac(pairs: DataFrame, *, trials: int, size: int, inlier: float, seed: int = 42, sample: int = 2000, with_scale: bool = True):
-    """Seeded consensus: subsets from a bounded hash sample, judged by their inliers among all pairs in one pass, refitted on these."""
-    few = pairs.orderBy(F.xxhash64(F.lit(seed), *SOURCE, *TARGET)).limit(sample).toPandas()
+def ransac(pairs: DataFrame, *, trials: int, size: int, inlier: float, seed: int = 42, with_scale: bool = True):
+    """Seeded consensus: (transform, inliers).
+
+    Each trial's subset is the next ``size`` of all pairs in the order of a
+    seeded hash, so it is drawn from the whole table; every trial's transform is
+    judged by its inliers among all pairs in one pass, and the best (most, then
+    nearest) is refitted on these.  Without pairs: the identity and 0.
+    """
+    few = pairs.orderBy(F.xxhash64(F.lit(seed), *SOURCE, *TARGET), *SOURCE, *TARGET).limit(trials * size).select(*SOURCE, *TARGET).toPandas()
+    if few.empty:
+        return linalg.IDENTITY, 0
     x, y = few[list(SOURCE)].to_numpy(float), few[list(TARGET)].to_numpy(float)
-    rng = np.random.default_rng(seed)
-    models = [linalg.fit(x[k], y[k], with_scale=with_scale) for k in (rng.choice(len(few), size, replace=False) for _ in range(trials))]
+    drawn = [np.arange(k * size, (k + 1) * size) % len(few) for k in range(trials)]
+    models = [linalg.fit(x[k], y[k], with_scale=with_scale) for k in drawn]
     judged = pairs.agg(*(F.count_if(residual(m) <= inlier).alias(f"n{k}") for k, m in enumerate(models)), *(F.avg(F.when(residual(m) <= inlier, residual(m))).alias(f"e{k}") for k, m in enumerate(models))).first()
     best = max(range(trials), key=lambda k: (judged[f"n{k}"], -(judged[f"e{k}"] or 0)))
     inside = pairs.filter(residual(models[best]) <= inlier)
@@ -111,6 +148,7 @@ def rig_consensus(poses: DataFrame, by: list[str], *, centre_limit: float, angle
     back by their yaw; all members must be within both limits.  Of equal sizes
     the least normalised residual wins, then the first subset.
     """
+    ship(poses.sparkSession)
     kinds = dict(poses.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,9 @@
 
 The as-of joins are one union of both sides and windows over each series: one
 shuffle on the series' keys, a sort, no range join.  Stamps are longs (any
-unit); ``order`` breaks ties among equal stamps.
+unit); ``order`` breaks ties among equal stamps.  A series without rows on the
+other side gets nulls, an empty table an empty result; rows with a null key
+make a series of their own.
 """
 
 from __future__ import annotations
@@ -143,7 +145,9 @@ def slot_sync(rows: DataFrame, by: list[str], *, ts: str, order: str, topic: str
 def ema(rows: DataFrame, by: list[str], *, ts: str, order: str, value: str, tau: float, unit: float = 1e6) -> DataFrame:
     """Causal low-pass with a variable step: alpha = 1 - exp(-dt / tau), dt in seconds and at least 1e-6.
 
-    A sequential fold, so each series is walked in order (``unit`` stamps a second).
+    A sequential fold, so each series is walked in order (``unit`` stamps a
+    second).  A null or NaN value changes nothing: its row holds the level
+    before it, which is null at a series' begin.
     """
     import math
 
@@ -153,14 +157,14 @@ def ema(rows: DataFrame, by: list[str], *, ts: str, order: str, value: str, tau:
         pdf = pdf.sort_values([ts, order])
         out, state, last = [], None, None
         for t, v in zip(pdf[ts], pdf[value], strict=True):
-            if state is None:
-                state = v
-            else:
-                alpha = 1 - math.exp(-max((t - last) / unit, 1e-6) / tau)
-                state += alpha * (v - state)
-            last = t
+            if v is not None and v == v:
+                if state is None:
+                    state = v
+                else:
+                    state += (1 - math.exp(-max((t - last) / unit, 1e-6) / tau)) * (v - state)
+                last = t
             out.append(state)
-        return pdf[[*by, ts, order]].assign(smooth=out)
+        return pdf[[*by, ts, order]].assign(smooth=pd.Series(out, index=pdf.index, dtype="float64"))
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, ts, order)) + ", smooth double"
     return rows.select(*by, ts, order, value).groupBy(*by).applyInPandas(fold, schema)

@@ -3,7 +3,9 @@
 A ring of r cells around a point's own cell holds everything within r cell
 sizes, so a neighbour found there at most that far away is the nearest one.
 Points without such a neighbour go to the next ring, and the few that are left
-to blocks against all targets.  Ties go to the smaller target id.
+to blocks against all targets.  Ties go to the smaller target id.  A row with
+a null or non-finite coordinate is nobody's neighbour: on the left it gets a
+null target and distance, as all rows do where there are no targets.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.blocks import block_pairs
+from gridloom.operators.filters import finite
 
 DIGITS = 6
 
@@ -40,6 +43,7 @@ def _in_ring(left: DataFrame, right: DataFrame, dims: list[str], cell: float, ri
 
 def nearest(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float, rings: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(id, target, distance): the nearest right row of every left row; both have ``id`` and ``dims``."""
+    asked, left, right = left, finite(left, dims), finite(right, dims)
     done, rest = None, left
     for ring in rings:
         best = _in_ring(rest, right, dims, cell, ring).groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("distance", "r_id")).alias("best"))
@@ -59,7 +63,9 @@ def nearest(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float,
     kind = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
     far = block_pairs(rest.select("id", *dims), right.select("id", *dims), work, f"id {kind[0]}, target {kind[1]}, distance double", left_key="id", right_key="id", block=1024)
     far = far.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("best")).select("id", F.col("best.target").alias("target"), F.col("best.distance").alias("distance"))
-    return done.unionByName(far)
+    found = done.unionByName(far)
+    none = asked.select("id").join(found.select("id"), "id", "left_anti")
+    return found.unionByName(none.select("id", F.lit(None).cast(kind[1]).alias("target"), F.lit(None).cast("double").alias("distance")))
 
 
 def within(left: DataFrame, right: DataFrame, dims: list[str], radius: float) -> DataFrame:
@@ -74,6 +80,13 @@ def mutual(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float) -
     return there.join(back, ["id", "target"])
 
 
+def mutual_within(left: DataFrame, right: DataFrame, dims: list[str], tolerance: float) -> DataFrame:
+    """(id, target, distance): pairs at most ``tolerance`` apart (included) that are each other's nearest among such."""
+    near = within(left, right, dims, tolerance)
+    best = lambda key, other: near.groupBy(key).agg(F.min(F.struct("distance", other)).alias("best")).select(key, F.col(f"best.{other}").alias(other), F.col("best.distance").alias("distance"))
+    return best("id", "target").join(best("target", "id").drop("distance"), ["id", "target"]).select("id", "target", "distance")
+
+
 def cloud_metrics(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float, threshold: float) -> DataFrame:
     """Accuracy, completeness, Chamfer, Hausdorff, precision, recall and F score of a cloud against another, as one row."""
     side = lambda a, b, s: nearest(a, b, dims, cell=cell).select(F.lit(s).alias("side"), "distance")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.cluster import ship
 from gridloom.functions import linalg
 
 
@@ -111,6 +112,7 @@ def smooth_positions(poses: DataFrame, by: list[str], order: str, dims: list[str
 
 def chained(steps: DataFrame, by: list[str], order: str) -> DataFrame:
     """Prefix products of similarity steps (s, r of nine, t of three), one run at a time: a run is a sequence of chunks."""
+    ship(steps.sparkSession)
     kinds = dict(steps.dtypes)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,9 +6,12 @@ image); the walk is by descending score with explicit ties.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def pair_nms(pairs: DataFrame, by: list[str], a: str, b: str, score: str, radius: int) -> DataFrame:
@@ -66,7 +69,7 @@ def box_nms(boxes: DataFrame, by: list[str], score: str, limit: float, *, id_col
 
 
 def thin(points: DataFrame, by: list[str], dims: list[str], radius: float, *, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Keep points in a seeded order unless one already kept is within ``radius``."""
+    """Keep points, in the order of a seeded MD5 of their ids, unless one already kept is within ``radius``; ids are unique in a group."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
@@ -74,7 +77,8 @@ def thin(points: DataFrame, by: list[str], dims: list[str], radius: float, *, id
         cells: dict[tuple, list[int]] = {}
         keep = []
         steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * len(dims), indexing="ij"), -1).reshape(-1, len(dims))
-        for k in np.random.default_rng(seed).permutation(len(pdf)):
+        rank = [hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in pdf[id_col]]
+        for k in sorted(range(len(pdf)), key=rank.__getitem__):
             cell = np.floor(at[k] / radius).astype(int)
             near = [j for s in steps for j in cells.get(tuple(cell + s), ())]
             if not (np.linalg.norm(at[near] - at[k], axis=1) <= radius).any():
@@ -83,3 +87,60 @@ def thin(points: DataFrame, by: list[str], dims: list[str], radius: float, *, id
         return pdf.iloc[sorted(keep)]
 
     return points.groupBy(*by).applyInPandas(walk, points.schema)
+
+
+def runs_apart(pairs: DataFrame, by: list[str], a: str, radius: int, *, name: str = "run") -> DataFrame:
+    """The pairs with the number of their run: a new one begins where no pair's ``a`` is within ``radius`` of the one before.
+
+    Pairs of different runs cannot suppress each other, so each is a group of
+    its own for ``pair_nms``.  Only the distinct values of ``a`` are ordered.
+    """
+    w = Window.partitionBy(*by).orderBy(a) if by else Window.orderBy(a)
+    ends = pairs.select(*by, a).distinct()
+    new = F.coalesce((F.col(a) - F.lag(a).over(w) > radius).cast("int"), F.lit(0))
+    numbered = ends.withColumn("__new", new).select(*by, a, F.sum("__new").over(w).alias(name))
+    return pairs.join(numbered, [*by, a])
+
+
+def event_nms(pairs: DataFrame, by: list[str], order: str, a: str, b: str, radius: int) -> DataFrame:
+    """Keep chunk pairs in input order unless they are of one chunk, or both ends (as smaller and greater) lie within ``radius`` of a kept pair's.
+
+    With a radius of 0 only repeats go; null ends are dropped.
+    """
+    kinds = pairs.schema
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[a, b]).sort_values(order)
+        ends = np.sort(pdf[[a, b]].to_numpy(), axis=1)
+        kept = np.empty((0, 2), ends.dtype)
+        keep = []
+        for k, pair in enumerate(ends):
+            if pair[0] != pair[1] and not (np.abs(kept - pair) <= radius).all(1).any():
+                kept = np.vstack([kept, pair])
+                keep.append(k)
+        return pdf.iloc[keep]
+
+    return pairs.groupBy(*by).applyInPandas(walk, kinds)
+
+
+def reduce_edges(edges: DataFrame, by: list[str], magnitude: str, i: str, j: str, *, most: int, gap: int = 30, radius: int = 2) -> DataFrame:
+    """At most ``most`` edges of a group, smallest magnitude first, whose ends are ``gap`` or more apart.
+
+    A kept edge takes out those whose ends are both within ``radius`` of its
+    own.  Ties go by (i, j); null or non-finite magnitudes are dropped.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[np.isfinite(pdf[magnitude].to_numpy(float)) & ((pdf[j] - pdf[i]).abs() >= gap)].sort_values([magnitude, i, j])
+        ends = pdf[[i, j]].to_numpy()
+        kept = np.empty((0, 2), ends.dtype)
+        keep = []
+        for k, pair in enumerate(ends):
+            if len(keep) == most:
+                break
+            if not (np.abs(kept - pair) <= radius).all(1).any():
+                kept = np.vstack([kept, pair])
+                keep.append(k)
+        return pdf.iloc[keep]
+
+    return edges.groupBy(*by).applyInPandas(walk, edges.schema)

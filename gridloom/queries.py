@@ -677,8 +677,8 @@ def evenly_spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def capture_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cyclic_retrieval(spark, sf_dir).withColumn("run", F.lit(0))
-    return suppress.pair_nms(pairs, ["run"], "a", "b", "mean", 3)
+    pairs = suppress.runs_apart(cyclic_retrieval(spark, sf_dir), [], "a", 3)
+    return suppress.pair_nms(pairs, ["run"], "a", "b", "mean", 3).drop("run")
 
 
 @query()
@@ -840,8 +840,12 @@ SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS sx, round(sum(l
 """
 )
 def alignment_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.col("l_quantity"), F.col("l_discount")
-    return S.read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(x), 4).alias("sx"), F.round(F.sum(y), 6).alias("sy"), F.round(F.sum(x * y), 4).alias("sxy"), F.round(F.sum(x * x), 2).alias("sxx"))
+    got = align.moments_by(S.read(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity"], ["l_discount"])
+    n, mx, my = F.col("n"), F.col("m_l_quantity"), F.col("m_l_discount")
+    return got.select(
+        "l_returnflag", n.cast("long").alias("n"), F.round(n * mx, 4).alias("sx"), F.round(n * my, 6).alias("sy"),
+        F.round(n * (F.col("x_l_discount_l_quantity") + mx * my), 4).alias("sxy"), F.round(n * (F.col("v_source") + mx * mx), 2).alias("sxx"),
+    )
 
 
 # Cameras and alignment.

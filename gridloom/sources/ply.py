@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.cluster import ship
+
 #: Property types of the format and their numpy codes.
 TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2",
@@ -42,6 +44,10 @@ def parse_header(data: bytes) -> tuple[np.dtype, int, int]:
                 raise ValueError("list properties are not supported")
             parts.append((word[2], TYPES[word[1]]))
     kind, at = np.dtype(parts), end + len(b"end_header\n")
+    if not {"x", "y", "z"} <= set(kind.names or ()):
+        raise ValueError("no x, y and z")
+    if not n:
+        raise ValueError("an empty cloud")
     if len(data) != at + n * kind.itemsize:
         raise ValueError(f"{len(data)} bytes, {at + n * kind.itemsize} due")
     return kind, n, at
@@ -49,6 +55,7 @@ def parse_header(data: bytes) -> tuple[np.dtype, int, int]:
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """(path, index, x, y, z, red, green, blue): finite vertices; colours are null where there are none."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,20 +121,23 @@ def decode_imu(packets: DataFrame, column: str = "data") -> DataFrame:
     Layout after a 4-byte preamble: seconds (i4), nanoseconds (u4), a string
     (u4 length, bytes, padding to 8), four orientation doubles and nine of
     covariance, three of angular velocity and nine of covariance, three of
-    acceleration.
+    acceleration.  A null packet gives nulls.
     """
 
     @F.pandas_udf("struct<ts_ns:long,gyro:array<double>,accel:array<double>>")
     def parse(data: pd.Series) -> pd.DataFrame:
         rows = []
         for raw in data:
+            if raw is None:
+                rows.append((None, None, None))
+                continue
             body = raw[4:]
             sec, nsec = np.frombuffer(body, "<i4", 1)[0], np.frombuffer(body, "<u4", 1, 4)[0]
             at = 12 + int(np.frombuffer(body, "<u4", 1, 8)[0])
             at += -at % 8
             v = np.frombuffer(body, "<f8", 28, at)
             rows.append((int(sec) * 10**9 + int(nsec), v[13:16].tolist(), v[25:28].tolist()))
-        return pd.DataFrame(rows, columns=["ts_ns", "gyro", "accel"])
+        return pd.DataFrame(rows, columns=["ts_ns", "gyro", "accel"]).astype({"ts_ns": "Int64"})
 
     return packets.withColumn("imu", parse(column))
 

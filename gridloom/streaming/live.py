@@ -37,11 +37,13 @@ def smooth(rows: DataFrame, by: list[str], *, ts: str, order: str, value: str, t
         pdf = pd.concat(list(frames), ignore_index=True).sort_values([ts, order])
         out = []
         for t, v in zip(pdf[ts], pdf[value], strict=True):
-            level = v if level is None else level + (1 - math.exp(-max((t - last) / 1e6, 1e-6) / tau)) * (v - level)
-            last = t
+            if v is not None and v == v:  # others hold the level
+                level = v if level is None else level + (1 - math.exp(-max((t - last) / 1e6, 1e-6) / tau)) * (v - level)
+                last = t
             out.append(level)
-        state.update((float(level), int(last)))
-        yield pdf[[*by, ts, order]].assign(smooth=out)
+        if level is not None:
+            state.update((float(level), int(last)))
+        yield pdf[[*by, ts, order]].assign(smooth=pd.Series(out, index=pdf.index, dtype="float64"))
 
     return rows.groupBy(*by).applyInPandasWithState(step, f"{keys}, {ts} {kinds[ts]}, {order} {kinds[order]}, smooth double", "level double, last long", "append", GroupStateTimeout.NoTimeout)
 
