@@ -15,6 +15,11 @@ def stride(rows: DataFrame, index: Column, step: int) -> DataFrame:
     return rows.filter(index % step == 0)
 
 
+def counted(rows: DataFrame, index: Column, step: int) -> DataFrame:
+    """Rows step - 1, 2 step - 1, ...: every step-th where the first is counted as 1."""
+    return rows.filter((index + 1) % step == 0)
+
+
 def frame_rate(rows: DataFrame, index: str, fps_in: float, fps_out: float) -> DataFrame:
     """Every max(1, int(fps_in / fps_out))-th frame."""
     return rows.filter(F.col(index) % max(1, int(fps_in / fps_out)) == 0)
@@ -34,6 +39,12 @@ def exact_per_group(rows: DataFrame, by: list[str], keys: list[str], n: int, *,
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 
 
+def share_per_group(rows: DataFrame, by: list[str], keys: list[str], share: float, *, seed: int) -> DataFrame:
+    """floor(share * n) of each group's n rows, by hash order."""
+    w, whole = Window.partitionBy(*by).orderBy(order_key(keys, seed), *keys), Window.partitionBy(*by)
+    return rows.withColumns({"__n": F.row_number().over(w), "__of": F.count("*").over(whole)}).filter(F.col("__n") <= F.floor(F.col("__of") * share)).drop("__n", "__of")
+
+
 def ratio(rows: DataFrame, keys: list[str], share: float, *, seed: int) -> DataFrame:
     """About that share of the rows; a row's fate depends on its key alone."""
     return rows.filter(F.conv(F.substring(order_key(keys, seed), 1, 12), 16, 10).cast("double") < share * 16.0**12)

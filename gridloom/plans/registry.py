@@ -6,6 +6,9 @@ from collections.abc import Callable
 from importlib import import_module
 from itertools import product
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 class Registry:
     def __init__(self) -> None:
@@ -41,6 +44,13 @@ class Registry:
         return {n: self.get(n)(*args, **kwargs) for n in wanted}
 
 
+def absent(methods: list[str], runs: DataFrame, names: list[str], present: DataFrame) -> DataFrame:
+    """(method, run, name): expected outputs that ``present`` lacks; the expected ones are made by exploding two short lists."""
+    each = lambda xs, c: F.explode(F.array(*(F.lit(x) for x in xs))).alias(c)
+    grid = runs.select("run", each(methods, "method")).select("method", "run", each(names, "name"))
+    return grid.join(present.select("method", "run", "name"), ["method", "run", "name"], "left_anti")
+
+
 def missing_outputs(methods: list[str], runs: list[str], names: list[str], present: set[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     """Expected outputs (methods x runs x names) that are not there."""
     return [x for x in product(methods, runs, names) if x not in present]

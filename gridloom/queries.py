@@ -217,7 +217,7 @@ def greedy_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ema_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.ema(S.series(spark, sf_dir), ["user_id"], ts="ts", order="event_id", value="value", tau=86_400.0)
+    return asof.ema(S.series(spark, sf_dir), ["user_id"], ts="ts", order="event_id", value="value", tau=86_400.0).withColumn("smooth", F.round("smooth", 6))
 
 
 # Point clouds: integer coordinates, so that voxel edges are exact.
