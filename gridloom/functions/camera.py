@@ -72,3 +72,16 @@ def crop_boxes(spark: SparkSession, width: int, height: int, layers: int, overla
         w, h = (math.ceil((lap * (side - 1) + full) / side) for full in (width, height))
         out += [(layer, x, y, min(x + w, width), min(y + h, height)) for x in (int((w - lap) * i) for i in range(side)) for y in (int((h - lap) * i) for i in range(side))]
     return spark.createDataFrame(out, "layer int, x0 int, y0 int, x1 int, y1 int")
+
+
+def turned_pixel(u: Column, v: Column, out: tuple[int, int], source: tuple[int, int], rotation: Column) -> Column:
+    """Where in the source panorama (width, height) the centre of a pixel of the turned one comes from."""
+    ray = equirect_ray(u, v, *out)
+    at = lambda r: sum((F.get(rotation, F.lit(3 * r + k)) * ray[c] for k, c in enumerate("yz", 1)), F.get(rotation, F.lit(3 * r)) * ray["x"])
+    return equirect_pixel(F.struct(at(0).alias("x"), at(1).alias("y"), at(2).alias("z")), *source)
+
+
+def scatter(pixels: DataFrame, by: list[str], target: Column, value: str, width: int, height: int) -> DataFrame:
+    """(by..., u, v, value): each pixel's value at the nearest pixel of its target place; the greatest of those that meet, columns wrap, rows do not."""
+    placed = pixels.select(*by, F.pmod(F.round(target["u"]).cast("int"), F.lit(width)).alias("u"), F.round(target["v"]).cast("int").alias("v"), value)
+    return placed.filter(F.col("v").between(0, height - 1)).groupBy(*by, "u", "v").agg(F.max(value).alias(value))

@@ -66,3 +66,30 @@ def split_list(text: Column) -> Column:
 def canonical_json_digest(row: Column) -> Column:
     """SHA-256 of a struct's JSON; declare its fields in sorted order."""
     return F.sha2(F.to_json(row), 256)
+
+
+def split_stamp(ns: Column) -> Column:
+    """struct(sec, nsec) of nanoseconds; structs of it compare as the stamps do."""
+    rest = F.pmod(ns, F.lit(1_000_000_000))
+    return F.struct(((ns - rest) / 1_000_000_000).cast("long").alias("sec"), rest.cast("long").alias("nsec"))
+
+
+def nanoseconds(seconds: Column) -> Column:
+    """Whole nanoseconds of decimal seconds, rounded; exact, as it goes by decimals and not by doubles."""
+    return F.round(seconds.cast("decimal(28,12)") * 1_000_000_000).cast("long")
+
+
+def sniffed(text: Column) -> Column:
+    """struct(kind, b, i, d): what a text reads as, tried in turn: a boolean, a whole number, a number, else a string."""
+    low = F.lower(F.trim(text))
+    whole, real = F.trim(text).try_cast("bigint"), F.trim(text).try_cast("double")
+    is_bool = low.isin("true", "false")
+    is_whole = F.trim(text).rlike(r"^[+-]?[0-9]+$") & whole.isNotNull()
+    kind = F.when(is_bool, "bool").when(is_whole, "int").when(real.isNotNull(), "float").otherwise("str")
+    return F.struct(kind.alias("kind"), F.when(is_bool, low == "true").alias("b"), F.when(is_whole, whole).alias("i"), F.when(~is_bool & ~is_whole, real).alias("d"))
+
+
+def key_values(text: Column) -> Column:
+    """A map of ``k=v`` parts separated by commas; the last of a key wins, parts without an = are left out."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.split(F.trim(x), "=", 2)), lambda p: F.size(p) == 2)
+    return F.aggregate(parts, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p[0]), F.create_map(p[0], p[1])))

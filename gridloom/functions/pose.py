@@ -7,6 +7,9 @@ similarity transform a struct (s, r, t).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +106,123 @@ def back_project(u: Column, v: Column, depth: Column, k: Column, c2w: Column) ->
     """The world point of a pixel at a depth, for intrinsics (fx, fy, cx, cy) and a camera pose (s, r, t)."""
     ray = F.array((u - k["cx"]) / k["fx"] * depth, (v - k["cy"]) / k["fy"] * depth, depth)
     return apply(c2w, ray)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is written and evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def dot(a: Column, b: Column, n: int) -> Column:
+    return sum((_at(a, k) * _at(b, k) for k in range(1, n)), _at(a, 0) * _at(b, 0))
+
+
+def matrix_to_quaternion(m: Column) -> Column:
+    """(w, x, y, z) with w >= 0 of a rotation, from its largest component, so that no small number divides."""
+    t = [_at(m, 0) + _at(m, 4) + _at(m, 8), _at(m, 0) - _at(m, 4) - _at(m, 8), _at(m, 4) - _at(m, 0) - _at(m, 8), _at(m, 8) - _at(m, 0) - _at(m, 4)]
+    off = {"wx": _at(m, 7) - _at(m, 5), "wy": _at(m, 2) - _at(m, 6), "wz": _at(m, 3) - _at(m, 1), "xy": _at(m, 1) + _at(m, 3), "xz": _at(m, 2) + _at(m, 6), "yz": _at(m, 5) + _at(m, 7)}
+    names = "wxyz"
+
+    def from_component(k: int) -> Column:
+        size = F.sqrt(1 + t[k]) * 2
+        return F.array(*(size / 4 if j == k else off["".join(sorted(names[j] + names[k]))] / size for j in range(4)))
+
+    most = F.greatest(*t)
+    q = F.when(t[0] == most, from_component(0)).when(t[1] == most, from_component(1)).when(t[2] == most, from_component(2)).otherwise(from_component(3))
+    return F.when(_at(q, 0) < 0, F.transform(q, lambda x: -x)).otherwise(q)
+
+
+def euler_to_quaternion(e: Column) -> Column:
+    """(w, x, y, z) of (roll, pitch, yaw) in radians; the inverse of ``quaternion_to_euler`` off its poles."""
+    (cr, sr), (cp, sp), (cy, sy) = ((F.cos(_at(e, k) / 2), F.sin(_at(e, k) / 2)) for k in range(3))
+    return F.array(cr * cp * cy + sr * sp * sy, sr * cp * cy - cr * sp * sy, cr * sp * cy + sr * cp * sy, cr * cp * sy - sr * sp * cy)
+
+
+def slerp(p: Column, q: Column, t: Column) -> Column:
+    """Between two unit quaternions by the shorter way; straight and normalised where they are within about two degrees."""
+    cosine = dot(p, q, 4)
+    sign, near = F.when(cosine < 0, -1.0).otherwise(1.0), F.abs(cosine)
+    angle = F.acos(F.least(near, F.lit(1.0)))
+    a = F.when(near > 0.9995, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
+    b = F.when(near > 0.9995, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
+    return normalise(F.array(*(a * _at(p, k) + b * _at(q, k) for k in range(4))), 4)
+
+
+def circular(a: Column, b: Column, t: Column) -> Column:
+    """From angle a towards b by the shorter way, in [0, 2 pi); half a turn goes forward."""
+    turn = 2 * math.pi
+    gap = F.pmod(b - a + math.pi, F.lit(turn)) - math.pi
+    return F.pmod(a + t * F.when(gap == -math.pi, math.pi).otherwise(gap), F.lit(turn))
+
+
+def cross(a: Column, b: Column) -> Column:
+    return F.array(*(_at(a, (k + 1) % 3) * _at(b, (k + 2) % 3) - _at(a, (k + 2) % 3) * _at(b, (k + 1) % 3) for k in range(3)))
+
+
+def ray_meeting(a: Column, da: Column, b: Column, db: Column, eps: float = 1e-9) -> Column:
+    """The point midway between the closest points of two lines (origin, unit direction); null where they are parallel."""
+    c = dot(da, db, 3)
+    gap = F.array(*(_at(b, k) - _at(a, k) for k in range(3)))
+    u, v = dot(gap, da, 3), dot(gap, db, 3)
+    bottom = 1 - c * c
+    s, t = (u - c * v) / bottom, (c * u - v) / bottom
+    return F.when(bottom > eps, F.array(*((_at(a, k) + s * _at(da, k) + _at(b, k) + t * _at(db, k)) / 2 for k in range(3))))
+
+
+def between(a: Column, b: Column, t: Column) -> Column:
+    """The pose (s, r, t) part t of the way from a to b about the point that both look at (their third columns).
+
+    The rotation goes by slerp; the distance to the focus, and the direction it
+    is seen from, go straight.  Parallel views move their centres straight.
+    """
+    ahead = lambda m: F.array(*(_at(m, 3 * k + 2) for k in range(3)))
+    focus = ray_meeting(a["t"], ahead(a["r"]), b["t"], ahead(b["r"]))
+    straight = F.array(*(_at(a["t"], k) * (1 - t) + _at(b["t"], k) * t for k in range(3)))
+
+    def far(c: Column, f: Column) -> Column:
+        gap = F.zip_with(c, f, lambda p, q: p - q)
+        return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x))
+
+    def placed(v: Column) -> Column:
+        r, f = quaternion_to_matrix(v["q"]), v["focus"]
+        radius = far(a["t"], f) * (1 - t) + far(b["t"], f) * t
+        seen = F.array(*(_at(f, k) - radius * _at(ahead(r), k) for k in range(3)))
+        return sim3(a["s"] * (1 - t) + b["s"] * t, r, F.when(f.isNull(), straight).otherwise(seen))
+
+    turned = bound(F.struct(matrix_to_quaternion(a["r"]).alias("a"), matrix_to_quaternion(b["r"]).alias("b")), lambda q: slerp(q["a"], q["b"], t))
+    return bound(F.struct(turned.alias("q"), focus.alias("focus")), placed)
+
+
+def world_ray(u: Column, v: Column, k: Column, c2w: Column) -> Column:
+    """struct(origin, direction): the unit direction in the world of a pixel's ray, for intrinsics (fx, fy, cx, cy) and a camera pose."""
+    ray = normalise(F.array((u - k["cx"]) / k["fx"], (v - k["cy"]) / k["fy"], F.lit(1.0)), 3)
+    return F.struct(c2w["t"].alias("origin"), rotate(c2w["r"], ray).alias("direction"))
+
+
+def translation_angle(a: Column, b: Column) -> Column:
+    """Degrees between two directions whatever their signs; null where one has no length."""
+    size = F.sqrt(dot(a, a, 3)) * F.sqrt(dot(b, b, 3))
+    return F.when(size > 0, F.degrees(F.acos(F.least(F.abs(dot(a, b, 3)) / size, F.lit(1.0)))))
+
+
+def level_rotation(gravity: Column) -> Column:
+    """Rows x, y, z of a frame whose z axis is along -gravity, by Gram-Schmidt from x, or from y where x is nearly parallel to it."""
+    z = F.transform(normalise(gravity, 3), lambda c: -c)
+    base = F.when(F.abs(_at(z, 0)) < 0.9, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+    x = normalise(F.zip_with(base, F.transform(z, lambda c: c * dot(base, z, 3)), lambda p, q: p - q), 3)
+    return F.concat(x, cross(z, x), z)
+
+
+def splat(m: Column, mean: Column, scale: Column, rotation: Column) -> Column:
+    """struct(mean, scale, rotation) of a splat under a similarity: mean moved, scales multiplied, quaternion turned."""
+    q, p = matrix_to_quaternion(m["r"]), rotation
+    w, x, y, z = (_at(q, k) for k in range(4))
+    a, b, c, d = (_at(p, k) for k in range(4))
+    turned = F.array(w * a - x * b - y * c - z * d, w * b + x * a + y * d - z * c, w * c - x * d + y * a + z * b, w * d + x * c - y * b + z * a)
+    return F.struct(apply(m, mean).alias("mean"), F.transform(scale, lambda s: s * m["s"]).alias("scale"), turned.alias("rotation"))
+
+
+def bits(value: Column, n: int, *, high_first: bool = True) -> Column:
+    """The lowest n bits of a whole number as booleans."""
+    order = range(n - 1, -1, -1) if high_first else range(n)
+    return F.array(*(F.getbit(value.cast("long"), F.lit(k)) == 1 for k in order))

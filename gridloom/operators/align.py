@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
-from gridloom.functions import linalg
+from gridloom.functions import linalg, pose
 from gridloom.operators import nearest
 
 SOURCE, TARGET = ("sx", "sy", "sz"), ("tx", "ty", "tz")
@@ -146,7 +146,8 @@ def rig_consensus(poses: DataFrame, by: list[str], *, centre_limit: float, angle
     ``poses`` has view, yaw (degrees), centre (3) and rotation (9, row order).
     A subset's pose is the mean centre and the mean of the rotations turned
     back by their yaw; all members must be within both limits.  Of equal sizes
-    the least normalised residual wins, then the first subset.
+    the least normalised residual wins, then the first subset.  ``rig_centre``
+    and ``rig_rotation`` are that pose (yaw taken out), null if there is none.
     """
     ship(poses.sparkSession)
     kinds = dict(poses.dtypes)
@@ -169,11 +170,129 @@ def rig_consensus(poses: DataFrame, by: list[str], *, centre_limit: float, angle
                 if (far <= centre_limit).all() and (angle <= angle_limit).all():
                     score = round(float((far / centre_limit + angle / angle_limit).mean()), 12)
                     if best is None or score < best[0]:
-                        best = (score, [int(views[k]) for k in pick])
+                        best = (score, [int(views[k]) for k in pick], middle, mean)
             if best:
                 break
         row = {c: pdf[c].iloc[0] for c in by} | {"accepted": best is not None, "inliers": best[1] if best else [], "score": best[0] if best else float("nan")}
+        row |= {"rig_centre": best[2].tolist() if best else None, "rig_rotation": best[3].ravel().tolist() if best else None}
         return pd.DataFrame([row])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", accepted boolean, inliers array<int>, score double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", accepted boolean, inliers array<int>, score double, rig_centre array<double>, rig_rotation array<double>"
     return poses.groupBy(*by).applyInPandas(solve, schema)
+
+
+def apply_rig(poses: DataFrame, verdict: DataFrame, by: list[str], *, action: str, reject: bool = False, conf: str = "conf") -> DataFrame:
+    """The frames of ``rig_consensus`` after its verdict, with ``status``.
+
+    Of an accepted group, views that do not agree are outliers: ``repair`` puts
+    them at the rig pose (turned by their yaw), ``remove`` sets their
+    confidence to 0, ``detect`` only says so.  Groups without a rig are
+    ``unrecoverable``; with ``reject`` their confidence is 0.  Groups that the
+    verdict lacks are ``unchecked``.
+    """
+    if action not in ("repair", "remove", "detect"):
+        raise ValueError(f"unknown action {action}")
+    joined = poses.join(verdict.select(*by, "accepted", "inliers", "rig_centre", "rig_rotation"), by, "left")
+    outlier = F.col("accepted") & ~F.array_contains("inliers", F.col("view"))
+    status = F.when(F.col("accepted").isNull(), "unchecked").when(~F.col("accepted"), "unrecoverable").when(outlier, {"repair": "repaired", "remove": "removed", "detect": "outlier"}[action]).otherwise("inlier")
+    moved = outlier & F.lit(action == "repair")
+    turned = pose.multiply(F.col("rig_rotation"), pose.rotation_about_y(F.radians(F.col("yaw"))))
+    gone = (outlier & F.lit(action == "remove")) | (~F.col("accepted") & F.lit(reject))
+    change = {"centre": F.when(moved, F.col("rig_centre")).otherwise(F.col("centre")), "rotation": F.when(moved, turned).otherwise(F.col("rotation")), conf: F.when(gone, 0.0).otherwise(F.col(conf))}
+    return joined.select(*(change.get(c, F.col(c)).alias(c) for c in poses.columns), status.alias("status"))
+
+
+def repair_gain(rows: DataFrame, by: list[str], *, raw: Column, repaired: Column, depth: Column, least: float = 1e-6) -> DataFrame:
+    """Per group median and 90th percentile of the distances over the depth, before and after a repair, and whether the median got smaller."""
+    good = rows.filter((depth > least) & raw.isNotNull() & repaired.isNotNull())
+    part = lambda c, q, n: F.percentile(c / depth, q).alias(n)
+    got = good.groupBy(*by).agg(F.count("*").alias("n"), part(raw, 0.5, "raw_median"), part(raw, 0.9, "raw_p90"), part(repaired, 0.5, "repaired_median"), part(repaired, 0.9, "repaired_p90"))
+    return got.withColumn("better", F.col("repaired_median") < F.col("raw_median"))
+
+
+def fit_by(pairs: DataFrame, by: list[str], *, weight: Column | None = None, with_scale: bool = True) -> DataFrame:
+    """(by..., n, s, r, t): a fit of every group from its moments; only a row a group is solved outside the JVM."""
+    ship(pairs.sparkSession)
+    rows = moments_by(pairs, by, list(SOURCE), list(TARGET), weight)
+    kinds = dict(rows.dtypes)
+    cross = [f"x_{t}_{s}" for t in TARGET for s in SOURCE]
+
+    def solve(frames):
+        for f in frames:
+            out = f[[*by, "n"]].copy()
+            fits = [
+                linalg.fit_from_moments(n, np.array(mx), np.array(my), vx, vy, np.array(c).reshape(3, 3), with_scale=with_scale)
+                for n, mx, my, vx, vy, c in zip(f["n"], f[[f"m_{c}" for c in SOURCE]].to_numpy(), f[[f"m_{c}" for c in TARGET]].to_numpy(), f["v_source"], f["v_target"], f[cross].to_numpy(), strict=True)
+            ]
+            out["s"], out["r"], out["t"] = [m[0] for m in fits], [m[1].ravel().tolist() for m in fits], [m[2].tolist() for m in fits]
+            yield out
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "n")) + ", s double, r array<double>, t array<double>"
+    return rows.mapInPandas(solve, schema)
+
+
+def overlap_pairs(points: DataFrame, chunk: str, keys: list[str]) -> DataFrame:
+    """(chunk, sx..., tx...): the points of chunk + 1 (source) with those of ``chunk`` (target) that share all keys, as the overlap of two windows does."""
+    target = points.select(F.col(chunk).alias("chunk"), *keys, *(F.col(a).alias(t) for a, t in zip("xyz", TARGET, strict=True)))
+    source = points.select((F.col(chunk) - 1).alias("chunk"), *keys, *(F.col(a).alias(s) for a, s in zip("xyz", SOURCE, strict=True)))
+    return target.join(source, ["chunk", *keys])
+
+
+def pair_errors(pairs: DataFrame, by: list[str], *, valid: Column) -> DataFrame:
+    """Per group mean, population deviation, median and maximum of the distances of valid pairs; nulls and 0 pairs where none is valid."""
+    gaps = [F.col(a) - F.col(b) for a, b in zip(SOURCE, TARGET, strict=True)]
+    far = F.when(valid, F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])))
+    return pairs.groupBy(*by).agg(F.count(far).alias("n"), F.avg(far).alias("mean"), F.stddev_pop(far).alias("std"), F.median(far).alias("median"), F.max(far).alias("max"))
+
+
+def medoid_by(rotations: DataFrame, by: list[str], order: str, *, limit: float = 5.0, rounds: int = 3) -> DataFrame:
+    """(by..., rotation, inliers): the medoid of each group's rotations refitted on those within ``limit`` degrees; a group is a chunk's frames."""
+    ship(rotations.sparkSession)
+    kinds = dict(rotations.dtypes)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        mean, inside = linalg.medoid_rotation(np.array(pdf["rotation"].to_list(), float).reshape(-1, 3, 3), rounds=rounds, limit=limit)
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | {"rotation": mean.ravel().tolist(), "inliers": pdf[order].to_numpy()[inside].tolist()}])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", rotation array<double>, inliers array<{kinds[order]}>"
+    return rotations.groupBy(*by).applyInPandas(solve, schema)
+
+
+def projected(rows: DataFrame, matrix: str, *, flip: bool = False) -> DataFrame:
+    """The rows with ``matrix`` (nine numbers) replaced by the nearest rotation."""
+    ship(rows.sparkSession)
+    solve = linalg.flipped_rotation if flip else linalg.nearest_rotation
+
+    @F.pandas_udf("array<double>")
+    def nearest_of(m: pd.Series) -> pd.Series:
+        return m.map(lambda x: None if x is None else solve(np.array(x, float).reshape(3, 3)).ravel().tolist())
+
+    return rows.withColumn(matrix, nearest_of(matrix))
+
+
+def homography_by(pairs: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """(by..., h): nine numbers, the last 1, that take (sx, sy) to (tx, ty) up to scale in weighted least squares.
+
+    From the 8 x 8 normal equations, which are summed in the JVM; null where they are singular.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    x, y, u, v = (F.col(c) for c in ("sx", "sy", "tx", "ty"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    first, second = [x, y, one, zero, zero, zero, -u * x, -u * y], [zero, zero, zero, x, y, one, -v * x, -v * y]
+    sums = [F.sum(w * (first[i] * first[j] + second[i] * second[j])).alias(f"a{i}{j}") for i in range(8) for j in range(i, 8)]
+    rows = pairs.groupBy(*by).agg(*sums, *(F.sum(w * (first[i] * u + second[i] * v)).alias(f"b{i}") for i in range(8)))
+    kinds = dict(rows.dtypes)
+
+    def solve(frames):
+        for f in frames:
+            found = []
+            for _, r in f.iterrows():
+                a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(8)] for i in range(8)], float)
+                try:
+                    found.append([*np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(8)], float)).tolist(), 1.0])
+                except np.linalg.LinAlgError:
+                    found.append(None)
+            yield f[by].assign(h=found)
+
+    return rows.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in by) + ", h array<double>")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import pose
+
 
 def _around(left: DataFrame, right: DataFrame, by: list[str], ts: str, order: str, carry: list[str]) -> DataFrame:
     """Left rows with structs ``prior`` (ts <= own) and ``later`` (ts >= own) of the right."""
@@ -64,6 +66,15 @@ def interpolate(left: DataFrame, right: DataFrame, by: list[str], *, ts: str = "
     return seen.select(*left.columns, got.alias("interpolated"))
 
 
+def interpolate_rotation(left: DataFrame, right: DataFrame, by: list[str], *, ts: str = "ts", order: str, rotation: str) -> DataFrame:
+    """Every left row with the right's unit quaternions (w, x, y, z) interpolated by slerp between its neighbours; null where one is missing."""
+    seen = _around(left, right, by, ts, order, [rotation])
+    span = F.col(f"later.{ts}") - F.col(f"prior.{ts}")
+    part = F.when(span > 0, (F.col(ts) - F.col(f"prior.{ts}")) / span).otherwise(0.0)
+    got = F.when(F.col(f"prior.{ts}") == F.col(ts), F.col(f"prior.{rotation}")).when(F.col("prior").isNotNull() & F.col("later").isNotNull(), pose.slerp(F.col(f"prior.{rotation}"), F.col(f"later.{rotation}"), part))
+    return seen.select(*left.columns, got.alias("interpolated"))
+
+
 def coverage(matched: DataFrame, by: list[str], *, value: str, score: Column, least: float) -> DataFrame:
     """Per series: rows, matched rows, coverage, and the score, which is 0 where coverage is below ``least``."""
     sums = matched.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("n_matched"), score.alias("raw_score"))

@@ -1,13 +1,18 @@
 """Pose graphs: damped least squares over similarity transforms, robust medoid, leave-one-out.
 
-A node is a chunk of a sequence, of which there are hundreds; the edges come
-to the driver and the dense normal equations are solved there.
+A node is a chunk of a sequence, of which there are hundreds.  ``solve`` and
+``left_out`` take tables of poses and edges and solve each sequence's dense
+normal equations in one task; the functions below them take its lists.  Edges
+with an unknown end are left out; a sequence without edges keeps its poses.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
+from gridloom.cluster import ship
 from gridloom.functions import linalg
 
 Edge = tuple[int, int, tuple, float]
@@ -78,3 +83,42 @@ def leave_one_out(poses: list, edges: list[Edge], **options) -> list[float]:
         rest = optimise(poses, edges[:k] + edges[k + 1 :], **options)
         out.append(float(np.linalg.norm(residuals(rest, [edges[k]]))))
     return out
+
+
+def solve(poses: DataFrame, edges: DataFrame, by: list[str], *, node: str = "node", **options) -> DataFrame:
+    """(by..., node, s, r, t): every group's pose graph optimised, its first node held; edges are (a, b, s, r, t, weight).
+
+    A group is one sequence's chunks; groups are solved side by side.
+    """
+    return _solved(poses, edges, by, node, "s double, r array<double>, t array<double>", lambda p, e, nodes, _: [{node: n, "s": float(m[0]), "r": m[1].ravel().tolist(), "t": m[2].tolist()} for n, m in zip(nodes, optimise(p, e, **options), strict=True)])
+
+
+def left_out(poses: DataFrame, edges: DataFrame, by: list[str], *, node: str = "node", **options) -> DataFrame:
+    """(by..., a, b, residual): the norm of each edge's residual under the poses that the other edges give."""
+    kind = dict(poses.dtypes)[node]
+
+    def each(p, e, nodes, names):
+        return [{"a": a, "b": b, "residual": r} for (a, b), r in zip(names, leave_one_out(p, e, **options), strict=True)]
+
+    return _solved(poses, edges, by, None, f"a {kind}, b {kind}, residual double", each, key=node)
+
+
+def _solved(poses: DataFrame, edges: DataFrame, by: list[str], node: str | None, columns: str, work, key: str = "node") -> DataFrame:
+    ship(poses.sparkSession)
+    kinds, key = dict(poses.dtypes), node or key
+    transform = lambda r: (float(r.s), np.array(r.r, float).reshape(3, 3), np.array(r.t, float))
+
+    def one(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(key)
+        nodes = p[key].tolist()
+        place = {n: k for k, n in enumerate(nodes)}
+        known = [r for r in e.sort_values(["a", "b"]).itertuples() if r.a in place and r.b in place]
+        rows = work([transform(r) for r in p.itertuples()], [(place[r.a], place[r.b], transform(r), float(r.weight)) for r in known], nodes, [(r.a, r.b) for r in known]) if nodes else []
+        out = pd.DataFrame(rows, columns=names)
+        for k, c in enumerate(by):
+            out.insert(k, c, p[c].iloc[0] if len(p) else None)
+        return out
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *([f"{node} {kinds[node]}"] if node else []), columns])
+    names = [x.split()[0] for x in schema.replace("array<double>", "a").split(", ")][len(by) :]
+    return poses.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(one, schema)

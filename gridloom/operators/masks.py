@@ -6,6 +6,8 @@ pixels they share, so instances that never meet are never paired.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,98 @@ def consistent(votes: DataFrame, by: list[str], distance: str, limit: float, lea
 def choose_scale(forward: Column, backward: Column, quality_f: Column, quality_b: Column, least: float = 0.7) -> Column:
     """The mean of two scales if both are good, else the better one's."""
     return F.when((quality_f > least) & (quality_b > least), (forward + backward) / 2).when(quality_f >= quality_b, forward).otherwise(backward)
+
+
+def _disc(radius: int) -> list[tuple[int, int]]:
+    return [(x, y) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if x * x + y * y <= radius * radius]
+
+
+def dilate(pixels: DataFrame, by: list[str], radius: int, width: int, height: int) -> DataFrame:
+    """Every pixel within ``radius`` of the mask (a disc), inside the image; duplicates go before the shuffle."""
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _disc(radius)))
+    grown = pixels.select(*by, *PIXEL).distinct().select(*by, "x", "y", F.explode(steps).alias("s"))
+    grown = grown.select(*by, (F.col("x") + F.col("s.x")).alias("x"), (F.col("y") + F.col("s.y")).alias("y"))
+    return grown.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).distinct()
+
+
+def erode(pixels: DataFrame, by: list[str], radius: int, width: int, height: int) -> DataFrame:
+    """Mask pixels whose whole disc, as far as it is inside the image, is in the mask."""
+    once = pixels.select(*by, *PIXEL).distinct()
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _disc(radius)))
+    votes = once.select(*by, "x", "y", F.explode(steps).alias("s")).select(*by, (F.col("x") + F.col("s.x")).alias("x"), (F.col("y") + F.col("s.y")).alias("y"))
+    inside = lambda x, y: ((F.col("x") + x).between(0, width - 1) & (F.col("y") + y).between(0, height - 1)).cast("int")
+    due = sum((inside(x, y) for x, y in _disc(radius)), F.lit(0))
+    counted = votes.groupBy(*by, *PIXEL).agg(F.count("*").alias("n")).withColumn("due", due)
+    return once.join(counted.filter("n = due").select(*by, *PIXEL), [*by, *PIXEL], "left_semi")
+
+
+def refine(pixels: DataFrame, by: list[str], width: int, height: int, *, close: int = 0, grow: int = 0) -> DataFrame:
+    """The mask closed (grown, then shrunk back) by a disc, then grown by another; 0 leaves a step out."""
+    out = pixels.select(*by, *PIXEL).distinct()
+    if close:
+        out = erode(dilate(out, by, close, width, height), by, close, width, height)
+    return dilate(out, by, grow, width, height) if grow else out
+
+
+def fill_holes(pixels: DataFrame, by: list[str], width: int, height: int) -> DataFrame:
+    """The mask with all background that the image's edge does not reach (by sides); one image's mask at a time."""
+    kinds = dict(pixels.dtypes)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((height, width), bool)
+        mask[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = True
+        free = np.pad(~mask, 1, constant_values=True)
+        reached = np.zeros_like(free)
+        reached[0], reached[-1], reached[:, 0], reached[:, -1] = True, True, True, True
+        while True:
+            grown = reached.copy()
+            grown[1:] |= reached[:-1]
+            grown[:-1] |= reached[1:]
+            grown[:, 1:] |= reached[:, :-1]
+            grown[:, :-1] |= reached[:, 1:]
+            grown &= free
+            if (grown == reached).all():
+                break
+            reached = grown
+        y, x = np.nonzero(~reached[1:-1, 1:-1])
+        out = pd.DataFrame({"x": x, "y": y})
+        for k, c in enumerate(by):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, *PIXEL))
+    return pixels.select(*by, *PIXEL).distinct().groupBy(*by).applyInPandas(fill, schema)
+
+
+def joint_confident(a: Column, b: Column, threshold: float) -> Column:
+    """Both strictly above the threshold; null counts as below."""
+    return F.coalesce((a > threshold) & (b > threshold), F.lit(False))
+
+
+def zero_confidence(pixels: DataFrame, mask: DataFrame, images: DataFrame | None, image: str, conf: str, *, strict: bool = False) -> DataFrame:
+    """Pixels with ``conf`` 0 where their image's mask holds them.
+
+    ``images`` names those that have a mask file; strict: a pixel of another
+    image is an error, else it passes through.
+    """
+    hit = mask.select(image, *PIXEL).distinct().withColumn("__hit", F.lit(True))
+    out = pixels.join(hit, [image, *PIXEL], "left")
+    if strict and images is not None:
+        out = out.join(images.select(image).distinct().withColumn("__known", F.lit(True)), image, "left")
+        out = out.filter(F.when(F.col("__known"), True).otherwise(F.raise_error(F.concat(F.lit("no mask for image "), F.col(image).cast("string"))).cast("boolean"))).drop("__known")
+    return out.select(*(F.when(F.col("__hit"), 0.0).otherwise(F.col(c)).alias(c) if c == conf else F.col(c) for c in pixels.columns))
+
+
+def roi_cells(pixels: DataFrame, margin: int, width: int, height: int) -> DataFrame:
+    """(x, y): dark pixels (value < 128) and all within ``margin`` of one."""
+    return dilate(pixels.filter("value < 128").withColumn("roi", F.lit(0)), ["roi"], margin, width, height).drop("roi")
+
+
+def in_roi(points: DataFrame, cells: DataFrame, affine: tuple[float, ...], low: float, high: float) -> DataFrame:
+    """Points with ``inside``: the 3 x 3 affine takes (x, y) to a pixel (cut towards 0) that is a cell, and z is from low to high, both included."""
+    place = lambda r: (affine[3 * r] * F.col("x") + affine[3 * r + 1] * F.col("y") + affine[3 * r + 2])
+    keyed = points.withColumns({"__x": place(0), "__y": place(1)})
+    known = cells.select(F.col("x").cast("long").alias("__cx"), F.col("y").cast("long").alias("__cy")).distinct().withColumn("__in", F.lit(True))
+    cut = lambda c: F.when(F.col(c).isNotNull() & (F.abs(F.col(c)) < 1e15), F.col(c).cast("long"))
+    joined = keyed.withColumns({"__cx": cut("__x"), "__cy": cut("__y")}).join(known, ["__cx", "__cy"], "left")
+    return joined.select(*points.columns, F.coalesce(F.col("__in") & F.col("z").between(low, high), F.lit(False)).alias("inside"))

@@ -89,3 +89,35 @@ def with_mean_row(rows: DataFrame, name: str, measures: list[str], label: str =
     """The rows and one more that holds the mean of every measure."""
     mean = rows.agg(*(F.avg(c).alias(c) for c in measures)).select(F.lit(label).alias(name), *measures)
     return rows.select(name, *measures).unionByName(mean)
+
+
+def consensus_scale(rows: DataFrame, by: list[str], key: str, a: str, b: str, *, trials: int, inlier: float, seed: int = 42) -> DataFrame:
+    """(by..., scale, n_inliers): a = s b through the origin by random consensus.
+
+    The candidates of a group are the ratios of its first ``trials`` usable rows
+    in the order of a seeded hash; that with the most inliers (|a - s b| <=
+    inlier; then the smallest) is refitted by least squares on these.
+    """
+    usable = rows.filter(F.abs(F.col(b)) > 1e-12).select(*by, key, a, b)
+    rank = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))).alias("h"), (F.col(a) / F.col(b)).alias("s"))
+    first = usable.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(rank["h"], key))).filter(F.col("__k") <= trials)
+    drawn = first.groupBy(*by).agg(F.collect_list(F.col(a) / F.col(b)).alias("candidates"))
+    tried = usable.join(drawn, by).select(*by, a, b, F.explode("candidates").alias("s"))
+    good = F.abs(F.col(a) - F.col("s") * F.col(b)) <= inlier
+    counted = tried.groupBy(*by, "s").agg(F.count_if(good).alias("n"), F.sum(F.when(good, F.col(a) * F.col(b))).alias("ab"), F.sum(F.when(good, F.col(b) * F.col(b))).alias("bb"))
+    best = counted.groupBy(*by).agg(F.max(F.struct("n", (-F.col("s")).alias("minus"), "ab", "bb")).alias("best"))
+    return best.select(*by, F.coalesce(F.col("best.ab") / F.nullif(F.col("best.bb"), F.lit(0.0)), -F.col("best.minus")).alias("scale"), F.col("best.n").alias("n_inliers"))
+
+
+def sampled_quantile(rows: DataFrame, by: list[str], key: str, value: str, q: float, *, share: float, seed: int) -> DataFrame:
+    """A quantile over about that share of the rows; a row's fate depends on its key alone."""
+    from gridloom.operators.sampling import ratio
+
+    return ratio(rows, [key], share, seed=seed).groupBy(*by).agg(F.percentile(value, q).alias("quantile"), F.count(value).alias("n"))
+
+
+def clean_report(before: DataFrame, after: DataFrame, dims: list[str]) -> DataFrame:
+    """One row: points before and after a cleaning, the share kept, and the bounds of what is left."""
+    left = after.agg(F.count("*").alias("n_after"), *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))))
+    total = before.agg(F.count("*").alias("n_before"))
+    return total.crossJoin(F.broadcast(left)).withColumn("kept", F.col("n_after") / F.nullif(F.col("n_before"), F.lit(0)))

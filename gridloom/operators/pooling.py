@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
-from gridloom.functions import linalg
+from gridloom.functions import linalg, pose
 
 
 def gem(rows: DataFrame, by: list[str], vec: str, *, p: float = 3.0, eps: float = 1e-6) -> DataFrame:
@@ -110,6 +110,13 @@ def smooth_positions(poses: DataFrame, by: list[str], order: str, dims: list[str
     return poses.select(*by, order, *((sum((F.coalesce(F.lag(d, k).over(w), F.lit(0.0)) * weights[k] for k in weights), F.lit(0.0)) / total).alias(d) for d in dims))
 
 
+def steps_between(poses: DataFrame, by: list[str], order: str, pose_col: str = "pose") -> DataFrame:
+    """(by..., order, step): what takes each pose (s, r, t) of a series to the next, in the frame of the first of the two; the last has none."""
+    nexts = F.lead(pose_col).over(Window.partitionBy(*by).orderBy(order))
+    both = poses.select(*by, order, pose_col, nexts.alias("__next")).filter("__next is not null")
+    return both.select(*by, order, pose.compose(pose.inverse(F.col(pose_col)), F.col("__next")).alias("step"))
+
+
 def chained(steps: DataFrame, by: list[str], order: str) -> DataFrame:
     """Prefix products of similarity steps (s, r of nine, t of three), one run at a time: a run is a sequence of chunks."""
     ship(steps.sparkSession)
@@ -123,3 +130,26 @@ def chained(steps: DataFrame, by: list[str], order: str) -> DataFrame:
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, order)) + ", s double, r array<double>, t array<double>"
     return steps.groupBy(*by).applyInPandas(walk, schema)
+
+
+def principal_colours(rows: DataFrame, vec: str, *, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """The rows with ``rgb``: the first three principal components, each clipped to its two quantiles and scaled to 0 .. 1.
+
+    The covariance is summed by Spark; a component's sign is that which makes its largest loading positive.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = rows.withColumn("__v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    model = PCA(k=3, inputCol="__v", outputCol="__p").fit(v)
+    loads = model.pc.toArray()
+    signs = [1.0 if loads[np.abs(loads[:, k]).argmax(), k] > 0 else -1.0 for k in range(3)]
+    p = model.transform(v).withColumn("__a", vector_to_array("__p"))
+    p = p.withColumn("__a", F.array(*(F.col("__a")[k] * signs[k] for k in range(3))))
+    cuts = p.agg(*(F.percentile(F.col("__a")[k], q).alias(f"{n}{k}") for k in range(3) for n, q in (("lo", low), ("hi", high)))).first()
+
+    def scaled(k: int) -> Column:
+        lo, hi = cuts[f"lo{k}"] or 0.0, cuts[f"hi{k}"] or 0.0
+        return F.least(F.greatest((F.col("__a")[k] - lo) / max(hi - lo, 1e-12), F.lit(0.0)), F.lit(1.0))
+
+    return p.withColumn("rgb", F.array(*(scaled(k) for k in range(3)))).drop("__v", "__p", "__a")

@@ -67,3 +67,36 @@ def inner_quantiles(rows: DataFrame, by: list[str], value: str, low: float, high
     """Rows whose value lies between two quantiles of their group, both included."""
     cut = rows.groupBy(*by).agg(F.percentile(value, low).alias("__lo"), F.percentile(value, high).alias("__hi"))
     return rows.join(cut, by).filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+
+
+def coin(keys: list[Column], seed: int) -> Column:
+    """A number from 0 to 1 (1 left out) that depends on the keys alone."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / 16.0**12
+
+
+def mesh_points(triangles: DataFrame, key: str, n: int, *, seed: int = 42) -> DataFrame:
+    """(key, k, x, y, z): points spread over triangles (a, b, c of three numbers) by area; n of them on average.
+
+    A triangle of share p gives floor(n p) points and one more with the
+    fraction's probability, so no running total over the mesh is needed.
+    """
+    side = lambda p, q: [F.get(q, F.lit(i)) - F.get(p, F.lit(i)) for i in range(3)]
+    u, v = side(F.col("a"), F.col("b")), side(F.col("a"), F.col("c"))
+    normal = [u[(i + 1) % 3] * v[(i + 2) % 3] - u[(i + 2) % 3] * v[(i + 1) % 3] for i in range(3)]
+    sized = triangles.withColumn("area", F.sqrt(normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2]) / 2)
+    total = sized.agg(F.sum("area")).first()[0] or 0.0
+    due = F.col("area") * (n / total if total else 0.0)
+    many = F.floor(due) + (coin([F.col(key), F.lit("n")], seed) < due - F.floor(due)).cast("long")
+    each = sized.withColumn("__many", many).filter("__many > 0").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("__many") - 1).cast("int"))))
+    s, t = F.sqrt(coin([F.col(key), F.col("k"), F.lit("s")], seed)), coin([F.col(key), F.col("k"), F.lit("t")], seed)
+    place = lambda i: (1 - s) * F.get("a", F.lit(i)) + s * (1 - t) * F.get("b", F.lit(i)) + s * t * F.get("c", F.lit(i))
+    return each.select(key, "k", *(place(i).alias(c) for i, c in enumerate("xyz")))
+
+
+def points_of_masks(pixels: DataFrame, by: list[str], n: int, *, seed: int = 42) -> DataFrame:
+    """(by..., k, x, y): n points of every mask in hash order; a mask of fewer pixels gives them again and again."""
+    once = pixels.select(*by, "x", "y").distinct()
+    w = Window.partitionBy(*by).orderBy(order_key([*by, "x", "y"], seed), "x", "y")
+    ranked = once.withColumns({"__r": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(*by))}).filter(F.col("__r") < n)
+    return ranked.select(*by, F.explode(F.sequence(F.col("__r"), F.lit(n - 1), F.least(F.col("__n"), F.lit(n)).cast("int"))).alias("k"), "x", "y")
