@@ -140,12 +140,17 @@ def euler_to_quaternion(e: Column) -> Column:
 
 def slerp(p: Column, q: Column, t: Column) -> Column:
     """Between two unit quaternions by the shorter way; straight and normalised where they are within about two degrees."""
-    cosine = dot(p, q, 4)
-    sign, near = F.when(cosine < 0, -1.0).otherwise(1.0), F.abs(cosine)
-    angle = F.acos(F.least(near, F.lit(1.0)))
-    a = F.when(near > 0.9995, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    b = F.when(near > 0.9995, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
-    return normalise(F.array(*(a * _at(p, k) + b * _at(q, k) for k in range(4))), 4)
+    def mixed(v: Column) -> Column:
+        near = F.abs(v["cosine"])
+        angle = F.acos(F.least(near, F.lit(1.0)))
+        flat = near > 0.9995
+        a = F.when(flat, 1 - v["t"]).otherwise(F.sin((1 - v["t"]) * angle) / F.sin(angle))
+        b = F.when(flat, v["t"]).otherwise(F.sin(v["t"] * angle) / F.sin(angle)) * F.when(v["cosine"] < 0, -1.0).otherwise(1.0)
+        return bound(F.struct(a.alias("a"), b.alias("b")), lambda w: F.zip_with(v["p"], v["q"], lambda x, y: w["a"] * x + w["b"] * y))
+
+    whole = F.struct(p.alias("p"), q.alias("q"), t.alias("t"))
+    cosined = bound(whole, lambda v: F.struct(v["p"].alias("p"), v["q"].alias("q"), v["t"].alias("t"), dot(v["p"], v["q"], 4).alias("cosine")))
+    return bound(bound(cosined, mixed), lambda v: normalise(v, 4))
 
 
 def circular(a: Column, b: Column, t: Column) -> Column:
@@ -207,10 +212,14 @@ def translation_angle(a: Column, b: Column) -> Column:
 
 def level_rotation(gravity: Column) -> Column:
     """Rows x, y, z of a frame whose z axis is along -gravity, by Gram-Schmidt from x, or from y where x is nearly parallel to it."""
-    z = F.transform(normalise(gravity, 3), lambda c: -c)
-    base = F.when(F.abs(_at(z, 0)) < 0.9, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
-    x = normalise(F.zip_with(base, F.transform(z, lambda c: c * dot(base, z, 3)), lambda p, q: p - q), 3)
-    return F.concat(x, cross(z, x), z)
+    def framed(z: Column) -> Column:
+        upright = F.abs(_at(z, 0)) < 0.9
+        along = F.when(upright, _at(z, 0)).otherwise(_at(z, 1))
+        base = F.array(F.when(upright, 1.0).otherwise(0.0), F.when(upright, 0.0).otherwise(1.0), F.lit(0.0))
+        flat = F.zip_with(base, z, lambda p, q: p - q * along)
+        return bound(bound(flat, lambda v: normalise(v, 3)), lambda x: F.concat(x, cross(z, x), z))
+
+    return bound(bound(gravity, lambda g: F.transform(normalise(g, 3), lambda c: -c)), framed)
 
 
 def splat(m: Column, mean: Column, scale: Column, rotation: Column) -> Column:

@@ -32,11 +32,11 @@ def pose_camera_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("o_orderpriority")
 
 
-@query("SELECT p_partkey, p_name, s_suppkey AS camera, s_acctbal - 0.5 AS cx, s_nationkey - 0.5::DOUBLE AS cy FROM part JOIN supplier ON s_suppkey = p_partkey % 50 + 1 WHERE contains(p_type, 'BRASS')")
+@query("SELECT p_partkey, p_name, s_suppkey AS camera, s_acctbal - 0.5 AS cx, s_nationkey - 0.5::DOUBLE AS cy FROM part JOIN supplier ON s_suppkey = p_partkey % 50 + 1 WHERE contains(p_type, 'ECONOMY')")
 def device_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = T(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", (F.col("p_partkey") % 50 + 1).alias("camera"))
     cameras = T(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("camera"), F.col("s_acctbal").alias("cx"), F.col("s_nationkey").cast("double").alias("cy"))
-    return lookups.device_frames(frames, cameras, name="p_type", camera="camera", device="BRASS").drop("p_type")
+    return lookups.device_frames(frames, cameras, name="p_type", camera="camera", device="ECONOMY").drop("p_type")
 
 
 @query(
