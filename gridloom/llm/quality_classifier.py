@@ -88,7 +88,7 @@ def encode(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         x[:, 5 + k] = np.bincount(of_byte[kind[raw]], minlength=total) / much
     if len(raw) > 1:
         pair = ((raw[:-1].astype(np.int64) * 31 + raw[1:]) * 40503 >> 4) % PAIR_BUCKETS
-        at = of_byte[:-1] * PAIR_BUCKETS + pair
+        at = (of_byte[:-1] * PAIR_BUCKETS + pair)[of_doc[:-1] == of_doc[1:]]  # a text's last byte and the next one's first are no pair
         x[:, 5 + len(_CLASSES) :] = np.bincount(at, minlength=total * PAIR_BUCKETS).reshape(total, PAIR_BUCKETS) / much[:, None]
     return x, begin
 
