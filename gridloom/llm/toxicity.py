@@ -14,7 +14,7 @@ hashed), none is dropped, and their number grows with the corpus.
 A text's score compares log-likelihoods normalised by length (in words): over
 the whole text, over its most toxic stretch of any ``STRETCH`` neighbouring
 words and over its ``TOP`` most toxic stretches that share no word; a logistic
-calibration weighs the three.
+calibration weighs the three, none of them below 0.
 
 Where a run is unknown to both classes, the shared probability cancels out, so
 a model is one number for each known run and each known context.  Up to
@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.labels import labelled, logistic
-from gridloom.llm.tables import materialise, ship
+from gridloom.llm.tables import materialise, release, ship, written
 from gridloom.llm.wordhash import LETTERS, chunks, mix64
 
 #: Bytes of a run, the last of which is predicted from the others; what stands for a word's begin and end.
@@ -490,9 +490,23 @@ def _no_leftovers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def _calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of the three ratios and a bias; one that would count toxic company against toxicity is 0."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, use], toxic)
+        if not use or w[:-1].min() >= 0:
+            break
+        use.pop(int(w[:-1].argmin()))
+    out = np.zeros(x.shape[1] + 1)
+    out[[*use, -1]] = w
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """One pass over all labelled rows; the counts stay in a table unless the model is small."""
     ship(docs.sparkSession)
+    mark = written()
     rows, n_labels = labelled(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col)
     half = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(2)).cast("int")
     rows = rows.select("id", (half * 2 + (F.col("label") > 0).cast("int")).alias("part"), "text")
@@ -511,10 +525,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     toxic = got.column("id").to_numpy() == 3
     if 0 < toxic.sum() < len(toxic):
         x = np.column_stack([got.column(c).to_numpy() for c in FEATURES])
-        model.calibration = logistic(x, toxic)
+        model.calibration = _calibrated(x, toxic)
     else:
         toxic_share = rows.agg(F.avg((F.col("part") % 2).cast("double"))).first()[0] or 0.0
         model.calibration = np.array([0.0, 0.0, 0.0, np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))])
+    release(model.table if model.known is None else None, mark)
     return model
 
 
