@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.expressions import let, upto
-from gridloom.llm.tables import free_name, materialise
+from gridloom.llm.tables import free_name, materialise, release, written
 
 N = 13
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,10 +129,11 @@ def _of_row(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str])
 
 def remove_documents(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the contaminated ones, all columns as they were."""
+    mark = written()
     bad = scan(docs, bench, id_col=id_col, text_col=text_col, **options).filter("contaminated")
     names = free_name(docs, "bad_id"), free_name(docs, "bad_key")
     bad = materialise(bad.select(F.col("id").alias(names[0]), F.col("key").alias(names[1])).distinct(), "bench-bad", small=True)
-    return docs.join(bad, _of_row(docs, id_col, text_col, names), "left_anti")
+    return release(docs.join(bad, _of_row(docs, id_col, text_col, names), "left_anti"), mark)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

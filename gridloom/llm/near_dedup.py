@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.tables import free_name, materialise, ship
+from gridloom.llm.tables import free_name, materialise, release, ship, written
 from gridloom.llm.wordhash import SPACED, chunks, hash_words, mix64, windows
 
 SHINGLE = 5
@@ -62,7 +62,7 @@ REGISTERS, INDEX_BITS, MANTISSA_BITS = 128, 7, 10
 BAND = 4
 SIGMAS = 5.0
 #: A shingle of more prefixes than this is compared in cells of about so many shingles (a set counts for ``LEAST`` at least).
-LIGHT, CELL, LEAST = 64, 1 << 20, 512
+LIGHT, CELL, LEAST = 64, 1 << 18, 512
 #: Sets and shingles of one matrix product.
 SIDE, WIDE = 256, 8192
 #: Random divisions of an open group, and parts of each.
@@ -342,6 +342,7 @@ def spanning_links(offsets: np.ndarray, values: np.ndarray, own: np.ndarray, oth
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int) -> DataFrame:
     """One row a document: id, key (a hash of the text), n_shingles, component_id, label (of the component; null without shingles)."""
     ship(docs.sparkSession)
+    mark = written()
     ids = docs.schema[id_col].dataType
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     kind = ids.simpleString()
@@ -391,7 +392,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     of_class = classes.select("cls", "node", "first_id").join(rooted, "node", "left")
     of_class = of_class.select("cls", F.coalesce("root", "first_id").alias("root"), F.coalesce("label", "node").alias("label"))
     out = seen.select("id", "key", "n", "cls").join(of_class, "cls", "left")
-    return out.select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), "label")
+    return release(out.select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), "label"), mark)
 
 
 def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -402,6 +403,7 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component (the smallest id, null last; then by text) and all without shingles; columns as they were."""
+    mark = written()
     found = _grouped(docs, id_col, text_col, shingle, threshold).filter("label is not null")
     rows = materialise(found.groupBy("label", "id", "key").agg(F.count("*").alias("n")), "dedup-rows")
     keep = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("keep"))
@@ -411,6 +413,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     on = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(names[1]))
     out = docs.join(materialise(judged.filter("not stays").select(*names), "dropped", small=True), on, "left_anti")
     repeated = materialise(judged.filter("stays and n > 1").select(*names), "repeated", small=True)
-    if repeated.isEmpty():
-        return out
-    return out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col]))
+    if not repeated.isEmpty():
+        out = out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col]))
+    return release(out, mark)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.tables import materialise
+from gridloom.llm.tables import materialise, release, written
 
 SHARDS = 8
 #: Ranges per shard, and expected sample keys per range: together they bound what the driver sees.
@@ -106,6 +106,7 @@ def shard(
     keep: bool = False,
 ) -> DataFrame:
     """One row a record: id, size, text_crc32, law, shard, slot, grown_shard (null), and ``doc`` if ``keep``."""
+    mark = written()
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = materialise(
         docs.select(
@@ -137,9 +138,10 @@ def shard(
         begins = [0, *cuts, rows]
         taken = {k: max(begins[k + 1] - begins[k], 0) for k in range(shards)}
         placed_line = placed_line.union(_pieces(_line(slim.filter(of_large), shards, "shard-groups"), pieces, taken))
-    return keyed.join(placed_line, "key_tie").select(
+    out = keyed.join(placed_line, "key_tie").select(
         "id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *(["doc"] if keep else [])
     )
+    return release(out, mark)
 
 
 def _place(groups: list[tuple[int, int]], due: float, shards: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:

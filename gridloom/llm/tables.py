@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from gridloom import cluster
+from gridloom.cluster import shared_dir
+
+__all__ = ["free_name", "materialise", "read", "release", "remember", "shared_dir", "ship", "written"]
+
+#: Tables in the shared folder that this process has yet to delete.
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -19,45 +21,54 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else one set up for this session (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if hadoop.isEmpty():
-            at = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-            spark.sparkContext.setCheckpointDir(at)
-        else:
-            at = hadoop.get()
-    return at.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage on storage that every executor sees, so a lost executor
-    costs a re-read and not a recomputation.  The files go when the
-    interpreter ends.  ``small``: a table much smaller than what it was made
-    from is written by an eighth of the shuffle partitions (8 at least), as
-    files cost more than rows there.
+    costs a re-read and not a recomputation.  ``release`` deletes the files
+    that a result does not read; the others go when the interpreter ends.
+    ``small``: a table much smaller than what it was made from is written by an
+    eighth of the shuffle partitions (8 at least), as files cost more than rows
+    there.
     """
     spark = df.sparkSession
     if small:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/gridloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remember(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Delete the path when the interpreter ends, if nobody has before."""
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """A mark for ``release``: how many tables there are now."""
+    return len(_written)
+
+
+def release(out: DataFrame | None, mark: int) -> DataFrame | None:
+    """Delete the tables written since the mark that ``out`` does not read; gives ``out`` back."""
+    held = {part for file in (out.inputFiles() if out is not None else ()) if "/gridloom-tables/" in file for part in file.split("/")}
+    kept = []
+    for spark, path in _written[mark:]:
+        if path.rsplit("/", 1)[1] in held:
+            kept.append((spark, path))
+        else:
+            cluster.delete(spark, path)
+    _written[mark:] = kept
+    return out
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            cluster.delete(spark, path)
         except Exception:  # the session is gone already
             return
 
@@ -77,21 +88,11 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "s
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package along with the tasks, once a session: executors need not have it installed.
+    """Send the package along with the tasks, and bound the batches of rows that go to Python.
 
-    Also bounds the batches of rows that go to Python.
+    The bounds are session settings; one that the caller has set is left alone.
     """
     for key, (usual, bound) in BATCHES.items():
         if usual is None or spark.conf.get(key, usual) == usual:
             spark.conf.set(key, bound)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="gridloom-")) / "gridloom.zip"
-    with zipfile.ZipFile(to, "w") as packed:
-        for part in (package, package / "llm"):
-            for file in sorted(part.glob("*.py")):
-                packed.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(to))
-    _shipped.add(context.applicationId)
+    cluster.ship(spark)
