@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination, language_id, mixing, near_dedup, sharding
-from gridloom.llm.tables import free_name, read, shared_dir
+from gridloom.cluster import delete
+from gridloom.llm.tables import free_name, read, release, remember, shared_dir, written
 
 #: Least share of a document's letters that must be in its main language.
 LANGUAGE_SHARE = 0.5
@@ -68,11 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's table goes once the next one is written; the last one goes when the interpreter ends.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     at = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    remember(spark, at)
     for k, (name, stage) in enumerate(STAGES):
-        out = f"{at}/{k}-{name}"
+        out, mark = f"{at}/{k}-{name}", written()
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        release(None, mark)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
