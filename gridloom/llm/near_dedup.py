@@ -65,6 +65,8 @@ SIGMAS = 5.0
 LIGHT, CELL, LEAST = 64, 1 << 18, 512
 #: Sets and shingles of one matrix product.
 SIDE, WIDE = 256, 8192
+#: At most this many dropped rows (an id and 8 bytes each) are broadcast; beyond that the documents are shuffled to them.
+BROADCAST_DROPPED = 2_000_000
 #: Random divisions of an open group, and parts of each.
 SEEDS, PARTS = 4, 8
 _VALUE_BITS = 64 - INDEX_BITS
@@ -209,8 +211,8 @@ def _rest_links(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     sets = sets.join(labels.select("node"), "node")
     posted = materialise(_prefixes(sets, labels, threshold), "prefixes")
     met = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead"), F.count("*").alias("held")).filter("lo <> hi")
-    met = materialise(met.select("token", "lead", "held"), "prefix-tokens", small=True)
-    light = _verified(materialise(_light_pairs(posted.join(met.filter(F.col("held") <= LIGHT).select("token"), "token"), threshold), "light-pairs", small=True), sets, threshold)
+    met = materialise(met.select("token", "lead", "held"), "prefix-tokens")
+    light = _verified(materialise(_light_pairs(posted.join(met.filter(F.col("held") <= LIGHT).select("token"), "token"), threshold), "light-pairs"), sets, threshold)
     hot = met.filter(F.col("held") > LIGHT).select("token", "lead")
     if hot.isEmpty():
         return light
@@ -411,7 +413,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = free_name(docs, "its_id"), free_name(docs, "its_key")
     judged = rows.join(keep, "label").select(F.col("id").alias(names[0]), F.col("key").alias(names[1]), stays.alias("stays"), "n")
     on = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(names[1]))
-    out = docs.join(materialise(judged.filter("not stays").select(*names), "dropped", small=True), on, "left_anti")
+    dropped = materialise(judged.filter("not stays").select(*names), "dropped", small=True)
+    if dropped.count() <= BROADCAST_DROPPED:
+        dropped = F.broadcast(dropped)
+    out = docs.join(dropped, on, "left_anti")
     repeated = materialise(judged.filter("stays and n > 1").select(*names), "repeated", small=True)
     if not repeated.isEmpty():
         out = out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates([id_col, text_col]))
