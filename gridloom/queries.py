@@ -442,9 +442,9 @@ def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.latest_per_group(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations WHERE turn < 3 GROUP BY conv_id HAVING list_sort(list(turn)) = [0, 1, 2]")
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING list_sort(list(turn)) = [0, 1, 2]")
 def eligibility_exact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.exact_members(S.read(spark, sf_dir, "conversations").filter("turn < 3"), ["conv_id"], "turn", [0, 1, 2])
+    return windows.exact_members(S.read(spark, sf_dir, "conversations"), ["conv_id"], "turn", [0, 1, 2])
 
 
 @query(
