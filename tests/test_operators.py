@@ -84,20 +84,35 @@ def test_windows_own_every_frame_once(spark):
     assert [tuple(r)[1:] for r in windows.anchored_windows(spark, 11, 4, 3).orderBy("chunk").collect()] == [(0, 4), (3, 7), (6, 10), (7, 11)]
 
 
-def test_latest_interval_over_ranges(spark):
+@pytest.mark.parametrize("unit", [1, 10**9])
+def test_latest_interval_over_ranges(spark, unit):
     rng = random.Random(3)
     spans = sorted({rng.randint(0, 20_000) for _ in range(60)})
-    rows = [(s, s + rng.randint(0, 6000), k) for k, s in enumerate(spans)]
-    points = [rng.randint(0, 25_000) for _ in range(300)]
-    got = windows.latest_interval(spark.createDataFrame([(p,) for p in points], "at_frame long"), spark.createDataFrame(rows, "start long, end long, chunk long"), at="at_frame", start="start", end="end", carry=["chunk"])
-    found = sorted((r["at_frame"], -1 if r["chunk"] is None else r["chunk"]) for r in got.collect())
-    want = []
+    rows = [(s * unit, (s + rng.randint(0, 6000)) * unit, k) for k, s in enumerate(spans)]
+    points = [rng.randint(0, 25_000) * unit for _ in range(300)] + [7 * unit] * 40
+    intervals = spark.createDataFrame([*rows, (None, 99_000 * unit, -2)], "start long, end long, chunk long")
+    got = windows.latest_interval(spark.createDataFrame([(p,) for p in [*points, None]], "at_frame long"), intervals, at="at_frame", start="start", end="end", carry=["chunk"])
+    found = sorted((-1 if r["at_frame"] is None else r["at_frame"], -1 if r["chunk"] is None else r["chunk"]) for r in got.collect())
+    want = [(-1, -1)]
     for p in points:
         last = max((r for r in rows if r[0] <= p), default=None)
         want.append((p, last[2] if last and last[1] >= p else -1))
     assert found == sorted(want)
 
 
+def test_latest_interval_of_empty_tables(spark):
+    points, intervals = spark.createDataFrame([(3,)], "at long"), spark.createDataFrame([(1, 5, 0)], "start long, end long, chunk long")
+    ask = lambda p, i: [tuple(r) for r in windows.latest_interval(p, i, at="at", start="start", end="end", carry=["chunk"]).collect()]
+    assert ask(points, intervals) == [(3, 1, 5, 0)]
+    assert ask(points, intervals.limit(0)) == [(3, None, None, None)]
+    assert ask(points.limit(0), intervals) == ask(points.limit(0), intervals.limit(0)) == []
+
+
+def test_exact_members_rejects_further_ones(spark):
+    rows = spark.createDataFrame([(c, t) for c, ts in (("a", (2, 0, 1)), ("b", (0, 1, 2, 3)), ("c", (0, 1)), ("d", (0, 1, 2, 2))) for t in ts], "conv string, turn int")
+    assert [tuple(r) for r in windows.exact_members(rows, ["conv"], "turn", [0, 1, 2]).collect()] == [("a", 3)]
+
+
 def test_neighbours_by_grid_are_exact(spark):
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=(60, 2)) * 3, np.vstack([rng.normal(size=(40, 2)), [[50.0, 50.0]]])
