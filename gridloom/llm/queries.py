@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from gridloom.llm import decontamination, importance, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, token_counts, topk, toxicity
 from gridloom.llm.tables import read
 
 
@@ -82,6 +82,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_resampling": op11_resampling,
+    "op12_exact_top_k": op12_exact_top_k,
 }
 
 OP2_SQL = r"""
@@ -194,9 +206,41 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN r USING (row)
 """
 
+#: The CRC-32 of a feature's bytes, with the table made by its rule: eight shifts of each byte under the reversed polynomial.
+OP11_SQL = f"""
+WITH x AS MATERIALIZED (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, 0 AS mark, list_filter(regexp_extract_all({_LOWER}, '{LETTERED}'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT -row_number() OVER () AS row, NULL::BIGINT AS doc_id, 1 AS mark, regexp_extract_all({_LOWER}, '{LETTERED}') AS w FROM benchmark),
+e AS (SELECT row, mark, w, unnest(range(1, len(w) + 1)) AS i FROM (FROM d UNION ALL FROM b)),
+f AS MATERIALIZED (SELECT row, mark, array_to_string(w[i:i + n - 1], ' ') AS f FROM e, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w)),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+k AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, x),
+g AS MATERIALIZED (SELECT row, mark, bucket FROM f JOIN k USING (f)),
+c AS (SELECT bucket, count(*) FILTER (WHERE mark = 0) AS s, count(*) FILTER (WHERE mark = 1) AS t FROM g GROUP BY bucket),
+z AS (SELECT coalesce(sum(s), 0)::BIGINT AS s_all, coalesce(sum(t), 0)::BIGINT AS t_all FROM c),
+v AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM c, z),
+w AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM g JOIN v USING (bucket) WHERE mark = 0 GROUP BY row),
+n AS (SELECT row, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || substr(sha256(concat('42:', coalesce(doc_id::VARCHAR, ''))), 1, 8))::BIGINT::DOUBLE AS h FROM d LEFT JOIN w USING (row)),
+m AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM n),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS many FROM m WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * many // 100 THEN rank END AS rank FROM m LEFT JOIN r USING (row)
+"""
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, c.row AS other, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+      FROM v q JOIN v c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_decontamination": OP8_SQL,
     "op10_pii": OP10_SQL,
+    "op11_resampling": OP11_SQL,
+    "op12_exact_top_k": OP12_SQL,
 }
