@@ -181,3 +181,33 @@ def ema(rows: DataFrame, by: list[str], *, ts: str, order: str, value: str, tau:
     return rows.select(*by, ts, order, value).groupBy(*by).applyInPandas(fold, schema)
 
 
+def nearest_within(left: DataFrame, right: DataFrame, by: list[str], *, ts: str = "ts", order: str, carry: list[str], within: int, width: int) -> DataFrame:
+    """``nearest`` with a bound, cut along time: a long series is many tasks' work.
+
+    Series are cut into slices of ``width`` (at least ``within``) and right rows
+    go to every slice that a left row within reach can be in, two at most; the
+    result is that of ``nearest``.  Left rows without a stamp match nothing.
+    """
+    width, cut = max(width, within, 1), "__slice"
+    of = lambda c: F.floor(c / F.lit(width))
+    reach = F.array_distinct(F.array(of(F.col(ts) - within), of(F.col(ts)), of(F.col(ts) + within)))
+    sliced = left.withColumn(cut, of(F.col(ts)))
+    copied = right.filter(F.col(ts).isNotNull()).withColumn(cut, F.explode(reach))
+    return nearest(sliced, copied, [*by, cut], ts=ts, order=order, carry=carry, within=within).drop(cut)
+
+
+def silences(rows: DataFrame, by: list[str], *, ts: str, order: str, limit: int, width: int) -> DataFrame:
+    """(by..., longest_us, n_silent): the longest gap between consecutive rows of a series, and how many exceed ``limit``.
+
+    Gaps are taken within slices of ``width`` first and then between the slices
+    that have rows, so no task sees a whole series row by row.  A series of one
+    row has a null longest gap; rows without a stamp are left out.
+    """
+    cut = F.floor(F.col(ts) / F.lit(width)).alias("__slice")
+    inner = Window.partitionBy(*by, "__slice").orderBy(ts, order)
+    gap = F.col(ts) - F.lag(ts).over(inner)
+    each = rows.filter(F.col(ts).isNotNull()).select(*by, ts, order, cut).withColumn("__gap", gap)
+    part = each.groupBy(*by, "__slice").agg(F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.max("__gap").alias("__gap"), F.count_if(F.col("__gap") > limit).alias("__n"))
+    between = F.col("__from") - F.lag("__to").over(Window.partitionBy(*by).orderBy("__slice"))
+    joined = part.withColumn("__between", between)
+    return joined.groupBy(*by).agg(F.max(F.greatest("__gap", "__between")).alias("longest_us"), (F.sum("__n") + F.count_if(F.col("__between") > limit)).alias("n_silent"))
