@@ -12,7 +12,8 @@ The model is BUCKETS x labels numbers (64k x 4 bytes a label) whatever the
 corpus; counts are summed a partition at a time before the shuffle, so hot
 sources need no care.  Texts are labelled one by one, whole.  A long text is
 read in pieces cut between words and scored in blocks of words, so what it
-takes grows with its words (some 30 bytes each and 2 bytes a letter).
+takes grows with its words (some 30 bytes each and 2 bytes a letter); its path
+is found in blocks that are walked side by side.
 
 Defined cases: texts that are null, empty or without a letter (general
 category L; combining marks belong to the word of the letter before them but
@@ -45,6 +46,8 @@ SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 #: Characters that are cut into words at once, and words that are scored at once.
 CHUNK, BLOCK = 1_000_000, 1 << 16
+#: Words from which on a text's path is found in blocks; the labels are the same.
+LONG = 4_000
 #: First and last code points of scripts, in one place.
 SCRIPTS = {
     "Latin": [(0x0041, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -109,24 +112,21 @@ class Words:
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]]:
     """(parts, the text of each, where it begins there) of about CHUNK characters, cut between words."""
-    table = _letters()
     parts: list[str] = []
     of: list[int] = []
     at: list[int] = []
     size = 0
     for k, text in enumerate(texts):
         begin = 0
+        gaps = _gaps(text) if len(text) > CHUNK else None
         while True:
             end = min(begin + CHUNK, len(text))
             if end < len(text):  # back to the end of a word, or on if one word fills the piece
-                cut = end
-                while cut > begin and table[ord(text[cut])] >= 0:
-                    cut -= 1
-                if cut == begin:
-                    cut = end
-                    while cut < len(text) and table[ord(text[cut])] >= 0:
-                        cut += 1
-                end = cut
+                before = int(np.searchsorted(gaps, end, "right")) - 1
+                if before >= 0 and gaps[before] > begin:
+                    end = int(gaps[before])
+                else:
+                    end = int(gaps[before + 1]) if before + 1 < len(gaps) else len(text)
             parts.append(text[begin:end])
             of.append(k)
             at.append(begin)
@@ -141,6 +141,12 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]
         yield parts, of, at
 
 
+def _gaps(text: str) -> np.ndarray:
+    """Where a text has characters that are part of no word."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    return np.flatnonzero(_letters()[points] < 0)
+
+
 def words_of(texts: list[str]) -> Words:
     found = [_words_of(*p) for p in _pieces([t.lower() for t in texts])]
     if len(found) == 1:
@@ -243,37 +249,27 @@ def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang") -
     return Model(languages, scores, candidates)
 
 
-def label_words(model: Model, w: Words) -> np.ndarray:
-    """The index of each word's language on the best path of its document."""
-    n, k = len(w.doc), len(model.languages)
-    if not n or not k:
-        return np.full(n, -1)
-    fit = np.empty((n, k), np.float32)
-    for at in range(0, n, BLOCK):
-        first = w.first[at : at + BLOCK]
-        until = w.first[at + BLOCK] if at + BLOCK < n else len(w.trigram)
-        fit[at : at + BLOCK] = np.add.reduceat(model.scores[w.trigram[first[0] : until]], first - first[0], axis=0)
-    allowed = model.candidates[w.script]
-    allowed[~allowed.any(1)] = True  # a script that no label has: all stay in
-    fit[~allowed] = -1e9
-    docs, first, size = np.unique(w.doc, return_index=True, return_counts=True)
+def _step(score: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores after one more word, whether the best way to each language comes from another one, from which) of many lanes."""
+    top = score.argmax(1)
+    jump = score[np.arange(len(score)), top][:, None] - PENALTY
+    moved = jump > score
+    return np.where(moved, jump, score) + fit, moved, top
+
+
+def _short_paths(fit: np.ndarray, first: np.ndarray, size: np.ndarray, path: np.ndarray) -> None:
+    """Fills the best paths of many texts, all of them a word at a time."""
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     best = fit[first].astype(np.float64)
-    back = np.zeros((n, k), dtype=bool)  # whether the best way to a word's language comes from another one
-    source = np.zeros(n, dtype=np.int16)
+    back = np.zeros(fit.shape, dtype=bool)  # whether the best way to a word's language comes from another one
+    source = np.zeros(len(fit), dtype=np.int16)
     live = len(size)
     for t in range(1, int(size[0])):
         while size[live - 1] <= t:
             live -= 1
         at = first[:live] + t
-        score = best[:live]
-        top = score.argmax(1)
-        jump = score[np.arange(live), top][:, None] - PENALTY
-        moved = jump > score
-        back[at], source[at] = moved, top
-        best[:live] = np.where(moved, jump, score) + fit[at]
-    path = np.zeros(n, dtype=np.int64)
+        best[:live], back[at], source[at] = _step(best[:live], fit[at])
     state = best.argmax(1)
     live = 0
     for t in range(int(size[0]) - 1, -1, -1):
@@ -282,6 +278,84 @@ def label_words(model: Model, w: Words) -> np.ndarray:
         at = first[:live] + t
         path[at] = state[:live]
         state[:live] = np.where(back[at, state[:live]], source[at], state[:live])
+
+
+def _long_path(fit: np.ndarray) -> np.ndarray:
+    """The best path of one long text, its blocks side by side.
+
+    A block maps the scores before it to those after it by the best way from
+    every language to every other, and blocks are joined in order by these
+    maps; from the scores at its begin, each block then takes the same steps as
+    a walk over the whole text, and the way back is found likewise.
+    """
+    n, k = fit.shape
+    length = max(int(np.sqrt(n)), 1)
+    blocks = -(-n // length)
+    laid = np.zeros((blocks * length, k), np.float32)
+    laid[:n] = fit  # a word without a preference changes no path at the end
+    laid = laid.reshape(blocks, length, k)
+    maps = np.full((blocks, k, k), -np.inf)
+    maps[:, np.arange(k), np.arange(k)] = 0.0
+    maps = maps.reshape(blocks * k, k)
+    for t in range(length):
+        maps = _step(maps, np.repeat(laid[:, t], k, axis=0))[0]
+    maps = maps.reshape(blocks, k, k)
+    begins = np.empty((blocks, k))
+    begins[0] = laid[0, 0]
+    before = _through(laid[0], begins[0])
+    for b in range(1, blocks):
+        begins[b] = before
+        before = (before[:, None] + maps[b]).max(0)
+    back, source = np.zeros(laid.shape, dtype=bool), np.zeros((blocks, length), dtype=np.int16)
+    best = begins
+    for t in range(length):
+        if t == 0:  # the text's first word follows none
+            later, back[1:, 0], source[1:, 0] = _step(best[1:], laid[1:, 0])
+            best = np.vstack([best[:1], later])
+        else:
+            best, back[:, t], source[:, t] = _step(best, laid[:, t])
+    lanes, every = np.arange(blocks), np.tile(np.arange(k), (blocks, 1))
+    for t in range(length - 1, -1, -1):  # from each language after the block to the one before it
+        every = np.where(np.take_along_axis(back[:, t], every, 1), source[:, t, None], every)
+    state = np.empty(blocks, dtype=np.int64)
+    state[-1] = best[-1].argmax()
+    for b in range(blocks - 1, 0, -1):
+        state[b - 1] = every[b, state[b]]
+    path = np.empty((blocks, length), dtype=np.int64)
+    for t in range(length - 1, -1, -1):
+        path[:, t] = state
+        state = np.where(back[lanes, t, state], source[:, t], state)
+    return path.reshape(-1)[:n]
+
+
+def _through(fit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The scores after the first block, whose first word has the scores ``first``."""
+    best = first[None].astype(np.float64)
+    for t in range(1, len(fit)):
+        best = _step(best, fit[t][None])[0]
+    return best[0]
+
+
+def label_words(model: Model, w: Words) -> np.ndarray:
+    """The index of each word's language on the best path of its document."""
+    n, k = len(w.doc), len(model.languages)
+    if not n or not k:
+        return np.full(n, -1)
+    fit = np.empty((n, k), np.float32)
+    for at in range(0, n, BLOCK):
+        first = w.first[at : at + BLOCK]
+        until = w.first[at + BLOCK] if at + BLOCK < n else len(w.trigram)
+        fit[at : at + BLOCK] = np.add.reduceat(model.scores[w.trigram[first[0] : until]], first - first[0], axis=0)
+    allowed = model.candidates[w.script]
+    allowed[~allowed.any(1)] = True  # a script that no label has: all stay in
+    fit[~allowed] = -1e9
+    path = np.zeros(n, dtype=np.int64)
+    docs, first, size = np.unique(w.doc, return_index=True, return_counts=True)
+    for k in np.flatnonzero(size > LONG):
+        path[first[k] : first[k] + size[k]] = _long_path(fit[first[k] : first[k] + size[k]])
+    short = size <= LONG
+    if short.any():
+        _short_paths(fit, first[short], size[short], path)
     return path
 
 
