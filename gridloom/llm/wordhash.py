@@ -56,6 +56,16 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def _word_end(raw: np.ndarray, member: np.ndarray, at: int, stop: int) -> int:
+    """The first separator from ``at`` on, or ``stop`` if there is none before it."""
+    while at < stop:
+        gaps = np.flatnonzero(~member[raw[at : min(at + CHUNK, stop)]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at = min(at + CHUNK, stop)
+    return stop
+
+
 def hash_words(raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray], stem: int = 0) -> tuple[np.ndarray, ...]:
     """(hashes of all words, index of each document's first word, with the total at the end).
 
@@ -72,8 +82,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np
             if len(gaps) or len(cut):
                 end = max(begin + int(gaps[-1]) + 1 if len(gaps) else 0, int(cut[-1]) if len(cut) else 0)
             else:  # one word fills the block: go on to its end
-                while end < len(raw) and member[raw[end]] and (end not in edges):
-                    end += 1
+                end = _word_end(raw, member, end, int(edges[k]) if (k := np.searchsorted(edges, end)) < len(edges) else len(raw))
         part = raw[begin:end]
         inside = member[part]
         start = inside.copy()
