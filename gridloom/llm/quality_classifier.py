@@ -8,7 +8,10 @@ scored.  All weights are learned together from the documents' labels.
 
 The fit runs on the driver on all passages of about ``SAMPLE`` labelled
 documents, drawn by a hash of the id; fewer documents if they have more than
-``FIT_BYTES`` of text: a bounded sample whatever the corpus.  Scoring encodes every passage of every
+``FIT_BYTES`` of text: a bounded sample whatever the corpus.  Each class may
+fill half of the sample, and what one leaves the other takes, so a rare label
+is there; a document counts for as many as its class had for each one drawn,
+so scores are those of the whole.  Scoring encodes every passage of every
 document, in chunks of bounded size, row by row: no shuffle, no key.
 
 Defined cases: null, empty and blank texts are one empty passage and get the
@@ -114,10 +117,10 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray) -> dict
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "score": 1 / (1 + np.exp(-np.clip(logit, -30, 30)))}
 
 
-def _gradient(w: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def _gradient(w: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
     f = _forward(w, x, begin)
-    size, n = np.diff(begin), len(y)
-    by_bag = (f["score"] - y) / n
+    size = np.diff(begin)
+    by_bag = (f["score"] - y) * (1 / len(y) if weight is None else weight / weight.sum())
     dz = np.repeat(by_bag[:, None] * w["c"], size, axis=0)
     da = (dz * f["h"]).sum(1)
     mean = np.repeat(np.add.reduceat(f["a"] * da, begin[:-1]), size)
@@ -129,8 +132,8 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray, y: np.
     return {"W": x.T @ dx, "b": dx.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ by_bag, "d": np.array([by_bag.sum()])}
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray) -> Model:
-    """Learn all weights from bags of passage features and one label a bag, by Adam on the whole sample."""
+def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """Learn all weights from bags of passage features, one label a bag and what each bag counts for, by Adam on the whole sample."""
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, float(y.mean()) if len(y) else 0.5)
     x = np.vstack(bags).astype(np.float64)
@@ -142,7 +145,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray) -> Model:
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) for k, s in shapes.items()}
     m, v = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
     for step in range(1, ROUNDS + 1):
-        for k, g in _gradient(w, x, begin, y).items():
+        for k, g in _gradient(w, x, begin, y, weight).items():
             g = g + DECAY * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
             w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -157,20 +160,29 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(bags)), pa.array(bags, pa.binary())], names=["label", "bag"])
 
 
+def rates(n: dict[int, int], most: int) -> dict[int, float]:
+    """The share to draw of each class: half of ``most`` for each, and what one leaves for the other."""
+    small = min(n.values(), default=0)
+    room = {k: max(most // 2, most - small) if v > small else most // 2 for k, v in n.items()}
+    return {k: min(1.0, room[k] / v) for k, v in n.items() if v}
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     ship(docs.sparkSession)
-    n = labels.count()
-    if n > SAMPLE:
-        labels = labels.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col).cast("string")), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
-    rows, _ = labelled(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col)
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias(label_col))
+    share = rates({r[0]: r[1] for r in marks.groupBy(label_col).count().collect()}, SAMPLE)
+    drawn = lambda seed, i, rate: F.pmod(F.xxhash64(F.lit(seed), F.col(i).cast("string")), F.lit(1 << 30)) < rate
+    by_class = F.when(F.col(label_col) == 1, int(share.get(1, 1.0) * (1 << 30))).otherwise(int(share.get(0, 1.0) * (1 << 30)))
+    rows, _ = labelled(docs, marks.filter(drawn("fit", id_col, by_class)), label_col=label_col, id_col=id_col, text_col=text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > FIT_BYTES:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("bytes"), F.col("id").cast("string")), F.lit(1 << 30)) < int(FIT_BYTES / size * (1 << 30)))
+        rows = rows.filter(drawn("bytes", "id", int(FIT_BYTES / size * (1 << 30))))
     got = rows.select("label", "text").mapInArrow(_bags, "label int, bag binary").toArrow()
     bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, WIDTH) for b in got.column("bag")]
     order = sorted(range(len(bags)), key=lambda k: bags[k].tobytes())  # as rows come in any order
     y = (got.column("label").to_numpy() > 0).astype(np.float64)
-    return fit([bags[k] for k in order], y[order])
+    weight = np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
+    return fit([bags[k] for k in order], y[order], weight[order])
 
 
 def _scores(model):

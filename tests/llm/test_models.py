@@ -278,6 +278,37 @@ def test_language_of_marks_and_long_texts(spark, monkeypatch):
         assert np.array_equal(language_id.label_words(model, one), language_id.label_words(model, cut))
 
 
+def test_language_of_long_texts_in_blocks(monkeypatch):
+    """The blocks' path is the walk's own, ties and scripts without a label included."""
+    rng = np.random.default_rng(7)
+    model = language_id.Model(["a", "b", "c"], np.round(rng.normal(-9, 2, (language_id.BUCKETS, 3)), 1).astype(np.float32), np.arange(3 * (language_id.OTHER + 1)).reshape(-1, 3) % 4 > 0)
+    draw = random.Random(8)
+    texts = [words(draw, n, "abcdeäгд") for n in (1, 2, 7, 60, 401, 900, 3)] + ["e " * 500, ""]
+    w = language_id.words_of(texts)
+    want = language_id.label_words(model, w)
+    for long in (0, 1, 5, 59, 400):
+        monkeypatch.setattr(language_id, "LONG", long)
+        assert np.array_equal(language_id.label_words(model, w), want)
+
+
+def test_long_texts_cost_what_short_ones_do(spark):
+    """One text of 300,000 words, and one of letters only, through the operators that once walked over them."""
+    import time
+
+    rng = random.Random(2)
+    text = words(rng, 300_000, "aeioubc")
+    model = language_id.train(spark.createDataFrame([(words(rng, 80, "aeiou"), "v"), (words(rng, 80, "bcdfg"), "c")], "text string, lang string"))
+    w = language_id.words_of([text])
+    began = time.perf_counter()
+    language_id.label_words(model, w)
+    assert time.perf_counter() - began < 5  # a walk by words takes over ten
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5_000_000), (3, "x" * 4_999_999 + "y"), (4, "")], "doc_id long, text string")
+    got = {r["id"]: r for r in language_id.identify(docs, model, spans=False).collect()}
+    assert got[2]["n_spans"] == 1 and got[1]["n_spans"] > 100
+    groups = {r["id"]: r for r in near_dedup.group(docs).collect()}
+    assert groups[2]["n_shingles"] == 1 and groups[2]["component_id"] == 2 and groups[3]["component_id"] == 3
+
+
 def test_language_odd(odd, odd_rows, empty):
     model = language_id.train(odd)
     got = language_id.identify(odd, model).collect()
@@ -366,6 +397,20 @@ def test_quality_held_out(spark, odd, odd_rows, empty):
     assert {r["score"] for r in quality_classifier.score(odd, none).collect()} == {0.5}
 
 
+def test_quality_sample_holds_a_rare_class(spark, monkeypatch):
+    assert quality_classifier.rates({0: 1000, 1: 10}, 100) == {0: 0.09, 1: 1.0}
+    assert quality_classifier.rates({0: 400, 1: 100}, 100) == {0: 0.125, 1: 0.5}
+    assert quality_classifier.rates({1: 50}, 100) == {1: 1.0}
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 120)
+    rng = random.Random(4)
+    rows = [(k, "## $$ %% " * 30 if k % 100 == 0 else words(rng, 90)) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 100 == 0)) for k in range(1500)], "doc_id long, quality int")
+    score = {r["id"]: r["score"] for r in quality_classifier.score(docs, quality_classifier.train(docs, labels)).collect()}
+    assert min(score[k] for k in range(0, 1500, 100)) > 0.7 > 0.3 > max(score[k] for k in range(1500) if k % 100)
+
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     shapes = {"W": (quality_classifier.WIDTH, 3), "b": (3,), "V": (3, 2), "U": (3, 2), "a": (2,), "c": (3,), "d": (1,)}
