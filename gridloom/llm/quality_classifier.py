@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.labels import labelled
+from gridloom.llm.labels import labelled, rates
 from gridloom.llm.tables import ship
 from gridloom.llm.wordhash import SPACED, chunks, hash_words
 
@@ -160,13 +160,6 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(bags)), pa.array(bags, pa.binary())], names=["label", "bag"])
 
 
-def rates(n: dict[int, int], most: int) -> dict[int, float]:
-    """The share to draw of each class: half of ``most`` for each, and what one leaves for the other."""
-    small = min(n.values(), default=0)
-    room = {k: max(most // 2, most - small) if v > small else most // 2 for k, v in n.items()}
-    return {k: min(1.0, room[k] / v) for k, v in n.items() if v}
-
-
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     ship(docs.sparkSession)
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias(label_col))

@@ -2,19 +2,24 @@
 
 A text is its words, a word its bytes with a begin and an end.  For every run
 of ``ORDER`` bytes within words, the toxic and the ordinary training texts'
-different words that hold it are counted, over all texts.  Each class predicts
+different words that hold it are counted, over all texts (a word that a text
+repeats is one sign of what the text is).  Each class predicts
 a byte from the ones before it by its own counts, discounted by counts of
-counts, and backs off to counts that both classes share: Kneser-Ney
-continuation counts of shorter runs (in how many different bytes' company they
-were seen; runs at a word's begin keep their counts).  So a rare expression is
-worth what its bytes' company in the two classes is worth, and what neither
-class knows leans to neither.  Runs are exact (packed into integers, not
+counts, and backs off to counts that both classes share: those of the same run
+in both classes together, then Kneser-Ney continuation counts of shorter runs
+(in how many different bytes' company they were seen; runs at a word's begin
+keep their counts).  The shared prediction also weighs ``SHARED`` sightings
+of every context, so a few sightings by chance make no class.  So a rare
+expression is worth what its bytes' company in the two classes is worth, and
+what neither class knows leans to neither.  Runs are exact (packed into integers, not
 hashed), none is dropped, and their number grows with the corpus.
 
 A text's score compares log-likelihoods normalised by length (in words): over
 the whole text, over its most toxic stretch of any ``STRETCH`` neighbouring
-words and over its ``TOP`` most toxic stretches that share no word; a logistic
-calibration weighs the three, none of them below 0.
+words, over its ``TOP`` most toxic stretches that share no word, and over the
+whole text if a share ``MIXED`` of its words is toxic and the rest ordinary
+(over the square root of its words, by which chance grows); a logistic
+calibration weighs the four, none of them below 0.
 
 Where a run is unknown to both classes, the shared probability cancels out, so
 a model is one number for each known run and each known context.  Up to
@@ -24,9 +29,10 @@ its own runs, and the model answers in slices of about ``SLICE`` entries.  Both
 ways give the same scores.  Counts are summed per task before the shuffle, so
 hot sources and copies need no care.
 
-The calibration is fitted on at most ``CALIBRATION`` labelled texts of one
-half of the training rows, under a model of the other half; the final model
-counts both.  Everything else covers all rows.
+The calibration is fitted on at most ``CALIBRATION`` labelled texts, each
+scored under a model of the half of the training rows that it is not in; each class may fill
+half of these, and a text counts for as many as its class had for each one
+drawn.  The final model counts both halves.  Everything else covers all rows.
 
 Defined cases: null and empty texts score as a text with a ratio of 1; without
 labels of both classes every score is the toxic share (0 if there are none); an
@@ -49,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.labels import labelled, logistic
+from gridloom.llm.labels import labelled, logistic, rates
 from gridloom.llm.tables import materialise, release, ship, written
 from gridloom.llm.wordhash import LETTERS, chunks, mix64
 
@@ -57,8 +63,10 @@ from gridloom.llm.wordhash import LETTERS, chunks, mix64
 ORDER, BEGIN, END = 5, 1, 2
 #: Discount where it cannot be estimated.
 DISCOUNT = 0.75
-#: Most that one word counts for.
-MOST = 12.0
+#: What the shared prediction weighs in every context of a class, in sightings.
+SHARED = 100.0
+#: Share of toxic words in the text that the mixed ratio supposes, and the ratio beyond which a word is toxic anyhow.
+MIXED, SURE = 0.005, 50.0
 #: Words of a stretch, and how many stretches speak for a text.
 STRETCH = 3
 TOP = 3
@@ -66,14 +74,14 @@ CALIBRATION = 20_000
 THRESHOLD = 0.7
 #: A text's half (0 or 1) and class (0 or 1) as one index.
 PARTS = 4
-FEATURES = ("ratio", "stretch_ratio", "top_ratio")
+FEATURES = ("ratio", "stretch_ratio", "top_ratio", "mixed_ratio")
 #: Bytes of text that are read at once, and counted rows that a task holds before it hands them on.
 CHUNK, HELD = 1_000_000, 1_500_000
 #: Entries of a model that is broadcast, bytes of text in a block, entries of a slice.
 BROADCAST, BLOCK, SLICE = 4_000_000, 8 << 20, 2_000_000
 #: Tells the keys of runs from those of contexts.
 RUN = 1 << (8 * ORDER)
-_SCORED = "score double, ratio double, stretch_ratio double, top_ratio double"
+_SCORED = "score double, " + ", ".join(f"{c} double" for c in FEATURES)
 _FOLDED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
@@ -226,16 +234,19 @@ def _ratios(m: Model, w: Words) -> np.ndarray:
     own, context = _keys(runs)
     found, value = _find(m, own)
     value[~found] = _find(m, context[~found])[1]
-    return np.clip(np.add.reduceat(value[of], w.first[:-1]), -MOST, MOST)
+    return np.add.reduceat(value[of], w.first[:-1])
 
 
 def _features(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(log-likelihood ratio a word, that of the most toxic stretch, that of the TOP most toxic ones) of each text."""
-    out, size = np.zeros((len(first) - 1, 3)), np.diff(first)
+    """The FEATURES of each text: log-likelihood ratios of all words, of the most toxic stretch, of the TOP most toxic ones, and of a mixed text."""
+    out, size = np.zeros((len(first) - 1, len(FEATURES))), np.diff(first)
     some = size > 0
     if some.any():
-        out[some, 0] = np.add.reduceat(ratio, first[:-1][some]) / size[some]
-        out[:, 1:] = _stretches(ratio, first)
+        begin = first[:-1][some]
+        out[some, 0] = np.add.reduceat(ratio, begin) / size[some]
+        out[:, 1:3] = _stretches(ratio, first)
+        mixed = np.log1p(MIXED * np.expm1(np.minimum(ratio, SURE)))
+        out[some, 3] = np.add.reduceat(mixed, begin) / np.sqrt(size[some])
     return out
 
 
@@ -282,9 +293,9 @@ def _rated(m: Model, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]
         else:
             first = np.searchsorted(w.doc, np.arange(rows + 1))
         f = _features(ratio, first)
-        z = f @ m.calibration[:3] + m.calibration[3]
+        z = f @ m.calibration[:-1] + m.calibration[-1]
         score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        yield pa.RecordBatch.from_arrays([ids.slice(row, rows), pa.array(score), *(pa.array(f[:, k]) for k in range(3))], names=["id", "score", *FEATURES])
+        yield pa.RecordBatch.from_arrays([ids.slice(row, rows), pa.array(score), *(pa.array(f[:, k]) for k in range(len(FEATURES)))], names=["id", "score", *FEATURES])
 
 
 def _scores(model):
@@ -448,10 +459,10 @@ def _fit(counts: DataFrame, columns: tuple[Column, Column], calibration: np.ndar
         shared = part if shared is None else shared.unionByName(part)
     shared = materialise(shared, "toxic-shared", small=True)
     off = {r["size"]: _discounts(*(r[f"n{k}"] for k in (1, 2, 3, 4))) for r in shared.groupBy("size").agg(*_told(F.col("n"), "n")).collect()}
-    told = rows.agg(*_told(F.col("c0"), "a"), *_told(F.col("c1"), "b")).first()
+    told = rows.agg(*_told(F.col("c0"), "a"), *_told(F.col("c1"), "b"), *_told(F.col("c0") + F.col("c1"), "p")).first()
     if not off:
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), calibration, 0)
-    own = [_discounts(*(told[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "ab"]
+    *own, both = [_discounts(*(told[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "abp"]
     after = Window.partitionBy(F.shiftright("run", 8))  # the runs of one context, 256 of them at most
     tail = lambda size: F.col("run").bitwiseAND(F.lit((1 << 8 * size) - 1))
     lower = None
@@ -463,15 +474,18 @@ def _fit(counts: DataFrame, columns: tuple[Column, Column], calibration: np.ndar
         else:
             level = level.withColumn("tail", tail(size - 1)).join(lower, "tail")
         lower = level.select(F.col("run").alias("tail"), ((F.col("kept") + F.col("freed") * F.col("q")) / F.col("total")).alias("q"))
-    top, share = rows, []
+    n = F.col("c0") + F.col("c1")
+    kept = _kept(n, both)
+    top = rows.withColumns({"kept": kept, "total": F.sum(n).over(after), "freed": F.sum(n - kept).over(after), "tail": tail(ORDER - 1)}).join(lower, "tail")
+    top, share = top.withColumn("q", (F.col("kept") + F.col("freed") * F.col("q")) / F.col("total")), []
     for k in range(2):
         kept, n = _kept(F.col(f"c{k}"), own[k]), F.col(f"c{k}")
         top = top.withColumns({f"k{k}": kept, f"t{k}": F.sum(n).over(after), f"f{k}": F.sum(n - kept).over(after)})
         total = F.col(f"t{k}")
         # a class that does not know the context takes the shared probability as it is
-        top = top.withColumns({f"g{k}": F.when(total > 0, F.col(f"f{k}") / total).otherwise(1.0), f"x{k}": F.when(total > 0, F.col(f"k{k}") / total).otherwise(0.0)})
+        weight = total + F.lit(SHARED)
+        top = top.withColumns({f"g{k}": F.when(total > 0, (F.col(f"f{k}") + SHARED) / weight).otherwise(1.0), f"x{k}": F.when(total > 0, F.col(f"k{k}") / weight).otherwise(0.0)})
         share.append(F.col(f"x{k}") + F.col(f"g{k}") * F.col("q"))
-    top = top.withColumn("tail", tail(ORDER - 1)).join(lower, "tail")
     context = top.groupBy(F.shiftright("run", 8).alias("key")).agg(F.first(F.log(F.col("g1") / F.col("g0"))).cast("float").alias("value"))
     table = top.select((F.col("run") + RUN).alias("key"), F.log(share[1] / share[0]).cast("float").alias("value")).unionByName(context)
     table = materialise(table, "toxic-model", small=True)
@@ -490,11 +504,11 @@ def _no_leftovers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def _calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Weights of the three ratios and a bias; one that would count toxic company against toxicity is 0."""
+def _calibrated(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the ratios and a bias; one that would count toxic company against toxicity is 0."""
     use = list(range(x.shape[1]))
     while True:
-        w = logistic(x[:, use], toxic)
+        w = logistic(x[:, use], toxic, weight=weight)
         if not use or w[:-1].min() >= 0:
             break
         use.pop(int(w[:-1].argmin()))
@@ -514,27 +528,31 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     counts = rows.select("part", "text").mapInArrow(_counts, "run bigint, " + ", ".join(f"n{k} int" for k in range(PARTS)))
     with _no_leftovers(docs.sparkSession):
         counts = materialise(counts.groupBy("run").agg(*(F.sum(c).alias(f"n{k}") for k, c in enumerate(n))), "toxic-counts", small=True)
-        # calibrate on the second half under a model of the first
-        halves = _fit(counts, (n[0], n[1]), np.zeros(4))
-        sample = rows.filter("part >= 2")
-        share = min(1.0, CALIBRATION / max(n_labels / 2, 1))
-        if share < 1:
-            sample = sample.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-        got = _apply(sample.select(F.col("part").alias("id"), "text"), halves).select("id", *FEATURES).toArrow()
-        model = _fit(counts, (n[0] + n[2], n[1] + n[3]), np.zeros(4))
-    toxic = got.column("id").to_numpy() == 3
+        # calibrate on each half under a model of the other one
+        none, share = np.zeros(len(FEATURES) + 1), {}
+        sample, label = rows, F.col("part") % 2
+        if n_labels > CALIBRATION:
+            share = rates({r["label"]: r["count"] for r in rows.groupBy(label.alias("label")).count().collect()}, CALIBRATION)
+            drawn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20))
+            sample = rows.filter(drawn < F.when(label == 1, int(share.get(1, 1.0) * (1 << 20))).otherwise(int(share.get(0, 1.0) * (1 << 20))))
+        got = []
+        for theirs, mine in (((n[0], n[1]), F.col("part") >= 2), ((n[2], n[3]), F.col("part") < 2)):
+            got.append(_apply(sample.filter(mine).select(label.alias("id"), "text"), _fit(counts, theirs, none)).select("id", *FEATURES).toArrow())
+        got = pa.concat_tables(got)
+        model = _fit(counts, (n[0] + n[2], n[1] + n[3]), none)
+    toxic = got.column("id").to_numpy() == 1
     if 0 < toxic.sum() < len(toxic):
         x = np.column_stack([got.column(c).to_numpy() for c in FEATURES])
-        model.calibration = _calibrated(x, toxic)
+        model.calibration = _calibrated(x, toxic, np.where(toxic, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
     else:
         toxic_share = rows.agg(F.avg((F.col("part") % 2).cast("double"))).first()[0] or 0.0
-        model.calibration = np.array([0.0, 0.0, 0.0, np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))])
+        model.calibration = np.r_[np.zeros(len(FEATURES)), np.log((toxic_share + 1e-9) / (1 - toxic_share + 1e-9))]
     release(model.table if model.known is None else None, mark)
     return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, score, ratio, stretch_ratio, top_ratio, predicted."""
+    """One row a document: id, score, the FEATURES, predicted."""
     ship(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return _apply(base, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

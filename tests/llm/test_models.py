@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from conftest_words import make_words as words
 
+from gridloom.llm import labels as label_tools
 from gridloom.llm import language_id, near_dedup, quality_classifier, sharding, token_counts, toxicity
 from gridloom.llm.components import components
 from gridloom.llm.wordhash import SPACED, chunks, hash_words
@@ -398,9 +399,9 @@ def test_quality_held_out(spark, odd, odd_rows, empty):
 
 
 def test_quality_sample_holds_a_rare_class(spark, monkeypatch):
-    assert quality_classifier.rates({0: 1000, 1: 10}, 100) == {0: 0.09, 1: 1.0}
-    assert quality_classifier.rates({0: 400, 1: 100}, 100) == {0: 0.125, 1: 0.5}
-    assert quality_classifier.rates({1: 50}, 100) == {1: 1.0}
+    assert label_tools.rates({0: 1000, 1: 10}, 100) == {0: 0.09, 1: 1.0}
+    assert label_tools.rates({0: 400, 1: 100}, 100) == {0: 0.125, 1: 0.5}
+    assert label_tools.rates({1: 50}, 100) == {1: 1.0}
     monkeypatch.setattr(quality_classifier, "SAMPLE", 120)
     rng = random.Random(4)
     rows = [(k, "## $$ %% " * 30 if k % 100 == 0 else words(rng, 90)) for k in range(1500)]
@@ -497,24 +498,25 @@ def brute_kneser_ney(texts):
             totals[g[:-1]][1] += d[min(n, 3) - 1]
         return table, d, dict(totals)
 
-    def p(m, g, lower):
+    def p(m, g, lower, more=0.0):
         table, d, totals = m
         if g[:-1] not in totals:
             return lower
         total, freed = totals[g[:-1]]
         n = table.get(g, 0)
-        return ((n - d[min(n, 3) - 1] if n else 0.0) + freed * lower) / total
+        return ((n - d[min(n, 3) - 1] if n else 0.0) + (freed + more) * lower) / (total + more)
 
+    levels[order] = {g: top[0].get(g, 0) + top[1].get(g, 0) for g in set(top[0]) | set(top[1])}
     shared, own = {k: model(v) for k, v in levels.items()}, [model(dict(t)) for t in top]
 
     def ratio(w):
         out = 0.0
         for g in runs_of(w):
             q = 1 / 256
-            for size in range(1, order):
+            for size in range(1, order + 1):
                 q = p(shared[size], g[-size:], q)
-            out += np.log(p(own[1], g, q) / p(own[0], g, q))
-        return max(-toxicity.MOST, min(toxicity.MOST, out))
+            out += np.log(p(own[1], g, q, toxicity.SHARED) / p(own[0], g, q, toxicity.SHARED))
+        return out
 
     return ratio
 
@@ -534,6 +536,8 @@ def test_toxicity_against_plain_kneser_ney(spark, monkeypatch):
         text = dict(asked)[r[0]] or ""
         want = [ratio(w) for w in cut(text)]
         assert r[2] == pytest.approx(np.mean(want) if want else 0, abs=1e-4)
+        mixed = sum(np.log(1 - toxicity.MIXED + toxicity.MIXED * np.exp(x)) for x in want)
+        assert r[5] == pytest.approx(mixed / np.sqrt(max(len(want), 1)), abs=1e-4)
     by = {r[0]: r[2] for r in got}
     assert by[1] > 1 and by[2] < by[1] and by[4] == pytest.approx(ratio(b"x" * 300), abs=1e-4)
     for name, value in (("BROADCAST", 0), ("BLOCK", 3000), ("SLICE", 300), ("HELD", 2000)):
@@ -550,7 +554,7 @@ def test_toxicity_of_long_texts_in_pieces(monkeypatch):
     texts = [words(rng, 400), "", "z" * 900, words(rng, 30), words(rng, 300, "aé漢")]
     parts = np.array([0, 1, 2, 3, 1])
     runs, counts, _ = toxicity._tally(next(iter(toxicity._pieces(pa.array(texts))))[3], parts, np.zeros(0, np.uint64))
-    m = toxicity.Model(*(lambda k: (np.sort(k), np.linspace(-2, 2, len(k)).astype(np.float32)))(toxicity._keys(runs)[0][::2]), np.array([1, 0.5, 0.2, 0.1]), 0)
+    m = toxicity.Model(*(lambda k: (np.sort(k), np.linspace(-2, 2, len(k)).astype(np.float32)))(toxicity._keys(runs)[0][::2]), np.array([1, 0.5, 0.2, 0.3, 0.1]), 0)
     whole = pa.Table.from_batches(toxicity._rated(m, pa.array(range(5)), pa.array(texts)))
     from gridloom.llm import wordhash
 
@@ -565,6 +569,23 @@ def test_toxicity_of_long_texts_in_pieces(monkeypatch):
     assert got["run"] == runs.tolist() and np.array_equal(np.column_stack([got[f"n{k}"] for k in range(4)]), counts)
 
 
+def test_toxicity_of_a_rare_class(spark, monkeypatch):
+    """More labels than the calibration takes, few of them toxic; and a toxic expression spread over a text counts."""
+    monkeypatch.setattr(toxicity, "CALIBRATION", 300)
+    rng = random.Random(12)
+    rows = []
+    for k in range(3000):
+        text = words(rng, rng.randint(30, 90), "abcdefghijkl").split(" ")
+        for _ in range(4 if k % 50 == 0 else int(k % 17 == 0)):
+            text.insert(rng.randint(0, len(text)), "zzfoul" + rng.choice("abcdef"))
+        rows.append((k, " ".join(text), int(k % 50 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.filter("doc_id % 4 <> 2").select("doc_id", "toxic"))
+    got = {r["id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    held = [(got[k], t) for k, _, t in rows if k % 4 == 2]
+    assert np.mean([p for p, t in held if t]) > 0.8 and np.mean([p for p, t in held if not t]) < 0.02
+
+
 def test_discounts_stay_in_their_bounds():
     assert toxicity._discounts(600, 200, 100, 60) == pytest.approx((0.6, 1.1, 1.56))
     for few in ((0, 0, 0, 0), (5, 0, 0, 0), (5, 1, 0, 0), (1, 9, 99, 999), (9, 9, 0, 9)):
