@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Paths in the shared folder that go when the interpreter ends.
+_scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/gridloom-scratch/{name}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str, *, keep: bool = False) -> str:
+    """A new path in the shared folder; what is written there goes when the interpreter ends, unless it is to be kept."""
+    path = f"{shared_dir(spark)}/gridloom-scratch/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        if not _scratch:
+            atexit.register(_clean)
+        _scratch.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _scratch:
+        try:
+            delete(spark, path)
+        except Exception:  # the session is gone already
+            return
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: for what several steps read, or a step that is repeated."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def store_of(spark: SparkSession, path: str):

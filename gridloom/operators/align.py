@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.cluster import ship
+from gridloom.cluster import held, ship
 from gridloom.functions import linalg, pose
 from gridloom.operators import nearest
 
@@ -231,6 +231,24 @@ def fit_by(pairs: DataFrame, by: list[str], *, weight: Column | None = None, wit
     return rows.mapInPandas(solve, schema)
 
 
+def irls_by(pairs: DataFrame, by: list[str], *, delta: float, rounds: int, weight: str = "weight", with_scale: bool = True) -> DataFrame:
+    """(by..., n, s, r, t): ``fit_by``, then ``rounds`` more with Huber weights of what is left beyond ``delta``.
+
+    A round's fits, one row a group, are written to the shared folder, so the
+    next round reads them and does not work them out again.
+    """
+    found = fit_by(pairs, by, weight=F.col(weight), with_scale=with_scale)
+    for _ in range(rounds):
+        m = held(found, "irls").select(*by, pose.sim3(F.col("s"), F.col("r"), F.col("t")).alias("__m"))
+        placed = pose.apply(F.col("__m"), F.array(*SOURCE))
+        gaps = [F.get(placed, F.lit(k)) - F.col(t) for k, t in enumerate(TARGET)]
+        far = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
+        judged = pairs.join(m, by).withColumn("__far", far)
+        huber = F.col(weight) * F.when(F.col("__far") <= delta, 1.0).otherwise(delta / F.col("__far"))
+        found = fit_by(judged, by, weight=huber, with_scale=with_scale)
+    return found
+
+
 def overlap_pairs(points: DataFrame, chunk: str, keys: list[str]) -> DataFrame:
     """(chunk, sx..., tx...): the points of chunk + 1 (source) with those of ``chunk`` (target) that share all keys, as the overlap of two windows does."""
     target = points.select(F.col(chunk).alias("chunk"), *keys, *(F.col(a).alias(t) for a, t in zip("xyz", TARGET, strict=True)))

@@ -469,8 +469,9 @@ def mask_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {PIXELS}, s AS (SELECT dx, dy FROM range(-1, 2) t(dx), range(-1, 2) u(dy) WHERE dx * dx + dy * dy <= 1),
 g AS (SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM px, s WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63),
-m AS (SELECT DISTINCT g.image, g.x, g.y FROM g, s WHERE g.x + dx BETWEEN 0 AND 63 AND g.y + dy BETWEEN 0 AND 63 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.image = g.image AND h.x = g.x + dx AND h.y = g.y + dy))
-SELECT image, x, y FROM g WHERE (image, x, y) NOT IN (SELECT (image, x, y) FROM m)
+e AS (SELECT image, x, y, x + dx AS ax, y + dy AS ay FROM g, s WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63),
+m AS (SELECT DISTINCT e.image, e.x, e.y FROM e ANTI JOIN g ON e.image = g.image AND e.ax = g.x AND e.ay = g.y)
+SELECT g.image, g.x, g.y FROM g ANTI JOIN m ON g.image = m.image AND g.x = m.x AND g.y = m.y
 """
 )
 def mask_close(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ FROM c LEFT JOIN t USING (day, rig)
 """
 )
 def job1_sensor_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = scratch(spark, "job1-sensor-days")
+    at = scratch(spark, "job1-sensor-days", keep=True)
     for _ in range(2):
         sensor_days.run(spark, f"{sf_dir}/events.parquet", f"{at}/output", f"{at}/checkpoint")
     return spark.read.schema(sensor_days.REPORT).parquet(f"{at}/output/days").withColumn("day", F.col("day").cast("string"))
@@ -45,7 +45,7 @@ FROM a LEFT JOIN f USING (kind, sha256)
 """
 )
 def job2_text_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = scratch(spark, "job2-text-ledger")
+    at = scratch(spark, "job2-text-ledger", keep=True)
     for _ in range(2):
         text_ledger.run(spark, sf_dir, f"{at}/output")
     return text_ledger.ledger(spark, f"{at}/output").drop("signature")
