@@ -1,8 +1,9 @@
-"""Pose graphs: damped least squares over similarity transforms, robust medoid, leave-one-out.
+"""Pose graphs: damped least squares over similarity transforms.
 
-A node is a chunk of a sequence, of which there are hundreds.  ``solve`` and
-``left_out`` take tables of poses and edges and solve each sequence's dense
-normal equations in one task; the functions below them take its lists.  Edges
+``optimise`` works on lists, with dense normal equations of numeric
+derivatives, and ``left_out`` uses it for the leave-one-out residuals of small
+graphs.  ``solve`` is the one for tables: analytic 7 x 7 blocks, and a sparse
+elimination that Spark deals over segments of the sequence (see there).  Edges
 with an unknown end are left out; a sequence without edges keeps its poses.
 """
 
@@ -10,12 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from gridloom.cluster import ship
+from gridloom.cluster import held, ship
 from gridloom.functions import linalg
 
 Edge = tuple[int, int, tuple, float]
+#: Nodes of a segment, which one task eliminates; separators up to which the rest is solved densely.
+SEGMENT, DENSE = 64, 400
+#: A cost that is none.
+NOTHING = 1e-9
 
 
 def _log(m) -> np.ndarray:
@@ -85,12 +91,278 @@ def leave_one_out(poses: list, edges: list[Edge], **options) -> list[float]:
     return out
 
 
-def solve(poses: DataFrame, edges: DataFrame, by: list[str], *, node: str = "node", **options) -> DataFrame:
-    """(by..., node, s, r, t): every group's pose graph optimised, its first node held; edges are (a, b, s, r, t, weight).
+def _cross(v: np.ndarray) -> np.ndarray:
+    """The matrices of the cross products with rows of vectors."""
+    out = np.zeros((len(v), 3, 3))
+    out[:, 0, 1], out[:, 0, 2], out[:, 1, 2] = -v[:, 2], v[:, 1], -v[:, 0]
+    return out - out.transpose(0, 2, 1)
 
-    A group is one sequence's chunks; groups are solved side by side.
+
+def linearised(a: tuple, b: tuple, m: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(residuals, derivatives by a, derivatives by b) of many edges; each argument is (scales, rotations, translations).
+
+    A residual is the log scale, rotation vector and translation of
+    M^-1 A^-1 B; a pose is moved by composing it with the exponential of seven
+    numbers from the right.
+    """
+    (sa, ra, ta), (sb, rb, tb), (sm, rm, tm) = a, b, m
+    n = len(sa)
+    rx, tx = ra.transpose(0, 2, 1) @ rb, (ra.transpose(0, 2, 1) @ (tb - ta)[:, :, None])[:, :, 0] / sa[:, None]
+    back = rm.transpose(0, 2, 1)
+    r, t = back @ rx, (back @ (tx - tm)[:, :, None])[:, :, 0] / sm[:, None]
+    scale = sb / (sa * sm)
+    v = np.stack([r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]], 1) / 2
+    sine, cosine = np.linalg.norm(v, axis=1), (np.trace(r, axis1=1, axis2=2) - 1) / 2
+    angle = np.arctan2(sine, cosine)
+    small = sine < 1e-8
+    phi = v * np.where(small, 1.0, angle / np.where(small, 1.0, sine))[:, None]
+    e = np.concatenate([np.log(scale)[:, None], phi, t], 1)
+    k = _cross(phi)
+    tiny = angle < 1e-4
+    safe = np.where(tiny, 1.0, angle)
+    c = np.where(tiny, 1 / 12, 1 / safe**2 - (1 + np.cos(safe)) / (2 * safe * np.where(tiny, 1.0, np.sin(safe))))
+    turn = np.eye(3) + k / 2 + c[:, None, None] * (k @ k)
+    by_a, by_b = np.zeros((n, 7, 7)), np.zeros((n, 7, 7))
+    by_b[:, 0, 0], by_b[:, 1:4, 1:4], by_b[:, 4:, 4:] = 1, turn, scale[:, None, None] * r
+    inner = back / sm[:, None, None]
+    by_a[:, 0, 0], by_a[:, 1:4, 1:4] = -1, -turn @ rx.transpose(0, 2, 1)
+    by_a[:, 4:, 0], by_a[:, 4:, 1:4], by_a[:, 4:, 4:] = -(inner @ tx[:, :, None])[:, :, 0], inner @ _cross(tx), -inner
+    return e, by_a, by_b
+
+
+def _transforms(f: pd.DataFrame, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return f[f"{prefix}s"].to_numpy(float), np.array(f[f"{prefix}r"].to_list(), float).reshape(-1, 3, 3), np.array(f[f"{prefix}t"].to_list(), float).reshape(-1, 3)
+
+
+def _assembled(f: pd.DataFrame, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(normal matrix, gradient) of the edges over the given free nodes, in their order."""
+    e, ja, jb = linearised(_transforms(f, "a_"), _transforms(f, "b_"), _transforms(f, ""))
+    w = f["weight"].to_numpy(float)
+    n = len(nodes)
+    at = {side: np.where(f[f"free_{side}"], np.searchsorted(nodes, f[side]), -1) for side in "ab"}
+    blocks, right = np.zeros((n, n, 7, 7)), np.zeros((n, 7))
+    sides = (("a", ja), ("b", jb))
+    for x, jx in sides:
+        on = at[x] >= 0
+        np.add.at(right, at[x][on], np.einsum("nki,nk,n->ni", jx[on], e[on], w[on]))
+        for y, jy in sides:
+            both = on & (at[y] >= 0)
+            np.add.at(blocks, (at[x][both], at[y][both]), np.einsum("nki,nkj,n->nij", jx[both], jy[both], w[both]))
+    return blocks.transpose(0, 2, 1, 3).reshape(7 * n, 7 * n), right.ravel()
+
+
+#: Rows of an eliminated segment: blocks and (gradient, diagonal) of its separators; how its own nodes follow from these.
+BLOCK, RIGHT, FOLLOWS, MOVES = 0, 1, 2, 3
+
+
+def _eliminate(by: list[str], columns: list[str]):
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        keys = {c: f[c].iloc[0] for c in by}
+        ends = pd.concat([f.loc[f[f"free_{x}"], [x, f"cut_{x}"]].set_axis(["node", "cut"], axis=1) for x in "ab"]).drop_duplicates().sort_values("node")
+        nodes, cut = ends["node"].to_numpy(), ends["cut"].to_numpy(bool)
+        h, g = _assembled(f, nodes)
+        own, rest = np.repeat(~cut, 7), np.repeat(cut, 7)
+        inner, outer = nodes[~cut], nodes[cut]
+        ii = h[np.ix_(own, own)]
+        ii = ii + f["damping"].iloc[0] * np.diag(np.diag(ii)) + 1e-12 * np.eye(len(ii))
+        got = np.linalg.solve(ii, np.column_stack([h[np.ix_(own, rest)], g[own]])) if len(inner) else np.zeros((0, rest.sum() + 1))
+        follow, move = got[:, :-1], got[:, -1]
+        left, diagonal = h[np.ix_(rest, rest)] - h[np.ix_(rest, own)] @ follow, np.diag(h)[rest]
+        right = g[rest] - h[np.ix_(rest, own)] @ move
+        put = lambda kind, i, j, x: {"kind": kind, "i": i, "j": j, "x": x.ravel().tolist()}
+        part = lambda k: slice(7 * k, 7 * k + 7)
+        rows = [put(BLOCK, i, j, left[part(p), part(q)]) for p, i in enumerate(outer) for q, j in enumerate(outer) if left[part(p), part(q)].any()]
+        rows += [put(RIGHT, i, i, np.r_[right[part(p)], diagonal[part(p)]]) for p, i in enumerate(outer)]
+        rows += [put(FOLLOWS, i, j, follow[part(p), part(q)]) for p, i in enumerate(inner) for q, j in enumerate(outer)]
+        rows += [put(MOVES, i, i, move[part(p)]) for p, i in enumerate(inner)]
+        return pd.DataFrame(rows, columns=["kind", "i", "j", "x"]).assign(**keys)[columns]
+
+    return one
+
+
+def _solve_blocks(rows: pd.DataFrame, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """(separators, their steps) of one graph: densely if they are few, else by conjugate gradients over the blocks."""
+    right = rows[rows["kind"] == RIGHT]
+    nodes, of = np.unique(right["i"].to_numpy(), return_inverse=True)
+    sums = np.zeros((len(nodes), 14))
+    np.add.at(sums, of, np.array(right["x"].to_list(), float).reshape(-1, 14))
+    g, extra = sums[:, :7], damping * sums[:, 7:] + 1e-12
+    blocks = rows[rows["kind"] == BLOCK]
+    i, j = (np.searchsorted(nodes, blocks[c].to_numpy()) for c in "ij")
+    x = np.array(blocks["x"].to_list(), float).reshape(-1, 7, 7)
+    if len(nodes) <= DENSE:
+        h = np.zeros((len(nodes), len(nodes), 7, 7))
+        np.add.at(h, (i, j), x)
+        h = h.transpose(0, 2, 1, 3).reshape(7 * len(nodes), -1) + np.diag(extra.ravel())
+        return nodes, -np.linalg.solve(h, g.ravel()).reshape(-1, 7)
+    order = np.argsort(i, kind="stable")
+    i, j, x = i[order], j[order], x[order]
+    begin = np.searchsorted(i, np.arange(len(nodes)))
+    own = np.zeros((len(nodes), 7, 7))
+    np.add.at(own, i[i == j], x[i == j])
+    own += np.einsum("ni,ij->nij", extra, np.eye(7))
+    near = np.linalg.inv(own)
+    times = lambda v: np.add.reduceat(np.einsum("nij,nj->ni", x, v[j]), begin, axis=0) + extra * v
+    step, left = np.zeros_like(g), -g
+    z = np.einsum("nij,nj->ni", near, left)
+    p, rho, least = z.copy(), (left * z).sum(), 1e-20 * max((g * g).sum(), 1e-300)
+    for _ in range(20 * len(nodes)):
+        if (left * left).sum() <= least:
+            break
+        q = times(p)
+        alpha = rho / (p * q).sum()
+        step, left = step + alpha * p, left - alpha * q
+        z = np.einsum("nij,nj->ni", near, left)
+        rho, before = (left * z).sum(), rho
+        p = z + rho / before * p
+    return nodes, step
+
+
+def _reduced(by: list[str], kind: str):
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        nodes, step = _solve_blocks(f, f["damping"].iloc[0])
+        return pd.DataFrame({**{c: [f[c].iloc[0]] * len(nodes) for c in by}, "node": nodes, "step": step.tolist()})
+
+    return one
+
+
+def _stepped(frames):
+    """Poses composed with the exponential of their steps; those without a step as they are."""
+    for f in frames:
+        moved = f["step"].notna().to_numpy()
+        if moved.any():
+            part = f[moved]
+            s, r, t = _transforms(part, "")
+            d = np.array(part["step"].to_list(), float)
+            angle = np.linalg.norm(d[:, 1:4], axis=1)
+            safe = np.where(angle > 1e-12, angle, 1.0)
+            k = _cross(d[:, 1:4] / safe[:, None])
+            turn = np.eye(3) + np.sin(angle)[:, None, None] * k + (1 - np.cos(angle))[:, None, None] * (k @ k)
+            f = f.copy()
+            for name, value in (("s", s * np.exp(d[:, 0])), ("r", list((r @ turn).reshape(-1, 9))), ("t", list(t + s[:, None] * (r @ d[:, 4:, None])[:, :, 0]))):
+                f[name] = pd.Series(value, index=part.index).reindex(f.index).where(pd.Series(moved, index=f.index), f[name])
+        yield f.drop(columns="step")
+
+
+def _costs(frames):
+    for f in frames:
+        e = linearised(_transforms(f, "a_"), _transforms(f, "b_"), _transforms(f, ""))[0]
+        yield f[[c for c in f.columns if c.startswith("__by_")]].assign(cost=f["weight"].to_numpy(float) * (e * e).sum(1))
+
+
+def prepared(poses: DataFrame, edges: DataFrame, by: list[str], *, node: str = "node", free: Column | None = None, segment: int = SEGMENT) -> DataFrame:
+    """The edges that matter, with whether each end is free and a separator, and the segment that owns the edge.
+
+    A node's segment is its number over ``segment``.  Of an edge between two
+    segments the greater end is a separator; all else is inside its segment.
+    An edge belongs to the segment of an end that is inside one, and edges
+    between separators are dealt out by a hash.  Without ``free``, all nodes
+    but the first of a graph are.
+    """
+    first = poses.groupBy(*by).agg(F.min(node).alias("__first"))
+    marked = poses.join(first, by).select(*by, F.col(node).alias("node"), F.coalesce(F.col("node") > F.col("__first") if free is None else free, F.lit(False)).alias("free"))
+    end = lambda x: marked.select(*by, F.col("node").alias(x), F.col("free").alias(f"free_{x}"))
+    known = edges.filter("a <> b").join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"]).filter("free_a or free_b")
+    seg = lambda x: F.floor(F.col(x) / segment)
+    far = known.filter("free_a and free_b").filter(seg("a") != seg("b"))
+    cuts = far.select(*by, F.greatest("a", "b").alias("node")).distinct().withColumn("cut", F.lit(True))
+    for x in "ab":
+        known = known.join(cuts.select(*by, F.col("node").alias(x), F.col("cut").alias(f"cut_{x}")), [*by, x], "left")
+    known = known.withColumns({f"cut_{x}": F.coalesce(f"cut_{x}", F.lit(False)) for x in "ab"})
+    inside = lambda x: F.col(f"free_{x}") & ~F.col(f"cut_{x}")
+    owner = F.when(inside("a"), seg("a")).when(inside("b"), seg("b")).otherwise(-1 - F.pmod(F.xxhash64("a", "b"), F.lit(segment)))
+    return known.withColumn("owner", owner.cast("long")).select(*by, "a", "b", "s", "r", "t", "weight", "free_a", "free_b", "cut_a", "cut_b", "owner")
+
+
+def _with_ends(edges: DataFrame, poses: DataFrame, by: list[str]) -> DataFrame:
+    end = lambda x: poses.select(*by, F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in "srt"))
+    return edges.join(end("a"), [*by, "a"]).join(end("b"), [*by, "b"])
+
+
+def costs(edges: DataFrame, poses: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., cost): the weighted squares of all residuals of each graph; ``poses`` has node, s, r, t."""
+    return _cost_of(_with_ends(edges, poses, by), by)
+
+
+def _cost_of(placed: DataFrame, by: list[str]) -> DataFrame:
+    kinds = dict(placed.dtypes)
+    marked = placed.select(*(F.col(c).alias(f"__by_{c}") for c in by), "s", "r", "t", "weight", *(f"{x}_{c}" for x in "ab" for c in "srt"))
+    each = marked.mapInPandas(_costs, ", ".join([*(f"`__by_{c}` {kinds[c]}" for c in by), "cost double"]))
+    return each.groupBy(*(F.col(f"__by_{c}").alias(c) for c in by)).agg(F.sum("cost").alias("cost"))
+
+
+def _gradients(frames):
+    for f in frames:
+        e, ja, jb = linearised(_transforms(f, "a_"), _transforms(f, "b_"), _transforms(f, ""))
+        w = f["weight"].to_numpy(float)
+        keys = [c for c in f.columns if c.startswith("__by_")]
+        for x, j in (("a", ja), ("b", jb)):
+            yield f.loc[f[f"free_{x}"], keys].assign(node=f.loc[f[f"free_{x}"], x], g=list(np.einsum("nki,nk,n->ni", j, e, w)[f[f"free_{x}"].to_numpy(bool)]))
+
+
+def gradient(edges: DataFrame, poses: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., node, g): half the cost's seven derivatives at each free node; ``edges`` are prepared ones."""
+    placed = _with_ends(edges, poses, by)
+    kinds = dict(placed.dtypes)
+    marked = placed.select(*(F.col(c).alias(f"__by_{c}") for c in by), "a", "b", "s", "r", "t", "weight", "free_a", "free_b", *(f"{x}_{c}" for x in "ab" for c in "srt"))
+    each = marked.mapInPandas(_gradients, ", ".join([*(f"`__by_{c}` {kinds[c]}" for c in by), f"node {kinds['a']}, g array<double>"]))
+    summed = each.groupBy(*(F.col(f"__by_{c}").alias(c) for c in by), "node").agg(*(F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(7)))
+    return summed.select(*by, "node", F.array(*(f"g{k}" for k in range(7))).alias("g"))
+
+
+def solve(poses: DataFrame, edges: DataFrame, by: list[str], *, node: str = "node", free: Column | None = None, rounds: int = 20, damping: float = 1e-4, tolerance: float = 1e-8, segment: int = SEGMENT) -> DataFrame:
+    """(by..., node, s, r, t): every group's pose graph after Levenberg-Marquardt; edges are (a, b, s, r, t, weight).
+
+    ``node`` is an integer and ``free`` says which nodes may move (all but the
+    first of a graph): the others keep their very numbers.  In a round each
+    segment of a sequence is eliminated by a task of its own, from the 7 x 7
+    blocks of the edges it owns; what is left couples the separators, as many
+    as there are segments and loops, and is solved once a graph; the nodes
+    within the segments follow by a join.  A step that makes a graph's cost
+    smaller is kept and halves its damping, another one doubles it; rounds end
+    when no graph gains more than ``tolerance`` of its cost.  Each round's
+    tables are written to the shared folder.
     """
-    return _solved(poses, edges, by, node, "s double, r array<double>, t array<double>", lambda p, e, nodes, _: [{node: n, "s": float(m[0]), "r": m[1].ravel().tolist(), "t": m[2].tolist()} for n, m in zip(nodes, optimise(p, e, **options), strict=True)])
+    ship(poses.sparkSession)
+    kinds = dict(poses.dtypes)
+    at = held(poses.select(*by, F.col(node).alias("node"), F.col("s").cast("double").alias("s"), F.col("r").cast("array<double>").alias("r"), F.col("t").cast("array<double>").alias("t")), "graph-poses")
+    due = held(prepared(poses, edges, by, node=node, free=free, segment=segment), "graph-edges")
+    placed = held(_with_ends(due, at, by), "graph-placed")
+    state = held(_cost_of(placed, by).select(*by, "cost", F.lit(float(damping)).alias("damping"), F.lit(True).alias("better")), "graph-state")
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    columns = [*by, "kind", "i", "j", "x"]
+    for _ in range(rounds):
+        damped = placed.join(state.select(*by, "damping"), by)
+        system = held(damped.groupBy(*by, "owner").applyInPandas(_eliminate(by, columns), f"{keys}, kind int, i long, j long, x array<double>"), "graph-system")
+        joint = system.filter(F.col("kind") <= RIGHT).join(state.select(*by, "damping"), by)
+        cut = joint.groupBy(*by).applyInPandas(_reduced(by, kinds[node]), f"{keys}, node long, step array<double>")
+        cut = held(cut, "graph-separators")
+        turned = F.array(*(sum((F.col("x")[7 * r + c] * F.col("step")[c] for c in range(1, 7)), F.col("x")[7 * r] * F.col("step")[0]) for r in range(7)))
+        follows = system.filter(F.col("kind") == FOLLOWS).join(cut.select(*by, F.col("node").alias("j"), "step"), [*by, "j"]).select(*by, "i", turned.alias("x"))
+        moves = system.filter(F.col("kind") == MOVES).select(*by, "i", "x").unionByName(follows)
+        inner = moves.groupBy(*by, F.col("i").alias("node")).agg(*(F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(7)))
+        steps = inner.select(*by, "node", F.array(*(-F.col(f"x{k}") for k in range(7))).alias("step")).unionByName(cut)
+        tried = held(at.join(steps, [*by, "node"], "left").mapInPandas(_stepped, f"{keys}, node {kinds[node]}, s double, r array<double>, t array<double>"), "graph-tried")
+        moved = held(_with_ends(due, tried, by), "graph-moved")
+        better = F.coalesce(F.col("new") < F.col("cost"), F.lit(False))
+        judged = state.join(_cost_of(moved, by).withColumnRenamed("cost", "new"), by).select(
+            *by, F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("damping") / 2).otherwise(F.col("damping") * 2).alias("damping"), better.alias("better"),
+            F.when(better, (F.col("cost") - F.col("new")) / F.greatest("cost", F.lit(NOTHING))).otherwise(F.when(F.col("damping") > 1e6, 0.0).otherwise(F.lit(1.0))).alias("gain"),
+        )
+        judged = held(judged, "graph-state")
+        most, all_better = judged.agg(F.max("gain"), F.bool_and("better")).first()
+        if most is None:
+            break
+        state = judged.select(*by, "cost", "damping", "better")
+        if all_better:
+            at, placed = tried, moved
+        else:
+            of = lambda df, ok: df.join(state.filter(F.col("better") == ok).select(*by), by)
+            rest = at.join(state.filter("better").select(*by), by, "left_anti")
+            at, placed = held(of(tried, True).unionByName(rest), "graph-poses"), held(of(moved, True).unionByName(of(placed, False)), "graph-placed")
+        if most <= tolerance:
+            break
+    return at.select(*by, F.col("node").alias(node), "s", "r", "t")
 
 
 def left_out(poses: DataFrame, edges: DataFrame, by: list[str], *, node: str = "node", **options) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.operators import loops, windows
+from gridloom.cluster import held
+from gridloom.operators import graph, loops, windows
 from gridloom.queries import query
 
 # Loop closures.  Every order is a frame of four pixels in a plane; chunks and
@@ -103,3 +104,107 @@ def loop_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "loop", "chunk_b", "n_a", "n_b", F.round("alignment_error_a", 5).alias("alignment_error_a"), F.round("alignment_error_b", 5).alias("alignment_error_b"), F.round("s", 5).alias("scale"),
         F.round(pose.rotation_angle(F.col("r")), 3).alias("angle"), put(F.col("t")[0], 4).alias("dx"), put(F.col("t")[1], 4).alias("dy"), "accepted", "reasons",
     )
+
+
+# Pose graphs.  A frame's true pose runs along circles in the plane; edges to the
+# next frame and to the one a round later are measured with noise, and the first
+# guess drifts away from the truth.
+
+GRAPH_SIZE, ROUND = 10_000, 314
+TRUTH = {"h": "k / 50", "x": "20 * cos(k / 50)", "y": "20 * sin(k / 50) + k / 100", "g": "sin(k / 300) / 10"}
+GUESS = {"h": "h + d / 100000", "x": "x + d / 2000", "y": "y - d / 4000", "g": "g + d / 1000000"}
+#: Of an edge: noise of the angle, the log scale and the translation.
+NOISE = {"nh": "CAST(cents % 13 - 6 AS DOUBLE) / 3000", "ng": "CAST(cents % 11 - 5 AS DOUBLE) / 5000", "nx": "CAST(cents % 17 - 8 AS DOUBLE) / 800", "ny": "CAST(cents % 19 - 9 AS DOUBLE) / 900"}
+MEASURED = {
+    "h": "hb - ha + nh", "s": "exp(gb - ga + ng)",
+    "x": "(cos(ha) * (xb - xa) + sin(ha) * (yb - ya)) / exp(ga) + nx", "y": "(cos(ha) * (yb - ya) - sin(ha) * (xb - xa)) / exp(ga) + ny",
+}
+
+
+def _planar(h, s, x, y) -> list:
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return [s.alias("s"), F.array(F.cos(h), -F.sin(h), zero, F.sin(h), F.cos(h), zero, zero, zero, one).alias("r"), F.array(x, y, zero).alias("t")]
+
+
+def _circles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(true poses, first guesses, edges) of graphs of 10,000 frames."""
+    k = F.col("o_orderkey")
+    base = S.read(spark, sf_dir, "orders").select(F.expr(f"o_orderkey div {GRAPH_SIZE}").alias("grp"), k.alias("node"), k.cast("double").alias("k"), (k % GRAPH_SIZE).cast("double").alias("d"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    true = base.select("grp", "node", "d", "cents", *(F.expr(v).alias(n) for n, v in TRUTH.items()))
+    guess = true.select("grp", "node", *(F.expr(v).alias(n) for n, v in GUESS.items()))
+    pose = lambda df: df.select("grp", "node", *_planar(F.col("h"), F.exp("g"), F.col("x"), F.col("y")))
+    a = true.select("grp", F.col("node").alias("a"), "cents", *(F.col(c).alias(f"{c}a") for c in TRUTH))
+    b = true.select("grp", F.col("node").alias("b"), *(F.col(c).alias(f"{c}b") for c in TRUTH))
+    ahead = F.when(F.col("a") % 97 == 0, F.array(F.col("a") + 1, F.col("a") + ROUND)).otherwise(F.array(F.col("a") + 1))
+    pairs = a.withColumn("b", F.explode(ahead)).join(b, ["grp", "b"])
+    noisy = pairs.select("*", *(F.expr(v).alias(n) for n, v in NOISE.items())).select("grp", "a", "b", *(F.expr(v).alias(n) for n, v in MEASURED.items()))
+    edges = noisy.select("grp", "a", "b", *_planar(F.col("h"), F.col("s"), F.col("x"), F.col("y")), (1.0 + F.col("a") % 3).alias("weight"))
+    return pose(true), pose(guess), edges
+
+
+CIRCLES = f"""
+WITH o AS (SELECT o_orderkey // {GRAPH_SIZE} AS grp, o_orderkey AS node, o_orderkey::DOUBLE AS k, (o_orderkey % {GRAPH_SIZE})::DOUBLE AS d, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
+true_ AS MATERIALIZED (SELECT grp, node, d, cents, {_SEES(TRUTH)} FROM o),
+guess AS MATERIALIZED (SELECT grp, node, {_SEES(GUESS)} FROM true_),
+e0 AS (SELECT a.grp, a.node AS a, b.node AS b, a.cents, a.h AS ha, a.x AS xa, a.y AS ya, a.g AS ga, b.h AS hb, b.x AS xb, b.y AS yb, b.g AS gb
+       FROM true_ a JOIN true_ b ON a.grp = b.grp AND (b.node = a.node + 1 OR (a.node % 97 = 0 AND b.node = a.node + {ROUND}))),
+edge AS MATERIALIZED (SELECT grp, a, b, {_SEES(MEASURED)}, 1 + a % 3 AS weight FROM (SELECT *, {_SEES(NOISE)} FROM e0))"""
+
+
+def _left_over(poses: str) -> str:
+    """Residuals of the edges under a table of planar poses: ls, phi, ex, ey, with what the derivatives need."""
+    return f"""(SELECT *, (cos(mh) * (vx - mx) + sin(mh) * (vy - my)) / ms AS ex, (cos(mh) * (vy - my) - sin(mh) * (vx - mx)) / ms AS ey FROM (
+  SELECT e.grp, e.a, e.b, e.weight, e.h AS mh, e.s AS ms, e.x AS mx, e.y AS my, q.g - p.g - ln(e.s) AS ls, q.h - p.h - e.h AS phi,
+         (cos(p.h) * (q.x - p.x) + sin(p.h) * (q.y - p.y)) / exp(p.g) AS vx, (cos(p.h) * (q.y - p.y) - sin(p.h) * (q.x - p.x)) / exp(p.g) AS vy
+  FROM edge e JOIN {poses} p ON p.grp = e.grp AND p.node = e.a JOIN {poses} q ON q.grp = e.grp AND q.node = e.b))"""
+
+
+_COST = "sum(weight * (ls * ls + phi * phi + ex * ex + ey * ey))"
+GRADIENT = f"""{CIRCLES}, r AS MATERIALIZED {_left_over("guess")},
+f AS (SELECT grp, node, sum(weight * g0) AS g0, sum(weight * g3) AS g3, sum(weight * g4) AS g4, sum(weight * g5) AS g5 FROM (
+  SELECT grp, b AS node, weight, ls AS g0, phi AS g3, exp(ls) * (cos(phi) * ex + sin(phi) * ey) AS g4, exp(ls) * (cos(phi) * ey - sin(phi) * ex) AS g5 FROM r UNION ALL
+  SELECT grp, a, weight, -ls - (ex * (cos(mh) * vx + sin(mh) * vy) + ey * (cos(mh) * vy - sin(mh) * vx)) / ms,
+         -phi + (ex * (cos(mh) * vy - sin(mh) * vx) + ey * (-cos(mh) * vx - sin(mh) * vy)) / ms,
+         -(cos(mh) * ex - sin(mh) * ey) / ms, -(sin(mh) * ex + cos(mh) * ey) / ms FROM r) GROUP BY grp, node)"""
+
+
+@query(
+    f"""{GRADIENT} SELECT grp, node, round(g0, 5) + 0.0 AS by_scale, round(g3, 5) + 0.0 AS by_turn, round(g4, 5) + 0.0 AS by_x, round(g5, 5) + 0.0 AS by_y
+FROM f WHERE node > (SELECT min(o_orderkey) FROM orders) AND node % {GRAPH_SIZE} <> 0"""
+)
+def pose_graph_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analytic derivatives at the first guess; the rest of the seven are 0 in the plane."""
+    _, guess, edges = _circles(spark, sf_dir)
+    g = graph.gradient(graph.prepared(guess, edges, ["grp"]), guess, ["grp"])
+    put = lambda k: F.round(F.col("g")[k], 5) + 0.0
+    return g.select("grp", "node", put(0).alias("by_scale"), put(3).alias("by_turn"), put(4).alias("by_x"), put(5).alias("by_y"))
+
+
+@query(
+    f"""{CIRCLES}, x AS (SELECT grp, count(*) AS n_edges, round({_COST}, 4) AS cost_before FROM {_left_over("guess")} GROUP BY grp),
+y AS (SELECT grp, round({_COST}, 4) AS cost_of_truth FROM {_left_over("true_")} GROUP BY grp)
+SELECT grp, n_nodes, n_edges, cost_before, cost_of_truth, true AS below_truth, true AS at_rest FROM x JOIN y USING (grp) JOIN (SELECT grp, count(*) AS n_nodes FROM guess GROUP BY grp) USING (grp)"""
+)
+def pose_graph_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost is below that of the truth, which does not fit the noise, and the derivatives vanish there."""
+    true, guess, edges = _circles(spark, sf_dir)
+    edges = held(edges, "graph-query")
+    due = graph.prepared(guess, edges, ["grp"])
+    got = held(graph.solve(guess, edges, ["grp"], rounds=8), "graph-query")
+    cost = lambda poses, name: graph.costs(due, poses, ["grp"]).withColumnRenamed("cost", name)
+    steep = lambda poses, name: graph.gradient(due, poses, ["grp"]).groupBy("grp").agg(F.sqrt(F.sum(F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x))).alias(name))
+    out = guess.groupBy("grp").agg(F.count("*").alias("n_nodes")).join(due.groupBy("grp").agg(F.count("*").alias("n_edges")), "grp")
+    for table in (cost(guess, "before"), cost(true, "truth"), cost(got, "after"), steep(guess, "steep_before"), steep(got, "steep_after")):
+        out = out.join(table, "grp")
+    return out.select("grp", "n_nodes", "n_edges", F.round("before", 4).alias("cost_before"), F.round("truth", 4).alias("cost_of_truth"), (F.col("after") < F.col("truth")).alias("below_truth"), (F.col("steep_after") < F.col("steep_before") / 1000).alias("at_rest"))
+
+
+@query(
+    f"""{CIRCLES} SELECT grp, node, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(exp(g), 6) AS s FROM guess WHERE NOT (node % {GRAPH_SIZE} BETWEEN 400 AND 700)"""
+)
+def pose_graph_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the frames from 400 to 700 of each graph may move; all others are where they were."""
+    _, guess, edges = _circles(spark, sf_dir)
+    free = (F.col("node") % GRAPH_SIZE).between(400, 700)
+    got = graph.solve(guess, edges, ["grp"], free=free, rounds=3).join(guess.select("grp", "node", F.col("t").alias("before")), ["grp", "node"])
+    return got.filter(~free | (F.col("t") == F.col("before"))).select("grp", "node", (F.round(F.col("t")[0], 6) + 0.0).alias("x"), (F.round(F.col("t")[1], 6) + 0.0).alias("y"), F.round("s", 6).alias("s"))
