@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.cluster import held, ship
@@ -314,3 +314,67 @@ def homography_by(pairs: DataFrame, by: list[str], weight: str | None = None) ->
             yield f[by].assign(h=found)
 
     return rows.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in by) + ", h array<double>")
+
+
+def projected_by(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Where a homography (nine numbers) takes a point."""
+    at = lambda k: F.get(h, F.lit(k))
+    w = at(6) * x + at(7) * y + at(8)
+    return (at(0) * x + at(1) * y + at(2)) / w, (at(3) * x + at(4) * y + at(5)) / w
+
+
+def homography_error(h: Column) -> Column:
+    """The distance from where (sx, sy) is taken to (tx, ty)."""
+    u, v = projected_by(h, F.col("sx"), F.col("sy"))
+    return F.sqrt((u - F.col("tx")) * (u - F.col("tx")) + (v - F.col("ty")) * (v - F.col("ty")))
+
+
+def homography_consensus(pairs: DataFrame, by: list[str], key: str, *, inlier: float, weight: str | None = None, trials: int = 32, size: int = 6, refits: int = 3, seed: int = 42) -> DataFrame:
+    """(by..., h, n_inliers, score): a weighted homography by random consensus.
+
+    A trial is ``size`` rows, drawn without replacement in the order of seeded
+    exponentials over the weights (heavier rows come sooner), so at most
+    ``trials * size`` rows of a group are ever in one task.  All of a group's
+    rows judge all trials in one aggregation; that with the greatest weight of
+    inliers (then the first) is fitted again ``refits`` times in least squares,
+    each time on the inliers of the fit before, and ``n_inliers`` and ``score``
+    are those of the final fit.  Rows with a null
+    coordinate or without a positive weight take no part; groups of fewer than
+    ``size`` rows are left out.
+    """
+    ship(pairs.sparkSession)
+    kinds = dict(pairs.dtypes)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = pairs.select(*by, F.col(key).alias("key"), "sx", "sy", "tx", "ty", w.alias("weight")).filter("weight > 0 and sx is not null and sy is not null and tx is not null and ty is not null")
+    uniform = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("key").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(-F.log("u") / F.col("weight"), "key"))
+    drawn = rows.withColumn("u", uniform).withColumn("turn", turn).filter(F.col("turn") <= trials * size)
+
+    def models(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        x, y, u, v = (pdf[c].to_numpy(float) for c in ("sx", "sy", "tx", "ty"))
+        found = []
+        for k in range(min(trials, len(x) // size) if len(x) >= size else 0):
+            at = slice(k * size, (k + 1) * size)
+            o, z = np.ones(size), np.zeros(size)
+            a = np.vstack([np.column_stack([x[at], y[at], o, z, z, z, -u[at] * x[at], -u[at] * y[at]]), np.column_stack([z, z, z, x[at], y[at], o, -v[at] * x[at], -v[at] * y[at]])])
+            h, _, rank, _ = np.linalg.lstsq(a, np.r_[u[at], v[at]], rcond=None)
+            if rank == 8:
+                found.append((k, [*h.tolist(), 1.0]))
+        out = pd.DataFrame(found, columns=["trial", "h"])
+        for k, c in enumerate(by):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out
+
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    tried = drawn.groupBy(*by).applyInPandas(models, f"{keys}, trial int, h array<double>")
+    lists = tried.groupBy(*by).agg(F.collect_list(F.struct("trial", "h")).alias("models"))  # ``trials`` of them
+    judged = rows.join(lists, by).select(*by, "sx", "sy", "tx", "ty", "weight", F.explode("models").alias("m"))
+    votes = judged.groupBy(*by, F.col("m.trial").alias("trial")).agg(F.sum(F.when(homography_error(F.col("m.h")) <= inlier, F.col("weight"))).alias("votes"), F.first("m.h").alias("h"))
+    best = votes.filter("votes is not null").groupBy(*by).agg(F.max_by("h", F.struct("votes", -F.col("trial"))).alias("first"))
+    rows, fits = held(rows, "homography"), held(best.withColumnRenamed("first", "h"), "homography")
+    for _ in range(refits):
+        inside = rows.join(fits, by).filter(homography_error(F.col("h")) <= inlier)
+        fits = held(homography_by(inside, by, "weight").filter("h is not null"), "homography")
+    final = rows.join(fits, by).filter(homography_error(F.col("h")) <= inlier)
+    return final.groupBy(*by).agg(F.first("h").alias("h"), F.count("*").alias("n_inliers"), F.sum("weight").alias("score"))

@@ -169,6 +169,70 @@ def fill_holes(pixels: DataFrame, by: list[str], width: int, height: int) -> Dat
     return pixels.select(*by, *PIXEL).distinct().groupBy(*by).applyInPandas(fill, schema)
 
 
+def mask_runs(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., y, x0, x1): the runs of neighbouring pixels in every row of a mask, both ends in them."""
+    once = pixels.select(*by, *PIXEL).filter("x is not null and y is not null").distinct()
+    island = F.col("x") - F.row_number().over(Window.partitionBy(*by, "y").orderBy("x"))
+    return once.withColumn("__island", island).groupBy(*by, "y", "__island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("__island")
+
+
+def _merged_labels(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """For runs in raster order, the first run of each one's component; ``reach`` 1 counts corners as neighbours."""
+    wide = int(x1.max() - x0.min()) + 4
+    base = (y - y.min()) * wide - x0.min() + 1
+    first, last = base + x0, base + x1
+    # the runs of the row below that touch a run follow one another
+    low = np.searchsorted(last, first + wide - reach)
+    n = np.maximum(np.searchsorted(first, last + wide + reach, "right") - low, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(y))
+    while True:
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        if not open_.any():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def labelled_runs(pixels: DataFrame, by: list[str], *, corners: bool = True) -> DataFrame:
+    """(by..., y, x0, x1, label): the connected components of every mask, numbered from 1 by their first pixel, row by row.
+
+    Rows are cut into runs by Spark; one mask's runs (far fewer than its
+    pixels) are merged in a task.  With ``corners``, diagonal pixels are
+    neighbours.  Pixels count once, those without a place not at all.
+    """
+    runs = mask_runs(pixels, by)
+    kinds = dict(runs.dtypes)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
+        root = _merged_labels(*(pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1")), int(corners))
+        return pdf.assign(label=np.unique(root, return_inverse=True)[1].astype(np.int64) + 1)
+
+    return runs.groupBy(*by).applyInPandas(merge, ", ".join(f"{c} {kinds[c]}" for c in runs.columns) + ", label long")
+
+
+def components(pixels: DataFrame, by: list[str], *, corners: bool = True) -> DataFrame:
+    """(by..., label, area, x0, y0, x1, y1) of every connected component of the masks."""
+    runs = labelled_runs(pixels, by, corners=corners)
+    return runs.groupBy(*by, "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+
+
+def labelled_pixels(pixels: DataFrame, by: list[str], *, corners: bool = True) -> DataFrame:
+    """(by..., x, y, label, area): every pixel of a mask with its component and that one's area."""
+    runs = labelled_runs(pixels, by, corners=corners)
+    area = F.sum(F.col("x1") - F.col("x0") + 1).over(Window.partitionBy(*by, "label"))
+    return runs.withColumn("area", area).select(*by, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "label", "area")
+
+
+def without_specks(pixels: DataFrame, by: list[str], least: int, *, corners: bool = True) -> DataFrame:
+    """The masks without components of fewer than ``least`` pixels."""
+    return labelled_pixels(pixels, by, corners=corners).filter(F.col("area") >= least).select(*by, *PIXEL)
+
+
 def joint_confident(a: Column, b: Column, threshold: float) -> Column:
     """Both strictly above the threshold; null counts as below."""
     return F.coalesce((a > threshold) & (b > threshold), F.lit(False))

@@ -34,6 +34,31 @@ def sinkhorn(scores: np.ndarray, *, rounds: int = 3, dust: float = 1.0) -> np.nd
     return np.exp(logs + u[:, None] + v[None, :] + total)[:-1]
 
 
+def transport_pool(features: DataFrame, by: list[str], *, scores: str, vec: str, order: str, rounds: int = 3, dust: float = 1.0) -> DataFrame:
+    """(by..., cluster, dim, value): features summed into clusters by optimal transport, each cluster and then the whole of unit length.
+
+    ``scores`` has a number a cluster, ``vec`` the feature's own.  A group is an
+    image: a bounded grid of features, walked in a task.  There must be more
+    features than clusters for the dust bin to hold any.
+    """
+    ship(features.sparkSession)
+    kinds = dict(features.dtypes)
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        share = sinkhorn(np.array(pdf[scores].to_list(), float).T, rounds=rounds, dust=dust)
+        sums = share @ np.array(pdf[vec].to_list(), float)
+        sums = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        sums = sums / max(np.linalg.norm(sums), 1e-12)
+        k, d = sums.shape
+        out = pd.DataFrame({"cluster": np.repeat(np.arange(k), d), "dim": np.tile(np.arange(d), k), "value": sums.ravel()})
+        for j, c in enumerate(by):
+            out.insert(j, c, pdf[c].iloc[0])
+        return out
+
+    return features.groupBy(*by).applyInPandas(pool, ", ".join(f"{c} {kinds[c]}" for c in by) + ", cluster int, dim int, value double")
+
+
 def scene_scale(points: DataFrame, by: list[str], dims: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """The diagonal of the box between two quantiles of every coordinate."""
     spans = [F.percentile(d, high) - F.percentile(d, low) for d in dims]
@@ -68,37 +93,55 @@ def robust_scale(rows: DataFrame, by: list[str], a: str, b: str, *, inlier: floa
     return new
 
 
-def relative_pose_errors(poses: DataFrame, by: list[str], *, order: str = "frame", bins: int = 30) -> DataFrame:
-    """Per run over all pairs of its poses: mean rotation and translation angle error, and the AUC of the larger of the two.
+def _pair_errors(re, te, rg, tg, se, ue, sg, ug) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, translation) angle errors in degrees of the relative poses from each first to each second pose."""
+    rel = lambda r, t, s, u: (np.einsum("iba,jbc->ijac", r, s), np.einsum("ijb,iba->ija", u[None] - t[:, None], r))
+    (ra, ta), (rb, tb) = rel(re, te, se, ue), rel(rg, tg, sg, ug)
+    cosine = (np.einsum("ijab,ijab->ij", ra, rb) - 1) / 2
+    norm = np.linalg.norm(ta, axis=2) * np.linalg.norm(tb, axis=2)
+    aligned = np.abs((ta * tb).sum(2)) / np.where(norm > 0, norm, np.nan)  # the sign of a direction is free
+    return np.degrees(np.arccos(np.clip(cosine, -1, 1))), np.nan_to_num(np.degrees(np.arccos(np.clip(aligned, 0, 1))), nan=1e6)
+
+
+def relative_pose_errors(poses: DataFrame, by: list[str], *, order: str = "frame", bins: int = 30, block: int = 256) -> DataFrame:
+    """Per run over all pairs of its poses: pairs, mean rotation and translation angle error, and the AUC of the larger of the two.
 
-    ``poses`` has est_r, gt_r (9 numbers) and est_t, gt_t (3); a run is a
-    bounded sequence, walked in blocks of one pose against the rest.
+    ``poses`` has est_r, gt_r (9 numbers) and est_t, gt_t (3), and ``order`` is
+    an integer.  A run is cut into blocks of ``block`` numbers, and a task
+    compares one block with itself or with a later one: half of the pairs of
+    blocks, and never a whole run.  A histogram of whole degrees leaves it.
     """
+    ship(poses.sparkSession)
     kinds = dict(poses.dtypes)
-
-    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        mats = lambda c: np.array(pdf[c].to_list(), float).reshape(-1, 3, 3)
-        vecs = lambda c: np.array(pdf[c].to_list(), float)
-        re, rg, te, tg = mats("est_r"), mats("gt_r"), vecs("est_t"), vecs("gt_t")
-        sums, counts, n = np.zeros(2), np.zeros(bins), 0
-        for i in range(len(pdf) - 1):
-            rel = lambda r, t: (np.einsum("ab,kbc->kac", r[i].T, r[i + 1 :]), (t[i + 1 :] - t[i]) @ r[i])  # noqa: E731, B023
-            (ra, ta), (rb, tb) = rel(re, te), rel(rg, tg)
-            cosine = (np.einsum("kab,kab->k", ra, rb) - 1) / 2
-            rot = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
-            norm = np.linalg.norm(ta, axis=1) * np.linalg.norm(tb, axis=1)
-            aligned = np.abs((ta * tb).sum(1)) / np.where(norm > 0, norm, np.nan)  # the sign of a direction is free
-            trans = np.nan_to_num(np.degrees(np.arccos(np.clip(aligned, 0, 1))), nan=1e6)
-            worst = np.maximum(rot, trans)
-            counts += np.histogram(worst, bins=bins, range=(0, bins))[0]
-            sums += rot.sum(), trans.sum()
-            n += len(worst)
-        row = {c: pdf[c].iloc[0] for c in by} | {"n_pairs": n, "rotation": sums[0] / max(n, 1), "translation": sums[1] / max(n, 1), "auc": float(np.cumsum(counts).mean() / max(n, 1))}
-        return pd.DataFrame([row])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", n_pairs long, rotation double, translation double, auc double"
-    return poses.groupBy(*by).applyInPandas(errors, schema)
+    own = poses.select(*by, F.col(order).cast("long").alias("__at"), "est_r", "est_t", "gt_r", "gt_t").withColumn("__block", F.floor(F.col("__at") / block))
+    spread = own.groupBy(*by).agg(F.sort_array(F.collect_set("__block")).alias("__blocks"))  # a number a block
+    near = own.join(spread, by)
+    left = near.select("*", F.col("__block").alias("__p"), F.explode(F.filter("__blocks", lambda q: q >= F.col("__block"))).alias("__q")).drop("__blocks")
+    right = near.select("*", F.col("__block").alias("__q"), F.explode(F.filter("__blocks", lambda p: p <= F.col("__block"))).alias("__p")).drop("__blocks")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, for the cogroup
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        mats = lambda f, c: np.array(f[c].to_list(), float).reshape(-1, 3, 3)
+        vecs = lambda f, c: np.array(f[c].to_list(), float).reshape(-1, 3)
+        both = lambda f: (mats(f, "est_r"), vecs(f, "est_t"), mats(f, "gt_r"), vecs(f, "gt_t"))
+        rot, trans = _pair_errors(*both(a), *both(b))
+        due = a["__at"].to_numpy()[:, None] < b["__at"].to_numpy()[None]
+        rot, trans = rot[due], trans[due]
+        counts = np.histogram(np.maximum(rot, trans), bins=bins, range=(0, bins))[0]
+        out = pd.DataFrame({"bin": np.arange(-1, bins), "n": np.r_[len(rot), counts], "rotation": np.r_[rot.sum(), np.zeros(bins)], "translation": np.r_[trans.sum(), np.zeros(bins)]})
+        for k, c in enumerate(by):
+            out.insert(k, c, a[c].iloc[0])
+        return out
+
+    keys = [*by, "__p", "__q"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, ", ".join(f"{c} {kinds[c]}" for c in by) + ", bin int, n long, rotation double, translation double")
+    all_, hit = F.col("bin") == -1, F.col("bin") >= 0
+    sums = parts.groupBy(*by).agg(
+        F.sum(F.when(all_, F.col("n"))).alias("n_pairs"), F.sum("rotation").alias("rotation"), F.sum("translation").alias("translation"),
+        F.sum(F.when(hit, F.col("n") * (bins - F.col("bin")))).alias("cumulated"),  # a pair counts in its bin and all later ones
+    )
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("n_pairs"), F.lit(0)), F.lit(0.0))
+    return sums.select(*by, "n_pairs", share("rotation").alias("rotation"), share("translation").alias("translation"), (share("cumulated") / bins).alias("auc"))
 
 
 def smooth_positions(poses: DataFrame, by: list[str], order: str, dims: list[str], *, sigma: float, reach: int) -> DataFrame:

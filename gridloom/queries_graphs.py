@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.cluster import held
-from gridloom.operators import graph, loops, windows
-from gridloom.queries import query
+from gridloom.cluster import held, scratch
+from gridloom.operators import align, graph, loops, masks, pooling, windows
+from gridloom.plans import chunked
+from gridloom.queries import PIXELS, _pixels, query
 
 # Loop closures.  Every order is a frame of four pixels in a plane; chunks and
 # predictions see them turned, scaled, moved and with noise.  What follows is
@@ -208,3 +209,124 @@ def pose_graph_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = (F.col("node") % GRAPH_SIZE).between(400, 700)
     got = graph.solve(guess, edges, ["grp"], free=free, rounds=3).join(guess.select("grp", "node", F.col("t").alias("before")), ["grp", "node"])
     return got.filter(~free | (F.col("t") == F.col("before"))).select("grp", "node", (F.round(F.col("t")[0], 6) + 0.0).alias("x"), (F.round(F.col("t")[1], 6) + 0.0).alias("y"), F.round("s", 6).alias("s"))
+
+
+# A sequence of chunks, batch by batch.
+
+
+@query(
+    f"""{LOOPS[: LOOPS.index("l AS (SELECT chunk AS loop")].rstrip().rstrip(",")},
+q AS MATERIALIZED (SELECT b.chunk, b.x AS sx, b.y AS sy, a.x AS tx, a.y AS ty, sqrt(a.conf * b.conf) AS weight FROM p b JOIN p a ON a.chunk + 1 = b.chunk AND a.at = b.at + {CHUNK - OVERLAP} AND a.pixel = b.pixel),
+{_planar_fit("f", "q", "chunk", "weight").strip()},
+s AS (SELECT 0 AS chunk, 1.0::DOUBLE AS s, 0.0::DOUBLE AS h, 0.0::DOUBLE AS tx0, 0.0::DOUBLE AS ty0 UNION ALL SELECT chunk, s, atan2(d, c), tx0, ty0 FROM f),
+u AS (SELECT *, exp(sum(ln(s)) OVER w) AS ms, sum(h) OVER w AS mh, coalesce(exp(sum(ln(s)) OVER b), 1) AS bs, coalesce(sum(h) OVER b, 0) AS bh FROM s WINDOW w AS (ORDER BY chunk), b AS (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, sum(bs * (cos(bh) * tx0 - sin(bh) * ty0)) OVER (ORDER BY chunk) AS x0, sum(bs * (sin(bh) * tx0 + cos(bh) * ty0)) OVER (ORDER BY chunk) AS y0 FROM u),
+o2 AS (SELECT greatest(0, least((frame - 30) // 60, (SELECT max(chunk) FROM k))) AS chunk, frame, pixel FROM (SELECT DISTINCT frame, pixel FROM o)),
+z AS (SELECT t.chunk, ms * (cos(mh) * x - sin(mh) * y) + x0 AS x, ms * (sin(mh) * x + cos(mh) * y) + y0 AS y FROM o2 JOIN p ON p.chunk = o2.chunk AND p.at = o2.frame - o2.chunk * {CHUNK - OVERLAP} AND p.pixel = o2.pixel JOIN t ON t.chunk = o2.chunk)
+SELECT chunk, count(*) AS n_points, round(avg(x), 3) + 0.0 AS x, round(avg(y), 3) + 0.0 AS y FROM z GROUP BY chunk"""
+)
+def chunked_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped after the first batch of chunks and taken up again; the mean of each chunk's points in the first chunk's coordinates."""
+    _, chunks, points, _ = _loop_tables(spark, sf_dir)
+    points = held(points.withColumn("frame", F.col("at") + F.col("chunk") * (CHUNK - OVERLAP)).select("chunk", "frame", "pixel", "x", "y", "z", "conf"), "chunked-query")
+    at, n = scratch(spark, "chunked"), S.read(spark, sf_dir, "orders").count()
+    each = dict(frames=n, size=CHUNK, overlap=OVERLAP, batch=max(chunks.count() // 3, 8))
+    chunked.run(spark, points, at, most=1, **each)
+    chunked.run(spark, points, at, **each)
+    means = chunked.placed(spark, at).groupBy("chunk").agg(F.count("*").alias("n_points"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return means.select("chunk", "n_points", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+
+
+# Regions of masks, transport, homographies, relative poses.
+
+
+@query(
+    f"""
+WITH RECURSIVE {PIXELS}, m AS MATERIALIZED (SELECT DISTINCT image, x, y, y * 64 + x AS loc FROM px),
+r AS (SELECT image, loc, loc AS root FROM m UNION SELECT m.image, m.loc, r.root FROM r JOIN m ON m.image = r.image AND (m.loc - r.loc) IN (-65, -64, -63, -1, 1, 63, 64, 65) AND abs(m.loc % 64 - r.loc % 64) <= 1),
+l AS (SELECT image, loc, min(root) AS root FROM r GROUP BY image, loc)
+SELECT image, dense_rank() OVER (PARTITION BY image ORDER BY root) AS label, count(*) AS area, min(loc % 64) AS x0, min(loc // 64) AS y0, max(loc % 64) AS x1, max(loc // 64) AS y1 FROM l GROUP BY image, root
+"""
+)
+def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.components(_pixels(spark, sf_dir), ["image"])
+
+
+def _transport_sql(rounds: int) -> str:
+    parts = ["u0 AS (SELECT image, c, 0.0::DOUBLE AS u FROM (SELECT DISTINCT image, c FROM s))", "v0 AS (SELECT image, f, 0.0::DOUBLE AS v FROM (SELECT DISTINCT image, f FROM s))"]
+    for k in range(1, rounds + 1):
+        parts.append(f"u{k} AS MATERIALIZED (SELECT image, c, any_value(CASE WHEN c = 4 THEN ln(n - 4) ELSE 0 END - ln(n + 4)) - ln(sum(exp(score + v))) AS u FROM s JOIN v{k - 1} USING (image, f) JOIN n USING (image) GROUP BY image, c)")
+        parts.append(f"v{k} AS MATERIALIZED (SELECT image, f, any_value(-ln(n + 4)) - ln(sum(exp(score + u))) AS v FROM s JOIN u{k} USING (image, c) JOIN n USING (image) GROUP BY image, f)")
+    return ",\n".join(parts)
+
+
+@query(
+    f"""
+WITH d AS (SELECT vec_id // 16 AS image, vec_id AS f, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT image, count(*) AS n FROM d GROUP BY image HAVING count(*) > 4),
+s AS MATERIALIZED (SELECT image, f, c, CASE WHEN c = 4 THEN 1 ELSE 8 * e[c + 1] END AS score FROM d JOIN n USING (image), range(5) t(c)),
+{_transport_sql(3)},
+p AS (SELECT image, f, c, exp(score + u + v + ln(n + 4)) AS p FROM s JOIN u3 USING (image, c) JOIN v3 USING (image, f) JOIN n USING (image) WHERE c < 4),
+g AS (SELECT p.image, c AS cluster, i AS dim, sum(p * e[9 + i]) AS x FROM p JOIN d ON d.image = p.image AND d.f = p.f, range(6) t(i) GROUP BY ALL),
+h AS (SELECT image, cluster, dim, x / sqrt(sum(x * x) OVER (PARTITION BY image, cluster)) AS x FROM g)
+SELECT image, cluster::INTEGER AS cluster, dim::INTEGER AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY image)), 6) + 0.0 AS value FROM h
+"""
+)
+def transport_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen features an image, four clusters: scores and features are parts of the embeddings."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    rows = S.read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 16").alias("image"), F.col("vec_id").alias("f"), F.transform(F.slice(e, 1, 4), lambda x: 8 * x).alias("scores"), F.slice(e, 9, 6).alias("vec"))
+    enough = rows.groupBy("image").count().filter("count > 4").select("image")
+    got = pooling.transport_pool(rows.join(enough, "image"), ["image"], scores="scores", vec="vec", order="f")
+    return got.select("image", "cluster", "dim", (F.round("value", 6) + 0.0).alias("value"))
+
+
+_FAR_POINT = {"sx": "e0", "sy": "e1", "w": "e0 / 100 + e1 / 50 + 1"}
+_TARGET = {"ux": "(12 * sx / 10 + sy / 10 + 3) / w", "uy": "(9 * sy / 10 - sx / 5 - 1) / w"}
+_BLURRED = {"tx": "ux + CAST(vec_id * 37 % 13 - 6 AS DOUBLE) / 5000 + (CASE WHEN vec_id % 10 < 3 THEN 1 + CAST(vec_id % 7 AS DOUBLE) / 3 ELSE 0 END)", "ty": "uy + CAST(vec_id * 41 % 11 - 5 AS DOUBLE) / 5000 - (CASE WHEN vec_id % 10 < 3 THEN CAST(vec_id % 5 AS DOUBLE) / 4 ELSE 0 END)"}
+
+
+@query(
+    f"""
+WITH a AS (SELECT label, vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1 FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 20)),
+b AS (SELECT label, vec_id, {_SEES(_FAR_POINT)} FROM a), c AS (SELECT *, {_SEES(_TARGET)} FROM b), d AS (SELECT *, {_SEES(_BLURRED)} FROM c)
+SELECT label, vec_id, sqrt((tx - ux) ** 2 + (ty - uy) ** 2) <= 0.05 AS inlier FROM d
+"""
+)
+def homography_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of ten targets are elsewhere; the rows within reach of the consensus are those within reach of the truth."""
+    see = lambda df, cols: df.select("*", *(F.expr(v).alias(k) for k, v in cols.items()))
+    rows = S.read(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("e0"), F.col("embedding")[1].cast("double").alias("e1"))
+    pairs = see(see(see(rows, _FAR_POINT), _TARGET), _BLURRED).withColumn("weight", 1.0 + F.col("vec_id") % 3)
+    enough = pairs.groupBy("label").count().filter("count >= 20").select("label")
+    pairs = pairs.join(enough, "label")
+    fits = align.homography_consensus(pairs, ["label"], "vec_id", inlier=0.05, weight="weight", trials=64)
+    return pairs.join(fits.select("label", "h"), "label").select("label", "vec_id", (align.homography_error(F.col("h")) <= 0.05).alias("inlier"))
+
+
+_RUN = {"h": "k / 40", "x": "10 * cos(k / 30) + k / 50", "y": "8 * sin(k / 45)"}
+_EST = {"eh": "h + CAST(cents % 23 - 11 AS DOUBLE) / 200", "ex": "x + CAST(cents % 29 - 14 AS DOUBLE) / 100", "ey": "y + CAST(cents % 31 - 15 AS DOUBLE) / 100"}
+
+
+@query(
+    f"""
+WITH o AS (SELECT o_orderkey // 200 AS run, o_orderkey AS frame, o_orderkey::DOUBLE AS k, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
+t AS (SELECT run, frame, cents, {_SEES(_RUN)} FROM o), e AS MATERIALIZED (SELECT *, {_SEES(_EST)} FROM t),
+p AS (SELECT a.run, cos(b.eh - a.eh) * cos(b.h - a.h) + sin(b.eh - a.eh) * sin(b.h - a.h) AS turn,
+             cos(a.eh) * (b.ex - a.ex) + sin(a.eh) * (b.ey - a.ey) AS px, cos(a.eh) * (b.ey - a.ey) - sin(a.eh) * (b.ex - a.ex) AS py,
+             cos(a.h) * (b.x - a.x) + sin(a.h) * (b.y - a.y) AS qx, cos(a.h) * (b.y - a.y) - sin(a.h) * (b.x - a.x) AS qy
+      FROM e a JOIN e b ON a.run = b.run AND a.frame < b.frame),
+q AS (SELECT run, degrees(acos(greatest(-1, least(1, turn)))) AS rot, coalesce(degrees(acos(least(1, abs(px * qx + py * qy) / nullif(sqrt(px * px + py * py) * sqrt(qx * qx + qy * qy), 0)))), 1e6) AS trans FROM p),
+w AS (SELECT *, greatest(rot, trans) AS worst FROM q)
+SELECT run, count(*) AS n_pairs, round(avg(rot), 4) AS rotation, round(avg(trans), 4) AS translation, round(sum(CASE WHEN worst <= 30 THEN 30 - least(floor(worst), 29) ELSE 0 END) / count(*) / 30, 6) AS auc FROM w GROUP BY run
+"""
+)
+def relative_pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 200 frames in blocks of 64."""
+    see = lambda df, cols: df.select("*", *(F.expr(v).alias(k) for k, v in cols.items()))
+    base = S.read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 200").alias("run"), F.col("o_orderkey").alias("frame"), F.col("o_orderkey").cast("double").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    rows = see(see(base, _RUN), _EST)
+    turned = lambda h: _planar(F.col(h), F.lit(1.0), F.lit(0.0), F.lit(0.0))[1]
+    poses = rows.select("run", "frame", turned("eh").alias("est_r"), F.array("ex", "ey", F.lit(0.0)).alias("est_t"), turned("h").alias("gt_r"), F.array("x", "y", F.lit(0.0)).alias("gt_t"))
+    got = pooling.relative_pose_errors(poses, ["run"], block=64).filter("n_pairs > 0")
+    return got.select("run", "n_pairs", F.round("rotation", 4).alias("rotation"), F.round("translation", 4).alias("translation"), F.round("auc", 6).alias("auc"))
