@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import quantiles
+
 
 def finite(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Rows whose coordinates are all there, numbers and finite."""
@@ -67,9 +69,9 @@ def denied(name: Column, endings: list[str]) -> Column:
 
 def alignment_mask(rows: DataFrame, by: list[str], *, conf: str, sky: str, depth: str, metric: str, least: float = 1e-3) -> DataFrame:
     """Rows of at least their group's median confidence, not sky (sky < 0.3), with both depths above the least."""
-    middle = rows.groupBy(*by).agg(F.percentile(conf, 0.5).alias("__mid"))
+    marked = quantiles.with_quantiles(rows, by, conf, {"__mid": 0.5})
     ok = (F.col(conf) >= F.col("__mid")) & (F.col(sky) < 0.3) & (F.col(depth) > least) & (F.col(metric) > least)
-    return rows.join(middle, by).filter(ok).select(*rows.columns)
+    return marked.filter(ok).select(*rows.columns)
 
 
 def fill_sky(depth: Column, conf: Column, sky: Column, far: Column) -> Column:

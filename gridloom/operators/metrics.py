@@ -7,21 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import quantiles
+
 
 def error_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, median, population deviation, percentiles (linear), max and rmse of a column."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"),
-        F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.95).alias("p95"), F.percentile(v, 0.99).alias("p99"),
-        F.max(v).alias("max"), F.sqrt(F.avg(v * v)).alias("rmse"),
-    )
+    sums = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.sqrt(F.avg(v * v)).alias("rmse"))
+    cuts = quantiles.quantiles(rows, by, value, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    both = sums.join(cuts, by, "left") if by else sums.join(F.broadcast(cuts), how="left")  # one row
+    return both.select(*by, "n", "mean", "median", "std", "p90", "p95", "p99", "max", "rmse")
 
 
 def trimmed_rmse(rows: DataFrame, by: list[str], value: str, quantile: float) -> DataFrame:
     """Root mean square of the values at or below their group's linear quantile; null for none."""
-    cut = rows.groupBy(*by).agg(F.percentile(value, quantile).alias("cut"))
-    kept = rows.join(cut, by).filter(F.col(value) <= F.col("cut"))
+    kept = quantiles.with_quantiles(rows, by, value, {"cut": quantile}).filter(F.col(value) <= F.col("cut"))
     return kept.groupBy(*by).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("trimmed_rmse"), F.count("*").alias("n_kept"))
 
 

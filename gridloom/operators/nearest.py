@@ -1,9 +1,9 @@
 """Exact nearest-neighbour and radius joins by grid, and what follows from them.
 
-A ring of r cells around a point's own cell holds everything within r cell
-sizes, so a neighbour found there at most that far away is the nearest one.
-Points without such a neighbour go to the next ring, and the few that are left
-to blocks against all targets.  Ties go to the smaller target id.  A row with
+The cells around a point's own cell hold everything within a cell's size, so a
+neighbour found there at most that far away is the nearest one.  Points without
+such a neighbour go on to cells of twice the size, and the few that are left to
+blocks against all targets.  Ties go to the smaller target id.  A row with
 a null or non-finite coordinate is nobody's neighbour: on the left it gets a
 null target and distance, as all rows do where there are no targets.
 """
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.cluster import held
 from gridloom.operators.blocks import block_pairs
 from gridloom.operators.filters import finite
 
@@ -41,15 +42,23 @@ def _in_ring(left: DataFrame, right: DataFrame, dims: list[str], cell: float, ri
     return spread.join(_cells(right, "r", dims, cell), keys).withColumn("distance", _distance(dims))
 
 
-def nearest(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float, rings: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(id, target, distance): the nearest right row of every left row; both have ``id`` and ``dims``."""
-    asked, left, right = left, finite(left, dims), finite(right, dims)
+def nearest(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float, levels: int = 5) -> DataFrame:
+    """(id, target, distance): the nearest right row of every left row; both have ``id`` and ``dims``.
+
+    Rows that no right row is near go on to cells of twice the size, ``levels``
+    times in all; what is left then is compared block by block.  Each level's
+    result is written once and read by all that follows.
+    """
+    asked, left, right = left.select("id"), finite(left, dims), finite(right, dims)
     done, rest = None, left
-    for ring in rings:
-        best = _in_ring(rest, right, dims, cell, ring).groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("distance", "r_id")).alias("best"))
-        sure = best.filter(F.col("best.distance") <= ring * cell).select("id", F.col("best.r_id").alias("target"), F.col("best.distance").alias("distance"))
+    for level in range(levels):
+        wide = cell * 2**level
+        best = _in_ring(rest, right, dims, wide, 1).groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("distance", "r_id")).alias("best"))
+        sure = held(best.filter(F.col("best.distance") <= wide).select("id", F.col("best.r_id").alias("target"), F.col("best.distance").alias("distance")), "nearest")
         done = sure if done is None else done.unionByName(sure)
         rest = rest.join(sure.select("id"), "id", "left_anti")
+        if rest.isEmpty():
+            return asked.join(done, "id", "left").select("id", "target", "distance")
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -63,9 +72,7 @@ def nearest(left: DataFrame, right: DataFrame, dims: list[str], *, cell: float,
     kind = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
     far = block_pairs(rest.select("id", *dims), right.select("id", *dims), work, f"id {kind[0]}, target {kind[1]}, distance double", left_key="id", right_key="id", block=1024)
     far = far.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("best")).select("id", F.col("best.target").alias("target"), F.col("best.distance").alias("distance"))
-    found = done.unionByName(far)
-    none = asked.select("id").join(found.select("id"), "id", "left_anti")
-    return found.unionByName(none.select("id", F.lit(None).cast(kind[1]).alias("target"), F.lit(None).cast("double").alias("distance")))
+    return asked.join(done.unionByName(far), "id", "left").select("id", "target", "distance")
 
 
 def within(left: DataFrame, right: DataFrame, dims: list[str], radius: float) -> DataFrame:

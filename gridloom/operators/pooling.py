@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.cluster import ship
 from gridloom.functions import linalg, pose
+from gridloom.operators import quantiles
 
 
 def gem(rows: DataFrame, by: list[str], vec: str, *, p: float = 3.0, eps: float = 1e-6) -> DataFrame:
@@ -61,8 +62,12 @@ def transport_pool(features: DataFrame, by: list[str], *, scores: str, vec: str,
 
 def scene_scale(points: DataFrame, by: list[str], dims: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """The diagonal of the box between two quantiles of every coordinate."""
-    spans = [F.percentile(d, high) - F.percentile(d, low) for d in dims]
-    return points.groupBy(*by).agg(F.sqrt(sum((s * s for s in spans[1:]), spans[0] * spans[0])).alias("scale"))
+    found = None
+    for k, d in enumerate(dims):
+        one = quantiles.quantiles(points, by, d, {f"__lo{k}": low, f"__hi{k}": high})
+        found = one if found is None else found.join(one, by, "left") if by else found.join(F.broadcast(one), how="left")  # one row
+    spans = [F.col(f"__hi{k}") - F.col(f"__lo{k}") for k in range(len(dims))]
+    return found.select(*by, F.sqrt(sum((s * s for s in spans[1:]), spans[0] * spans[0])).alias("scale"))
 
 
 def median_ratio_scale(poses: DataFrame, by: list[str], order: str, source: list[str], target: list[str], *, step: int, least: float = 1e-6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import quantiles
+
 
 def modulo_shard(rows: DataFrame, index: str, workers: int, worker: int) -> DataFrame:
     return rows.filter(F.col(index) % workers == worker)
@@ -60,13 +62,14 @@ def evenly_spaced(rows: DataFrame, index: str, total: int, limit: int) -> DataFr
 
 def clamped_threshold(rows: DataFrame, value: str, wanted: float) -> DataFrame:
     """One row: the wanted threshold, held between the 10th and 90th percentile of the values."""
-    return rows.agg(F.greatest(F.percentile(value, 0.1), F.least(F.percentile(value, 0.9), F.lit(float(wanted)))).alias("threshold"))
+    cuts = quantiles.quantiles(rows, [], value, {"low": 0.1, "high": 0.9})
+    return cuts.agg(F.first(F.greatest("low", F.least("high", F.lit(float(wanted))))).alias("threshold"))  # of one row, or null
 
 
 def inner_quantiles(rows: DataFrame, by: list[str], value: str, low: float, high: float) -> DataFrame:
     """Rows whose value lies between two quantiles of their group, both included."""
-    cut = rows.groupBy(*by).agg(F.percentile(value, low).alias("__lo"), F.percentile(value, high).alias("__hi"))
-    return rows.join(cut, by).filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    cut = quantiles.with_quantiles(rows, by, value, {"__lo": low, "__hi": high})
+    return cut.filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
 def coin(keys: list[Column], seed: int) -> Column:

@@ -912,12 +912,6 @@ def ransac_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transform_row(spark, align.ransac(pairs, trials=16, size=4, inlier=0.01)[0], 6)
 
 
-@query()
-def irls_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _moved_pairs(spark, sf_dir).withColumn("tx", F.when(F.col("vec_id") % 10 == 0, F.col("tx") + 5).otherwise(F.col("tx")))
-    return _transform_row(spark, align.irls(pairs, delta=0.01, rounds=30)[0], 3)
-
-
 @query(
     """
 WITH c AS (SELECT vec_id // 4 AS capture FROM embeddings GROUP BY 1 HAVING count(*) = 4)

@@ -342,15 +342,6 @@ def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.homography_by(pairs.join(enough, "label"), ["label"], "weight").select("label", *_numbers("h", 9, 4, "h"))
 
 
-@query(KNOWN.replace("1.4::DOUBLE AS s, 0.0::DOUBLE AS r0, -1.0::DOUBLE AS r1, 0.0::DOUBLE AS r2, 1.0::DOUBLE AS r3, 0.0::DOUBLE AS r4", "1.0::DOUBLE AS s, 1.0::DOUBLE AS r0, 0.0::DOUBLE AS r1, 0.0::DOUBLE AS r2, 0.0::DOUBLE AS r3, 1.0::DOUBLE AS r4").replace("2.0::DOUBLE AS t0, -3.0::DOUBLE AS t1, 0.7::DOUBLE AS t2", "0.02::DOUBLE AS t0, -0.01::DOUBLE AS t1, 0.015::DOUBLE AS t2"))
-def closest_point_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of points against itself moved by less than half a cell."""
-    k = F.col("p_partkey") % 200
-    grid = T(spark, sf_dir, "part").select(k.alias("id"), (k % 6 / 5.0).alias("x"), (F.floor(k / 6) % 6 / 5.0).alias("y"), (F.floor(k / 36) / 5.0).alias("z")).distinct()
-    source = grid.select("id", (F.col("x") - 0.02).alias("x"), (F.col("y") + 0.01).alias("y"), (F.col("z") - 0.015).alias("z"))
-    return _transform_row(spark, align.icp(source, grid, radii=(0.09,), keep=1.0)[0], 6)
-
-
 GRAPH = "WITH n AS (SELECT DISTINCT r_regionkey AS grp, k AS node FROM region, range(6) t(k))"
 
 

@@ -237,6 +237,57 @@ def chunked_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("chunk", "n_points", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
+# Fits in the plane.  A rigid or similarity fit there has a closed form, which SQL works out from noisy pairs.
+
+
+def _fit_row(spark: SparkSession, m) -> DataFrame:
+    s, r, t = m
+    values = (float(s), float(r[0, 0]), float(r[1, 0]), float(t[0]), float(t[1]))
+    return spark.createDataFrame([tuple(round(x, 6) + 0.0 for x in values)], "s double, c double, d double, tx double, ty double")
+
+
+_PAIRS = {"tx": "8 * sx / 10 - 6 * sy / 10 + 2 + CAST(vec_id % 7 - 3 AS DOUBLE) / 400 + (CASE WHEN vec_id % 10 = 0 THEN 5 ELSE 0 END)", "ty": "6 * sx / 10 + 8 * sy / 10 - 3 + CAST(vec_id % 11 - 5 AS DOUBLE) / 400"}
+ROUNDS = 8
+
+
+def _irls_sql(rounds: int) -> str:
+    parts = ["w0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS w FROM p)", _planar_fit("f0", "w0", "grp", "w").strip()]
+    for k in range(1, rounds + 1):
+        parts += [f"w{k} AS MATERIALIZED (SELECT grp, sx, sy, tx, ty, CASE WHEN far <= 0.01 THEN 1 ELSE 0.01::DOUBLE / far END AS w FROM (SELECT p.*, {_FAR} AS far FROM p JOIN f{k - 1} USING (grp)))", _planar_fit(f"f{k}", f"w{k}", "grp", "w").strip()]
+    return ",\n".join(parts)
+
+
+@query(
+    f"""
+WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy FROM embeddings), p AS MATERIALIZED (SELECT 0 AS grp, sx, sy, {_SEES(_PAIRS)} FROM a),
+{_irls_sql(ROUNDS)}
+SELECT round(s, 6) AS s, round(c, 6) AS c, round(d, 6) AS d, round(tx0, 6) AS tx, round(ty0, 6) AS ty FROM f{ROUNDS}"""
+)
+def irls_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A similarity with noise, a tenth of the targets far off, after eight rounds of Huber weights."""
+    rows = S.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("sx"), F.col("embedding")[1].cast("double").alias("sy"))
+    pairs = rows.select("sx", "sy", F.lit(0.0).alias("sz"), *(F.expr(v).alias(k) for k, v in _PAIRS.items()), F.lit(0.0).alias("tz"))
+    return _fit_row(spark, align.irls(pairs, delta=0.01, rounds=ROUNDS, tolerance=0.0)[0])
+
+
+_GRID = {"x": "CAST(k % 50 AS DOUBLE) / 5", "y": "CAST(k // 50 AS DOUBLE) / 5"}
+_MOVED = {"sx": "x - 2 * y / 1000 - CAST(2 AS DOUBLE) / 100 + CAST(k * 37 % 11 - 5 AS DOUBLE) / 1000", "sy": "y + 2 * x / 1000 + CAST(1 AS DOUBLE) / 100 + CAST(k * 41 % 13 - 6 AS DOUBLE) / 1000"}
+
+
+@query(
+    f"""
+WITH a AS (SELECT p_partkey AS k, {_SEES(_GRID)} FROM (SELECT p_partkey, p_partkey AS k FROM part)), p AS MATERIALIZED (SELECT 0 AS grp, 1 AS w, {_SEES(_MOVED)}, x AS tx, y AS ty FROM a),
+{_planar_fit("f", "p", "grp", "w").strip()}
+SELECT 1.0::DOUBLE AS s, round(c, 6) + 0.0 AS c, round(d, 6) + 0.0 AS d, round(ux - (c * mx - d * my), 6) + 0.0 AS tx, round(uy - (d * mx + c * my), 6) + 0.0 AS ty FROM f JOIN f_m USING (grp)"""
+)
+def closest_point_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of all parts against itself, turned, moved and with noise of less than half a cell, so each point's nearest is its own."""
+    spot = {k: v.replace("k // 50", "(k div 50)") for k, v in _GRID.items()}
+    grid = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("k")).select("*", *(F.expr(v).alias(n) for n, v in spot.items()))
+    source = grid.select("id", *(F.expr(v).alias(n) for n, v in _MOVED.items())).select("id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0.0).alias("z"))
+    return _fit_row(spark, align.icp(source, grid.select("id", "x", "y", F.lit(0.0).alias("z")), radii=(0.5,), keep=1.0)[0])
+
+
 # Regions of masks, transport, homographies, relative poses.
 
 

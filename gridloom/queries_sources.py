@@ -11,6 +11,7 @@ import io
 import struct
 import tarfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -342,10 +343,21 @@ def metrics_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.flat_metrics(nested.select(row.alias("r")), "r")
 
 
-@query("SELECT label, count(*)::BIGINT AS n, count(*) * 62 * 4::BIGINT AS n_bytes FROM embeddings WHERE label = 3 GROUP BY label")
+@query(
+    """
+SELECT count(*)::BIGINT AS n, count(*) * 62 * 4::BIGINT AS n_bytes, round(sum(embedding[1]::DOUBLE), 3) AS x, round(sum(embedding[3]::DOUBLE), 3) AS z FROM embeddings"""
+)
 def splat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All splats of the table, and the sums of two of their coordinates as the packed bytes have them."""
     e = F.transform("embedding", lambda x: x.cast("double"))
     size = F.transform(F.slice(e, 4, 3), lambda x: F.abs(x) + 0.1)
-    rows = T(spark, sf_dir, "embeddings").filter("label = 3").select(F.slice(e, 1, 3).alias("mean"), size.alias("scale"), F.slice(e, 7, 4).alias("rotation"), e[11].alias("opacity"), F.slice(e, 1, 48).alias("harmonics"))
-    got = packed.gaussian_ply(rows, 3).agg(F.sum("n").alias("n"), F.sum(F.octet_length("content")).cast("long").alias("n_bytes")).filter("n > 0")
-    return got.select(F.lit(3).alias("label"), "n", "n_bytes")
+    rows = T(spark, sf_dir, "embeddings").select(F.slice(e, 1, 3).alias("mean"), size.alias("scale"), F.slice(e, 7, 4).alias("rotation"), e[11].alias("opacity"), F.slice(e, 1, 48).alias("harmonics"))
+
+    def read(frames):
+        for f in frames:
+            for n, content in zip(f["n"], f["content"], strict=True):
+                v = np.frombuffer(content, "<f4").reshape(n, 62).astype(float)
+                yield pd.DataFrame({"n": [n], "n_bytes": [len(content)], "x": [v[:, 0].sum()], "z": [v[:, 2].sum()]})
+
+    parts = packed.gaussian_ply(rows, 3).mapInPandas(read, "n long, n_bytes long, x double, z double")
+    return parts.agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("z"), 3).alias("z"))
