@@ -393,16 +393,21 @@ def _small(model: Model) -> Model:
     if model.known is not None or model.entries > BROADCAST:
         return model
     got = model.table.mapInArrow(_keyed(1), _ENTRIES).select("key", "value").toArrow()
-    keys = got.column("key").to_numpy().view(np.uint64)
+    keys, values = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()
     order = np.argsort(keys)
-    return Model(keys[order], got.column("value").to_numpy()[order], model.calibration, model.entries)
+    return Model(keys[order], values[order], model.calibration, model.entries)
 
 
-def _apply(base: DataFrame, model: Model) -> DataFrame:
-    """(id, score, FEATURES) of rows (id, text)."""
+def _apply(base: DataFrame, model: Model, sent: list | None = None) -> DataFrame:
+    """(id, score, FEATURES) of rows (id, text); ``sent`` gets what was broadcast."""
     schema = f"id {base.schema['id'].dataType.simpleString()}, {_SCORED}"
     if model.known is not None:
-        return base.mapInArrow(_scores(base.sparkSession.sparkContext.broadcast(pack(model))), schema)
+        shared = base.sparkSession.sparkContext.broadcast(pack(model))
+        if sent is not None:
+            sent.append(shared)
+        return base.mapInArrow(_scores(shared), schema)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = model.entries // SLICE + 1
     dealt = base.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(size // BLOCK + 1)).cast("int"))
@@ -535,9 +540,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             share = rates({r["label"]: r["count"] for r in rows.groupBy(label.alias("label")).count().collect()}, CALIBRATION)
             drawn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id").cast("string")), F.lit(1 << 20))
             sample = rows.filter(drawn < F.when(label == 1, int(share.get(1, 1.0) * (1 << 20))).otherwise(int(share.get(0, 1.0) * (1 << 20))))
-        got = []
+        got, sent = [], []
         for theirs, mine in (((n[0], n[1]), F.col("part") >= 2), ((n[2], n[3]), F.col("part") < 2)):
-            got.append(_apply(sample.filter(mine).select(label.alias("id"), "text"), _fit(counts, theirs, none)).select("id", *FEATURES).toArrow())
+            got.append(_apply(sample.filter(mine).select(label.alias("id"), "text"), _fit(counts, theirs, none), sent).select("id", *FEATURES).toArrow())
+            while sent:  # a half's model is not needed any more
+                sent.pop().destroy()
         got = pa.concat_tables(got)
         model = _fit(counts, (n[0] + n[2], n[1] + n[3]), none)
     toxic = got.column("id").to_numpy() == 1
