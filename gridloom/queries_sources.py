@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom import stand_ins as S
 from gridloom.cluster import scratch, store_of
 from gridloom.queries import query
-from gridloom.sources import files, packed, ply, sinks, text
+from gridloom.sources import files, glb, packed, ply, sinks, text
 
 
 def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -361,3 +361,34 @@ def splat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = packed.gaussian_ply(rows, 3).mapInPandas(read, "n long, n_bytes long, x double, z double")
     return parts.agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("z"), 3).alias("z"))
+
+
+@query("SELECT l_quantity::FLOAT::DOUBLE AS x, l_discount::FLOAT::DOUBLE AS y, (-l_tax)::FLOAT::DOUBLE AS z, (l_linenumber * 30)::SMALLINT AS red, 1::SMALLINT AS green FROM lineitem")
+def glb_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = T(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), (-F.col("l_tax")).alias("z"), (F.col("l_linenumber") * 30).alias("red"), F.lit(1).alias("green"), F.lit(2).alias("blue"))
+    at = f"{scratch(spark, 'scene')}/scene.glb"
+    glb.write(points, at)
+    return glb.read(spark, at).select("x", "y", "z", "red", "green")
+
+
+@query(
+    """
+WITH s AS (SELECT s_suppkey AS k, (s_suppkey % 3 = 0) AS pre, (s_suppkey % 4 <> 1) AS fin, (s_suppkey % 5 = 0) AS outcome, s_acctbal > 0 AS accepted, 1 + s_suppkey % 3 AS n FROM supplier)
+SELECT concat('floor_', k % 4, '/2025-05-05/run_', k) AS run, n AS n_chunks, CASE WHEN pre THEN 'before_loops' WHEN fin AND NOT outcome AND NOT accepted THEN 'final_without_loops' END AS kind,
+       concat_ws(';', CASE WHEN NOT (pre OR (fin AND NOT outcome AND NOT accepted)) THEN 'no admissible poses' END, CASE WHEN k % 7 = 0 THEN 'chunks are not contiguous' END) AS problem FROM s
+"""
+)
+def frozen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run a supplier: its files are there or not by its key, its loops were accepted by its balance."""
+    at = scratch(spark, "frozen")
+    for r in T(spark, sf_dir, "supplier").toLocalIterator():
+        k = r["s_suppkey"]
+        work = f"floor_{k % 4}/2025-05-05/run_{k}/_work/a"
+        made = {f"{work}/{files.CACHE}/chunk_{i + (k % 7 == 0)}.npy": "x" for i in range(1 + k % 3)} | {f"{work}/{files.LOOPS}": f"chunk_a,accepted\n0,False\n1,{r['s_acctbal'] > 0}\n"}
+        made |= {f"{work}/{name}": "x" for name, there in ((files.BEFORE_LOOPS, k % 3 == 0), (files.FINAL, k % 4 != 1), (files.OUTCOME, k % 5 == 0)) if there}
+        for name, content in made.items():
+            path, store = store_of(spark, f"{at}/{name}")
+            out = store.create(path, True)
+            out.write(bytearray(content.encode()))
+            out.close()
+    return files.frozen_runs(spark, at).select("run", "n_chunks", "kind", "problem")

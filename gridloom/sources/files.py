@@ -42,6 +42,46 @@ def runs(spark: SparkSession, root: str, wanted: str) -> DataFrame:
     return rows.filter((F.col("name") == wanted) & (run != "")).select(run.alias("run"), "path").orderBy("run")
 
 
+#: Names in a run's work folder, fixed values of the layout.
+CACHE, BEFORE_LOOPS, FINAL, OUTCOME, LOOPS = "_tmp_results_unaligned", "camera_poses_pre_loop.txt", "camera_poses.txt", "sim3_optimizer_outcome.json", "loop_geometry_verification.csv"
+
+
+def frozen_runs(spark: SparkSession, root: str, *, work: str = "_work/*") -> DataFrame:
+    """(run, work, n_chunks, poses, kind, problem) of every run with a cache of unaligned chunks.
+
+    A run is ``floor_*/<date>/run_*`` under the root, and ``work`` a pattern for
+    its work folder; the paths are globbed, as Spark's own listing would pass
+    over folders whose name begins with an underscore.  Empty files are not there.
+
+    The admissible poses are those from before the loops; else the final ones,
+    but only if a report of loops is there, all its rows were rejected and no
+    optimisation took place.  ``problem`` says what is wrong: no admissible
+    poses, or chunks that are not numbered from 0 without gap or repetition.
+    """
+    names = ",".join((f"{CACHE}/chunk_*.npy", BEFORE_LOOPS, FINAL, OUTCOME, LOOPS))
+    rows = listing(spark, f"{root}/floor_*/*/run_*/{work}/{{{names}}}")
+    run = F.regexp_extract("path", r"(floor_[^/]+/[^/]+/run_[^/]+)/", 1)
+    rows = rows.withColumns({"run": run, "folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1)}).filter("run <> ''")
+    chunk = F.regexp_extract("name", r"^chunk_(.*)\.npy$", 1)
+    cached = rows.filter(F.col("folder").endswith(f"/{CACHE}") & F.col("name").rlike(r"^chunk_.*\.npy$")).select("run", F.regexp_extract("folder", rf"^(.*)/{CACHE}$", 1).alias("work"), F.when(chunk.rlike(r"^\d+$"), chunk.cast("long")).alias("number"))
+    chunks = cached.groupBy("run", "work").agg(F.count("*").alias("n_chunks"), ((F.count_distinct("number") == F.count("*")) & (F.min("number") == 0) & (F.max("number") == F.count("*") - 1)).alias("whole"))
+    has = lambda name: F.bool_or(F.col("name") == name).alias(name.split(".")[0])
+    there = rows.groupBy(F.col("folder").alias("work")).agg(*(has(x) for x in (BEFORE_LOOPS, FINAL, OUTCOME, LOOPS)))
+    reports = rows.filter(F.col("name") == LOOPS).select("path")
+    none = spark.createDataFrame([], "work string, rejected boolean")
+    paths = [r["path"] for r in reports.collect()]  # a report a run
+    if paths:
+        found = spark.read.option("header", True).csv(paths).select(F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*$", 1).alias("work"), F.lower(F.trim("accepted")).alias("accepted"))
+        none = found.groupBy("work").agg(F.bool_and(F.coalesce(F.col("accepted") == "false", F.lit(False))).alias("rejected"))
+    short = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    one = chunks.withColumn("k", short("work")).join(there.select(short("work").alias("k"), *(x.split(".")[0] for x in (BEFORE_LOOPS, FINAL, OUTCOME))), "k", "left").join(none.select(short("work").alias("k"), "rejected"), "k", "left")
+    yes = lambda x: F.coalesce(F.col(x.split(".")[0]), F.lit(False))
+    kind = F.when(yes(BEFORE_LOOPS), "before_loops").when(yes(FINAL) & ~yes(OUTCOME) & F.coalesce("rejected", F.lit(False)), "final_without_loops")
+    poses = F.when(kind == "before_loops", F.concat("work", F.lit(f"/{BEFORE_LOOPS}"))).when(kind.isNotNull(), F.concat("work", F.lit(f"/{FINAL}")))
+    problem = F.concat_ws(";", F.when(kind.isNull(), "no admissible poses"), F.when(~F.coalesce("whole", F.lit(False)), "chunks are not contiguous"))
+    return one.select("run", "work", "n_chunks", poses.alias("poses"), kind.alias("kind"), problem.alias("problem"))
+
+
 def kind_of(rows: DataFrame) -> str:
     """``image``, ``images``, ``video`` or ``colmap`` by what a directory holds."""
     count = lambda p: F.count_if(F.col("name").rlike(p))
