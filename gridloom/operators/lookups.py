@@ -9,10 +9,11 @@ results.  Orders are total: each function states its tie-break.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import pose
+from gridloom.operators.numbering import numbered
 
 
 def frames_with_cameras(frames: DataFrame, cameras: DataFrame, files: DataFrame, *, key: str, camera: str, denied: Column) -> DataFrame:
@@ -77,12 +78,9 @@ def pixel_tracks(pixels: DataFrame, tracks: DataFrame, *, frame: str, position:
 
 
 def select_runs(runs: DataFrame, *, path: str, floor: str, floors: list | None = None, workers: int = 1, worker: int = 0, limit: int | None = None) -> DataFrame:
-    """Runs of the wanted floors in path order, every ``workers``-th from ``worker`` on, the first ``limit`` of them; with ``place`` from 0.
-
-    One row a run: the list of runs is ordered in one task.
-    """
+    """Runs of the wanted floors in path order, every ``workers``-th from ``worker`` on, the first ``limit`` of them; with ``place`` from 0."""
     kept = runs.filter(F.col(floor).isin(floors)) if floors else runs
-    placed = kept.withColumn("place", (F.row_number().over(Window.orderBy(path)) - 1).cast("long")).filter(F.col("place") % workers == worker)
+    placed = numbered(kept, [path], "place").filter(F.col("place") % workers == worker)
     return placed if limit is None else placed.orderBy("place").limit(limit)
 
 

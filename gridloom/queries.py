@@ -58,12 +58,15 @@ def retrieval_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(d, d, 5)
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ranked pairs with whether their labels are equal."""
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision and recall at a precision of 0.5 of each query; equal labels are positives."""
     d = S.descriptors(spark, sf_dir)
-    label = lambda c: d.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}"))
-    ranked = retrieval.top_k(d, d, None)
-    return ranked.join(label("query"), "query").join(label("item"), "item").withColumn("positive", F.col("l_query") == F.col("l_item"))
+    return retrieval.ranked_precision(retrieval.positive_ranks(d, d), 0.5)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = S.descriptors(spark, sf_dir)
+    return retrieval.threshold_counts(d, d, [0.0, 0.2, 0.4])
 
 
 @query(
@@ -74,7 +77,7 @@ SELECT query, round(avg(precision) FILTER (WHERE hit = 1), 9) AS ap, sum(hit)::B
 """
 )
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.average_precision(_judged(spark, sf_dir), ["query"]).withColumn("ap", F.round("ap", 9))
+    return _ranks(spark, sf_dir).select("query", F.round("ap", 9).alias("ap"), "n_positive")
 
 
 @query(
@@ -86,7 +89,7 @@ SELECT query, CASE WHEN max(n) > 0 THEN round(coalesce(max(tp / n) FILTER (WHERE
 """
 )
 def recall_at_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.recall_at_precision(_judged(spark, sf_dir), ["query"], 0.5).withColumn("recall", F.round("recall", 9))
+    return _ranks(spark, sf_dir).select("query", F.round("recall", 9).alias("recall"))
 
 
 CONFUSION = f"""
@@ -100,7 +103,7 @@ r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE
 
 @query(f"WITH {CONFUSION} SELECT query, threshold, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall FROM r")
 def threshold_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = retrieval.confusion(_judged(spark, sf_dir), ["query"], [0.0, 0.2, 0.4])
+    counts = _counts(spark, sf_dir)
     return counts.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
 
 
@@ -113,8 +116,7 @@ SELECT threshold, tp, fp, fn, round(mp, 9) AS macro_precision, round(mr, 9) AS m
 """
 )
 def micro_macro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = retrieval.confusion(_judged(spark, sf_dir), ["query"], [0.0, 0.2, 0.4])
-    got = retrieval.micro_macro(counts, ["threshold"])
+    got = retrieval.micro_macro(_counts(spark, sf_dir), ["threshold"])
     return got.withColumns({c: F.round(c, 9) for c in ("macro_precision", "macro_recall", "median_precision", "precision", "recall")})
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.numbering import numbered as in_order
+
 IMAGES = r"(?i)\.(?:jpe?g|png)$"
 
 
@@ -16,14 +18,11 @@ def listing(spark: SparkSession, path: str, *, pattern: str = "", recursive: boo
 
 
 def image_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(image_index, path, name): images in path order; an empty directory is an error.
-
-    One directory's names are sorted in one task: it holds a run's frames.
-    """
+    """(image_index, path, name): images in path order; an empty directory is an error."""
     rows = listing(spark, path, pattern=IMAGES)
     if rows.isEmpty():
         raise FileNotFoundError(f"no images in {path}")
-    return rows.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("image_index"), "path", "name")
+    return in_order(rows.select("path", "name"), ["path"], "image_index").select("image_index", "path", "name")
 
 
 def numbered(rows: DataFrame, pattern: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship, store_of
+from gridloom.operators.numbering import numbered
 
 #: Camera models of the binary format by their number, with how many parameters each has.
 CAMERA_MODELS = {
@@ -371,9 +372,8 @@ def splat_columns(degree: int) -> list[str]:
 
 def centre_points(poses: DataFrame, order: str, pose: str = "pose") -> DataFrame:
     """(order, x, y, z, red, green, blue): the centres of sixteen-number poses, green at the first, blue at the last."""
-    whole = poses.filter(F.size(pose) == 16)
-    total = whole.count()
-    share = (F.row_number().over(Window.orderBy(order)) - 1) / max(total - 1, 1)
+    whole = numbered(poses.filter(F.size(pose) == 16).select(order, pose), [order], "__place")
+    share = F.col("__place") / max(whole.count() - 1, 1)
     at = whole.select(order, *(F.col(pose)[k].alias(c) for k, c in ((3, "x"), (7, "y"), (11, "z"))), share.alias("s"))
     return at.select(order, "x", "y", "z", F.lit(0).cast("short").alias("red"), F.round(255 * (1 - F.col("s"))).cast("short").alias("green"), F.round(255 * F.col("s")).cast("short").alias("blue"))
 
