@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from gridloom.cluster import held
 
-#: Ranges that the order is cut into; one number a range comes to the driver.
-RANGES = 64
 
-
-def numbered(rows: DataFrame, order: list[str], name: str, *, ranges: int = RANGES) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """The rows with ``name``: their place from 0 in the order of the columns (ascending, nulls first).
 
-    Rows are cut into ranges by samples of the order, written once, and counted
+    Rows are cut into ranges by samples of the order (as many as a shuffle has
+    partitions; adaptive execution joins small ones), written once, and counted
     a range; a place is the range's offset and the rank inside it.  Rows that
     are equal in all of ``order`` fall into one range and take its places in
     any order, so name columns that tell rows apart.  An empty table stays empty.
     """
     keys = [F.col(c).asc_nulls_first() for c in order]
-    cut = held(rows.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()), "numbered")
+    cut = held(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "numbered")
     begins, at = [], 0
     for r in cut.groupBy("__range").count().orderBy("__range").collect():  # a row a range
         begins.append((r["__range"], at))
