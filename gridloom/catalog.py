@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from gridloom import queries, queries_geometry, queries_graphs, queries_jobs, queries_lookups, queries_sources  # noqa: F401  (each module registers its own)
+from gridloom import queries, queries_geometry, queries_graphs, queries_jobs, queries_lookups, queries_sources, queries_stages  # noqa: F401  (each module registers its own)
 
 QUERIES, ORACLE = queries.QUERIES, queries.ORACLE
