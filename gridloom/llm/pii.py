@@ -3,8 +3,11 @@
 A table of detectors is compiled into one projection of built-in functions.
 Patterns give leftmost non-overlapping matches of each kind; a validator (part
 ranges, Luhn, mod-97, digit counts) drops the failing ones without a retry;
-words near a match raise its score.  Spans of the four base kinds stay
-whatever their score; those of the added kinds need ``THRESHOLD``.
+words near a match raise its score: near is at most ``NEAR`` characters to
+either side, up to the next match of the pattern.  Spans of the four base kinds
+stay whatever their score; those of the added kinds need ``THRESHOLD``, which
+social-security numbers and secrets (keys of letters and digits) reach only by
+such a word.
 
 Every pattern is possessive or anchored where a run begins (or where the last
 match ended), so that long runs are read once.  Offsets are in code points,
@@ -110,6 +113,10 @@ class Detector:
     length: Callable[[Column], Column] | None = None
 
 
+def _secret(x: Column) -> Column:
+    return F.length(x).between(20, 128) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+
+
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 DETECTORS = (
     Detector("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", None, 0.9, "mail|contact|write", True),
@@ -118,6 +125,7 @@ DETECTORS = (
     Detector("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", _phone, 0.7, "phone|tel|call|mobil", True),
     Detector("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", "[A-Z]{2}[0-9]{2}", _iban, 0.9, "iban|account|bank|konto", False, _iban_length),
     Detector("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-[0-9]{2}-", _ssn, 0.4, "ssn|social|security", False),
+    Detector("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", "[A-Za-z0-9_-]{20}", _secret, 0.4, "token|secret|key|passw", False),
 )
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"
 
@@ -164,6 +172,12 @@ def listed(*kinds: str) -> Column:
     return F.array_join(F.concat(*each), ",")
 
 
+def scored(*kinds: str) -> Column:
+    """The scores of these kinds' spans in hundredths, in the order of ``listed``, joined by commas."""
+    each = [F.transform(k, lambda s: F.round(100 * s["score"]).cast("int").cast("string")) for k in kinds]
+    return F.array_join(F.concat(*each), ",")
+
+
 def redact(docs: DataFrame, *, text_col: str = "text", detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """The documents with each span of ``text_col`` replaced by its kind in brackets; of overlapping spans the first stands."""
     text = F.col(f"`{text_col}`")

@@ -60,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, every = [[d.kind for d in pii.DETECTORS if d.base or x] for x in (False, True)]
     return found.select(
         F.col("id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
-        F.sha2(pii.listed(*base), 256).alias("base_sha256"), pii.listed(*every).alias("spans"),
+        F.sha2(pii.listed(*base), 256).alias("base_sha256"), pii.listed(*every).alias("spans"), pii.scored(*every).alias("scores"),
     )
 
 
@@ -176,33 +176,43 @@ _PII = (
     ("phone", "", "[+][0-9][ ().0-9-]+[0-9]", ""),
     ("iban", "^|[^A-Za-z0-9]", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", ""),
     ("ssn", "^|[^0-9-]", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[^0-9-]|$"),
+    ("secret", "^|[^A-Za-z0-9_-]", "[A-Za-z0-9_-]{20,}", ""),
 )
 _LENGTHS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pii.IBAN_LENGTHS.items()) + "}"
 _FOUND = " UNION ALL ".join(
-    f"SELECT row, text, '{kind}' AS kind, {k} AS ord, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', 1) AS a, regexp_extract_all(text, '{p}', 2) AS v, string_split_regex(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}')"
+    f"SELECT row, text, '{kind}' AS kind, {k} AS ord, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', 1) AS a, regexp_extract_all(text, '{p}', 2) AS v, regexp_extract_all(text, '{p}', 3) AS z, string_split_regex(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}')"
     for k, (kind, p) in enumerate((kind, f"({before})({match})({after})") for kind, before, match, after in _PII)
 )
+#: (kind, score, what a context word adds, context words).
+_SCORES = " ".join(
+    f"WHEN '{kind}' THEN {score} + CASE WHEN regexp_matches(near, '{words}') THEN {more} ELSE 0 END"
+    for kind, score, more, words in (
+        ("email", 0.9, 0.1, "mail|contact|write"), ("ip", 0.8, 0.1, "address|host|server|login"), ("card", 0.8, 0.1, "card|visa|credit|pay"),
+        ("phone", 0.7, 0.1, "phone|tel|call|mobil"), ("iban", 0.9, 0.4, "iban|account|bank|konto"), ("ssn", 0.4, 0.4, "ssn|social|security"), ("secret", 0.4, 0.4, "token|secret|key|passw"),
+    )
+)
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({_FOUND}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
-s AS (SELECT row, text, kind, ord, v[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(a[i]))::BIGINT AS start FROM e),
-t AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, element_at({_LENGTHS}, v[1:2])[1] AS n,
-             lower(substr(text, greatest(start - 47, 1), least(48, start)) || ' ' || substr(text, start + length(v) + 1, 48)) AS near FROM s),
+s AS (SELECT row, kind, ord, v[i] AS v, lower(right(g[i] || a[i], 48) || ' ' || left(z[i] || g[i + 1], 48)) AS near, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(a[i]))::BIGINT AS start FROM e),
+t AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits, element_at({_LENGTHS}, v[1:2])[1] AS n FROM s),
 u AS (SELECT *, CASE WHEN kind <> 'iban' THEN length(v)
                      WHEN length(replace(v[1:n], ' ', '')) = n AND NOT regexp_matches(v[n + 1:n + 1], '[A-Z0-9]') THEN n
                      WHEN length(replace(v[1:n + (n - 1) // 4], ' ', '')) = n AND NOT regexp_matches(v[n + (n - 1) // 4 + 1:n + (n - 1) // 4 + 1], '[A-Z0-9]') THEN n + (n - 1) // 4 END AS size FROM t),
 w AS (SELECT *, replace(v[1:size], ' ', '') AS c FROM u WHERE size IS NOT NULL),
-x AS (SELECT * FROM w WHERE CASE kind
+x AS (SELECT *, round(100 * least(1, CASE kind {_SCORES} END))::INT AS score FROM w WHERE CASE kind
         WHEN 'email' THEN true
         WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: x::DOUBLE)) <= 255
         WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda k: digits[length(digits) - k]::INT * (1 + k % 2) - CASE WHEN digits[length(digits) - k]::INT * (1 + k % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0
         WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
         WHEN 'iban' THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(c[5:] || c[1:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE (ascii(x) - 55)::VARCHAR END), ''), ''), lambda x: x::INT), lambda a, b: (a * 10 + b) % 97) = 1
-        ELSE NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(near, 'ssn|social|security') END),
+        WHEN 'ssn' THEN NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(near, 'ssn|social|security')
+        ELSE length(v) <= 128 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(near, 'token|secret|key|passw') END),
 r AS (SELECT row, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
-             string_agg(concat(kind, ':', start, ':', start + size), ',' ORDER BY ord, start) FILTER (WHERE ord < 4) AS base, string_agg(concat(kind, ':', start, ':', start + size), ',' ORDER BY ord, start) AS spans FROM x GROUP BY row)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+             string_agg(concat(kind, ':', start, ':', start + size), ',' ORDER BY ord, start) FILTER (WHERE ord < 4) AS base, string_agg(concat(kind, ':', start, ':', start + size), ',' ORDER BY ord, start) AS spans,
+             string_agg(score::VARCHAR, ',' ORDER BY ord, start) AS scores FROM x GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN r USING (row)
 """
 

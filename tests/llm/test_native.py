@@ -212,6 +212,22 @@ def test_pii_added_kinds_and_redaction(spark, empty, odd, odd_rows):
     assert pii.redact(odd).count() == len(odd_rows)
 
 
+def test_pii_secrets_and_scores(spark):
+    key, near = "a1b2c3d4e5f6a7b8c9d0e1f2", "x" * 60
+    texts = [
+        f"token = {key}.", f"part {key}", f"{key} {near} token", f"key {'a' * 30} and {'1' * 30}", f"token {key[:19]}", f"secret {'a1' * 65}",
+        f"token {'a' * 200_000}1 {key}", "mail a@b.cd " + near + " e@f.gh", "call +1 234 567 8901", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [d.kind for d in pii.DETECTORS]
+    got = {r["id"]: r for r in pii.find(docs).select("*", pii.scored(*kinds).alias("scores")).collect()}
+    assert [s["value"] for s in got[0]["secret"]] == [key] and got[0]["scores"] == "80"
+    assert all(got[k]["secret"] == [] for k in (1, 2, 3, 4, 5, 9, 10))  # no word, too far, one kind of characters, too short, too long, nothing
+    assert got[6]["secret"] == []  # a match between the word and the key
+    assert got[7]["scores"] == "100,90" and got[8]["scores"] == "80" and got[9]["scores"] == ""
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[0] == "token = [secret]."
+
+
 def test_running_before(spark):
     got = spark.range(1).select(running_before(F.sequence(F.lit(1), F.lit(300)).cast("array<bigint>")).alias("x")).first()["x"]
     assert got == [k * (k + 1) // 2 for k in range(300)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+import re
 from collections import Counter
 
 import duckdb
@@ -27,7 +28,7 @@ COLUMNS = {
     "op8_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op11_resampling": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
-    "op10_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op10_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string", "scores": "string"},
 }
 
 
@@ -135,6 +136,9 @@ def test_spans_of_personal_data(results, tables):
         want = base(tables[0][r["doc_id"]]["text"] or "")
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(r["spans"].split(",")) | {""}
+        assert len(r["scores"].split(",")) == len(r["spans"].split(","))
+        planted = [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', tables[0][r["doc_id"]]["text"] or "")]
+        assert planted == [x for x in r["spans"].split(",") if x.startswith("secret")]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
