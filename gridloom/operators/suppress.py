@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.cluster import held
+
 
 def pair_nms(pairs: DataFrame, by: list[str], a: str, b: str, score: str, radius: int) -> DataFrame:
     """Keep pairs, best first, unless both ends lie within ``radius`` of a kept pair's; ties by (a, b)."""
@@ -93,13 +95,26 @@ def runs_apart(pairs: DataFrame, by: list[str], a: str, radius: int, *, name: st
     """The pairs with the number of their run: a new one begins where no pair's ``a`` is within ``radius`` of the one before.
 
     Pairs of different runs cannot suppress each other, so each is a group of
-    its own for ``pair_nms``.  Only the distinct values of ``a`` are ordered.
+    its own for ``pair_nms``; pairs with a null ``a`` are dropped.  Only the
+    distinct values of ``a`` are ordered: a group's by a window, those of the
+    whole table (``by`` empty) in ranges, of which the driver sees both ends
+    and the number of runs.
     """
-    w = Window.partitionBy(*by).orderBy(a) if by else Window.orderBy(a)
-    ends = pairs.select(*by, a).distinct()
-    new = F.coalesce((F.col(a) - F.lag(a).over(w) > radius).cast("int"), F.lit(0))
-    numbered = ends.withColumn("__new", new).select(*by, a, F.sum("__new").over(w).alias(name))
-    return pairs.join(numbered, [*by, a])
+    ends = pairs.filter(F.col(a).isNotNull()).select(*by, a).distinct()
+    begins = lambda w: F.coalesce((F.col(a) - F.lag(a).over(w) > radius).cast("int"), F.lit(0))
+    if by:
+        w = Window.partitionBy(*by).orderBy(a)
+        placed = ends.withColumn("__new", begins(w)).select(*by, a, F.sum("__new").over(w).alias(name))
+        return pairs.join(placed, [*by, a])
+    w = Window.partitionBy("__range").orderBy(a)
+    cut = held(ends.repartitionByRange(a).withColumn("__range", F.spark_partition_id()), "runs").withColumn("__new", begins(w))
+    offsets, run, last = [], 0, None
+    for r in cut.groupBy("__range").agg(F.min(a).alias("low"), F.max(a).alias("high"), F.sum("__new").alias("n")).orderBy("low").collect():  # a row a range
+        run += int(last is not None and r["low"] - last > radius)
+        offsets.append((r["__range"], run))
+        run, last = run + r["n"], r["high"]
+    offset = F.create_map(*(F.lit(x) for pair in offsets for x in pair))[F.col("__range")] if offsets else F.lit(0)
+    return pairs.join(cut.select(a, (offset + F.sum("__new").over(w)).alias(name)), a)
 
 
 def event_nms(pairs: DataFrame, by: list[str], order: str, a: str, b: str, radius: int) -> DataFrame:
