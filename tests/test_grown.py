@@ -30,3 +30,8 @@ def vectors(spark, at, keep, rows):
 def test_captures_of_fewer_views(spark, tmp_path):
     vectors(spark, str(tmp_path), range(43), lambda k, e: e)
     same(spark, str(tmp_path), "rig_consensus", "embeddings")
+
+
+def test_many_chunks(spark, tmp_path):
+    vectors(spark, str(tmp_path), [*range(1500, 1620), *range(60_000, 60_100)], lambda k, e: e)
+    same(spark, str(tmp_path), "adjacent_overlap_fit", "embeddings")
