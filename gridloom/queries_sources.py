@@ -56,16 +56,21 @@ def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 0.5).alias("ts"), *(e[k].alias(c) for k, c in enumerate(("x", "y", "z", "qx", "qy", "qz", "qw"))))
 
 
+def _half_away(c: str, digits: int = 6):
+    """Rounded as a double, half away from 0; ``round`` goes by the shortest decimal, so a number that was rounded before may differ."""
+    return (F.signum(c) * F.floor(F.abs(c) * 10.0**digits + 0.5) / 10.0**digits + 0.0).alias(c)
+
+
 @query(f"WITH {POSES} SELECT vec_id * 0.5::DOUBLE AS ts, " + ", ".join(f"round(round({c}, 9), 6) + 0.0 AS {c}" for c in ("x", "y", "z", "qx", "qy", "qz", "qw")) + " FROM e")
 def tum_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = text.tum(spark, _lines(sinks.tum_lines(_poses(spark, sf_dir)), "tum"))
-    return got.select("ts", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z", "qx", "qy", "qz", "qw")))
+    return got.select("ts", *(_half_away(c) for c in ("x", "y", "z", "qx", "qy", "qz", "qw")))
 
 
 @query(f"WITH {POSES} SELECT vec_id * 0.5::DOUBLE AS ts, round(round(x, 9), 6) + 0.0 AS x, round(round(y, 9), 6) + 0.0 AS y, round(round(z, 9), 6) + 0.0 AS z FROM e")
 def tum_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sinks.tum_lines(_poses(spark, sf_dir)).unionByName(spark.createDataFrame([("# a comment",), ("1 2",)], "value string"))
-    return text.tum_positions(spark, _lines(lines, "tum-positions")).select("ts", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
+    return text.tum_positions(spark, _lines(lines, "tum-positions")).select("ts", *(_half_away(c) for c in "xyz"))
 
 
 def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pytest
 
 from gridloom.catalog import ORACLE, QUERIES
 
@@ -35,3 +37,12 @@ def test_captures_of_fewer_views(spark, tmp_path):
 def test_many_chunks(spark, tmp_path):
     vectors(spark, str(tmp_path), [*range(1500, 1620), *range(60_000, 60_100)], lambda k, e: e)
     same(spark, str(tmp_path), "adjacent_overlap_fit", "embeddings")
+
+
+@pytest.mark.parametrize("name", ["tum_round_trip", "tum_positions"])
+def test_numbers_rounded_twice(spark, tmp_path, name):
+    rng = np.random.default_rng(3)
+    halves = (rng.integers(-400_000, 400_000, 30_000) * 1e-6 + 5e-7).astype(np.float32)
+    rows = {k: [float(x) for x in halves[7 * k : 7 * k + 7]] for k in range(4000)}
+    vectors(spark, str(tmp_path), range(4000), lambda k, e: rows[k] + e[7:])
+    same(spark, str(tmp_path), name, "embeddings")
