@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
 from gridloom.cluster import held, scratch
+from gridloom.functions import linalg
 from gridloom.operators import align, graph, loops, masks, pooling, windows
 from gridloom.plans import chunked
 from gridloom.queries import PIXELS, _pixels, query
@@ -281,11 +282,23 @@ WITH a AS (SELECT p_partkey AS k, {_SEES(_GRID)} FROM (SELECT p_partkey, p_partk
 SELECT 1.0::DOUBLE AS s, round(c, 6) + 0.0 AS c, round(d, 6) + 0.0 AS d, round(ux - (c * mx - d * my), 6) + 0.0 AS tx, round(uy - (d * mx + c * my), 6) + 0.0 AS ty FROM f JOIN f_m USING (grp)"""
 )
 def closest_point_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of all parts against itself, turned, moved and with noise of less than half a cell, so each point's nearest is its own."""
+    """A grid of all parts against itself, turned, moved and with noise.
+
+    The turn takes points far from the origin to other cells, so the rows fitted
+    grow eightfold from the first eight units, where each point's nearest is its
+    own, and every fit starts at the one before.
+    """
     spot = {k: v.replace("k // 50", "(k div 50)") for k, v in _GRID.items()}
     grid = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("k")).select("*", *(F.expr(v).alias(n) for n, v in spot.items()))
     source = grid.select("id", *(F.expr(v).alias(n) for n, v in _MOVED.items())).select("id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0.0).alias("z"))
-    return _fit_row(spark, align.icp(source, grid.select("id", "x", "y", F.lit(0.0).alias("z")), radii=(0.5,), keep=1.0)[0])
+    target = grid.select("id", "x", "y", F.lit(0.0).alias("z"))
+    top, reach, m = grid.agg(F.max("y")).first()[0] or 0.0, 8.0, linalg.IDENTITY
+    while True:
+        within = target.filter(F.col("y") <= reach)
+        m = align.icp(source.join(within.select("id"), "id", "left_semi"), within, radii=(0.5,), keep=1.0, start=m)[0]
+        if reach >= top:
+            return _fit_row(spark, m)
+        reach *= 8
 
 
 # Regions of masks, transport, homographies, relative poses.

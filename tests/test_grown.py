@@ -46,3 +46,11 @@ def test_numbers_rounded_twice(spark, tmp_path, name):
     rows = {k: [float(x) for x in halves[7 * k : 7 * k + 7]] for k in range(4000)}
     vectors(spark, str(tmp_path), range(4000), lambda k, e: rows[k] + e[7:])
     same(spark, str(tmp_path), name, "embeddings")
+
+
+def test_a_long_grid(spark, tmp_path):
+    part = spark.read.parquet(f"{SMALL}/part.parquet")
+    first = part.first()
+    at = part.columns.index("p_partkey")
+    spark.createDataFrame([(*first[:at], k, *first[at + 1 :]) for k in range(1, 20_001, 1)], part.schema).write.parquet(f"{tmp_path}/part.parquet")
+    same(spark, str(tmp_path), "closest_point_fit", "part")
