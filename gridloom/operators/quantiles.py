@@ -61,7 +61,7 @@ def _bracketed(large: DataFrame, keys: list[str], shares: list[float]) -> DataFr
     picked = ranked.groupBy(*keys, "i").agg(value_at(F.floor("place")).alias("lower"), value_at(F.ceil("place")).alias("upper"), F.first("place").alias("place"), F.max((F.col("under") > F.floor("place")).cast("int")).alias("missed"))
     part = F.col("place") - F.floor("place")
     outside = (F.col("missed") == 1) | F.col("upper").isNull()
-    exact = F.when(outside, F.raise_error(F.lit("a quantile is outside its bracket")).cast("double")).when(part == 0, F.col("lower")).otherwise((1 - part) * F.col("lower") + part * F.col("upper"))
+    exact = F.when(outside, F.raise_error(F.lit("a quantile is outside its bracket")).cast("double")).when((part == 0) | (F.col("lower") == F.col("upper")), F.col("lower")).otherwise((1 - part) * F.col("lower") + part * F.col("upper"))
     solved = picked.select(*keys, "i", exact.alias("q"))
     return solved.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(shares))))
 

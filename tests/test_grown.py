@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from gridloom.catalog import ORACLE, QUERIES
+from gridloom.operators import metrics, quantiles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,3 +55,12 @@ def test_a_long_grid(spark, tmp_path):
     at = part.columns.index("p_partkey")
     spark.createDataFrame([(*first[:at], k, *first[at + 1 :]) for k in range(1, 20_001, 1)], part.schema).write.parquet(f"{tmp_path}/part.parquet")
     same(spark, str(tmp_path), "closest_point_fit", "part")
+
+
+def test_cut_between_equal_values(spark, monkeypatch):
+    """A quantile between two equal values is that value, so ``<=`` keeps both."""
+    monkeypatch.setattr(quantiles, "SMALL", 50)
+    rows = [(k, k / 100) for k in range(1, 60) for _ in range(102)]
+    df = spark.createDataFrame(rows, "grp long, v double")
+    assert all(r["q"] == r["grp"] / 100 for r in quantiles.quantiles(df, ["grp"], "v", {"q": 0.8}).collect())
+    assert {r["n_kept"] for r in metrics.trimmed_rmse(df, ["grp"], "v", 0.8).collect()} == {102}
