@@ -5,9 +5,11 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.catalog import ORACLE, QUERIES
-from gridloom.operators import metrics, quantiles
+from gridloom.functions import linalg
+from gridloom.operators import align, metrics, quantiles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,3 +66,34 @@ def test_cut_between_equal_values(spark, monkeypatch):
     df = spark.createDataFrame(rows, "grp long, v double")
     assert all(r["q"] == r["grp"] / 100 for r in quantiles.quantiles(df, ["grp"], "v", {"q": 0.8}).collect())
     assert {r["n_kept"] for r in metrics.trimmed_rmse(df, ["grp"], "v", 0.8).collect()} == {102}
+
+
+def _about(axis, degrees):
+    x, y, z = np.array(axis) / np.linalg.norm(axis)
+    k, a = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]]), np.radians(degrees)
+    return np.eye(3) + np.sin(a) * k + (1 - np.cos(a)) * k @ k
+
+
+def test_medoid_of_counted_rotations(spark):
+    """Only different rotations meet; the result is that of all rows, one by one."""
+    rng = np.random.default_rng(5)
+    some = [_about(rng.normal(size=3), rng.uniform(0, 12)) for _ in range(40)]
+    rows = [(g, k, some[int(rng.integers(40))].ravel().tolist()) for g in range(2) for k in range(301)]
+    got = {r["grp"]: r for r in align.medoid_by(spark.createDataFrame(rows, "grp long, k long, rotation array<double>"), ["grp"], "k").collect()}
+    for g in range(2):
+        every = np.array([r for h, _, r in rows if h == g]).reshape(-1, 3, 3)
+        mean = every[np.argmin([np.median([linalg.angle_degrees(a, b) for b in every]) for a in every])]
+        for _ in range(3):
+            inside = np.array([linalg.angle_degrees(mean, b) for b in every]) <= 5
+            mean = linalg.mean_rotation(every[inside])
+        assert got[g]["inliers"] == np.nonzero(inside)[0].tolist()
+        assert np.allclose(np.array(got[g]["rotation"]).reshape(3, 3), mean, atol=1e-9)
+
+
+def test_medoid_of_many_equal_rotations(spark):
+    """Half a million copies of two rotations are two rows to the solver (a row each took quadratic time)."""
+    pick = lambda k: F.when(F.col("id") % 7 == 0, float(_about((0, 1, 0), 70).ravel()[k])).otherwise(float(_about((0, 1, 0), 10).ravel()[k]))
+    rows = spark.range(500_000).select(F.lit(1).alias("grp"), "id", F.array(*(pick(k) for k in range(9))).alias("rotation"))
+    got = align.medoid_by(rows, ["grp"], "id").selectExpr("size(inliers) AS n", "rotation").first()
+    assert got["n"] == 500_000 - len(range(0, 500_000, 7))
+    assert np.allclose(np.array(got["rotation"]).reshape(3, 3), _about((0, 1, 0), 10))
