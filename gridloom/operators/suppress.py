@@ -16,22 +16,54 @@ from pyspark.sql import functions as F
 from gridloom.cluster import held
 
 
+#: Side of a tile of pairs; never less than four radii.
+TILE = 512
+
+
 def pair_nms(pairs: DataFrame, by: list[str], a: str, b: str, score: str, radius: int) -> DataFrame:
-    """Keep pairs, best first, unless both ends lie within ``radius`` of a kept pair's; ties by (a, b)."""
+    """Keep pairs, best first, unless both ends lie within ``radius`` of a kept pair's; ties by (a, b).
+
+    Ends are whole numbers; pairs with a null end are kept.  Pairs are walked in
+    square tiles with a margin of ``radius``: one is settled where all better
+    ones near it are.  Those left open, whose better neighbours are open in the
+    margin, are walked again in tiles set off by half a side, until none is
+    left; the best open pair is settled in every round.
+    """
+    kinds = dict(pairs.dtypes)
+    for c in (a, b):
+        if kinds[c] not in ("tinyint", "smallint", "int", "bigint"):
+            raise ValueError(f"{c} is not of whole numbers")
+    side, names = max(TILE, 4 * radius), [*pairs.columns, "__kept"]
+    there = F.col(a).isNotNull() & F.col(b).isNotNull()
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, a, b], ascending=[False, True, True])
-        xs, ys = pdf[a].to_numpy(), pdf[b].to_numpy()
-        ka, kb, keep = np.empty(len(pdf), xs.dtype), np.empty(len(pdf), ys.dtype), []
-        n = 0
-        for k in range(len(pdf)):
-            if not ((np.abs(ka[:n] - xs[k]) <= radius) & (np.abs(kb[:n] - ys[k]) <= radius)).any():
-                ka[n], kb[n] = xs[k], ys[k]
-                n += 1
-                keep.append(k)
-        return pdf.iloc[keep]
-
-    return pairs.groupBy(*by).applyInPandas(walk, pairs.schema)
+        xs, ys = (pdf[c].to_numpy(np.int64) for c in (a, b))
+        xs, ys = xs - xs.min(), ys - ys.min()
+        shape = (int(xs.max()) + radius + 1, int(ys.max()) + radius + 1)
+        kept, open_ = np.zeros(shape, bool), np.zeros(shape, bool)
+        own, state = pdf["__own"].to_numpy(), pdf["__kept"].to_numpy().astype(np.int8)
+        for k, (x, y) in enumerate(zip(xs.tolist(), ys.tolist(), strict=True)):
+            near = slice(max(x - radius, 0), x + radius + 1), slice(max(y - radius, 0), y + radius + 1)
+            if state[k] == 1:
+                kept[x, y] = True
+            elif kept[near].any():
+                state[k] = -1
+            elif own[k] and not open_[near].any():
+                state[k], kept[x, y] = 1, True
+            else:
+                open_[x, y] = True
+        return pdf.assign(__kept=state == 1)[own & (state >= 0)][names]
+
+    left, off = pairs.filter(there).withColumn("__kept", F.lit(False)), 0
+    while True:
+        tile = lambda c, far: F.floor((F.col(c) + far - off) / side)  # noqa: E731, B023
+        spread = left.withColumn("__a", F.explode(F.sequence(tile(a, -radius), tile(a, radius)))).withColumn("__b", F.explode(F.sequence(tile(b, -radius), tile(b, radius))))
+        spread = spread.withColumn("__own", (F.col("__a") == tile(a, 0)) & (F.col("__b") == tile(b, 0)))
+        left = held(spread.groupBy(*by, "__a", "__b").applyInPandas(walk, left.schema), "pair-nms")
+        if left.filter(~F.col("__kept")).isEmpty():
+            return left.drop("__kept").unionByName(pairs.filter(~there))
+        off = side // 2 - off
 
 
 def index_nms(pairs: DataFrame, by: list[str], a: str, b: str, score: str, radius: int) -> DataFrame:
@@ -94,8 +126,7 @@ def thin(points: DataFrame, by: list[str], dims: list[str], radius: float, *, id
 def runs_apart(pairs: DataFrame, by: list[str], a: str, radius: int, *, name: str = "run") -> DataFrame:
     """The pairs with the number of their run: a new one begins where no pair's ``a`` is within ``radius`` of the one before.
 
-    Pairs of different runs cannot suppress each other, so each is a group of
-    its own for ``pair_nms``; pairs with a null ``a`` are dropped.  Only the
+    Pairs of different runs cannot suppress each other; pairs with a null ``a`` are dropped.  Only the
     distinct values of ``a`` are ordered: a group's by a window, those of the
     whole table (``by`` empty) in ranges, of which the driver sees both ends
     and the number of runs.

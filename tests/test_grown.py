@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
-from gridloom.operators import align, metrics, quantiles
+from gridloom.operators import align, metrics, quantiles, suppress
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -97,3 +97,25 @@ def test_medoid_of_many_equal_rotations(spark):
     got = align.medoid_by(rows, ["grp"], "id").selectExpr("size(inliers) AS n", "rotation").first()
     assert got["n"] == 500_000 - len(range(0, 500_000, 7))
     assert np.allclose(np.array(got["rotation"]).reshape(3, 3), _about((0, 1, 0), 10))
+
+
+@pytest.mark.parametrize("levels", [1, 4, 10_000])
+def test_suppression_in_tiles(spark, monkeypatch, levels):
+    """One group of many near pairs is walked in tiles, with the result of one walk; with one level, by (a, b), chains are longest."""
+    monkeypatch.setattr(suppress, "TILE", 16)
+    rng = np.random.default_rng(levels)
+    ends = {(int(x), int(y)) for x, y in rng.integers(-40, 60, (3000, 2))}
+    rows = [(x, y, float(rng.integers(levels))) for x, y in ends]
+    kept = []
+    for x, y, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if not any(abs(x - u) <= 3 and abs(y - v) <= 3 for u, v, _ in kept):
+            kept.append((x, y, s))
+    walked = []
+    plain = suppress.held
+    monkeypatch.setattr(suppress, "held", lambda df, name: walked.append(name) or plain(df, name))
+    got = suppress.pair_nms(spark.createDataFrame(rows, "a long, b long, s double"), [], "a", "b", "s", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(kept)
+    assert walked
+    odd = spark.createDataFrame([(None, 1, 1.0), (2, 1, 1.0), (3, 1, 0.5)], "a long, b long, s double")
+    assert sorted(((r["a"] or 0) for r in suppress.pair_nms(odd, [], "a", "b", "s", 3).collect())) == [0, 2]
+    assert suppress.pair_nms(odd.limit(0), [], "a", "b", "s", 3).collect() == []
