@@ -119,3 +119,24 @@ def test_suppression_in_tiles(spark, monkeypatch, levels):
     odd = spark.createDataFrame([(None, 1, 1.0), (2, 1, 1.0), (3, 1, 0.5)], "a long, b long, s double")
     assert sorted(((r["a"] or 0) for r in suppress.pair_nms(odd, [], "a", "b", "s", 3).collect())) == [0, 2]
     assert suppress.pair_nms(odd.limit(0), [], "a", "b", "s", 3).collect() == []
+
+
+def test_gain_of_large_groups(spark, monkeypatch):
+    """No group's different values are kept in one ``percentile``; nulls are a group, and NaN is above all numbers."""
+    monkeypatch.setattr(quantiles, "SMALL", 100)
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    calls = []
+    bracketed = quantiles._bracketed
+    monkeypatch.setattr(quantiles, "_bracketed", lambda *a: calls.append(1) or bracketed(*a))
+    rng = np.random.default_rng(8)
+    rows = [(g, float(rng.uniform(1, 9)), float(rng.uniform(0, 8)), float(rng.uniform(1, 3))) for g in ("a", None) for _ in range(700)] + [("nan", x, 1.0, 1.0) for x in (1.0, float("nan"), float("nan"))] + [("a", None, 1.0, 1.0), ("a", 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "grp string, raw double, fixed double, depth double")
+    got = {r["grp"]: r for r in align.repair_gain(df, ["grp"], raw=F.col("raw"), repaired=F.col("fixed"), depth=F.col("depth")).collect()}
+    assert calls and set(got) == {"a", None, "nan"}
+    for g in ("a", None):
+        kept = np.array([r[1:] for r in rows if r[0] == g and r[1] is not None and r[3] > 0])
+        assert got[g]["n"] == len(kept)
+        for name, k in (("raw", 0), ("repaired", 1)):
+            assert [got[g][f"{name}_median"], got[g][f"{name}_p90"]] == pytest.approx(np.percentile(kept[:, k] / kept[:, 2], [50, 90]), abs=1e-12)
+        assert got[g]["better"] == (got[g]["repaired_median"] < got[g]["raw_median"])
+    assert np.isnan(got["nan"]["raw_median"]) and got["nan"]["repaired_median"] == 1.0
