@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries_graphs
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
-from gridloom.operators import align, metrics, quantiles, suppress
+from gridloom.operators import align, loops, metrics, quantiles, suppress
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -140,3 +141,10 @@ def test_gain_of_large_groups(spark, monkeypatch):
             assert [got[g][f"{name}_median"], got[g][f"{name}_p90"]] == pytest.approx(np.percentile(kept[:, k] / kept[:, 2], [50, 90]), abs=1e-12)
         assert got[g]["better"] == (got[g]["repaired_median"] < got[g]["raw_median"])
     assert np.isnan(got["nan"]["raw_median"]) and got["nan"]["repaired_median"] == 1.0
+
+
+def test_exploded_points_are_not_broadcast(spark):
+    """Spark takes four pixels a frame for one row, so it broadcast some 300 MB of them."""
+    plan = loops.matched_points(*queries_graphs._loop_tables(spark, SMALL))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [frame" in plan and "SortMergeJoin [chunk" in plan
+    assert "BroadcastHashJoin [frame" not in plan
