@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,23 @@ def store_of(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_small(spark: SparkSession, files: Iterable[tuple[str, bytes]], *, at_once: int = 32) -> None:
+    """A file a pair (path, content), ``at_once`` of them side by side; pairs are taken as they are written."""
+
+    def put(pair: tuple[str, bytes]) -> None:
+        path, store = store_of(spark, pair[0])
+        out = store.create(path, True)
+        try:
+            out.write(bytearray(pair[1]))
+        finally:
+            out.close()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        todo = iter(files)
+        while part := list(islice(todo, 64 * at_once)):
+            list(pool.map(put, part))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at, store = store_of(spark, path)
     store.delete(at, True)

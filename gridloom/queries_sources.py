@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.cluster import scratch, store_of
+from gridloom.cluster import scratch, store_of, write_small
 from gridloom.queries import query
 from gridloom.sources import files, glb, packed, ply, sinks, text
 
@@ -386,14 +386,14 @@ SELECT concat('floor_', k % 4, '/2025-05-05/run_', k) AS run, n AS n_chunks, CAS
 def frozen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run a supplier: its files are there or not by its key, its loops were accepted by its balance."""
     at = scratch(spark, "frozen")
-    for r in T(spark, sf_dir, "supplier").toLocalIterator():
-        k = r["s_suppkey"]
-        work = f"floor_{k % 4}/2025-05-05/run_{k}/_work/a"
-        made = {f"{work}/{files.CACHE}/chunk_{i + (k % 7 == 0)}.npy": "x" for i in range(1 + k % 3)} | {f"{work}/{files.LOOPS}": f"chunk_a,accepted\n0,False\n1,{r['s_acctbal'] > 0}\n"}
-        made |= {f"{work}/{name}": "x" for name, there in ((files.BEFORE_LOOPS, k % 3 == 0), (files.FINAL, k % 4 != 1), (files.OUTCOME, k % 5 == 0)) if there}
-        for name, content in made.items():
-            path, store = store_of(spark, f"{at}/{name}")
-            out = store.create(path, True)
-            out.write(bytearray(content.encode()))
-            out.close()
+
+    def made():
+        for r in T(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").toLocalIterator():
+            k = r["s_suppkey"]
+            work = f"{at}/floor_{k % 4}/2025-05-05/run_{k}/_work/a"
+            yield from ((f"{work}/{files.CACHE}/chunk_{i + (k % 7 == 0)}.npy", b"x") for i in range(1 + k % 3))
+            yield f"{work}/{files.LOOPS}", f"chunk_a,accepted\n0,False\n1,{r['s_acctbal'] > 0}\n".encode()
+            yield from ((f"{work}/{name}", b"x") for name, there in ((files.BEFORE_LOOPS, k % 3 == 0), (files.FINAL, k % 4 != 1), (files.OUTCOME, k % 5 == 0)) if there)
+
+    write_small(spark, made())
     return files.frozen_runs(spark, at).select("run", "n_chunks", "kind", "problem")

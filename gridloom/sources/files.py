@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.cluster import held
 from gridloom.operators.numbering import numbered as in_order
 
 IMAGES = r"(?i)\.(?:jpe?g|png)$"
@@ -60,17 +61,15 @@ def frozen_runs(spark: SparkSession, root: str, *, work: str = "_work/*") -> Dat
     names = ",".join((f"{CACHE}/chunk_*.npy", BEFORE_LOOPS, FINAL, OUTCOME, LOOPS))
     rows = listing(spark, f"{root}/floor_*/*/run_*/{work}/{{{names}}}")
     run = F.regexp_extract("path", r"(floor_[^/]+/[^/]+/run_[^/]+)/", 1)
-    rows = rows.withColumns({"run": run, "folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1)}).filter("run <> ''")
+    rows = held(rows.withColumns({"run": run, "folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1)}).filter("run <> ''"), "frozen-listing")
     chunk = F.regexp_extract("name", r"^chunk_(.*)\.npy$", 1)
     cached = rows.filter(F.col("folder").endswith(f"/{CACHE}") & F.col("name").rlike(r"^chunk_.*\.npy$")).select("run", F.regexp_extract("folder", rf"^(.*)/{CACHE}$", 1).alias("work"), F.when(chunk.rlike(r"^\d+$"), chunk.cast("long")).alias("number"))
     chunks = cached.groupBy("run", "work").agg(F.count("*").alias("n_chunks"), ((F.count_distinct("number") == F.count("*")) & (F.min("number") == 0) & (F.max("number") == F.count("*") - 1)).alias("whole"))
     has = lambda name: F.bool_or(F.col("name") == name).alias(name.split(".")[0])
     there = rows.groupBy(F.col("folder").alias("work")).agg(*(has(x) for x in (BEFORE_LOOPS, FINAL, OUTCOME, LOOPS)))
-    reports = rows.filter(F.col("name") == LOOPS).select("path")
     none = spark.createDataFrame([], "work string, rejected boolean")
-    paths = [r["path"] for r in reports.collect()]  # a report a run
-    if paths:
-        found = spark.read.option("header", True).csv(paths).select(F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*$", 1).alias("work"), F.lower(F.trim("accepted")).alias("accepted"))
+    if not rows.filter(F.col("name") == LOOPS).isEmpty():
+        found = spark.read.option("header", True).csv(f"{root}/floor_*/*/run_*/{work}/{LOOPS}").select(F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*$", 1).alias("work"), F.lower(F.trim("accepted")).alias("accepted"))
         none = found.groupBy("work").agg(F.bool_and(F.coalesce(F.col("accepted") == "false", F.lit(False))).alias("rejected"))
     short = lambda c: F.regexp_replace(c, "^file:/+", "/")
     one = chunks.withColumn("k", short("work")).join(there.select(short("work").alias("k"), *(x.split(".")[0] for x in (BEFORE_LOOPS, FINAL, OUTCOME))), "k", "left").join(none.select(short("work").alias("k"), "rejected"), "k", "left")

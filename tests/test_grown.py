@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom import queries_graphs
+from gridloom import cluster, queries_graphs
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
 from gridloom.operators import align, loops, metrics, quantiles, suppress
@@ -148,3 +148,11 @@ def test_exploded_points_are_not_broadcast(spark):
     plan = loops.matched_points(*queries_graphs._loop_tables(spark, SMALL))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [frame" in plan and "SortMergeJoin [chunk" in plan
     assert "BroadcastHashJoin [frame" not in plan
+
+
+def test_small_files_side_by_side(spark, tmp_path):
+    """More files than are written at once: each is there with its own content."""
+    cluster.write_small(spark, ((f"file://{tmp_path}/d{k % 7}/f{k}", str(k).encode()) for k in range(300)), at_once=4)
+    assert {p.name: p.read_text() for p in tmp_path.glob("d*/f*")} == {f"f{k}": str(k) for k in range(300)}
+    with pytest.raises(Exception, match="Mkdirs|exists|directory"):
+        cluster.write_small(spark, [(f"file://{tmp_path}/d0/f0/x", b"")])
