@@ -22,6 +22,8 @@ from gridloom.cluster import held, ship, store_of
 #: Fixed values of the format: marks of the file and its two chunks, component types, buffer target, mode of points.
 MAGIC, VERSION, JSON_CHUNK, BINARY_CHUNK = 0x46546C67, 2, 0x4E4F534A, 0x004E4942
 FLOAT, UNSIGNED_BYTE, ARRAY_BUFFER, POINTS = 5126, 5121, 34962, 0
+#: Points that are decoded together.
+SLICE = 1_000_000
 
 
 def head(n: int, low: list[float], high: list[float]) -> bytes:
@@ -82,21 +84,23 @@ def write(points: DataFrame, path: str) -> int:
     return box["n"]
 
 
-def _points_of(data: bytes) -> pd.DataFrame:
+def _points_of(data: bytes) -> Iterator[pd.DataFrame]:
+    """The points in slices, straight from the bytes."""
     magic, version, total, size, kind = struct.unpack_from("<IIIII", data)
     if magic != MAGIC or version != VERSION or kind != JSON_CHUNK or total != len(data):
         raise ValueError("no whole binary glTF")
     document, begin = json.loads(data[20 : 20 + size]), 28 + size
     if "meshes" not in document:
-        return pd.DataFrame({c: [] for c in ("x", "y", "z", "red", "green", "blue")})
+        return
     views = {}
     for name, at in document["meshes"][0]["primitives"][0]["attributes"].items():
         accessor = document["accessors"][at]
         view = document["bufferViews"][accessor["bufferView"]]
-        kind = {FLOAT: "<f4", UNSIGNED_BYTE: np.uint8}[accessor["componentType"]]
-        raw = data[begin + view["byteOffset"] : begin + view["byteOffset"] + view["byteLength"]]
-        views[name] = np.frombuffer(raw, kind).reshape(accessor["count"], -1)
-    return pd.DataFrame({**{c: views["POSITION"][:, k].astype(float) for k, c in enumerate("xyz")}, **{c: views["COLOR_0"][:, k].astype(np.int16) for k, c in enumerate(("red", "green", "blue"))}})
+        kind = np.dtype({FLOAT: "<f4", UNSIGNED_BYTE: np.uint8}[accessor["componentType"]])
+        views[name] = np.frombuffer(data, kind, view["byteLength"] // kind.itemsize, begin + view["byteOffset"]).reshape(accessor["count"], -1)
+    for at in range(0, len(views["POSITION"]), SLICE):
+        xyz, rgb = (views[name][at : at + SLICE] for name in ("POSITION", "COLOR_0"))
+        yield pd.DataFrame({**{c: xyz[:, k].astype(float) for k, c in enumerate("xyz")}, **{c: rgb[:, k].astype(np.int16) for k, c in enumerate(("red", "green", "blue"))}})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -107,11 +111,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             for name, data in zip(f["path"], f["content"], strict=True):
                 try:
-                    got = _points_of(data)
+                    for got in _points_of(data):
+                        got.insert(0, "path", name)
+                        yield got
                 except (ValueError, KeyError, struct.error) as e:
                     raise ValueError(f"{name}: {e}") from e
-                got.insert(0, "path", name)
-                yield got
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, x double, y double, z double, red short, green short, blue short")

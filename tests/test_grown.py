@@ -11,6 +11,7 @@ from gridloom import cluster, queries_graphs
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
 from gridloom.operators import align, loops, metrics, quantiles, suppress
+from gridloom.sources import glb
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -156,3 +157,13 @@ def test_small_files_side_by_side(spark, tmp_path):
     assert {p.name: p.read_text() for p in tmp_path.glob("d*/f*")} == {f"f{k}": str(k) for k in range(300)}
     with pytest.raises(Exception, match="Mkdirs|exists|directory"):
         cluster.write_small(spark, [(f"file://{tmp_path}/d0/f0/x", b"")])
+
+
+def test_points_of_a_scene_in_slices(monkeypatch):
+    """A file's points are never one frame."""
+    monkeypatch.setattr(glb, "SLICE", 4, raising=False)
+    xyz, rgba = np.arange(30, dtype="<f4").reshape(10, 3), np.arange(40, dtype=np.uint8).reshape(10, 4)
+    parts = list(glb._points_of(glb.head(10, [0.0] * 3, [29.0] * 3) + xyz.tobytes() + rgba.tobytes()))
+    assert [len(p) for p in parts] == [4, 4, 2]
+    assert [v for p in parts for v in p[["x", "y", "z", "red", "green", "blue"]].to_numpy().tolist()] == np.hstack([xyz, rgba[:, :3]]).tolist()
+    assert list(glb._points_of(glb.head(0, [], []))) == []
