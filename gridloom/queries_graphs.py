@@ -177,7 +177,7 @@ FROM f WHERE node > (SELECT min(o_orderkey) FROM orders) AND node % {GRAPH_SIZE}
 def pose_graph_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analytic derivatives at the first guess; the rest of the seven are 0 in the plane."""
     _, guess, edges = _circles(spark, sf_dir)
-    g = graph.gradient(graph.prepared(guess, edges, ["grp"]), guess, ["grp"])
+    g = graph.gradients(guess, edges, ["grp"])
     put = lambda k: F.round(F.col("g")[k], 5) + 0.0
     return g.select("grp", "node", put(0).alias("by_scale"), put(3).alias("by_turn"), put(4).alias("by_x"), put(5).alias("by_y"))
 
@@ -191,14 +191,9 @@ def pose_graph_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least cost is below that of the truth, which does not fit the noise, and the derivatives vanish there."""
     true, guess, edges = _circles(spark, sf_dir)
     edges = held(edges, "graph-query")
-    due = graph.prepared(guess, edges, ["grp"])
     got = held(graph.solve(guess, edges, ["grp"], rounds=8), "graph-query")
-    cost = lambda poses, name: graph.costs(due, poses, ["grp"]).withColumnRenamed("cost", name)
-    steep = lambda poses, name: graph.gradient(due, poses, ["grp"]).groupBy("grp").agg(F.sqrt(F.sum(F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x))).alias(name))
-    out = guess.groupBy("grp").agg(F.count("*").alias("n_nodes")).join(due.groupBy("grp").agg(F.count("*").alias("n_edges")), "grp")
-    for table in (cost(guess, "before"), cost(true, "truth"), cost(got, "after"), steep(guess, "steep_before"), steep(got, "steep_after")):
-        out = out.join(table, "grp")
-    return out.select("grp", "n_nodes", "n_edges", F.round("before", 4).alias("cost_before"), F.round("truth", 4).alias("cost_of_truth"), (F.col("after") < F.col("truth")).alias("below_truth"), (F.col("steep_after") < F.col("steep_before") / 1000).alias("at_rest"))
+    out = guess.groupBy("grp").agg(F.count("*").alias("n_nodes")).join(graph.measured({"before": guess, "truth": true, "after": got}, edges, ["grp"]), "grp")
+    return out.select("grp", "n_nodes", "n_edges", F.round("cost_before", 4).alias("cost_before"), F.round("cost_truth", 4).alias("cost_of_truth"), (F.col("cost_after") < F.col("cost_truth")).alias("below_truth"), (F.col("steep_after") < F.col("steep_before") / 1000).alias("at_rest"))
 
 
 @query(
