@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +101,12 @@ def robust_scale(rows: DataFrame, by: list[str], a: str, b: str, *, inlier: floa
 
 def _pair_errors(re, te, rg, tg, se, ue, sg, ug) -> tuple[np.ndarray, np.ndarray]:
     """(rotation, translation) angle errors in degrees of the relative poses from each first to each second pose."""
-    rel = lambda r, t, s, u: (np.einsum("iba,jbc->ijac", r, s), np.einsum("ijb,iba->ija", u[None] - t[:, None], r))
-    (ra, ta), (rb, tb) = rel(re, te, se, ue), rel(rg, tg, sg, ug)
-    cosine = (np.einsum("ijab,ijab->ij", ra, rb) - 1) / 2
-    norm = np.linalg.norm(ta, axis=2) * np.linalg.norm(tb, axis=2)
-    aligned = np.abs((ta * tb).sum(2)) / np.where(norm > 0, norm, np.nan)  # the sign of a direction is free
+    # trace((Re' Se)(Rg' Sg)') = <Rg Re', Sg Se'>: one matrix product for all pairs, and no relative rotation is worked out
+    flat = lambda g, e: (g @ e.transpose(0, 2, 1)).reshape(len(g), 9)
+    cosine = (flat(rg, re) @ flat(sg, se).T - 1) / 2
+    ta, tb = (ue[None] - te[:, None]) @ re, (ug[None] - tg[:, None]) @ rg
+    norm = np.sqrt(np.einsum("ija,ija->ij", ta, ta) * np.einsum("ija,ija->ij", tb, tb))
+    aligned = np.abs(np.einsum("ija,ija->ij", ta, tb)) / np.where(norm > 0, norm, np.nan)  # the sign of a direction is free
     return np.degrees(np.arccos(np.clip(cosine, -1, 1))), np.nan_to_num(np.degrees(np.arccos(np.clip(aligned, 0, 1))), nan=1e6)
 
 
@@ -125,21 +127,23 @@ def relative_pose_errors(poses: DataFrame, by: list[str], *, order: str = "frame
     right = near.select("*", F.col("__block").alias("__q"), F.explode(F.filter("__blocks", lambda p: p <= F.col("__block"))).alias("__p")).drop("__blocks")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, for the cogroup
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        mats = lambda f, c: np.array(f[c].to_list(), float).reshape(-1, 3, 3)
-        vecs = lambda f, c: np.array(f[c].to_list(), float).reshape(-1, 3)
-        both = lambda f: (mats(f, "est_r"), vecs(f, "est_t"), mats(f, "gt_r"), vecs(f, "gt_t"))
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        lists = lambda f, c, *shape: f[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
+        both = lambda f: (lists(f, "est_r", 3, 3), lists(f, "est_t", 3), lists(f, "gt_r", 3, 3), lists(f, "gt_t", 3))
         rot, trans = _pair_errors(*both(a), *both(b))
         due = a["__at"].to_numpy()[:, None] < b["__at"].to_numpy()[None]
         rot, trans = rot[due], trans[due]
         counts = np.histogram(np.maximum(rot, trans), bins=bins, range=(0, bins))[0]
-        out = pd.DataFrame({"bin": np.arange(-1, bins), "n": np.r_[len(rot), counts], "rotation": np.r_[rot.sum(), np.zeros(bins)], "translation": np.r_[trans.sum(), np.zeros(bins)]})
-        for k, c in enumerate(by):
-            out.insert(k, c, a[c].iloc[0])
+        out = a.select(by).take(pa.array(np.zeros(bins + 1, int)))
+        sums = {"bin": np.arange(-1, bins, dtype=np.int32), "n": np.r_[len(rot), counts], "rotation": np.r_[rot.sum(), np.zeros(bins)], "translation": np.r_[trans.sum(), np.zeros(bins)]}
+        for c, values in sums.items():
+            out = out.append_column(c, pa.array(values))
         return out
 
     keys = [*by, "__p", "__q"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, ", ".join(f"{c} {kinds[c]}" for c in by) + ", bin int, n long, rotation double, translation double")
+    many = int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as they are: few bytes are many pairs
+    left, right = (df.repartition(many, *keys) for df in (left, right))
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, ", ".join(f"{c} {kinds[c]}" for c in by) + ", bin int, n long, rotation double, translation double")
     all_, hit = F.col("bin") == -1, F.col("bin") >= 0
     sums = parts.groupBy(*by).agg(
         F.sum(F.when(all_, F.col("n"))).alias("n_pairs"), F.sum("rotation").alias("rotation"), F.sum("translation").alias("translation"),

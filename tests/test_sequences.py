@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -191,3 +192,25 @@ def test_pose_errors_in_blocks(spark):
             counts = np.histogram(np.max(errors, axis=1), bins=90, range=(0, 90))[0]
             assert got[run]["n_pairs"] == len(errors) and got[run]["rotation"] == pytest.approx(np.mean([x[0] for x in errors]))
             assert got[run]["translation"] == pytest.approx(np.mean([x[1] for x in errors])) and got[run]["auc"] == pytest.approx(np.cumsum(counts).mean() / len(errors))
+
+
+def test_pair_errors_by_products():
+    """All pairs' angles from products of blocks equal those of the relative poses, one by one, without a 3 x 3 matrix a pair."""
+    rng = np.random.default_rng(9)
+    turn = lambda n: np.linalg.qr(rng.normal(size=(n, 3, 3)))[0]
+    n, m = 300, 400
+    re, rg, se, sg = turn(n), turn(n), turn(m), turn(m)
+    for a in (re, rg, se, sg):
+        a *= np.sign(np.linalg.det(a))[:, None, None]
+    te, tg, ue, ug = (rng.normal(size=(k, 3)) for k in (n, n, m, m))
+    ue[0], te[0] = 1.0, 1.0  # the estimate does not move
+    tracemalloc.start()
+    rot, trans = pooling._pair_errors(re, te, rg, tg, se, ue, sg, ug)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * 8 * n * m and trans[0, 0] == 1e6
+    for i, j in zip(rng.integers(1, n, 200), rng.integers(1, m, 200), strict=True):
+        a, b = re[i].T @ se[j], rg[i].T @ sg[j]
+        assert rot[i, j] == pytest.approx(np.degrees(np.arccos(np.clip((np.trace(a.T @ b) - 1) / 2, -1, 1))), abs=1e-5)
+        p, q = re[i].T @ (ue[j] - te[i]), rg[i].T @ (ug[j] - tg[i])
+        assert trans[i, j] == pytest.approx(np.degrees(np.arccos(abs(p @ q) / np.linalg.norm(p) / np.linalg.norm(q))), abs=1e-5)
