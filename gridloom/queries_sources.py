@@ -197,9 +197,9 @@ def images_with_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_quantity::FLOAT::DOUBLE AS x, l_discount::FLOAT::DOUBLE AS y, l_tax::FLOAT::DOUBLE AS z, (l_linenumber * 30)::SMALLINT AS red FROM lineitem")
 def ply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = T(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), (F.col("l_linenumber") * 30).alias("red"), F.lit(1).alias("green"), F.lit(2).alias("blue"))
-    at = f"{scratch(spark, 'cloud')}/cloud.ply"
-    ply.write(points, at)
+    points = T(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), (F.col("l_linenumber") * 30).alias("red"), F.lit(1).alias("green"), F.lit(2).alias("blue"), F.lit("whole").alias("cloud"))
+    at = scratch(spark, "cloud")
+    ply.write_clouds(points, "cloud", at)
     return ply.read_xyz(spark, at).select("x", "y", "z", "red")
 
 

@@ -68,6 +68,25 @@ def test_ply_round_trip(spark, tmp_path):
         ply.parse_header(b"ply\nformat ascii 1.0\nelement vertex 0\nend_header\n")
 
 
+def test_clouds_of_any_size_are_folders_that_no_driver_writes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ply, "PART", 100)
+    rows = spark.range(1000).select(*((F.col("id") * k / 7).cast("float").cast("double").alias(c) for k, c in enumerate("xyz", 1)), *((F.col("id") % m).cast("int").alias(c) for m, c in ((256, "red"), (11, "green"), (10, "blue"))), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("side"))
+    monkeypatch.setattr(type(rows), "toLocalIterator", lambda *_: pytest.fail("rows taken by the driver"))
+    at = f"{tmp_path}/clouds"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        ply.write_clouds(rows.filter("red < 0").unionByName(rows.repartition(4)), "side", f"file://{at}")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    files = list((tmp_path / "clouds").glob("side=*/part-*"))
+    assert len(files) > 10 and all(ply.parse_header(f.read_bytes())[1] <= 100 for f in files)
+    back = ply.read_xyz(spark, f"file://{at}").select(F.regexp_extract("path", r"/side=([^/]+)/", 1).alias("side"), *"xyz", "red", "green", "blue")
+    assert back.exceptAll(rows.select(*back.columns)).count() == 0 and back.count() == 1000
+    with pytest.raises(ValueError):
+        ply.parse_header(files[0].read_bytes() + b"\n")
+
+
 def test_packets(spark):
     name = b"imu\0"
     head = struct.pack("<iII", 12, 34, len(name)) + name
