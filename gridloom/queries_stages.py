@@ -151,15 +151,14 @@ def _renamed(spark: SparkSession, folder: str, to: str) -> None:
 
 @query("SELECT l_linestatus AS side, l_quantity::FLOAT::DOUBLE AS x, l_discount::FLOAT::DOUBLE AS y, l_tax::FLOAT::DOUBLE AS z FROM lineitem WHERE l_tax > (SELECT avg(l_tax) * 0.9 FROM lineitem)")
 def confident_clouds_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file a side with the points above a share of the mean confidence, then all files read as one cloud."""
+    """A folder of files a side with the points above a share of the mean confidence, then all files read as one cloud."""
     rows = T(spark, sf_dir, "lineitem")
     least = rows.agg(F.avg("l_tax") * 0.9).first()[0]
     good = rows.filter(F.col("l_tax") > F.lit(least))
-    points = good.select("l_linestatus", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), *(F.lit(k).alias(c) for k, c in enumerate(("red", "green", "blue"))))
+    points = good.select(F.col("l_linestatus").alias("side"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), *(F.lit(k).alias(c) for k, c in enumerate(("red", "green", "blue"))))
     at = scratch(spark, "clouds")
-    for (side,) in points.select("l_linestatus").distinct().collect():  # two
-        ply.write(points.filter(F.col("l_linestatus") == side).drop("l_linestatus"), f"{at}/{side}.ply")
-    return ply.read_xyz(spark, at).select(F.regexp_extract("path", r"/([^/]+)\.ply$", 1).alias("side"), "x", "y", "z")
+    ply.write_clouds(points, "side", at)
+    return ply.read_xyz(spark, at).select(F.regexp_extract("path", r"/side=([^/]+)/[^/]+$", 1).alias("side"), "x", "y", "z")
 
 
 @query(
