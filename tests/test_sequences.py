@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,3 +215,17 @@ def test_pair_errors_by_products():
         assert rot[i, j] == pytest.approx(np.degrees(np.arccos(np.clip((np.trace(a.T @ b) - 1) / 2, -1, 1))), abs=1e-5)
         p, q = re[i].T @ (ue[j] - te[i]), rg[i].T @ (ug[j] - tg[i])
         assert trans[i, j] == pytest.approx(np.degrees(np.arccos(abs(p @ q) / np.linalg.norm(p) / np.linalg.norm(q))), abs=1e-5)
+
+
+def test_masks_are_closed_without_a_row_a_neighbour(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(x), int(y)) for i, x, y in zip(rng.integers(0, 6, 900), rng.integers(-3, 74, 900), rng.integers(-3, 24, 900), strict=True)]
+    df = spark.createDataFrame([*rows, *rows[:50], (7, 500, 3), (8, None, 3), (None, 4, 4)], "image int, x long, y long")
+    for radius in (1, 3):
+        want = masks.erode(masks.dilate(df, ["image"], radius, 70, 20), ["image"], radius, 70, 20)
+        got = masks.refine(df, ["image"], 70, 20, close=radius)
+        assert "Generate" not in got._jdf.queryExecution().toString()
+        # a join on the keys drops a mask without a name, which a group keeps
+        assert Counter(map(tuple, got.filter("image is not null").collect())) == Counter(map(tuple, want.collect()))
+        assert (None, 4, 4) in set(map(tuple, got.collect()))
+    assert masks.refine(df.limit(0), ["image"], 70, 20, close=1).collect() == []
