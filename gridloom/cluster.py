@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 #: Paths in the shared folder that go when the interpreter ends.
@@ -81,6 +83,43 @@ def write_small(spark: SparkSession, files: Iterable[tuple[str, bytes]], *, at_o
             list(pool.map(put, part))
 
 
+def joined(pieces: DataFrame, path: str, *, head: bytes = b"") -> None:
+    """One file of ``head`` and the bytes in the pieces' ``content``, in the order of partitions and rows.
+
+    Tasks write the pieces by Spark's text writer, a file each.  As one file has
+    one writer, the store's interface then copies them to its end by the buffer,
+    but for the line end of each; no task's result holds them.  The file is
+    written aside and renamed when it is whole.
+    """
+    spark = pieces.sparkSession
+    parts = scratch(spark, "pieces")
+    pieces.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(parts)
+    folder, source = store_of(spark, parts)
+    found = []
+    for s in source.listStatus(folder):
+        if (m := re.match(r"part-(\d+)-.*-c(\d+)\D*$", s.getPath().getName())) and s.getLen():
+            found.append((int(m[1]), int(m[2]), s.getPath(), s.getLen() - 1))
+    copy = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge
+    at, store = store_of(spark, path)
+    aside, _ = store_of(spark, str(at.getParent().suffix(f"/_{at.getName()}.part")))
+    out = store.create(aside, True)
+    try:
+        out.write(bytearray(head))
+        for *_, part, n in sorted(found, key=lambda f: f[:2]):
+            piece = source.open(part)
+            try:
+                if copy(piece, out, 0, n) != n:
+                    raise OSError(f"{part} has lost bytes")
+            finally:
+                piece.close()
+    finally:
+        out.close()
+    delete(spark, parts)
+    store.delete(at, False)
+    if not store.rename(aside, at):
+        raise OSError(f"{path} could not be published")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at, store = store_of(spark, path)
     store.delete(at, True)

@@ -145,7 +145,9 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> str:
-    return _written(packed.colmap_binary(_cameras(spark, sf_dir), _images(spark, sf_dir), _points(spark, sf_dir)), "model")
+    at = scratch(spark, "model")
+    packed.colmap_files(_cameras(spark, sf_dir), _images(spark, sf_dir), _points(spark, sf_dir), at)
+    return at
 
 
 @query(CAMERAS)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.cluster import ship, store_of
+from gridloom.cluster import joined, ship, store_of
 from gridloom.operators.numbering import numbered
 
 #: Camera models of the binary format by their number, with how many parameters each has.
@@ -203,12 +203,16 @@ def colmap_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(data: bytes) -> Iterator[pd.DataFrame]:
         n, at, rows = struct.unpack_from("<Q", data)[0], 8, []
+        columns = ["camera_id", "model", "width", "height", "params"]
         for _ in range(n):
             camera, model, width, height = struct.unpack_from("<iiQQ", data, at)
             name, many = CAMERA_MODELS[model]
             rows.append((camera, name, width, height, list(struct.unpack_from(f"<{many}d", data, at + 24))))
             at += 24 + 8 * many
-        yield pd.DataFrame(rows, columns=["camera_id", "model", "width", "height", "params"])
+            if len(rows) == 2000:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return _decoded(spark, path, decode, "camera_id int, model string, width long, height long, params array<double>")
 
@@ -253,36 +257,45 @@ def colmap_points_binary(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, decode, "point_id long, x double, y double, z double, r short, g short, b short, error double, track array<struct<image_id:int,point2d:int>>")
 
 
-def colmap_binary(cameras: DataFrame, images: DataFrame, points: DataFrame) -> DataFrame:
-    """(name, content): the three binary files of a model; a model is one scene's, and its tables are packed one in a task."""
-    number = {name: k for k, (name, _) in CAMERA_MODELS.items()}
+#: Bytes of packed rows that a task gathers before it hands them on.
+PIECE = 8 << 20
+
 
-    def pack_cameras(pdf: pd.DataFrame) -> bytes:
-        each = [struct.pack("<iiQQ", r.camera_id, number[r.model], r.width, r.height) + np.asarray(r.params, "<f8").tobytes() for r in pdf.sort_values("camera_id").itertuples()]
-        return struct.pack("<Q", len(pdf)) + b"".join(each)
-
-    def pack_images(pdf: pd.DataFrame) -> bytes:
-        each = []
-        for r in pdf.sort_values("image_id").itertuples():
-            seen = np.array([(p["x"], p["y"], p["point3d_id"]) for p in r.points], np.dtype([("x", "<f8"), ("y", "<f8"), ("p", "<i8")]))
-            each.append(struct.pack("<i7di", r.image_id, *r.q, *r.t, r.camera_id) + r.name.encode() + b"\x00" + struct.pack("<Q", len(seen)) + seen.tobytes())
-        return struct.pack("<Q", len(pdf)) + b"".join(each)
-
-    def pack_points(pdf: pd.DataFrame) -> bytes:
-        each = []
-        for r in pdf.sort_values("point_id").itertuples():
-            track = np.array([(p["image_id"], p["point2d"]) for p in r.track], "<i4").reshape(-1, 2)
-            each.append(struct.pack("<QdddBBBdQ", r.point_id, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(track)) + track.tobytes())
-        return struct.pack("<Q", len(pdf)) + b"".join(each)
-
-    def one_file(name: str, pack: Callable[[pd.DataFrame], bytes]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        return lambda pdf: pd.DataFrame([{"name": name, "content": pack(pdf)}])
-
-    out = None
-    for name, rows, pack in (("cameras.bin", cameras, pack_cameras), ("images.bin", images, pack_images), ("points3D.bin", points, pack_points)):
-        made = rows.withColumn("__model", F.lit(0)).groupBy("__model").applyInPandas(one_file(name, pack), "name string, content binary")
-        out = made if out is None else out.unionByName(made)
-    return out
+def colmap_files(cameras: DataFrame, images: DataFrame, points: DataFrame, root: str) -> None:
+    """The three binary files of a model under the root, each in the order of its ids: rows are packed where they lie, range by range of the ids."""
+    number = {name: k for k, (name, _) in CAMERA_MODELS.items()}
+    spot, step = np.dtype([("x", "<f8"), ("y", "<f8"), ("p", "<i8")]), "<i4"
+
+    def camera(r) -> bytes:
+        return struct.pack("<iiQQ", r.camera_id, number[r.model], r.width, r.height) + np.asarray(r.params, "<f8").tobytes()
+
+    def image(r) -> bytes:
+        seen = np.array([(p["x"], p["y"], p["point3d_id"]) for p in r.points], spot)
+        return struct.pack("<i7di", r.image_id, *r.q, *r.t, r.camera_id) + r.name.encode() + b"\x00" + struct.pack("<Q", len(seen)) + seen.tobytes()
+
+    def point(r) -> bytes:
+        track = np.array([(p["image_id"], p["point2d"]) for p in r.track], step).reshape(-1, 2)
+        return struct.pack("<QdddBBBdQ", r.point_id, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(track)) + track.tobytes()
+
+    def packer(pack: Callable[..., bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            waiting, size = [], 0
+            for frame in frames:
+                for r in frame.itertuples():
+                    waiting.append(pack(r))
+                    size += len(waiting[-1])
+                    if size >= PIECE:
+                        yield pd.DataFrame({"content": [b"".join(waiting)]})
+                        waiting, size = [], 0
+            if waiting:
+                yield pd.DataFrame({"content": [b"".join(waiting)]})
+
+        return run
+
+    ship(cameras.sparkSession)
+    for name, rows, key, pack in (("cameras.bin", cameras, "camera_id", camera), ("images.bin", images, "image_id", image), ("points3D.bin", points, "point_id", point)):
+        ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
+        joined(ordered.mapInPandas(packer(pack), "content binary"), f"{root}/{name}", head=struct.pack("<Q", rows.count()))
 
 
 def model_format(names: list[str]) -> str | None:
