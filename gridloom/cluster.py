@@ -7,8 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from itertools import islice
 from pathlib import Path
 
@@ -60,6 +61,17 @@ def held(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held_for(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``held``, for as long as the block lasts: for the rounds of a loop, whose rows would pile up."""
+    path = f"{shared_dir(df.sparkSession)}/gridloom-scratch/{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete(df.sparkSession, path)
+
+
 def store_of(spark: SparkSession, path: str):
     """(the path, its file system) for Hadoop's interface."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.cluster import held, ship
+from gridloom.cluster import held, held_for, ship
 from gridloom.functions import linalg, pose
 from gridloom.operators import nearest, quantiles
 
@@ -93,27 +93,26 @@ def icp(source: DataFrame, target: DataFrame, *, radii: tuple[float, ...], round
 
     For each radius, coarse to fine: nearest targets within it, the nearer
     ``keep`` share of them, a fit; until the step is ``still`` or too few
-    pairs are left.
+    pairs are left.  The source and the target's lists are written once; what a
+    round finds goes when it ends.
     """
     total, rms, n = start, float("nan"), 0
     axes = ["x", "y", "z"]
+    source = held(source.select("id", *axes), "icp")
     for radius in radii:
+        listed = nearest.lists(target, axes, radius)
         for _ in range(rounds):
             placed = source.select("id", *(c.alias(a) for a, c in zip(axes, moved(total, tuple(axes)), strict=True)))
-            near = nearest.within(placed, target, axes, radius).groupBy("id").agg(F.min(F.struct("distance", "target")).alias("best")).select("id", F.col("best.target").alias("target"), F.col("best.distance").alias("distance"))
-            cut = near.agg(F.max("distance") if keep >= 1 else F.percentile("distance", keep)).first()[0]
-            if cut is None:
-                break
-            pairs = near.filter(F.col("distance") <= cut).join(placed.select("id", *(F.col(a).alias(s) for a, s in zip(axes, SOURCE, strict=True))), "id")
-            pairs = pairs.join(target.select(F.col("id").alias("target"), *(F.col(a).alias(t) for a, t in zip(axes, TARGET, strict=True))), "target")
-            pairs = pairs.persist()
-            n = pairs.count()
-            if n < least:
-                pairs.unpersist()
-                break
-            step = fit(pairs, with_scale=with_scale)
-            rms = pairs.agg(F.sqrt(F.avg(F.col("distance") * F.col("distance")))).first()[0]
-            pairs.unpersist()
+            near = nearest.nearest_listed(placed, listed, axes, radius).select(*(F.col(a).alias(s) for a, s in zip(axes, SOURCE, strict=True)), *(F.col(f"r_{a}").alias(t) for a, t in zip(axes, TARGET, strict=True)), "distance")
+            with held_for(near, "icp-pairs") as near:
+                cut = near.agg(F.max("distance") if keep >= 1 else F.percentile("distance", keep)).first()[0]
+                if cut is None:
+                    break
+                pairs = near.filter(F.col("distance") <= cut)
+                n, far = pairs.agg(F.count("*"), F.sqrt(F.avg(F.col("distance") * F.col("distance")))).first()
+                if n < least:
+                    break
+                step, rms = fit(pairs, with_scale=with_scale), far
             total = linalg.compose(step, total)
             if np.linalg.norm(step[2]) < still:
                 break

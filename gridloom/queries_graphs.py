@@ -285,12 +285,12 @@ def closest_point_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     spot = {k: v.replace("k // 50", "(k div 50)") for k, v in _GRID.items()}
     grid = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("k")).select("*", *(F.expr(v).alias(n) for n, v in spot.items()))
-    source = grid.select("id", *(F.expr(v).alias(n) for n, v in _MOVED.items())).select("id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0.0).alias("z"))
-    target = grid.select("id", "x", "y", F.lit(0.0).alias("z"))
+    grid = held(grid.repartition("id"), "grid")
     top, reach, m = grid.agg(F.max("y")).first()[0] or 0.0, 8.0, linalg.IDENTITY
     while True:
-        within = target.filter(F.col("y") <= reach)
-        m = align.icp(source.join(within.select("id"), "id", "left_semi"), within, radii=(0.5,), keep=1.0, start=m)[0]
+        within = grid.filter(F.col("y") <= reach)
+        source = within.select("id", *(F.expr(v).alias(n) for n, v in _MOVED.items())).select("id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0.0).alias("z"))
+        m = align.icp(source, within.select("id", "x", "y", F.lit(0.0).alias("z")), radii=(0.5,), keep=1.0, start=m)[0]
         if reach >= top:
             return _fit_row(spark, m)
         reach *= 8

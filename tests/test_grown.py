@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom import cluster, queries_graphs
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
-from gridloom.operators import align, loops, metrics, quantiles, suppress
+from gridloom.operators import align, loops, metrics, nearest, quantiles, suppress
 from gridloom.sources import glb
 
 SMALL = "/root/testdata/sf0.001"
@@ -167,3 +169,35 @@ def test_points_of_a_scene_in_slices(monkeypatch):
     assert [len(p) for p in parts] == [4, 4, 2]
     assert [v for p in parts for v in p[["x", "y", "z", "red", "green", "blue"]].to_numpy().tolist()] == np.hstack([xyz, rgba[:, :3]]).tolist()
     assert list(glb._points_of(glb.head(0, [], []))) == []
+
+
+def test_nearest_of_lists(spark, monkeypatch):
+    """Each row's nearest within reach, as all pairs have it; a cell of many places has several lists, and Spark broadcasts none of them."""
+    monkeypatch.setattr(nearest, "LIST", 5)
+    rng = np.random.default_rng(11)
+    cloud = lambda n: [(k, *map(float, p)) for k, p in enumerate(np.round(rng.normal(0, 1, (n, 3)) * (1, 1, 0.2), 2))]
+    left, right = cloud(300), cloud(200) + [(900, 0.0, 0.0, 0.0), (901, 0.0, 0.0, 0.0), (902, None, 0.0, 0.0), (903, float("nan"), 0.0, 0.0)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, x double, y double, z double")
+    for radius in (0.05, 0.3, 2.0):
+        found = nearest.nearest_listed(df(left), nearest.lists(df(right), ["x", "y", "z"], radius), ["x", "y", "z"], radius)
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+        want = {}
+        for i, *p in left:
+            d, j = min((round(float(np.linalg.norm(np.subtract(p, q))), 6), j) for j, *q in right if j < 902)
+            if d <= radius:
+                want[i] = (j, d)
+        assert {r["id"]: (r["target"], r["distance"]) for r in found.collect()} == want
+        assert all([r["x"], r["y"], r["z"]] == list(left[r["id"]][1:]) and [r["r_x"], r["r_y"], r["r_z"]] == next(list(q) for j, *q in right if j == r["target"]) for r in found.collect())
+
+
+def test_rounds_of_closest_points_are_not_broadcast(spark, monkeypatch):
+    """Spark took a million parts for a few megabytes, as their file is small, and broadcast them in every round; what a round finds goes when it ends."""
+    plans = []
+    plain = align.held_for
+    monkeypatch.setattr(align, "held_for", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or plain(df, name))
+    QUERIES["closest_point_fit"](spark, SMALL).collect()
+    assert plans and not any("Broadcast" in p for p in plans)
+    with cluster.held_for(spark.range(3), "some") as rows:
+        at = rows.inputFiles()[0]
+        assert rows.count() == 3 and Path(at.removeprefix("file://")).exists()
+    assert not Path(at.removeprefix("file://")).exists()
