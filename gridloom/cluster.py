@@ -13,6 +13,8 @@ from contextlib import contextmanager
 from itertools import islice
 from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,64 @@ def write_small(spark: SparkSession, files: Iterable[tuple[str, bytes]], *, at_o
             list(pool.map(put, part))
 
 
+def by_arrow(path: str):
+    """(file system, path in it) of a qualified path for Arrow's interface, which tasks have too; None for a store that only Hadoop's knows."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (OSError, ValueError, NotImplementedError):
+        return None
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    at, store = store_of(spark, path)
+    return store.makeQualified(at).toString()
+
+
+def put(path: str, content: bytes) -> None:
+    """One file by Arrow's interface, written aside and published by a rename, so that tasks may be repeated."""
+    store, at = by_arrow(path)
+    folder, _, name = at.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    aside = f"{folder}/_{name}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(aside, compression=None) as out:
+        out.write(content)
+    store.move(aside, at)
+    checksum = f"{folder}/.{name}.crc"  # of a former file, by Hadoop's interface
+    if path.startswith("file:") and store.get_file_info(checksum).is_file:
+        store.delete_file(checksum)
+
+
+def put_files(rows: DataFrame, root: str) -> int:
+    """A file a row (name, content) under the root, by the tasks; how many there are.  Where only Hadoop's interface knows the store, the driver writes them, a row at a time."""
+    spark = rows.sparkSession
+    root, n = qualified(spark, root), 0
+    if by_arrow(root) is None:
+        for row in rows.select("name", "content").toLocalIterator():
+            at, store = store_of(spark, f"{root}/{row['name']}")
+            aside, _ = store_of(spark, f"{at.getParent()}/_{at.getName()}.part")
+            out = store.create(aside, True)
+            try:
+                out.write(bytearray(row["content"]))
+            finally:
+                out.close()
+            store.delete(at, False)
+            if not store.rename(aside, at):
+                raise OSError(f"{row['name']} could not be published")
+            n += 1
+        return n
+    ship(spark)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                put(f"{root}/{name}", content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def joined(pieces: DataFrame, path: str, *, head: bytes = b"") -> None:
     """One file of ``head`` and the bytes in the pieces' ``content``, in the order of partitions and rows.
 

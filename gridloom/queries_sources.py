@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import stand_ins as S
-from gridloom.cluster import scratch, store_of, write_small
+from gridloom.cluster import put_files, scratch, store_of
 from gridloom.queries import query
 from gridloom.sources import files, glb, packed, ply, sinks, text
 
@@ -387,15 +387,13 @@ SELECT concat('floor_', k % 4, '/2025-05-05/run_', k) AS run, n AS n_chunks, CAS
 )
 def frozen_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run a supplier: its files are there or not by its key, its loops were accepted by its balance."""
-    at = scratch(spark, "frozen")
-
-    def made():
-        for r in T(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").toLocalIterator():
-            k = r["s_suppkey"]
-            work = f"{at}/floor_{k % 4}/2025-05-05/run_{k}/_work/a"
-            yield from ((f"{work}/{files.CACHE}/chunk_{i + (k % 7 == 0)}.npy", b"x") for i in range(1 + k % 3))
-            yield f"{work}/{files.LOOPS}", f"chunk_a,accepted\n0,False\n1,{r['s_acctbal'] > 0}\n".encode()
-            yield from ((f"{work}/{name}", b"x") for name, there in ((files.BEFORE_LOOPS, k % 3 == 0), (files.FINAL, k % 4 != 1), (files.OUTCOME, k % 5 == 0)) if there)
-
-    write_small(spark, made())
+    at, k = scratch(spark, "frozen"), F.col("s_suppkey")
+    work = F.concat_ws("/", F.concat(F.lit("floor_"), k % 4), F.lit("2025-05-05"), F.concat(F.lit("run_"), k), F.lit("_work/a"))
+    x, file = F.lit("x"), lambda name, content: F.struct(F.concat(work, F.lit("/"), name).alias("name"), content.alias("content"))
+    chunk = lambda i: file(F.concat(F.lit(f"{files.CACHE}/chunk_"), i + (k % 7 == 0).cast("int"), F.lit(".npy")), x)
+    report = F.concat(F.lit("chunk_a,accepted\n0,False\n1,"), F.when(F.col("s_acctbal") > 0, "True").otherwise("False"), F.lit("\n"))
+    some = [F.when(there, file(F.lit(name), x)) for name, there in ((files.BEFORE_LOOPS, k % 3 == 0), (files.FINAL, k % 4 != 1), (files.OUTCOME, k % 5 == 0))]
+    made = F.array_compact(F.concat(F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), chunk), F.array(file(F.lit(files.LOOPS), report), *some)))
+    rows = T(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    put_files(rows.select(F.inline(made)), at)
     return files.frozen_runs(spark, at).select("run", "n_chunks", "kind", "problem")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.cluster import joined, ship, store_of
+from gridloom.cluster import joined, put_files, ship
 from gridloom.operators.numbering import numbered
 
 #: Camera models of the binary format by their number, with how many parameters each has.
@@ -47,20 +47,7 @@ def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[
 
 def write_files(rows: DataFrame, root: str, *, name: str, content: str) -> int:
     """One file a row under the root, written aside and published by a rename; how many there are."""
-    spark, n = rows.sparkSession, 0
-    for row in rows.select(name, content).toLocalIterator():  # containers are few and are handed over one at a time
-        at, store = store_of(spark, f"{root}/{row[name]}")
-        aside, _ = store_of(spark, f"{root}/_{row[name]}.part")
-        out = store.create(aside, True)
-        try:
-            out.write(bytearray(row[content]))
-        finally:
-            out.close()
-        store.delete(at, False)
-        if not store.rename(aside, at):
-            raise OSError(f"{row[name]} could not be published")
-        n += 1
-    return n
+    return put_files(rows.select(F.col(name).alias("name"), F.col(content).alias("content")), root)
 
 
 # Arrays.

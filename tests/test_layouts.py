@@ -7,6 +7,7 @@ import struct
 
 import pytest
 
+from gridloom import cluster
 from gridloom.sources import files, glb
 
 POINTS = "x double, y double, z double, red int, green int, blue int"
@@ -55,3 +56,23 @@ def test_frozen_runs(spark, tmp_path):
         "run_5": (2, None, f"{poor};{gap}"), "run_6": (2, "before_loops", gap), "run_7": (1, None, f"{poor};{gap}"),
     }
     assert got["run_1"]["poses"].endswith(files.BEFORE_LOOPS) and got["run_2"]["poses"].endswith(f"a/{files.FINAL}") and got["run_3"]["poses"] is None
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_files_by_the_tasks(spark, tmp_path, monkeypatch, known):
+    """Tasks write the files of runs and list them, and the driver lists only the dates; a store that Arrow does not know gives the same."""
+    listed = []
+    plain = files.listing
+    monkeypatch.setattr(files, "listing", lambda *a, **k: listed.append(a) or plain(*a, **k))
+    if not known:
+        for module in (cluster, files):
+            monkeypatch.setattr(module, "by_arrow", lambda path: None)
+    root = tmp_path / "a folder"
+    rows = [(f"floor_{k % 2}/d/run_{k}/_work/{w}/{name}", text) for k in range(40) for w in "ab"[: 1 + k % 2] for name, text in ((f"{files.CACHE}/chunk_0.npy", "x"), (files.FINAL, "x"), (files.LOOPS, f"accepted,n\n{k % 3 == 0},1\n"), (files.OUTCOME, ""), ("other", "x"))]
+    frame = spark.createDataFrame(rows, "name string, content string")
+    for _ in range(2):  # a task may be repeated
+        assert cluster.put_files(frame.selectExpr("name", "CAST(content AS BINARY) AS content"), f"file://{root}") == len(rows)
+    assert {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")} == dict(rows)
+    got = [(r["run"], r["work"].split("/")[-1], r["n_chunks"], r["kind"]) for r in files.frozen_runs(spark, f"file://{root}").collect()]
+    assert sorted(got, key=str) == sorted([(f"floor_{k % 2}/d/run_{k}", w, 1, None if k % 3 == 0 else "final_without_loops") for k in range(40) for w in "ab"[: 1 + k % 2]], key=str)
+    assert bool(listed) is not known
