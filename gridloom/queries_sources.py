@@ -233,17 +233,22 @@ def _bags(spark: SparkSession, sf_dir: str) -> str:
     return _written(packed.bag_files(_messages(spark, sf_dir), "bag"), "bags")
 
 
+#: A bag's name in the path of one of its files.
+BAG = r"/([^/]+)_\d+\.db3$"
+
+
 @query("SELECT concat('bag', user_id % 5) AS bag, event_type AS topic, concat('msg/', event_type) AS type, epoch_us(ts) AS ts, event_id::VARCHAR AS data FROM events")
 def bag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packed.bag_messages(spark, _bags(spark, sf_dir))
-    return got.select(F.regexp_extract("path", r"/([^/]+)\.db3$", 1).alias("bag"), "topic", "type", "ts", F.col("data").cast("string").alias("data"))
+    return got.select(F.regexp_extract("path", BAG, 1).alias("bag"), "topic", "type", "ts", F.col("data").cast("string").alias("data"))
 
 
 @query("SELECT concat('bag', user_id % 5) AS bag, string_agg(DISTINCT concat(event_type, '=msg/', event_type), ',' ORDER BY concat(event_type, '=msg/', event_type)) AS types FROM events GROUP BY 1")
 def bag_topic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = packed.topic_types(packed.bag_messages(spark, _bags(spark, sf_dir)))
+    messages = packed.bag_messages(spark, _bags(spark, sf_dir))
+    got = packed.topic_types(messages.withColumn("path", F.regexp_extract("path", BAG, 1)))
     each = F.transform(F.map_entries("types"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return got.select(F.regexp_extract("path", r"/([^/]+)\.db3$", 1).alias("bag"), F.array_join(F.array_sort(each), ",").alias("types"))
+    return got.select(F.col("path").alias("bag"), F.array_join(F.array_sort(each), ",").alias("types"))
 
 
 @query("SELECT CASE WHEN event_type = 'view' THEN 'cam' ELSE 'imu' END AS sink, count(*) AS n, min(epoch_us(ts)) AS first FROM events WHERE event_type IN ('view', 'click', 'purchase') AND epoch_us(ts) BETWEEN 1704500000000000 AND 1705500000000000 GROUP BY 1")

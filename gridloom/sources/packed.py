@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,9 @@ def packed_masks(rows: DataFrame, column: str, n: int) -> DataFrame:
 
 # Bags and archives.
 
+#: Messages of a file of a bag.
+MESSAGES = 200_000
+
 
 def bag_messages(spark: SparkSession, path: str, topics: list[str] | None = None) -> DataFrame:
     """(path, topic, type, ts, data): the messages of SQLite bags in time order; an unknown topic is an error."""
@@ -138,19 +142,46 @@ def topic_types(messages: DataFrame) -> DataFrame:
 
 
 def bag_files(messages: DataFrame, name: str) -> DataFrame:
-    """(name, content): a SQLite bag of each group's (topic, type, ts, data) rows."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(name, content): SQLite bags of each group's (topic, type, ts, data) rows, cut in the order of time into files ``<group>_<number>.db3`` of at most ``MESSAGES``; numbers ascend with gaps."""
+    ship(messages.sparkSession)
+    kinds = dict(messages.dtypes)
+    for c, kind in (("ts", "bigint"), ("data", "binary")):
+        if kinds[c] != kind:
+            raise ValueError(f"{c} is not of type {kind}")
+
+    def pack(pdf: pd.DataFrame) -> bytes:
+        if pdf["ts"].isna().any():
+            raise ValueError("a message without a stamp")
         with sqlite3.connect(":memory:") as db:
             db.execute("CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT, type TEXT)")
             db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
-            ids = {t: k for k, t in enumerate(sorted(set(pdf["topic"])), 1)}
-            db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(k, t, pdf[pdf["topic"] == t]["type"].iloc[0]) for t, k in ids.items()])
-            db.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", [(ids[r.topic], int(r.ts), bytes(r.data)) for r in pdf.itertuples()])
+            topics = pdf.drop_duplicates("topic").set_index("topic")["type"]
+            ids = {t: k for k, t in enumerate(sorted(topics.index), 1)}
+            db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(k, t, topics[t]) for t, k in ids.items()])
+            db.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", zip(pdf["topic"].map(ids).tolist(), pdf["ts"].tolist(), pdf["data"].tolist(), strict=True))
             db.commit()
-            return pd.DataFrame([{"name": f"{pdf[name].iloc[0]}.db3", "content": db.serialize()}])
+            return db.serialize()
 
-    return messages.groupBy(name).applyInPandas(pack, "name string, content binary")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made, group, waiting = TaskContext.get().partitionId(), 0, None, []
+
+        def file() -> pd.DataFrame:
+            return pd.DataFrame({"name": [f"{group}_{task * 1_000_000 + made}.db3"], "content": [pack(pd.concat(waiting))]})
+
+        for frame in frames:
+            for value, rows in frame.groupby("group", sort=False):
+                while len(rows):
+                    room = MESSAGES - sum(map(len, waiting))
+                    if waiting and (value != group or room <= 0):
+                        yield file()
+                        made, waiting, room = made + 1, [], MESSAGES
+                    group, waiting, rows = value, [*waiting, rows[:room]], rows[room:]
+        if waiting:
+            yield file()
+
+    rows = messages.select(F.coalesce(F.col(name).cast("string"), F.lit("None")).alias("group"), "topic", "type", "ts", "data")
+    ordered = rows.repartitionByRange("group", "ts", "topic", "data").sortWithinPartitions("group", "ts")
+    return ordered.mapInPandas(run, "name string, content binary")
 
 
 def routed(messages: DataFrame, routes: dict[str, list[str]], *, start: int | None = None, end: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from gridloom import cluster, queries_graphs
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
 from gridloom.operators import align, loops, metrics, nearest, quantiles, suppress
-from gridloom.sources import glb
+from gridloom.sources import glb, packed
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -201,3 +201,23 @@ def test_rounds_of_closest_points_are_not_broadcast(spark, monkeypatch):
         at = rows.inputFiles()[0]
         assert rows.count() == 3 and Path(at.removeprefix("file://")).exists()
     assert not Path(at.removeprefix("file://")).exists()
+
+
+def test_bags_in_files(spark, tmp_path, monkeypatch):
+    """A bag is as many files as it needs, in the order of time, and none of them passes through the driver."""
+    monkeypatch.setattr(packed, "MESSAGES", 50)
+    rows = [(f"bag{k % 3}" if k % 3 else None, f"t{k % 4}", f"m{k % 4}", 1_700_000_000_000_000_000 + (k * 7919) % 1000, str(k).encode()) for k in range(1000)]
+    at = f"file://{tmp_path}/bags"
+    made = packed.bag_files(spark.createDataFrame(rows, "bag string, topic string, type string, ts long, data binary"), "bag")
+    with monkeypatch.context() as m:
+        m.setattr(type(made), "toLocalIterator", lambda *a, **k: pytest.fail("files were sent to the driver"))
+        assert packed.write_files(made, at, name="name", content="content") >= 20
+    got = packed.bag_messages(spark, at).withColumn("file", F.regexp_extract("path", r"/([^/]+)_\d+\.db3$", 1)).collect()
+    assert sorted((r["file"], r["topic"], r["type"], r["ts"], bytes(r["data"])) for r in got) == sorted((b or "None", *r) for b, *r in rows)
+    files = {}
+    for r in got:
+        files.setdefault((r["file"], int(r["path"].split("_")[-1].removesuffix(".db3"))), []).append(r["ts"])
+    assert max(map(len, files.values())) <= 50
+    for bag in ("None", "bag1", "bag2"):
+        parts = [t for (b, _), t in sorted(files.items()) if b == bag]
+        assert all(max(a) <= min(b) for a, b in zip(parts, parts[1:]))
