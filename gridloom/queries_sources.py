@@ -378,8 +378,8 @@ def splat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_quantity::FLOAT::DOUBLE AS x, l_discount::FLOAT::DOUBLE AS y, (-l_tax)::FLOAT::DOUBLE AS z, (l_linenumber * 30)::SMALLINT AS red, 1::SMALLINT AS green FROM lineitem")
 def glb_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), (-F.col("l_tax")).alias("z"), (F.col("l_linenumber") * 30).alias("red"), F.lit(1).alias("green"), F.lit(2).alias("blue"))
-    at = f"{scratch(spark, 'scene')}/scene.glb"
-    glb.write(points, at)
+    at = scratch(spark, "scene")
+    glb.write_scenes(points, at)
     return glb.read(spark, at).select("x", "y", "z", "red", "green")
 
 

@@ -1,4 +1,4 @@
-"""Binary glTF: a cloud of coloured points in one container.
+"""Binary glTF: a cloud of coloured points in one container, or of any size in a folder of them.
 
 The layout is a 12-byte header, a JSON chunk and one binary chunk with all
 positions (three floats a point) and then all colours (four bytes a point);
@@ -14,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.cluster import held, ship, store_of
+from gridloom.cluster import held, put_files, ship, store_of
 
 #: Fixed values of the format: marks of the file and its two chunks, component types, buffer target, mode of points.
 MAGIC, VERSION, JSON_CHUNK, BINARY_CHUNK = 0x46546C67, 2, 0x4E4F534A, 0x004E4942
 FLOAT, UNSIGNED_BYTE, ARRAY_BUFFER, POINTS = 5126, 5121, 34962, 0
 #: Points that are decoded together.
 SLICE = 1_000_000
+#: Points of a file of a folder of them.
+PART = 250_000
 
 
 def head(n: int, low: list[float], high: list[float]) -> bytes:
@@ -53,6 +56,46 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"part": f["part"].iloc[:1], "positions": [f[["x", "y", "z"]].to_numpy("<f4").tobytes()], "colours": [colour.tobytes()]})
 
 
+def _whole(frame: pd.DataFrame) -> bytes:
+    """A file of the points."""
+    xyz, colour = frame[["x", "y", "z"]].to_numpy("<f4"), np.full((len(frame), 4), 255, np.uint8)
+    colour[:, :3] = frame[["red", "green", "blue"]].to_numpy(np.uint8)
+    low, high = (f(xyz, axis=0).astype(float).tolist() for f in (np.min, np.max))
+    return head(len(frame), low, high) + xyz.tobytes() + colour.tobytes()
+
+
+def _there(points: DataFrame) -> DataFrame:
+    """The points that are written, as the file has them."""
+    good = points
+    for c in "xyz":
+        good = good.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")))
+    return good.select(*(F.col(c).cast("float").alias(c) for c in "xyz"), *(F.coalesce(F.col(c), F.lit(0)).cast("short").alias(c) for c in ("red", "green", "blue")))
+
+
+def write_scenes(points: DataFrame, path: str) -> int:
+    """A folder of files of at most ``PART`` points, each whole by itself and written by the tasks; how many files.
+
+    For clouds of any size: one file ends at four gigabytes, and Spark's binary
+    reader, which ``read`` goes by, at two.  Points as in ``write``.
+    """
+    ship(points.sparkSession)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made, waiting, size = TaskContext.get().partitionId(), 0, [], 0
+        for frame in frames:
+            while len(frame):
+                waiting.append(frame[: PART - size])
+                size, frame = size + len(waiting[-1]), frame[PART - size :]
+                if size == PART:
+                    yield pd.DataFrame({"name": [f"{task}-{made}.glb"], "content": [_whole(pd.concat(waiting))]})
+                    made, waiting, size = made + 1, [], 0
+        if waiting:
+            yield pd.DataFrame({"name": [f"{task}-{made}.glb"], "content": [_whole(pd.concat(waiting))]})
+
+    n = put_files(_there(points).mapInPandas(pack, "name string, content binary"), path)
+    return n or put_files(points.sparkSession.createDataFrame([("0-0.glb", bytearray(head(0, [], [])))], "name string, content binary"), path)
+
+
 def write(points: DataFrame, path: str) -> int:
     """One file of the points (x, y, z, red, green, blue; rows with a null or non-finite coordinate are left out); how many there are.
 
@@ -61,11 +104,7 @@ def write(points: DataFrame, path: str) -> int:
     """
     spark = points.sparkSession
     ship(spark)
-    good = points
-    for c in "xyz":
-        good = good.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")))
-    single = [F.col(c).cast("float").alias(c) for c in "xyz"]
-    rows = held(good.select(*single, *(F.coalesce(F.col(c), F.lit(0)).cast("short").alias(c) for c in ("red", "green", "blue")), F.monotonically_increasing_id().alias("part")), "glb-points")
+    rows = held(_there(points).withColumn("part", F.monotonically_increasing_id()), "glb-points")
     box = rows.agg(F.count("*").alias("n"), *(f(c).cast("double").alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.min, F.max))).first()
     pieces = held(rows.mapInPandas(_packed, "part long, positions binary, colours binary"), "glb-pieces")
     at, store = store_of(spark, path)

@@ -221,3 +221,23 @@ def test_bags_in_files(spark, tmp_path, monkeypatch):
     for bag in ("None", "bag1", "bag2"):
         parts = [t for (b, _), t in sorted(files.items()) if b == bag]
         assert all(max(a) <= min(b) for a, b in zip(parts, parts[1:]))
+
+
+def test_scenes_of_any_size(spark, tmp_path, monkeypatch):
+    """A cloud is as many whole files as it needs (one file of over two gigabytes could not be read), written by the tasks."""
+    monkeypatch.setattr(glb, "PART", 30)
+    rows = [(k / 2, -k / 4, float(k % 7), k % 256, 1, None) for k in range(500)] + [(None, 0.0, 0.0, 1, 1, 1), (float("nan"), 0.0, 0.0, 1, 1, 1), (float("inf"), 0.0, 0.0, 1, 1, 1)]
+    points = spark.createDataFrame(rows, "x double, y double, z double, red int, green int, blue int")
+    at = tmp_path / "scenes"
+    assert glb.write_scenes(points.repartition(3), f"file://{at}") == len(list(at.glob("*.glb"))) >= 17
+    for f in at.glob("*.glb"):
+        data = f.read_bytes()
+        (accessor, _), xyz = glb.json.loads(data[20 : 20 + int.from_bytes(data[12:16], "little")])["accessors"], np.concatenate([p[["x", "y", "z"]] for p in glb._points_of(data)])
+        assert len(xyz) == accessor["count"] <= 30 and xyz.min(0).tolist() == accessor["min"] and xyz.max(0).tolist() == accessor["max"]
+    got = glb.read(spark, f"file://{at}").collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted((*r[:5], 0) for r in rows[:500])
+    assert glb.write_scenes(points.limit(0), f"file://{tmp_path}/none") == 1
+    assert glb.read(spark, f"file://{tmp_path}/none").collect() == []
+    written = []
+    monkeypatch.setattr(glb, "write", lambda *a: written.append(a))
+    assert QUERIES["glb_round_trip"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() and not written
