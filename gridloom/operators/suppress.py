@@ -18,6 +18,62 @@ from gridloom.cluster import held
 
 #: Side of a tile of pairs; never less than four radii.
 TILE = 512
+#: Ends of the ranges that are settled where pairs are made are at most so far apart.
+SPAN = 8192
+
+
+def _walked(xs: np.ndarray, ys: np.ndarray, own: np.ndarray, sure: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """1 (kept), -1 (suppressed) or 0 (open) of each pair, best first, and whether it is kept and no pair near it is open anywhere.
+
+    Of those not ``sure`` to be kept, only ``own`` ones may be, as all pairs
+    near them are there; the others are settled elsewhere.
+    """
+    if not len(xs):
+        return np.empty(0, np.int8), np.empty(0, bool)
+    xs, ys = xs - xs.min(), ys - ys.min()
+    shape = (int(xs.max()) + radius + 1, int(ys.max()) + radius + 1)
+    kept, open_ = np.zeros(shape, bool), np.zeros(shape, bool)
+    state = sure.astype(np.int8)
+    for k, (x, y) in enumerate(zip(xs.tolist(), ys.tolist(), strict=True)):
+        if kept[x, y] and state[k] != 1:
+            state[k] = -1
+            continue
+        near = slice(max(x - radius, 0), x + radius + 1), slice(max(y - radius, 0), y + radius + 1)
+        if state[k] == 1:
+            kept[x, y] = True
+        elif kept[near].any():
+            state[k] = -1
+        elif own[k] and not open_[near].any():
+            state[k], kept[x, y] = 1, True
+        else:
+            open_[x, y] = True
+    loose = (state == 0) | (~own & ~sure)
+    open_[:] = False
+    open_[xs[loose], ys[loose]] = True
+    done = own & (state == 1)
+    for k in np.flatnonzero(done).tolist():
+        x, y = xs[k], ys[k]
+        done[k] = not open_[max(x - radius, 0) : x + radius + 1, max(y - radius, 0) : y + radius + 1].any()
+    return state, done
+
+
+def settler(a: str, b: str, score: str, radius: int):
+    """For what makes pairs range by range: those of two ranges of ends that are settled by them alone, so that what ``pair_nms`` then gets is the kept and the open ones.
+
+    The ranges (first and last, both in them) hold all pairs whose ends are in
+    them, so a pair ``radius`` or more inside of both has all its neighbours there.
+    """
+
+    def settle(pairs: pd.DataFrame, first: tuple[int, int], second: tuple[int, int]) -> pd.DataFrame:
+        pairs = pairs.sort_values([score, a, b], ascending=[False, True, True])
+        inside = lambda c, ends: ((pairs[c] >= ends[0] + radius) & (pairs[c] <= ends[1] - radius)).to_numpy()
+        none = np.zeros(len(pairs), bool)
+        state, done = np.zeros(len(pairs), np.int8), none
+        if len(pairs) and max(first[1] - first[0], second[1] - second[0]) <= SPAN:  # else the walk's squares would be large: all stay open
+            state, done = _walked(pairs[a].to_numpy(np.int64), pairs[b].to_numpy(np.int64), inside(a, first) & inside(b, second), none, radius)
+        return pairs.assign(__kept=state == 1, __done=done)[state >= 0]
+
+    return settle
 
 
 def pair_nms(pairs: DataFrame, by: list[str], a: str, b: str, score: str, radius: int) -> DataFrame:
@@ -27,42 +83,37 @@ def pair_nms(pairs: DataFrame, by: list[str], a: str, b: str, score: str, radius
     square tiles with a margin of ``radius``: one is settled where all better
     ones near it are.  Those left open, whose better neighbours are open in the
     margin, are walked again in tiles set off by half a side, until none is
-    left; the best open pair is settled in every round.
+    left; the best open pair is settled in every round.  Kept pairs that no open
+    one is near go on to no further round.
     """
     kinds = dict(pairs.dtypes)
     for c in (a, b):
         if kinds[c] not in ("tinyint", "smallint", "int", "bigint"):
             raise ValueError(f"{c} is not of whole numbers")
-    side, names = max(TILE, 4 * radius), [*pairs.columns, "__kept"]
+    side, columns = max(TILE, 4 * radius), [c for c in pairs.columns if c not in ("__kept", "__done")]
+    names = [*columns, "__kept", "__done"]
     there = F.col(a).isNotNull() & F.col(b).isNotNull()
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, a, b], ascending=[False, True, True])
-        xs, ys = (pdf[c].to_numpy(np.int64) for c in (a, b))
-        xs, ys = xs - xs.min(), ys - ys.min()
-        shape = (int(xs.max()) + radius + 1, int(ys.max()) + radius + 1)
-        kept, open_ = np.zeros(shape, bool), np.zeros(shape, bool)
-        own, state = pdf["__own"].to_numpy(), pdf["__kept"].to_numpy().astype(np.int8)
-        for k, (x, y) in enumerate(zip(xs.tolist(), ys.tolist(), strict=True)):
-            near = slice(max(x - radius, 0), x + radius + 1), slice(max(y - radius, 0), y + radius + 1)
-            if state[k] == 1:
-                kept[x, y] = True
-            elif kept[near].any():
-                state[k] = -1
-            elif own[k] and not open_[near].any():
-                state[k], kept[x, y] = 1, True
-            else:
-                open_[x, y] = True
-        return pdf.assign(__kept=state == 1)[own & (state >= 0)][names]
-
-    left, off = pairs.filter(there).withColumn("__kept", F.lit(False)), 0
+        own = pdf["__own"].to_numpy()
+        state, done = _walked(pdf[a].to_numpy(np.int64), pdf[b].to_numpy(np.int64), own, pdf["__kept"].to_numpy(), radius)
+        return pdf.assign(__kept=state == 1, __done=done)[own & (state >= 0)][names]
+
+    done, off = pairs.filter(~there).select(*columns), 0
+    if "__done" in pairs.columns:
+        left, done = held(pairs.select(*names), "pair-nms"), pairs.sparkSession.createDataFrame([], pairs.select(*columns).schema)  # such pairs have both ends
+        done = done.unionByName(left.filter("__done").select(*columns))
+    else:
+        left = pairs.filter(there).select(*columns, F.lit(False).alias("__kept"), F.lit(False).alias("__done"))
     while True:
         tile = lambda c, far: F.floor((F.col(c) + far - off) / side)  # noqa: E731, B023
-        spread = left.withColumn("__a", F.explode(F.sequence(tile(a, -radius), tile(a, radius)))).withColumn("__b", F.explode(F.sequence(tile(b, -radius), tile(b, radius))))
+        spread = left.filter(~F.col("__done")).withColumn("__a", F.explode(F.sequence(tile(a, -radius), tile(a, radius)))).withColumn("__b", F.explode(F.sequence(tile(b, -radius), tile(b, radius))))
         spread = spread.withColumn("__own", (F.col("__a") == tile(a, 0)) & (F.col("__b") == tile(b, 0)))
         left = held(spread.groupBy(*by, "__a", "__b").applyInPandas(walk, left.schema), "pair-nms")
         if left.filter(~F.col("__kept")).isEmpty():
-            return left.drop("__kept").unionByName(pairs.filter(~there))
+            return done.unionByName(left.select(*columns))
+        done = done.unionByName(left.filter("__done").select(*columns))
         off = side // 2 - off
 
 

@@ -6,13 +6,14 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom import cluster, queries_graphs
+from gridloom import cluster, queries_graphs, stand_ins
 from gridloom.catalog import ORACLE, QUERIES
 from gridloom.functions import linalg
-from gridloom.operators import align, loops, metrics, nearest, quantiles, suppress
+from gridloom.operators import align, blocks, loops, metrics, nearest, quantiles, retrieval, suppress
 from gridloom.sources import glb, packed
 
 SMALL = "/root/testdata/sf0.001"
@@ -241,3 +242,50 @@ def test_scenes_of_any_size(spark, tmp_path, monkeypatch):
     written = []
     monkeypatch.setattr(glb, "write", lambda *a: written.append(a))
     assert QUERIES["glb_round_trip"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() and not written
+
+
+def test_blocks_are_read_not_copied(spark, monkeypatch):
+    """Beyond some copies of a row, blocks are written once and tasks read theirs: the pairs are the same and nothing is shuffled for them."""
+
+    def pairs_of(a, b):
+        x, y = np.meshgrid(a["id"].to_numpy(), b["id"].to_numpy(), indexing="ij")
+        return pd.DataFrame({"a": x.ravel(), "b": y.ravel(), "v": np.add.outer(np.array([v.sum() for v in a["vec"]]), np.array([v.sum() for v in b["vec"]])).ravel()})
+
+    table = lambda n: spark.range(n).select("id", F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("vec"))
+    schema, every = "a long, b long, v double", lambda df: sorted(map(tuple, df.collect()))
+    for tiled in (True, False):
+        made = {}
+        for copies in (1, 1 << 19):
+            monkeypatch.setattr(blocks, "COPIED", copies)
+            monkeypatch.setattr(blocks, "PAIRS", 4)
+            both = blocks.block_pairs(table(37), table(53), pairs_of, schema, left_key="id", right_key="id", block=5, wide=10, tiled=tiled)
+            half = blocks.ordered_pairs(table(61), lambda a, b: pairs_of(a, b).query("a < b"), schema, key="id", block=5, wide=10)
+            assert all(("CoGroups" in df._jdf.queryExecution().sparkPlan().toString()) is (copies > 1) for df in (both, half))
+            made[copies] = every(both), every(half)
+        assert made[1] == made[1 << 19] and len(made[1][0]) == 37 * 53 and len(made[1][1]) == 61 * 30
+    monkeypatch.setattr(blocks, "COPIED", 1)
+    assert every(blocks.block_pairs(table(20), table(0), lambda a, b: pd.DataFrame({"a": a["id"], "b": len(b), "v": 0.0}), schema, left_key="id", right_key="id", block=5)) == [(k, 0, 0.0) for k in range(20)]
+
+
+def test_precision_of_items_in_spans(spark, monkeypatch):
+    d = stand_ins.descriptors(spark, SMALL)
+    want = sorted(map(tuple, retrieval.query_precision(d, d, 0.5).collect()))
+    for module, name, value in ((retrieval, "SPAN", 70), (retrieval, "AT_ONCE", 900), (retrieval, "LEAST", 1), (blocks, "COPIED", 1)):
+        monkeypatch.setattr(module, name, value)
+    assert sorted(map(tuple, retrieval.query_precision(d, d, 0.5, block=40).collect())) == want
+
+
+def test_pairs_settled_where_they_are_made(spark, tmp_path, monkeypatch):
+    """What suppression gets is the kept and the open pairs only, and kept ones that no open pair is near take no part in its rounds."""
+    vectors(spark, str(tmp_path), range(1200), lambda k, e: [x + (k * 37 % 101) / 1000 for x in e])
+    plain = suppress.pair_nms(QUERIES["cyclic_retrieval"](spark, str(tmp_path)), [], "a", "b", "mean", 3)
+    want = sorted((r["a"], r["b"], r["mean"]) for r in plain.collect())
+    ordered = retrieval.ordered_pairs
+    monkeypatch.setattr(retrieval, "ordered_pairs", lambda *a, **k: ordered(*a, **(k | {"block": 40, "wide": 80})))
+    walked = []
+    stored = suppress.held
+    monkeypatch.setattr(suppress, "held", lambda df, name: walked.append(stored(df, name)) or walked[-1])
+    got = QUERIES["capture_nms"](spark, str(tmp_path))
+    assert sorted((r["a"], r["b"], r["mean"]) for r in got.collect()) == want
+    sizes = [w.count() for w in walked]
+    assert sizes[0] < QUERIES["cyclic_retrieval"](spark, str(tmp_path)).count() / 2 and sizes[1] < sizes[0]
