@@ -289,3 +289,25 @@ def test_pairs_settled_where_they_are_made(spark, tmp_path, monkeypatch):
     assert sorted((r["a"], r["b"], r["mean"]) for r in got.collect()) == want
     sizes = [w.count() for w in walked]
     assert sizes[0] < QUERIES["cyclic_retrieval"](spark, str(tmp_path)).count() / 2 and sizes[1] < sizes[0]
+
+
+def test_many_fits_at_once(spark, monkeypatch):
+    """Groups are fitted together, as each alone is, mirrored and single points too."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 50, 7, 3))
+    y[:20] = x[:20] * (1, 1, -1)
+    x[20] = 0.5
+    rows = [(g, *map(float, (*a, *b))) for g in range(50) for a, b in zip(x[g], y[g], strict=True)]
+    pairs = spark.createDataFrame(rows, "grp long, sx double, sy double, sz double, tx double, ty double, tz double")
+    monkeypatch.setattr(linalg, "fit_from_moments", None)
+    got = {r["grp"]: r for r in align.fit_by(pairs, ["grp"]).collect()}
+    monkeypatch.undo()
+    for g in range(50):
+        s, r, t = linalg.fit(x[g], y[g])
+        if g == 20:
+            assert got[g]["s"] == 1.0
+        else:
+            assert got[g]["s"] == pytest.approx(s) and np.allclose(np.reshape(got[g]["r"], (3, 3)), r) and np.allclose(got[g]["t"], t)
+    far = align.with_far(pairs, align.fit_by(pairs, ["grp"]), ["grp"], "far").filter("grp = 7")
+    s, r, t = linalg.fit(x[7], y[7])
+    assert sorted(v["far"] for v in far.select("far").collect()) == pytest.approx(sorted(np.linalg.norm(s * x[7] @ r.T + t - y[7], axis=1)))
